@@ -125,3 +125,16 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
 
 def python_executable() -> str:
     return sys.executable
+
+
+def filter_rows(docs: DataFrame, keep) -> DataFrame:
+    """Rows of docs, all columns, whose text keep() marks; keep gets a batch's texts (nulls as '') and returns booleans. No shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            last = batch.num_columns - 1
+            for part in slices(batch, last, 2 << 20):
+                kept = part.filter(pa.array(np.asarray(keep(part.column(last)), bool)))
+                yield kept.select(list(range(last)))
+
+    return map_arrow(docs.select("*", text_or_empty().alias("__text")), run, docs.schema)
