@@ -6,21 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, substring_dedup
+from . import decontam, mixing, substring_dedup
 from .common import table
 from .quality_rules import fit_quality, judge_quality
 from .simhash import simhash_groups
 from .token_count import token_counts
 from .toxicity import fit_toxicity, score_toxicity
+from .url_filter import fit_urls, judge_urls, labelled_urls
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), fit_urls(labelled_urls(spark)))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return judge_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=35).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -43,7 +52,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filters": op1_url_filters,
     "op4_quality_rules": op4_quality_rules,
+    "op5_mixing": op5_mixing,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_simhash": op8_simhash,
@@ -52,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_mixing": mixing.ORACLE,
     "op6_substring_dedup": substring_dedup.ORACLE,
     "op10_decontamination": decontam.ORACLE,
 }

@@ -68,7 +68,7 @@ def read_words(texts: pa.Array) -> Words:
     known = said >= 0
     votes = np.bincount(doc[known] * len(LANGS) + said[known], minlength=len(texts) * len(LANGS)).reshape(len(texts), len(LANGS))
     lang = np.where(votes.max(1, initial=0) > 0, votes.argmax(1) if votes.size else 0, len(LANGS))
-    return Words((h >> U(64 - WORD_BITS)).astype(np.int64), (p >> U(64 - PREFIX_BITS)).astype(np.int64), first, lang)
+    return Words((h >> U(64 - WORD_BITS)).astype(np.int32), (p >> U(64 - PREFIX_BITS)).astype(np.int32), first, lang)
 
 
 @dataclass
@@ -129,7 +129,7 @@ def _log_odds_of_buckets(bucket: np.ndarray, doc: np.ndarray, y: np.ndarray, siz
 def fit(texts: list[str], y: np.ndarray, epochs: int = 6, batch: int = 48, rate: float = 0.03, seed: int = 5) -> Model:
     """Train on texts in the order given; every fourth is set aside for the thresholds."""
     rng = np.random.default_rng(seed)
-    all_words = read_words(pa.array(texts, pa.large_string()))
+    all_words = _read_all(texts)
     aside = np.arange(len(y)) % 4 == 3
     train = np.flatnonzero(~aside)
     t = _take(all_words, train)
@@ -212,6 +212,13 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = 6, batch: int = 48, rate:
     return model
 
 
+def _read_all(texts: list[str], step: int = 200) -> Words:
+    """read_words over many texts, a few at a time, so that the work arrays stay small."""
+    parts = [read_words(pa.array(texts[i : i + step], pa.large_string())) for i in range(0, len(texts), step)]
+    n = np.concatenate([np.diff(p.first) for p in parts])
+    return Words(np.concatenate([p.word for p in parts]), np.concatenate([p.prefix for p in parts]), np.concatenate([[0], np.cumsum(n)]), np.concatenate([p.lang for p in parts]))
+
+
 def best_cut(z: np.ndarray, y: np.ndarray) -> float:
     """The log-odds, midway between neighbours, with the fewest errors; of equal ones the middle."""
     order = np.argsort(z)
