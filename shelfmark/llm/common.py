@@ -12,8 +12,8 @@ Conventions of every operator in this package:
 
 from __future__ import annotations
 
+import gc
 import os
-import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -59,18 +59,38 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True))
+
+
+def drop(df: DataFrame) -> None:
+    """Delete an intermediate table of cut() that nothing will read again, as what was made of it is itself cut."""
+    path = getattr(df, "scratch_path", None)
+    if path in _written:
+        _written.remove(path)
+        _delete(df.sparkSession, path)
 
 
 def drop_scratch(spark: SparkSession) -> int:
     """Delete the intermediate tables of this process; call it after the results that use them are written."""
-    jvm, n = spark.sparkContext._jvm, 0
+    n = 0
     while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+        n += _delete(spark, _written.pop())
     return n
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of plans that ended in cut() and are no longer referred to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast only if a count shows at most max_rows; beyond that the caller's join shuffles instead."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
@@ -123,10 +143,6 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
-def python_executable() -> str:
-    return sys.executable
-
-
 def filter_rows(docs: DataFrame, keep) -> DataFrame:
     """Rows of docs, all columns, whose text keep() marks; keep gets a batch's texts (nulls as '') and returns booleans. No shuffle."""
 

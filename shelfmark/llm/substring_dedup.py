@@ -7,7 +7,7 @@ substrings get equal symbols but for some at their two ends.
 
 For a window of ``window`` words the symbols that its own words fix, whatever stands around it, are known in every
 round (the end symbols that a neighbour could still join are left out). Its anchor is, in the highest round with such a
-symbol, the one with the least hash. Equal windows have equal anchors at equal places, down to single words,
+symbol, the longest (of equal ones that with the least hash). Equal windows have equal anchors at equal places, down to single words,
 where a window always has some. Neighbouring windows share anchors, so a text has an anchor for every dozen words.
 
 1. Each anchor is one row: its symbol, and a hash of all words that its windows cover (its context).
@@ -31,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, flat, id_text, map_arrow, row_key, slices
+from .common import cut, drop, flat, id_text, map_arrow, release, row_key, slices
 from .textnum import U, hash_ranges, mix, normalised, per_doc_sum, windows_inside, word_bounds
 
-ROUNDS = 6
+ROUNDS = 5
 _KEY = U(0x27D4EB2F165667C5)
 UNIQUE, REPEATED, OPEN, SHOWN = 0, 1, 2, 3
 
@@ -109,7 +109,8 @@ def anchors(h: np.ndarray, first: np.ndarray, window: int, spans: np.ndarray) ->
     for k, (names, begin) in enumerate(levels):
         own = np.flatnonzero(best == k)
         if len(own):
-            i = _least(mix(names ^ _KEY), best_lo[own], best_hi[own])
+            words = np.minimum(np.diff(np.append(begin, total)), 255).astype(np.uint64)
+            i = _least((mix(names ^ _KEY) >> U(8)) | (U(255) - words) << U(56), best_lo[own], best_hi[own])
             symbol[own], place[own] = mix(names[i] + _times(k)), begin[i]
     starts = np.ones(len(p), bool)
     starts[1:] = (p[1:] != p[:-1] + 1) | (symbol[1:] != symbol[:-1]) | (place[1:] != place[:-1]) | (best[1:] != best[:-1]) | (doc[p[1:]] != doc[p[:-1]])
@@ -145,7 +146,7 @@ def _read(texts: pa.Array, window: int):
 
 
 def find_anchors(docs: DataFrame, window: int) -> DataFrame:
-    """symbol, context, k1, k2, at, n: the anchors of every text; at counts from the text's first word."""
+    """symbol, context, k1, k2, place: the anchors of every text. place: 256 times the first window's number in the text, plus the windows less 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,21 +155,23 @@ def find_anchors(docs: DataFrame, window: int) -> DataFrame:
                 a = anchors(h, first, window, spans)
                 doc = np.searchsorted(first, a.at, "right") - 1
                 k1, k2 = (part.column(i).to_numpy()[doc] for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a.symbol.view(np.int64), a.context.view(np.int64), k1, k2, (a.at - first[doc]).astype(np.int32), a.n.astype(np.int32))], names=["symbol", "context", "k1", "k2", "at", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a.symbol.view(np.int64), a.context.view(np.int64), k1, k2, (a.at - first[doc]) * 256 + a.n - 1)], names=["symbol", "context", "k1", "k2", "place"])
 
-    return map_arrow(docs.select("k1", "k2", "text"), run, "symbol long, context long, k1 long, k2 long, at int, n int")
+    return map_arrow(docs.select("k1", "k2", "text"), run, "symbol long, context long, k1 long, k2 long, place long")
 
 
-def verdicts(found: DataFrame) -> DataFrame:
-    """symbol, context, state, rep: what is known of each context whose symbol occurs twice or more.
+def judge_anchors(found: DataFrame) -> DataFrame:
+    """k1, k2, place, state of the anchors whose symbol occurs twice or more.
 
-    REPEATED: it occurs twice; SHOWN: so it does, and its windows at rep are to be compared with open ones; OPEN: it occurs once.
+    REPEATED: the context occurs twice; SHOWN: so it does, it is one to stand for the others, and the symbol has other
+    contexts, so its windows are to be compared with theirs; OPEN: the context occurs once.
     """
-    contexts = found.groupBy("symbol", "context").agg(F.count("*").alias("m"), F.min(F.struct("k1", "k2", "at")).alias("rep"))
-    # Per symbol: rows, contexts, contexts that occur once. Bounded state, combined before the shuffle.
-    symbols = found.groupBy("symbol").agg(F.count("*").alias("rows"), F.min("context").alias("lo"), F.max("context").alias("hi")).where("rows > 1").select("symbol", (F.col("lo") != F.col("hi")).alias("several"))
-    state = F.when(F.col("m") == 1, OPEN).when(F.col("several"), SHOWN).otherwise(REPEATED)
-    return contexts.join(symbols, "symbol").select("symbol", "context", state.cast("byte").alias("state"), F.when(F.col("several"), F.col("rep")).alias("rep"))
+    shared = found.groupBy("symbol").agg(F.count("*").alias("rows")).where("rows > 1")
+    shared = cut(found.join(shared, "symbol"), "shared")
+    drop(found)
+    contexts = shared.groupBy("symbol", "context").agg(F.count("*").alias("m"), F.min("k1").alias("rep"))
+    state = F.when(F.col("m") == 1, OPEN).when((F.col("m") < F.col("rows")) & (F.col("k1") == F.col("rep")), SHOWN).otherwise(REPEATED)
+    return shared.join(contexts, ["symbol", "context"]).select("k1", "k2", "place", state.cast("byte").alias("state"))
 
 
 def _open_windows(window: int):
@@ -177,15 +180,15 @@ def _open_windows(window: int):
             for part in slices(batch, 2):
                 _, _, _, first, spans, _ = _read(part.column(2), window)
                 out = []
-                for d, (at, n, shown) in enumerate(zip(part.column(3).to_pylist(), part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True)):
-                    for a, m, s in zip(at, n, shown, strict=True):
-                        out.append((d, a, m, s))
+                for d, own in enumerate(part.column(3).to_pylist()):
+                    out += [(d, (x["place"] >> 8), (x["place"] & 255) + 1, x["state"]) for x in own]
                 d, a, m, s = (np.array(x, np.int64) for x in zip(*out, strict=True))
                 row = np.repeat(np.arange(len(d)), m)
                 p = a[row] + np.arange(len(row)) - np.repeat(np.cumsum(m) - m, m)
                 doc = d[row]
                 k1, k2 = (part.column(i).to_numpy()[doc] for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (spans[first[doc] + p].view(np.int64), k1, k2, p.astype(np.int32), s[row] == SHOWN)], names=["window", "k1", "k2", "at", "shown"])
+                at = np.where(s[row] == SHOWN, -1, p)  # shown windows are known to be repeated
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (spans[first[doc] + p].view(np.int64), k1, k2, at)], names=["window", "k1", "k2", "at"])
 
     return run
 
@@ -198,7 +201,7 @@ def _remove(window: int):
                 starts, ends, first = word_bounds(buf, off)
                 edge = np.zeros(len(starts) + 1, np.int64)
                 for k, (spans, single) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):
-                    for at, n in [*((x["at"], x["n"]) for x in spans or ()), *((x, 1) for x in single or ())]:
+                    for at, n in [*((x >> 8, (x & 255) + 1) for x in spans or ()), *((x, 1) for x in single or ())]:
                         lo = first[k] + at
                         edge[lo] += 1
                         edge[lo + n + window - 1] -= 1
@@ -223,22 +226,26 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     too; windows are judged on the input. Null and empty texts, and texts shorter than a window, lose nothing.
     Fully identical rows are repeats of each other.
     """
-    keyed = id_text(docs).select("doc_id", "text", *row_key())
-    found = cut(find_anchors(keyed, window), "anchors")
-    known = cut(verdicts(found), "verdicts")
-    hits = found.join(known, ["symbol", "context"]).select("k1", "k2", "at", "n", F.when((F.col("state") == SHOWN) & (F.struct("k1", "k2", "at") != F.col("rep")), REPEATED).otherwise(F.col("state")).alias("state"))
+    # Where doc_ids are unique they are the key; the texts' hashes come in only where they aren't.
+    alone = docs.agg((F.count("*") == F.count("doc_id")) & (F.count("*") == F.count_distinct(F.col("doc_id").cast("long")))).first()[0]
+    k1, k2 = row_key()
+    keyed = id_text(docs).select("doc_id", "text", k1, F.lit(0).cast("long").alias("k2") if alone else k2)
+    spark = docs.sparkSession
+    hits = judge_anchors(cut(find_anchors(keyed, window), "anchors"))
     lists = cut(
         hits.groupBy("k1", "k2").agg(
-            F.collect_set(F.when(F.col("state") != OPEN, F.struct("at", "n"))).alias("spans"),
-            F.sort_array(F.collect_set(F.when(F.col("state") != REPEATED, F.struct("at", "n", "state")))).alias("open"),
+            F.collect_set(F.when(F.col("state") != OPEN, F.col("place"))).alias("spans"),
+            F.collect_set(F.when(F.col("state") != REPEATED, F.struct("place", "state"))).alias("open"),
         ),
         "lists",
     )
+    del hits
+    release(spark)
     joined = keyed.join(lists.hint("shuffle_hash"), ["k1", "k2"], "left")
-    look = joined.where(F.size("open") > 0).select("k1", "k2", "text", "open.at", "open.n", "open.state")
-    windows = map_arrow(look, _open_windows(window), "`window` long, k1 long, k2 long, at int, shown boolean")
+    look = joined.where(F.size("open") > 0).select("k1", "k2", "text", "open")
+    windows = map_arrow(look, _open_windows(window), "`window` long, k1 long, k2 long, at long")
     twice = windows.groupBy("window").agg(F.count("*").alias("c")).where("c > 1").select("window")
-    single = windows.where("not shown").join(twice, "window").groupBy("k1", "k2").agg(F.collect_set("at").alias("single"))
+    single = windows.where("at >= 0").join(twice, "window").groupBy("k1", "k2").agg(F.collect_set("at").alias("single"))
     full = joined.join(single.hint("shuffle_hash"), ["k1", "k2"], "left").select("doc_id", "text", "spans", "single")
     return map_arrow(full, _remove(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
