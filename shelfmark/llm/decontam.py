@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, id_text, map_arrow, slices, text_or_empty
+from .common import filter_rows, flat, id_text, map_arrow, slices, text_or_empty
 from .textnum import U, normalised, window_hash, windows_inside, word_bounds, hash_ranges
 
 SCHEMA = "doc_id long, item_id long, n_shingles long, n_found long, containment double"
@@ -155,8 +155,6 @@ def find_contaminated(docs: DataFrame, items: DataFrame, width: int = 5, share:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = 5, share: float = 0.8, block_items: int = 20_000, block_bytes: int = 32 << 20) -> DataFrame:
     """docs, all columns, without the rows that hold an item; one map-only pass for each block of items."""
-    from .common import filter_rows
-
     for load in item_blocks(items, width, share, block_items, block_bytes):
         sent = docs.sparkSession.sparkContext.broadcast(load())
 

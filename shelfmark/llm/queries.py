@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontam, mixing, substring_dedup
 from .common import table
+from .pii import find_personal_data
 from .quality_rules import fit_quality, judge_quality
+from .secret_scan import find_secrets
 from .simhash import simhash_groups
 from .token_count import token_counts
 from .toxicity import fit_toxicity, score_toxicity
@@ -21,6 +23,14 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), fit_urls(labelled_urls(spark)))
 
 
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return judge_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
@@ -53,6 +63,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
+    "op2_secret_scans": op2_secret_scans,
+    "op3_pii": op3_pii,
     "op4_quality_rules": op4_quality_rules,
     "op5_mixing": op5_mixing,
     "op6_substring_dedup": op6_substring_dedup,

@@ -137,7 +137,10 @@ def keep_one_of_each(docs: DataFrame, **params) -> DataFrame:
     """
     keys = row_key("doc_id", "__text")
     marked = docs.withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumns({"__k1": keys[0], "__k2": keys[1]}).drop("__text")
-    groups = simhash_groups(docs, **params)
+    groups = cut(simhash_groups(docs, **params), "groups")
     first = groups.groupBy(F.col("component_id").alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("k1"), F.col("k2"))).alias("s")).select(F.col("s.k1").alias("__k1"), F.col("s.k2").alias("__k2"))
     kept = marked.join(first, ["__k1", "__k2"], "left_semi")
-    return kept.dropDuplicates(["__k1", "__k2"]).drop("__k1", "__k2")
+    # Only fully identical rows share a key; where there are none, rows needn't be compared again.
+    if groups.groupBy("k1", "k2").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["__k1", "__k2"])
+    return kept.drop("__k1", "__k2")

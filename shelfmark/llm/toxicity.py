@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, id_text, map_arrow, slices
+from .common import filter_rows, flat, id_text, map_arrow, row_key, slices
 from .textnum import LOWER, U, hash_ranges, word_bounds
 
 WORD_BITS, PREFIX_BITS, PREFIX_BYTES = 15, 13, 4
@@ -267,8 +267,6 @@ def score_toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
     Null and empty texts get a score like any other (that of no words). Without a model every score is 0.
     The model's size is fixed by its parameters (about 8 MB), so it is sent to every executor. No shuffle.
     """
-    from .common import row_key
-
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,3 +281,13 @@ def score_toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
 
     rows = id_text(docs).select("doc_id", "text", held_out_fold(F.col("doc_id")).alias("held_out"), *row_key())
     return map_arrow(rows, run, "doc_id long, held_out boolean, score double, predicted int, k1 long, k2 long")
+
+
+def drop_toxic(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
+    """docs, all columns, without the rows whose score is threshold or more; without a model all stay. No shuffle."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def clean(texts: pa.Array) -> np.ndarray:
+        return sent.value.score(texts) < threshold if sent.value else np.ones(len(texts), bool)
+
+    return filter_rows(docs, clean)
