@@ -12,7 +12,6 @@ Conventions of every operator in this package:
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -53,11 +52,23 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
+#: Spark's own switch: with it a query's shuffle files go when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: computed once, lineage ends here, survives lost executors."""
+    """Write df to the shared folder and read it back: computed once, lineage ends here, survives lost executors.
+
+    The shuffle files that made it go at once, as nothing reads them any more.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     _written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
@@ -85,12 +96,6 @@ def drop_scratch(spark: SparkSession) -> int:
     return n
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that ended in cut() and are no longer referred to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast only if a count shows at most max_rows; beyond that the caller's join shuffles instead."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop, flat, id_text, map_arrow, release, row_key, slices
+from .common import cut, drop, flat, id_text, map_arrow, row_key, slices
 from .textnum import U, hash_ranges, mix, normalised, per_doc_sum, windows_inside, word_bounds
 
 ROUNDS = 5
@@ -166,12 +166,17 @@ def judge_anchors(found: DataFrame) -> DataFrame:
     REPEATED: the context occurs twice; SHOWN: so it does, it is one to stand for the others, and the symbol has other
     contexts, so its windows are to be compared with theirs; OPEN: the context occurs once.
     """
-    shared = found.groupBy("symbol").agg(F.count("*").alias("rows")).where("rows > 1")
-    shared = cut(found.join(shared, "symbol"), "shared")
+    # Every counted side is a table of its own before it is joined, so that Spark can split a hot symbol's or context's rows.
+    counts = cut(found.groupBy("symbol").agg(F.count("*").alias("rows")).where("rows > 1"), "symbols")
+    shared = cut(found.join(counts, "symbol"), "shared")
     drop(found)
-    contexts = shared.groupBy("symbol", "context").agg(F.count("*").alias("m"), F.min("k1").alias("rep"))
-    state = F.when(F.col("m") == 1, OPEN).when((F.col("m") < F.col("rows")) & (F.col("k1") == F.col("rep")), SHOWN).otherwise(REPEATED)
-    return shared.join(contexts, ["symbol", "context"]).select("k1", "k2", "place", state.cast("byte").alias("state"))
+    drop(counts)
+    contexts = cut(shared.groupBy("symbol", "context").agg(F.count("*").alias("m"), F.min("k1").alias("rep")).where("m > 1"), "contexts")
+    state = F.when(F.col("m").isNull(), OPEN).when((F.col("m") < F.col("rows")) & (F.col("k1") == F.col("rep")), SHOWN).otherwise(REPEATED)
+    hits = cut(shared.join(contexts, ["symbol", "context"], "left").select("k1", "k2", "place", state.cast("byte").alias("state")), "hits")
+    drop(shared)
+    drop(contexts)
+    return hits
 
 
 def _open_windows(window: int):
@@ -230,7 +235,6 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     alone = docs.agg((F.count("*") == F.count("doc_id")) & (F.count("*") == F.count_distinct(F.col("doc_id").cast("long")))).first()[0]
     k1, k2 = row_key()
     keyed = id_text(docs).select("doc_id", "text", k1, F.lit(0).cast("long").alias("k2") if alone else k2)
-    spark = docs.sparkSession
     hits = judge_anchors(cut(find_anchors(keyed, window), "anchors"))
     lists = cut(
         hits.groupBy("k1", "k2").agg(
@@ -239,12 +243,11 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
         ),
         "lists",
     )
-    del hits
-    release(spark)
+    drop(hits)
     joined = keyed.join(lists.hint("shuffle_hash"), ["k1", "k2"], "left")
     look = joined.where(F.size("open") > 0).select("k1", "k2", "text", "open")
     windows = map_arrow(look, _open_windows(window), "`window` long, k1 long, k2 long, at long")
-    twice = windows.groupBy("window").agg(F.count("*").alias("c")).where("c > 1").select("window")
+    twice = cut(windows.groupBy("window").agg(F.count("*").alias("c")).where("c > 1").select("window"), "windows")
     single = windows.where("at >= 0").join(twice, "window").groupBy("k1", "k2").agg(F.collect_set("at").alias("single"))
     full = joined.join(single.hint("shuffle_hash"), ["k1", "k2"], "left").select("doc_id", "text", "spans", "single")
     return map_arrow(full, _remove(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
