@@ -74,7 +74,7 @@ def parse(query: str):
 
     def phrase(column: str | None, first: bool) -> Phrase:
         got = take()
-        if got[0] not in ("str", "word"):
+        if got[0] not in ("str", "word") or got in (("word", "AND"), ("word", "OR"), ("word", "NOT")):
             raise QuerySyntaxError(query)
         words = plain(got)
         while peek()[1] == "+":
