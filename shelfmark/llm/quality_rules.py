@@ -167,13 +167,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, ke
     chosen = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"), F.xxhash64(F.col("doc_id").cast("long")).alias("order"))
     chosen = F.broadcast(chosen.orderBy("order", "doc_id", "label").limit(max_labelled))
     rows = map_arrow(id_text(docs).join(chosen, "doc_id").select("doc_id", "text", "label", "order"), _labelled_features, "doc_id long, label int, `order` long, x array<double>")
-    pdf = rows.limit(2 * max_labelled).toPandas()
-    pdf = pdf.assign(k=[tuple(v) for v in pdf["x"]]).sort_values(["order", "doc_id", "label", "k"])
-    y = pdf["label"].to_numpy(float)
+    found = sorted((r["order"], r["doc_id"], r["label"], r["x"]) for r in rows.limit(2 * max_labelled).toArrow().to_pylist())
+    y = np.array([r[2] for r in found], float)
     none = Trees(np.zeros(0, int), *(np.zeros(0, int),), np.zeros(0), np.zeros(0, int), np.zeros(0, int), np.zeros(0), 0, 0.0, -np.inf)
     if len(y) < 40 or y.min() == y.max():
         return none
-    x = np.array(pdf["k"].tolist())
+    x = np.array([r[3] for r in found])
     aside = np.arange(len(y)) % 4 == 3
     signs = np.array([MONOTONE[f] for f in FEATURES])
     trial = fit_trees(x[~aside], y[~aside], signs)

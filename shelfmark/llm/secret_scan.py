@@ -5,7 +5,7 @@ characters outside the base spans. The encoding is inferred from the characters
 gives the alphabet. Three tests compare a run with what ordinary text of its length would show:
 
 * chi-squared uniformity over the alphabet: text's letters coincide far more often than a uniform draw's;
-* runs: how often the character class (lower, upper, digit, other) changes;
+* runs: how often the character class (lower, upper, digit) changes, separators left out;
 * serial correlation: whether vowels and other characters alternate as in words.
 
 Fisher's rule joins their p-values; a weight in proportion to the run's length (mean 1 over all runs) makes a long
@@ -31,7 +31,8 @@ RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"
 KINDS = ["assign", "access", "hex"]
 
 #: What ordinary text shows: chance that two of its characters are equal, class changes per step, and correlation of vowels.
-COINCIDENCE, CLASS_CHANGE, VOWEL_CORRELATION = 0.068, 0.10, -0.30
+#: Class changes are rarer where there is one case only than in names of mixed case.
+COINCIDENCE, CLASS_CHANGE, MIXED_CHANGE, VOWEL_CORRELATION = 0.068, 0.12, 0.32, -0.30
 BIN, BINS = 0.05, 1200
 
 
@@ -62,8 +63,10 @@ def p_value(s: Column) -> Column:
     expected = a * (1 + (n - 1) * COINCIDENCE) - n
     spread = F.sqrt(2 * (a - 1) + 4 * n * F.greatest(a * COINCIDENCE - 1, F.lit(0.05)))
     p1 = _upper_tail((expected - chi) / spread)
-    changes = _count(s, "[a-z]+|[A-Z]+|[0-9]+|[^a-zA-Z0-9]+") - 1
-    p2 = _upper_tail((changes - 0.5 - (n - 1) * CLASS_CHANGE) / F.sqrt((n - 1) * CLASS_CHANGE * (1 - CLASS_CHANGE)))
+    core = F.regexp_replace(s, "[-_/+]", "")
+    steps, changes = F.greatest(F.length(core) - 1.0, F.lit(1.0)), _count(core, "[a-z]+|[A-Z]+|[0-9]+") - 1
+    rate = F.when(s.rlike("[a-z]") & s.rlike("[A-Z]"), MIXED_CHANGE).otherwise(CLASS_CHANGE)
+    p2 = _upper_tail((changes - 0.5 - steps * rate) / F.sqrt(steps * rate * (1 - rate)))
     vowels = n - F.length(F.regexp_replace(s, "[aeiouyAEIOUY]", ""))
     share = F.greatest(F.lit(0.02), F.least(F.lit(0.98), vowels / n))
     turns = _count(s, "[aeiouyAEIOUY]+|[^aeiouyAEIOUY]+") - 1
@@ -86,7 +89,7 @@ def scan(docs: DataFrame) -> DataFrame:
     return df.withColumns(bare | {"__runs": F.transform("__runs", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), p_value(x["hit"]).alias("p")))}).drop("__text")
 
 
-def discovery_cut(scanned: DataFrame, level: float = 0.001) -> tuple[float, float]:
+def discovery_cut(scanned: DataFrame, level: float = 1e-5) -> tuple[float, float]:
     """(cut, mean length): a run is a discovery if p * mean length / its length is at most cut.
 
     The step-up rule on bins of -log10: the largest bin edge t with m * t <= level * (runs at or below t).
@@ -106,27 +109,28 @@ def discovery_cut(scanned: DataFrame, level: float = 0.001) -> tuple[float, floa
     return best, float(mean)
 
 
-def scan_secrets(docs: DataFrame, level: float = 0.001) -> DataFrame:
-    """docs, all columns, with __assign, __access, __hex, __random (start, end) and __spans, all of them in order.
+def scan_secrets(docs: DataFrame, level: float = 1e-5, keep_text: bool = True) -> DataFrame:
+    """docs, all columns (without text unless keep_text), with __assign, __access, __hex, __random (start, end) and __spans, all of them in order.
 
     Reads the texts once; the scanned table is written to the shared folder before the false-discovery cut is set
     over all its runs. Null and empty texts have no spans.
     """
-    scanned = cut(scan(docs), "secrets")
+    scanned = scan(docs)
+    scanned = cut(scanned if keep_text else scanned.drop("text"), "secrets")
     limit, mean = discovery_cut(scanned, level)
     found = F.transform(F.filter("__runs", lambda x: x["p"] * mean / (x["end"] - x["start"]) <= limit), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
     return scanned.withColumn("__random", found).drop("__runs").withColumn("__spans", ranked([*((k, f"__{k}") for k in KINDS), ("random", "__random")]))
 
 
-def find_secrets(docs: DataFrame, level: float = 0.001) -> DataFrame:
+def find_secrets(docs: DataFrame, level: float = 1e-5) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans; one row for each row of docs."""
-    found = scan_secrets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", text_or_empty().alias("text")), level)
+    found = scan_secrets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", text_or_empty().alias("text")), level, keep_text=False)
     base = ranked([(k, f"__{k}") for k in KINDS])
     counts = [F.size(f"__{k}").cast("long").alias(f"n_{k}") for k in [*KINDS, "random"]]
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("__spans")).alias("spans"))
 
 
-def redact_secrets(docs: DataFrame, level: float = 0.001, mask: str = "[SECRET]") -> DataFrame:
+def redact_secrets(docs: DataFrame, level: float = 1e-5, mask: str = "[SECRET]") -> DataFrame:
     """docs, all columns, with every span of text replaced by mask, and n_chars (where there is one) to match."""
     columns = docs.columns
     found = scan_secrets(docs, level)

@@ -105,7 +105,7 @@ class Model:
         return out
 
     def log_odds(self, t: Words) -> np.ndarray:
-        return np.maximum(self.pools(t), 0) @ self.head + self.offset
+        return (np.maximum(self.pools(t), 0).astype(np.float64) * self.head).sum(1) + self.offset  # row by row: the same in any batch
 
     def score(self, texts: pa.Array) -> np.ndarray:
         t = read_words(texts)
@@ -121,12 +121,13 @@ def _take(t: Words, docs: np.ndarray) -> Words:
 
 def _log_odds_of_buckets(bucket: np.ndarray, doc: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
     """Smoothed log-odds of label 1 for the texts that hold each bucket: where the embeddings start."""
-    seen = np.unique(np.stack([bucket, doc]), axis=1)
-    pos, neg = (np.bincount(seen[0], (y[seen[1]] == v).astype(float), minlength=size) for v in (1, 0))
+    seen = np.unique(bucket.astype(np.int64) * len(y) + doc)
+    bucket, label = seen // len(y), y[seen % len(y)]
+    pos, neg = (np.bincount(bucket, (label == v).astype(float), minlength=size) for v in (1, 0))
     return np.clip(np.log((pos + 0.2) / (y.sum() + 0.4)) - np.log((neg + 0.2 * (1 + (1 - y).sum() / max(y.sum(), 1))) / ((1 - y).sum() + 0.4)), -3, 3)
 
 
-def fit(texts: list[str], y: np.ndarray, epochs: int = 6, batch: int = 48, rate: float = 0.03, seed: int = 5) -> Model:
+def fit(texts: pa.ChunkedArray, y: np.ndarray, epochs: int = 6, batch: int = 48, rate: float = 0.03, seed: int = 5) -> Model:
     """Train on texts in the order given; every fourth is set aside for the thresholds."""
     rng = np.random.default_rng(seed)
     all_words = _read_all(texts)
@@ -212,21 +213,22 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = 6, batch: int = 48, rate:
     return model
 
 
-def _read_all(texts: list[str], step: int = 200) -> Words:
+def _read_all(texts: pa.ChunkedArray, step: int = 200) -> Words:
     """read_words over many texts, a few at a time, so that the work arrays stay small."""
-    parts = [read_words(pa.array(texts[i : i + step], pa.large_string())) for i in range(0, len(texts), step)]
+    parts = [read_words(pa.array(texts.slice(i, step).to_pylist(), pa.large_string())) for i in range(0, len(texts), step)]
     n = np.concatenate([np.diff(p.first) for p in parts])
     return Words(np.concatenate([p.word for p in parts]), np.concatenate([p.prefix for p in parts]), np.concatenate([[0], np.cumsum(n)]), np.concatenate([p.lang for p in parts]))
 
 
 def best_cut(z: np.ndarray, y: np.ndarray) -> float:
-    """The log-odds, midway between neighbours, with the fewest errors; of equal ones the middle."""
+    """The log-odds with the fewest errors, midway between neighbours; of equal ones that with the widest gap."""
     order = np.argsort(z)
     zs, ys = z[order], y[order]
     errors = np.concatenate([[0], np.cumsum(ys)]) + np.concatenate([np.cumsum((1 - ys)[::-1])[::-1], [0]])
-    edges = np.concatenate([[zs[0] - 1], (zs[1:] + zs[:-1]) / 2, [zs[-1] + 1]])
+    low, high = np.concatenate([[zs[0] - 1], zs]), np.concatenate([zs, [zs[-1] + 1]])
     at = np.flatnonzero(errors == errors.min())
-    return float((edges[at[0]] + edges[at[-1]]) / 2)
+    best = at[np.argmax((high - low)[at])]
+    return float((low[best] + high[best]) / 2)
 
 
 def calibrate(z: np.ndarray, y: np.ndarray, lang: np.ndarray, least: int = 12) -> np.ndarray:
@@ -253,12 +255,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000) -
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out_fold(F.col("doc_id")))
     chosen = chosen.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label"), F.xxhash64(F.col("doc_id").cast("long")).alias("order"))
     chosen = F.broadcast(chosen.orderBy("order", "doc_id", "label").limit(max_labelled))
-    pdf = id_text(docs).join(chosen, "doc_id").select("text", "label", "order").limit(2 * max_labelled).toPandas()
-    pdf = pdf.sort_values(["order", "label", "text"])
-    y = pdf["label"].to_numpy(float)
+    rows = id_text(docs).join(chosen, "doc_id").select("text", "label", "order").limit(2 * max_labelled).toArrow()
+    rows = rows.sort_by([("order", "ascending"), ("label", "ascending"), ("text", "ascending")])
+    y = rows.column("label").to_numpy().astype(float)
     if len(y) < 40 or y.min() == y.max():
         return None
-    return fit(pdf["text"].tolist(), y)
+    return fit(rows.column("text"), y)
 
 
 def score_toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -272,7 +274,7 @@ def score_toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
-            for part in slices(batch, max_bytes=2 << 20):
+            for part in slices(batch, max_bytes=1 << 20):
                 score = m.score(part.column(1)) if m else np.zeros(part.num_rows)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(2), pa.array(score.astype(float)), pa.array((score >= THRESHOLD).astype(np.int32)), part.column(3), part.column(4)],

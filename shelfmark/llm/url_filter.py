@@ -34,6 +34,8 @@ RULES = (Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("
 #: Words of the built-in labelled table; its urls are all their combinations with the ends and paths below.
 UNWANTED = ("casino", "poker", "slots", "bets", "betting", "jackpot", "pills", "pharma", "viagra", "cheap-meds", "adult", "porn", "xxx", "escort", "spam", "linkfarm", "ads", "adserver", "track", "tracker", "clickbait", "loans", "payday", "warez", "torrent", "free-win", "cheap-pills", "free-bets")
 WANTED = ("news", "library", "school", "museum", "weather", "recipes", "garden", "science", "history", "forum", "travel", "health", "sports", "music", "books", "city", "council", "university", "research", "journal", "photo", "maps", "transit", "archive", "theatre", "cinema", "village", "market", "river", "mountain")
+#: Made-up names, every pair of these syllables: unknown letters are no sign of an unwanted host.
+SYLLABLES = ("ba", "ko", "mi", "ren", "tor", "lin", "sa", "vel", "dan", "pu", "gra", "est", "ing", "the", "on", "wh", "er", "sch")
 ENDS = ("example.com", "example.org", "example.net", "test")
 PATHS = ("/", "/en/1024", "/article/77.html", "/index?page=2")
 
@@ -59,7 +61,7 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...]) -> tuple[Column
 def buckets(host: Column, path: Column) -> Column:
     """Bucket numbers (from 1) of the n-grams of host and path, each with marks at its ends."""
     parts = [_grams(mark, F.concat(F.lit("^"), value, F.lit("$")), n) for mark, value in (("h", host), ("p", path)) for n in SIZES]
-    return F.concat(*parts)
+    return F.when((host != "") | (path != ""), F.concat(*parts)).otherwise(F.array().cast("array<int>"))
 
 
 def _grams(mark: str, value: Column, n: int) -> Column:
@@ -73,7 +75,7 @@ def labelled_urls(spark: SparkSession) -> DataFrame:
     def words(values: tuple[str, ...], label: int) -> Column:
         return F.transform(F.split(F.lit(",".join(values)), ","), lambda w: F.struct(w.alias("w"), F.lit(label).alias("label")))
 
-    rows = spark.range(1).select(F.explode(F.concat(words(UNWANTED, 1), words(WANTED, 0))).alias("x"))
+    rows = spark.range(1).select(F.explode(F.concat(words(UNWANTED, 1), words((*WANTED, *(a + b for a in SYLLABLES for b in SYLLABLES if a != b)), 0))).alias("x"))
     rows = rows.select("x.w", "x.label", F.explode(F.array(*map(F.lit, ENDS))).alias("end"))
     rows = rows.select("w", "label", "end", F.explode(F.array(*map(F.lit, PATHS))).alias("path"))
     rows = rows.select("*", F.explode(F.array(F.lit(""), F.lit("www."), F.lit("m."))).alias("sub"))
@@ -84,16 +86,18 @@ def labelled_urls(spark: SparkSession) -> DataFrame:
 class UrlModel:
     weights: np.ndarray
     bias: float
+    empty: float = -5.0  # log-odds without a host and a path: the prior's
 
     def log_odds(self, grams: Column) -> Column:
         table = F.split(F.lit(",".join(repr(float(x)) for x in self.weights)), ",").cast("array<double>")
-        return F.aggregate(grams, F.lit(0.0), lambda acc, b: acc + F.element_at(table, b)) / F.sqrt(F.size(grams).cast("double")) + F.lit(self.bias)
+        total = F.aggregate(grams, F.lit(0.0), lambda acc, b: acc + F.element_at(table, b)) / F.sqrt(F.size(grams).cast("double")) + F.lit(self.bias)
+        return F.when(F.size(grams) > 0, total).otherwise(self.empty)
 
 
-def fit_urls(labelled: DataFrame, max_labelled: int = 20_000, rounds: int = 150, l2: float = 2e-4, max_wrong: float = 0.01) -> UrlModel:
+def fit_urls(labelled: DataFrame, max_labelled: int = 20_000, rounds: int = 150, l2: float = 2e-4, max_wrong: float = 0.01, prior: float = 0.4) -> UrlModel:
     """Logistic regression from labelled (url, label 0/1); the max_labelled rows with the least hashes are used.
 
-    A trial fit without a third of the hosts sets the margin: at most max_wrong of their wanted urls may be blocked.
+    Labels are weighed as if a share prior of all urls were unwanted. A trial fit without a third of the hosts sets the margin: at most max_wrong of their wanted urls may be blocked.
     Without rows, or with one label only, every url is allowed.
     """
     chosen = labelled.where("label is not null").select(F.col("url").cast("string").alias("url"), F.col("label").cast("int").alias("label")).orderBy(F.xxhash64("url"), "url", "label").limit(max_labelled)
@@ -108,16 +112,17 @@ def fit_urls(labelled: DataFrame, max_labelled: int = 20_000, rounds: int = 150,
     row = np.repeat(np.arange(len(y)), size)
     value = 1 / np.sqrt(size)[row]
     aside = np.array([r["aside"] for r in rows])
-    w, bias = _descend(y, row, col, value, ~aside, rounds, l2)
+    weight = np.where(y == 1, prior / y.sum(), (1 - prior) / (1 - y).sum())
+    w, bias = _descend(y, row, col, value, np.where(aside, 0.0, weight), rounds, l2)
     new = np.sort((np.bincount(row, value * w[col], minlength=len(y)) + bias)[aside & (y == 0)])
     margin = max(0.0, float(new[int((1 - max_wrong) * (len(new) - 1))])) if len(new) else 0.0
-    w, bias = _descend(y, row, col, value, np.ones(len(y), bool), rounds, l2)
-    return UrlModel(np.round(w, 6), round(float(bias) - margin, 6))
+    w, bias = _descend(y, row, col, value, weight, rounds, l2)
+    return UrlModel(np.round(w, 6), round(float(bias) - margin, 6), float(np.log(prior / (1 - prior))))
 
 
-def _descend(y: np.ndarray, row: np.ndarray, col: np.ndarray, value: np.ndarray, use: np.ndarray, rounds: int, l2: float) -> tuple[np.ndarray, float]:
+def _descend(y: np.ndarray, row: np.ndarray, col: np.ndarray, value: np.ndarray, weight: np.ndarray, rounds: int, l2: float) -> tuple[np.ndarray, float]:
     w, bias, m, v = np.zeros(BUCKETS), 0.0, np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
-    weight = use / max(use.sum(), 1)
+    weight = weight / weight.sum()
     for k in range(1, rounds + 1):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(row, value * w[col], minlength=len(y)) + bias, -30, 30)))
         err = (p - y) * weight
@@ -131,8 +136,8 @@ def _descend(y: np.ndarray, row: np.ndarray, col: np.ndarray, value: np.ndarray,
 def judge_urls(pages: DataFrame, model: UrlModel, rules: tuple[Rule, ...] = RULES, cutoff: float = 0.0) -> DataFrame:
     """page_id, host, path, rule, verdict, log_odds; one row for each row of pages, no shuffle.
 
-    Null urls and urls without :// have an empty host and path, fit no rule and are judged by the model (of no
-    n-grams but the end marks). Only url and page_id are read.
+    Null urls and urls without :// have an empty host and path, fit no rule and are judged by the model's
+    prior alone. Only url and page_id are read.
     """
     host, path = url_parts(F.col("url"))
     rows = pages.select("page_id", F.col("url").cast("string").alias("url")).select("page_id", host.alias("host"), path.alias("path"))
