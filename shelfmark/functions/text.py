@@ -41,8 +41,14 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once, however often and deep body refers to it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def without_accents(c: Column | str) -> Column:
-    return F.regexp_replace(F.translate(col(c), ACCENTED, PLAIN), r"\p{M}+", "")
+    bare = F.regexp_replace(F.translate(col(c), ACCENTED, PLAIN), r"\p{M}+", "")
+    return F.when(F.octet_length(col(c)) == F.length(col(c)), col(c)).otherwise(bare)  # ASCII has none
 
 
 def squeeze(c: Column | str) -> Column:

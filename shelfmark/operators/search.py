@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.functions.text import search_tokens
+from shelfmark.functions.text import let, search_tokens
 
 
 class QuerySyntaxError(ValueError):
@@ -148,11 +148,6 @@ def _bare(word: str) -> Column:
     return F.element_at(search_tokens(F.lit(word)), 1) if not word.isascii() else F.lit(word)
 
 
-def _let(value: Column, body) -> Column:
-    """body of a value that is computed once, however often and deep body refers to it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _starts(tokens: Column, p: Phrase) -> Column:
     """Positions (from 0) where the phrase begins in tokens."""
     last = len(p.words) - 1
@@ -189,7 +184,7 @@ def _near(tokens: Column, n: Near) -> Column:
 
         return F.exists(s["h0"], around)
 
-    return _let(F.struct(*[_starts(tokens, p).alias(f"h{k}") for k, p in enumerate(n.phrases)]), body)
+    return let(F.struct(*[_starts(tokens, p).alias(f"h{k}") for k, p in enumerate(n.phrases)]), body)
 
 
 def _within(i: Column, heads: Column, size_i: int, size_j: int, distance: int) -> Column:
@@ -212,7 +207,7 @@ def matches(query: str, fields: dict[str, Column]) -> Column:
         left, right = build(node.left, s), build(node.right, s)
         return {"and": left & right, "or": left | right, "not": left & ~right}[node.kind]
 
-    return _let(F.struct(*[c.alias(f) for f, c in fields.items()]), lambda s: build(tree, s))
+    return let(F.struct(*[c.alias(f) for f, c in fields.items()]), lambda s: build(tree, s))
 
 
 def indexed(df: DataFrame, *fields: str) -> DataFrame:

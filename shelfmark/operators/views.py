@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.functions.text import name_key, preview, tag_key
+from shelfmark.functions.text import let, name_key, preview, tag_key
 from shelfmark.operators.state import latest_per_key, top_per_key
 from shelfmark.vocabulary import REVIEW_ORDER, THEMES
 
@@ -88,8 +88,12 @@ def products(entities: DataFrame, members: DataFrame, personal: DataFrame, limit
 
 def theme(kind: Column, types: Column, tags: Column) -> Column:
     """The first dashboard theme whose types or tag words the reel has."""
-    out = F.lit("Other inspiration")
     words = F.transform(tags, lambda t: F.lower(F.trim(t)))
+    return let(F.struct(kind.alias("kind"), types.alias("types"), words.alias("words")), lambda s: _theme(s["kind"], s["types"], s["words"]))
+
+
+def _theme(kind: Column, types: Column, words: Column) -> Column:
+    out = F.lit("Other inspiration")
     for label, own, markers in reversed(THEMES):
         hit = F.arrays_overlap(words, F.array(*map(F.lit, markers)))
         if own:
