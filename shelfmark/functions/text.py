@@ -80,7 +80,9 @@ def loose_key(c: Column | str) -> Column:
 
 def search_tokens(c: Column | str) -> Column:
     """The full-text tokens of a text, in order; empty for null."""
-    parts = F.split(without_accents(F.lower(F.coalesce(col(c), F.lit("")))), r"[^\p{L}\p{N}]+")
+    low = F.lower(F.coalesce(col(c), F.lit("")))
+    ascii = F.octet_length(low) == F.length(low)
+    parts = F.when(ascii, F.split(low, "[^a-z0-9]+")).otherwise(F.split(without_accents(low), r"[^\p{L}\p{N}]+"))
     return F.filter(parts, lambda t: t != "")
 
 

@@ -17,30 +17,30 @@ from shelfmark.functions.text import name_key
 def majority(df: DataFrame, keys: Sequence[str], field: str, order: str) -> DataFrame:
     """keys, field (the most frequent trimmed, non-empty value; ties: the shortest, then the one first met), rejected (the others, sorted)."""
     value = F.trim(F.col(field).cast("string"))
-    counts = df.select(*keys, value.alias("v"), F.col(order).alias("o")).where("v <> ''").groupBy(*keys, "v").agg(F.count("*").alias("n"), F.min("o").alias("o"))
-    out = counts.groupBy(*keys).agg(F.min_by("v", F.struct(-F.col("n"), F.length("v"), "o", "v")).alias(field), F.sort_array(F.collect_set("v")).alias("__all"))
+    counts = df.select(*keys, value.alias("__v"), F.col(order).alias("__o")).where("__v <> ''").groupBy(*keys, "__v").agg(F.count("*").alias("__n"), F.min("__o").alias("__o"))
+    out = counts.groupBy(*keys).agg(F.min_by("__v", F.struct(-F.col("__n"), F.length("__v"), "__o", "__v")).alias(field), F.sort_array(F.collect_set("__v")).alias("__all"))
     return out.select(*keys, field, F.array_except("__all", F.array(field)).alias("rejected"))
 
 
 def elected_name(df: DataFrame, keys: Sequence[str], names: Sequence[str], order: str) -> DataFrame:
     """keys, canonical_name: the first non-blank of the name columns, voted on: no handle before frequency before brevity."""
     name = F.coalesce(*[F.when(F.trim(c) != "", F.trim(c)) for c in names])
-    counts = df.select(*keys, name.alias("v"), F.col(order).alias("o")).where("v is not null").groupBy(*keys, "v").agg(F.count("*").alias("n"), F.min("o").alias("o"))
-    return counts.groupBy(*keys).agg(F.min_by("v", F.struct(F.col("v").startswith("@"), -F.col("n"), F.length("v"), "o", "v")).alias("canonical_name"))
+    counts = df.select(*keys, name.alias("__v"), F.col(order).alias("__o")).where("__v is not null").groupBy(*keys, "__v").agg(F.count("*").alias("__n"), F.min("__o").alias("__o"))
+    return counts.groupBy(*keys).agg(F.min_by("__v", F.struct(F.col("__v").startswith("@"), -F.col("__n"), F.length("__v"), "__o", "__v")).alias("canonical_name"))
 
 
 def ordered_union(df: DataFrame, keys: Sequence[str], field: str, order: str) -> DataFrame:
     """keys, field: the different non-blank members of an array column, in the order first met."""
-    flat = df.select(*keys, F.col(order).alias("o"), F.posexplode(field).alias("p", "v")).where("trim(v) <> ''")
-    first = flat.groupBy(*keys, "v").agg(F.min(F.struct("o", "p")).alias("at"))
-    return first.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias(field))
+    flat = df.select(*keys, F.col(order).alias("__o"), F.posexplode(field).alias("__p", "__v")).where("trim(__v) <> ''")
+    first = flat.groupBy(*keys, "__v").agg(F.min(F.struct("__o", "__p")).alias("__at"))
+    return first.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("__at", "__v"))), lambda x: x["__v"]).alias(field))
 
 
 def first_spellings(df: DataFrame, keys: Sequence[str], field: str, order: str, separator: str = " | ") -> DataFrame:
     """keys, field: members of an array column with different name keys, each in its first spelling, joined."""
-    flat = df.select(*keys, F.col(order).alias("o"), F.posexplode(field).alias("p", "v")).withColumn("k", name_key("v")).where("k <> ''")
-    first = flat.groupBy(*keys, "k").agg(F.min(F.struct("o", "p", "v")).alias("at"))
-    return first.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list("at")), lambda x: x["v"]), separator).alias(field))
+    flat = df.select(*keys, F.col(order).alias("__o"), F.posexplode(field).alias("__p", "__v")).withColumn("__k", name_key("__v")).where("__k <> ''")
+    first = flat.groupBy(*keys, "__k").agg(F.min(F.struct("__o", "__p", "__v")).alias("__at"))
+    return first.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list("__at")), lambda x: x["__v"]), separator).alias(field))
 
 
 def joined_set(field: str, separator: str = " | ") -> Column:

@@ -239,3 +239,62 @@ def test_stream_replays_to_the_same_state(spark, tmp_path):
     assert first == [("a", "1", "d1", "d1", None), ("b", "2", "d1", "d1", None)]
     apply_batch(spark, spark.read.schema(landed).json(str(land)), 0, base, schema)
     assert rows(spark.read.parquet(f"{base}/v000000001")) == first
+
+
+def test_manifest(spark):
+    from shelfmark.operators import manifest
+
+    seen = spark.createDataFrame([("r1", "a", 0, "d1")], "run_id string, shortcode string, position int, seen_at string")
+    page = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3), ("", 4)], "shortcode string, position int")
+    out = manifest.observe(seen, "r1", page, F.lit("d2"))
+    assert rows(out, "shortcode") == [("r1", "a", 0, "d1"), ("r1", "b", 2, "d2")]
+    runs = spark.createDataFrame([("r1", "running", 1), ("r1", "done", 2), ("r2", "running", 3)], "run_id string, status string, at int")
+    assert rows(manifest.finished(runs, out).select("run_id", "status", "items"), "run_id") == [("r1", "done", 2), ("r2", "running", 0)]
+
+
+def test_harness(spark, tmp_path):
+    import json
+
+    from shelfmark.plans import harness
+
+    path = tmp_path / "cases.json"
+    path.write_text(json.dumps([{"shortcode": "a", "category": "food", "entity_scope": "complete", "expected_mode": "m", "expected_entities": [{"name": "Muku", "type": "restaurant", "aliases": ["Muku Paris"]}]}, {"shortcode": "b", "expected_names": ["Gone"]}]))
+    cases = media.read_cases(spark, str(path))
+    sources = {"reel": spark.createDataFrame([("a", "x"), ("z", "y")], "shortcode string, caption string")}
+
+    def extract(t):
+        assert [r.shortcode for r in t["reel"].collect()] == ["a"]
+        made = spark.createDataFrame([(1, "a", "muku paris", None, "restaurant", True, "llm"), (2, "a", "Other", None, "place", True, "llm"), (3, "a", "Gone", None, "place", True, "human")], "id int, shortcode string, name string, name_latin string, type string, verified boolean, source string")
+        return {"candidate": made, "extraction": spark.createDataFrame([("a", True, "m", "", None)], "shortcode string, ok boolean, mode string, content_kind string, actionable boolean")}
+
+    out = harness.run(sources, cases, extract)
+    card = out["scorecard"].first()
+    assert (card.entities_expected, card.entities_found, card.false_positives, card.mode_accuracy) == (2, 1, 1, 1.0) and not quality.passed(out["scorecard"])
+    assert json.loads(harness.report(out["scorecard"]))[0]["cases"] == 2 and out["entity"].count() == 3
+    path.write_text(json.dumps([{"shortcode": "a"}, {"shortcode": "a"}]))
+    with pytest.raises(ValueError):
+        media.read_cases(spark, str(path))
+    assert harness.inside("/srv/media", "a/b.mp4") and not harness.inside("/srv/media", "../x") and not harness.inside("/srv/media", "/srv/mediax/y")
+
+
+def test_listings(spark):
+    df = spark.createDataFrame([(1, "g", ["Été", "ete "], " b"), (2, "g", ["x", "ÉTÉ"], "a")], "id int, k string, highlights array<string>, why string")
+    assert votes.first_spellings(df, ["k"], "highlights", "id").first().highlights == "Été | x"
+    assert votes.ordered_union(df, ["k"], "highlights", "id").first().highlights == ["Été", "ete ", "x", "ÉTÉ"]
+    assert df.agg(votes.joined_set("why").alias("w")).first().w == " b | a"
+    one = spark.createDataFrame([(None, ["place"], ["x"]), ("lesson", [], ["food"]), (None, [], [])], "content_kind string, types array<string>, tags array<string>")
+    assert rows(views.theme_counts(one)) == [("Food & restaurants", 1), ("Other inspiration", 1), ("Travel & places", 1)]
+    text = views.dossier([("Caption", F.lit("c")), ("Audio", F.lit(" ")), ("OCR", F.lit("o"))])
+    assert spark.range(1).select(text.alias("t")).first().t == "Caption:\nc\n\nOCR:\no"
+    seg = spark.createDataFrame([([(0.0, " a ", -0.5), (1.0, "b", -2.0), (2.0, "c", None)],)], "s array<struct<start:double,text:string,avg_logprob:double>>")
+    said = media.spoken(F.col("s"))
+    assert tuple(seg.select(said["text"], said["has_speech"], quality.mean_of(F.col("s"), "avg_logprob")).first()) == ("a c", True, -1.25)
+
+
+def test_combine_takes_the_last_detail(spark):
+    m = spark.createDataFrame([("r", 0, "Muku", "restaurant", "caption"), ("r", 1, "Sign", "place", "ocr"), ("q", 0, "Soup", "recipe", "caption")], "shortcode string, ord int, name string, type string, source string")
+    d = spark.createDataFrame([("r", 0, "muku", "Paris"), ("r", 1, "MUKU!", "Lyon")], "shortcode string, ord int, name string, city string")
+    got = rows(guards.combine(m, d).select("name", "city"))
+    assert got == [("Muku", "Lyon"), ("Sign", None), ("Soup", None)]
+    listed = spark.createDataFrame([("q",)], "shortcode string")
+    assert rows(guards.combine(m, d, listed).select("name")) == [("Muku",), ("Sign",)]
