@@ -28,7 +28,7 @@ def messy_rows() -> list[tuple[int | None, str | None, str | None]]:
 
 @pytest.fixture(scope="session")
 def messy(spark):
-    rows = [(i, t, "en", s, len(t) if t is not None else None, *["clash"] * 0, 1, *["c"] * 10) for i, t, s in messy_rows()]
+    rows = [(i, t, "en", s, len(t) if t is not None else None, 1, *["c"] * 10) for i, t, s in messy_rows()]
     return spark.createDataFrame(rows, SCHEMA)
 
 
