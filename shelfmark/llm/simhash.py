@@ -107,27 +107,24 @@ def fingerprint_links(nodes: DataFrame, max_bits: int = 2, blocks: int = 5, crow
 
 
 def simhash_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2, blocks: int = 5, crowd: int = 48) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id, k1, k2, one row for each row of docs.
+    """doc_id, fingerprint (16 hex digits), component_id, part, k1, k2, one row for each row of docs.
 
-    component_id is the least doc_id reachable over links of fingerprints that differ in at most max_bits bits.
-    Null and empty texts have fingerprint zero and link like any other. Null doc_ids stay null and name no
-    component unless all its doc_ids are null (then it is -1). Repeated rows and doc_ids are rows of their own.
+    component_id is the least doc_id reachable over links of fingerprints that differ in at most max_bits bits, null if
+    all of them are null; part is the component itself, also where repeated doc_ids give two components the same
+    least one. Null and empty texts have fingerprint zero and link like any other. Repeated rows are rows of their own.
     """
     rows = cut(with_fingerprints(docs, shingle), "fingerprints")
-    own = rows.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(-1)).alias("node"))
-    # Node numbers must differ between fingerprints; a doc_id that stands under several of them doesn't.
-    own = cut(own, "nodes")
-    twice = own.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    ids = own.select("fp", F.col("fp").alias("node")) if twice else own
-    parts = connected_components(fingerprint_links(ids, max_bits, blocks, crowd))
-    joined = own.withColumnRenamed("node", "least").join(parts.withColumnRenamed("node", "fp_node"), F.col("fp" if twice else "least") == F.col("fp_node"), "left")
-    if twice:
-        of = joined.select("fp", "least", F.coalesce("component", "fp").alias("part"))
-        least = of.groupBy("part").agg(F.coalesce(F.min(F.when(F.col("least") != -1, F.col("least"))), F.lit(-1)).alias("component_id"))
-        of = of.join(least, "part").select("fp", "component_id")
+    own = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    # The least doc_id numbers a fingerprint, unless it is null or stands under several; then the fingerprint does itself.
+    plain = not own.groupBy("least").agg(F.count("*").alias("n")).where("least is null or n > 1").limit(1).count()
+    own = own.withColumn("node", F.col("least") if plain else F.col("fp"))
+    parts = connected_components(fingerprint_links(own.select("node", "fp"), max_bits, blocks, crowd))
+    of = own.join(parts, "node", "left").select("fp", "least", F.coalesce("component", "node").alias("part"))
+    if plain:
+        of = of.select("fp", "part", F.col("part").alias("component_id"))
     else:
-        of = joined.select("fp", F.coalesce("component", "least").alias("component_id"))
-    return rows.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "k1", "k2")
+        of = of.join(of.groupBy("part").agg(F.min("least").alias("component_id")), "part").select("fp", "part", "component_id")
+    return rows.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "part", "k1", "k2")
 
 
 def keep_one_of_each(docs: DataFrame, **params) -> DataFrame:
@@ -138,7 +135,7 @@ def keep_one_of_each(docs: DataFrame, **params) -> DataFrame:
     keys = row_key("doc_id", "__text")
     marked = docs.withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumns({"__k1": keys[0], "__k2": keys[1]}).drop("__text")
     groups = cut(simhash_groups(docs, **params), "groups")
-    first = groups.groupBy(F.col("component_id").alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("k1"), F.col("k2"))).alias("s")).select(F.col("s.k1").alias("__k1"), F.col("s.k2").alias("__k2"))
+    first = groups.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("k1"), F.col("k2"))).alias("s")).select(F.col("s.k1").alias("__k1"), F.col("s.k2").alias("__k2"))
     kept = marked.join(first, ["__k1", "__k2"], "left_semi")
     # Only fully identical rows share a key; where there are none, rows needn't be compared again.
     if groups.groupBy("k1", "k2").count().where("count > 1").limit(1).count():

@@ -34,7 +34,7 @@ def components(fps, ids, most=2):
         if ids[i] is not None:
             r = find(i)
             least[r] = min(least.get(r, ids[i]), ids[i])
-    return [least.get(find(i), -1) for i in range(n)]
+    return [least.get(find(i)) for i in range(n)]
 
 
 def test_edge_cases(messy, texts, nothing):
@@ -77,8 +77,11 @@ def test_components_of_paths_and_stars(spark):
 def test_keep_one(spark, messy, texts):
     out = simhash.keep_one_of_each(messy)
     assert out.columns == messy.columns
-    groups = simhash.simhash_groups(messy).select("component_id").distinct().count()
-    assert out.count() == groups
+    assert out.count() == simhash.simhash_groups(messy).select("part").distinct().count()
+    kept = {(r.doc_id, r.text) for r in out.collect()}
+    assert {(7, "word"), (7, "other words here")} <= kept and len(kept) == out.count()
+    nameless = spark.createDataFrame([(None, "first text of all"), (None, "second text, another one"), (None, "first text of all")], "doc_id long, text string")
+    assert sorted(r.text for r in simhash.keep_one_of_each(nameless).collect()) == ["first text of all", "second text, another one"]
     copies = spark.createDataFrame([(3, "same text here", "c"), (2, "same text here", "c"), (2, "same text here", "c"), (9, "quite another text", "c")], "doc_id long, text string, fingerprint string")
     assert sorted(r.doc_id for r in simhash.keep_one_of_each(copies).collect()) == [2, 9]
     assert simhash.keep_one_of_each(messy.limit(0)).count() == 0
