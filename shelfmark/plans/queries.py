@@ -519,6 +519,92 @@ def name_decision(t):
     return canonical.decide(rows).select(F.col("id").alias("p_partkey"), "decision.status", "decision.method", "decision.canonical_name", "decision.confidence")
 
 
+@query(r"""
+WITH w AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(strip_accents(replace(lower(text), 'ß', 'ss')), '[^\p{L}\p{N}_]+', ' ', 'g')), ' '), lambda x: x <> '' AND x NOT IN ('le', 'la', 'les', 'un', 'une', 'des', 'du', 'de', 'd')) AS t FROM documents)
+SELECT doc_id, contains(' ' || array_to_string(t, ' ') || ' ', ' of the ') AS variant FROM w
+""")
+def near_literal_names(t):
+    return t("documents").select("doc_id", T.near_literal(F.col("text"), F.lit("Of la the")).alias("variant"))
+
+
+@query(r"""
+WITH n AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_size || ' €' WHEN 1 THEN p_retailprice::VARCHAR WHEN 2 THEN '@' || replace(p_name, ' ', '.') WHEN 3 THEN lower(p_name) ELSE p_name END AS name, p_type FROM part)
+SELECT p_partkey, regexp_matches(trim(name), '(?i)^[\p{Nd}.,\s]+(?:€|\$|¥|yens?|euros?|dollars?|ml|cl|l|kg|g|%)?$') AS is_price,
+  CASE WHEN starts_with(name, '@') THEN array_to_string(list_transform(list_filter(string_split_regex(ltrim(name, '@'), '[._]+'), lambda w: w <> ''), lambda w: upper(w[1:1]) || w[2:]), ' ') ELSE trim(name) END AS clean,
+  regexp_matches(name, '[\p{Ll}\p{Lu}\p{Lt}]') AND trim(name) = lower(trim(name)) AS is_common FROM n
+""")
+def name_guards(t):
+    c = F.col
+    k = c("p_partkey") % 5
+    name = F.when(k == 0, F.concat(c("p_size").cast("string"), F.lit(" €"))).when(k == 1, c("p_retailprice").cast("string")).when(k == 2, F.concat(F.lit("@"), F.replace(c("p_name"), F.lit(" "), F.lit(".")))).when(k == 3, F.lower("p_name")).otherwise(c("p_name"))
+    return t("part").select("p_partkey", T.is_price_or_quantity(name).alias("is_price"), T.clean_name(name).alias("clean"), T.is_common_noun(name).alias("is_common"))
+
+
+@query("""
+WITH f AS (SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'restaurant' WHEN 1 THEN 'media' ELSE 'exercise' END AS kind, ['ramen', 'ramen', CASE WHEN p_size > 25 THEN 'anime' ELSE 'back' END, 'bar', 'design', 'cafe', 'unheard'] AS facets FROM part)
+SELECT p_partkey, kind, CASE kind WHEN 'restaurant' THEN 'ramen|bar|design' WHEN 'media' THEN CASE WHEN list_contains(facets, 'anime') THEN 'anime' ELSE '' END ELSE CASE WHEN list_contains(facets, 'back') THEN 'back' ELSE '' END END AS kept FROM f
+""")
+def facets_by_type(t):
+    kind = F.when(F.col("p_size") % 3 == 0, "restaurant").when(F.col("p_size") % 3 == 1, "media").otherwise("exercise")
+    facets = F.array(F.lit("ramen"), F.lit("ramen"), F.when(F.col("p_size") > 25, "anime").otherwise("back"), F.lit("bar"), F.lit("design"), F.lit("cafe"), F.lit("unheard"))
+    return t("part").select("p_partkey", kind.alias("kind"), F.array_join(T.facets_for(kind, facets), "|").alias("kept"))
+
+
+@query("""
+SELECT s_suppkey AS id, s_name, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) FILTER (WHERE trim(o_orderpriority) <> '') AS brand, count(o_orderkey) AS members
+FROM supplier LEFT JOIN (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem WHERE l_quantity = 50) l ON l_suppkey = s_suppkey LEFT JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2
+""")
+def product_view(t):
+    member = t("lineitem").where("l_quantity = 50").select(F.col("l_suppkey").alias("entity_id"), "l_orderkey").distinct()
+    member = member.join(t("orders"), F.col("o_orderkey") == F.col("l_orderkey")).select("entity_id", F.col("o_orderdate").alias("taken_at"), F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("brand"), F.lit(None).cast("string").alias("intention"))
+    entities = t("supplier").select(F.col("s_suppkey").alias("id"), "s_name", F.col("s_name").alias("canonical_name"), F.lit("product").alias("type"), F.lit("").alias("updated_at"))
+    personal = entities.limit(0).select(F.col("id").alias("entity_id"), F.lit("").alias("updated_at"))
+    sizes = member.groupBy(F.col("entity_id").alias("id")).agg(F.count("*").alias("members"))
+    out = views.products(entities, member, personal).join(sizes, "id", "left")
+    return out.select("id", "s_name", "brand", F.coalesce("members", F.lit(0)).alias("members"))
+
+
+@query(f"""
+WITH e AS (SELECT n_nationkey AS "case", n_name AS name FROM nation), a AS (SELECT s_nationkey AS "case", min(s_suppkey) AS id FROM supplier GROUP BY 1)
+SELECT "case", CASE WHEN a.id IS NOT NULL AND a.id % 2 = 0 THEN TRUE ELSE FALSE END AS found FROM e LEFT JOIN a USING ("case")
+""")
+def expected_matches(t):
+    expected = t("nation").select(F.col("n_nationkey").alias("case"), F.lit(0).alias("ord"), F.lit("Other").alias("name"), F.array("n_name").alias("aliases"), F.array().cast("array<string>").alias("types"))
+    first = t("supplier").groupBy(F.col("s_nationkey").alias("case")).agg(F.min("s_suppkey").alias("id"))
+    name = F.when(F.col("id") % 2 == 0, F.concat(F.lit("«"), F.lower("n_name"), F.lit("»"))).otherwise("nothing of it")
+    actual = first.join(t("nation"), F.col("n_nationkey") == F.col("case")).select("case", "id", name.alias("name"), F.lit(None).cast("string").alias("name_latin"), F.lit("place").alias("type"))
+    return quality.match_expected(expected, actual).select("case", "found")
+
+
+@query("""
+WITH m AS (SELECT p_type AS shortcode, lower(p_name) AS k, min((CASE WHEN p_size > 45 THEN 0 ELSE 1 END, p_partkey)) AS f, count(*) AS n FROM part GROUP BY 1, 2)
+SELECT p.p_type AS shortcode, p.p_partkey AS id, p.p_name AS name, n AS merged FROM m JOIN part p ON p.p_partkey = m.f[2]
+""")
+def merged_fiches(t):
+    none = F.array().cast("array<string>")
+    rows = t("part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("shortcode"), F.when(F.col("p_size") > 45, "human").otherwise("llm").alias("source"), F.col("p_name").alias("name"), F.lit(None).cast("string").alias("name_latin"), F.lit("place").alias("type"), F.array(F.col("p_partkey").cast("string")).alias("facets"), none.alias("tags"), none.alias("highlights"), F.lit("").alias("why_saved"))
+    return views.merged_candidates(rows).select("shortcode", "id", "name", F.size("facets").cast("long").alias("merged"))
+
+
+@query("SELECT l_suppkey AS shortcode, max(l_quantity)::BIGINT AS frames_used FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) GROUP BY 1 HAVING max(l_quantity) > 25")
+def frames_at_risk(t):
+    carriers = t("supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("shortcode"))
+    frames = t("lineitem").groupBy(F.col("l_suppkey").alias("shortcode")).agg(F.max("l_quantity").cast("long").alias("frames_used"))
+    return quality.at_risk(carriers, frames, 25)
+
+
+@query("SELECT lang, CASE WHEN n_chars > 3000 THEN 404 WHEN contains(lower(text), 'license') THEN 401 WHEN doc_id % 2 = 0 THEN 200 ELSE 0 END AS outcome, count(*) AS n FROM documents GROUP BY 1, 2")
+def download_outcomes(t):
+    message = F.when(F.col("n_chars") > 3000, "ERROR: Video unavailable").when(F.lower("text").contains("license"), "HTTP Error 429: slow down").otherwise("odd")
+    code = F.when((F.col("n_chars") <= 3000) & ~F.lower("text").contains("license") & (F.col("doc_id") % 2 == 0), 0).otherwise(1)
+    return t("documents").groupBy("lang", media.download_outcome(code, message).alias("outcome")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT s_suppkey, 'sha256/' || substr(sha256(s_name), 1, 2) || '/' || sha256(s_name) || '.mp4' AS object_key FROM supplier")
+def content_keys(t):
+    return t("supplier").select("s_suppkey", T.content_key(F.sha2("s_name", 256), ".mp4").alias("object_key"))
+
+
 # Views and quality
 
 
