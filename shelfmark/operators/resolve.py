@@ -66,8 +66,8 @@ def with_ids(entries: DataFrame, previous: DataFrame | None = None) -> DataFrame
         return entries.withColumn("id", F.row_number().over(Window.orderBy("canonical_name", "type")).cast("long"))
     kept = entries.join(previous.select("canonical_name", "type", "id"), ["canonical_name", "type"])
     fresh = entries.join(previous.select("canonical_name", "type"), ["canonical_name", "type"], "left_anti")
-    top = previous.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__top"))
-    fresh = fresh.join(F.broadcast(top)).withColumn("id", (F.col("__top") + F.row_number().over(Window.orderBy("canonical_name", "type"))).cast("long")).drop("__top")
+    top = previous.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    fresh = fresh.withColumn("id", (top + F.row_number().over(Window.orderBy("canonical_name", "type"))).cast("long"))
     return kept.unionByName(fresh)
 
 

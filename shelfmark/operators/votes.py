@@ -86,7 +86,5 @@ def value_at(df: DataFrame, field: str, at: dict[str, Column]) -> DataFrame:
     Values are counted first and the index is found on the counts, so only different values are sorted together.
     """
     counts = df.where(F.col(field).isNotNull()).groupBy(F.col(field).alias("v")).agg(F.count("*").alias("c"))
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"))
-    upto = counts.select("v", F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
-    both = upto.join(F.broadcast(total))
-    return both.agg(F.first("n").alias("n"), *[F.min(F.when(F.col("upto") > index, F.col("v"))).alias(name) for name, index in at.items()])
+    both = counts.select("v", F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("c").over(Window.partitionBy()).alias("n"))
+    return both.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), *[F.min(F.when(F.col("upto") > index, F.col("v"))).alias(name) for name, index in at.items()])
