@@ -1,20 +1,22 @@
 """Token counts with the whole-token shortcut.
 
 Offline, a vocabulary is searched for the strings that certainly encode alone as one token: the tokenizer itself
-is asked for each of them, as a pre-token, and only those that come back as exactly one token are kept. At run
-time every text is cut into pre-tokens; a proven pre-token counts as one, and only the rest are merged, each
-distinct one once per batch.
-
-The cut follows the byte-level pre-tokenizer's public pattern, written for the ``regex`` module. Texts that hold a
-special token's string go to the library whole, as do texts that a normalizer would change; so do all
-texts of a tokenizer that isn't byte-level BPE. Counts are the library's in every case.
+is asked for each of them, as a pre-token, and only those that come back as exactly one token are kept. At
+run time a proven pre-token counts as one, and only the rest is merged.
+
+The byte-level pattern joins a single space to what follows it, so a text whose spaces each stand before a non-space is cut
+at its spaces: the pieces' pre-tokens are the text's. Proven pieces are counted; the others, joined by spaces again, are
+merged together. Merging is by byte-pair ranks, once it is proven that a rank is the place in the tokenizer's list of
+merges; else, and for texts with special tokens' strings or with characters on which Unicode tables may differ, it is
+the library's. A tokenizer that isn't byte-level BPE is the library's altogether. Counts are the library's in every
+case, and nothing is remembered between texts.
 """
 
 from __future__ import annotations
 
 import json
 import os
-from collections import Counter
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,8 +28,7 @@ from .common import id_text, map_arrow, slices
 #: The byte-level pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters on which Unicode tables of different age or library may disagree: such texts go to the library whole.
-ODD = r"[\x1c-\x1f\x85\u180e]|[^\x00-\uffff]"
-MAX_KNOWN = 400_000
+ODD = "[\x1c-\x1f\x85\u180e\U00010000-\U0010ffff]"
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 
@@ -92,28 +93,54 @@ class Counting:
         if self.fast:
             import regex
 
-            self.cut = regex.compile(PATTERN).findall
-            self.odd = regex.compile(ODD).search
-            self.known: dict[str, int] = dict.fromkeys(proven_whole(self.tokenizer, spec), 1)
-            self.proven = len(self.known)
+            self.odd = re.compile(ODD).search
+            proven = proven_whole(self.tokenizer, spec)
+            self.proven = len(proven)
+            self.alone = proven
+            gaps = [chr(c) for c in range(0x10000) if c not in range(0xD800, 0xE000) and regex.match(r"\s", chr(c))]
+            self.gaps = tuple(" " + c for c in gaps)
+            self.after_space = frozenset(t[1:] for t in proven if t[0] == " " and len(t) > 1 and t[1] not in gaps)
+            self.merged = self._merger(spec)
+
+    def _merger(self, spec: dict):
+        """Counts of texts by byte-pair ranks if ids are proven to be ranks, else the library's."""
+        letters = {v: k for k, v in _byte_letters().items()}
+        vocab, special = spec["model"]["vocab"], set(self.special)
+        plain = {k: i for k, i in vocab.items() if k not in special}
+        merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        ids = [plain.get(a + b, -1) for a, b in merges]
+        in_order = all(x < y for x, y in zip(ids, ids[1:], strict=False)) and (not ids or ids[0] >= 0)
+        if not in_order or len(plain) != len(ids) + 256 or any(c not in letters for k in plain for c in k):
+            return lambda texts: sum(self.whole(texts))
+        import tiktoken
+
+        ranks = {bytes(letters[c] for c in k): i for k, i in plain.items()}
+        encode = tiktoken.Encoding("counting", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        return lambda texts: sum(len(encode(t)) for t in texts)
 
     def counts(self, texts: list[str]) -> list[int]:
         if not self.fast:
             return self.whole(texts)
         out = [0] * len(texts)
-        slow = [i for i, t in enumerate(texts) if any(s in t for s in self.special) or self.odd(t)]
+        every = "".join(texts)  # screened together first: few batches have anything to look for
+        special, odd, gaps = [s for s in self.special if s in every], self.odd(every), [g for g in self.gaps if g in every]
+        slow = [i for i, t in enumerate(texts) if any(s in t for s in special) or (odd and self.odd(t))] if special or odd else []
         for i, n in zip(slow, self.whole([texts[i] for i in slow]) if slow else [], strict=True):
             out[i] = n
-        skip, known = set(slow), self.known
-        parts = {i: Counter(self.cut(t)) for i, t in enumerate(texts) if i not in skip}
-        new = list({p for c in parts.values() for p in c if p not in known})
-        if new:
-            if len(known) + len(new) > MAX_KNOWN:
-                self.known = known = dict.fromkeys(list(known)[: self.proven], 1)
-                new = list({p for c in parts.values() for p in c if p not in known})
-            known.update(zip(new, self.whole(new), strict=True))
-        for i, c in parts.items():
-            out[i] = sum(known[p] * n for p, n in c.items())
+        skip, known = set(slow), self.after_space
+        for i, t in enumerate(texts):
+            if i in skip:
+                continue
+            if t.endswith(" ") or any(g in t for g in gaps):
+                out[i] = self.merged([t])
+                continue
+            head, *pieces = t.split(" ")
+            rest = [p for p in pieces if p not in known]
+            out[i] = len(pieces) - len(rest)
+            if rest:
+                out[i] += self.merged([" " + " ".join(rest)])
+            if head:
+                out[i] += 1 if head in self.alone else self.merged([head])
         return out
 
 

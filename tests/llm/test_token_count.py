@@ -16,7 +16,7 @@ def library(name, texts):
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"])
 def test_counts(spark, messy, texts, nothing, name):
-    odd = ["<|endoftext|> twice <|endoftext|>", "it's  we'll\n\n tabs\t\t end  ", "a\x1cb\x85c\u180ed", "𝒳𝒴 😀😀 \u200b zero", "1234567 ½ Ⅷ", "\u3000全角 葱油饼"]
+    odd = ["<|endoftext|> twice <|endoftext|>", "it's  we'll\n\n tabs\t\t end  ", "a\x1cb\x85c\u180ed", "𝒳𝒴 😀😀 \u200b zero", "1234567 ½ Ⅷ", "\u3000全角 葱油饼", " lead", "trail ", "a  b", "a \n b", "a\n b\n\n c", "x\u00a0 y \u00a0z", "'s 's it's 't", " ", "  ", "\n", "a\t b \tc"]
     df = messy.select("doc_id", "text", "score").unionByName(spark.createDataFrame([(100 + i, t) for i, t in enumerate(odd)], "doc_id long, text string"), allowMissingColumns=True)
     every = [t or "" for _, t, _ in texts] + odd
     got = token_counts(df, name, limit=20).collect()
@@ -37,3 +37,12 @@ def test_real_texts(spark):
     got = {r.doc_id: r.n_tokens for r in token_counts(docs, "byte_bpe_50k.json").collect()}
     rows = docs.select("doc_id", "text").collect()
     assert [got[r.doc_id] for r in rows] == library("byte_bpe_50k.json", [r.text for r in rows])
+
+
+def test_cut_at_spaces_equals_the_library(texts):
+    import random
+
+    rng = random.Random(3)
+    made = ["".join(rng.choice([" ", " ", "\n", "\t", "\u00a0", "a", "B", "é", "1", "'s", ".", "!!", "葱"]) for _ in range(rng.randrange(40))) for _ in range(3000)]
+    c = counting(resolve("byte_bpe_50k.json"))
+    assert c.counts(made) == library("byte_bpe_50k.json", made)
