@@ -86,11 +86,14 @@ def replace_by_origin(old: DataFrame, new: DataFrame, key: str, origin: str, col
     return old.where(~F.col(column).eqNullSafe(F.lit(origin))).unionByName(mine).unionByName(new)
 
 
-def sync_active(old: DataFrame, present: DataFrame, keys: Sequence[str], scope: str) -> DataFrame:
-    """Rows of the scopes present are active if their key is present, else switched off; new keys come in active."""
+def sync_active(old: DataFrame, present: DataFrame, keys: Sequence[str], scope: str, scopes: DataFrame | None = None) -> DataFrame:
+    """Rows of the scopes worked on are active if their key is present, else switched off; new keys come in active.
+
+    scopes lists what was worked on, which may have nothing present any more; without it, it is what present has.
+    """
     here = present.select(*keys).distinct().withColumn("__here", F.lit(True))
-    scopes = present.select(scope).distinct().withColumn("__scope", F.lit(True))
-    kept = old.join(here, list(keys), "left").join(scopes, scope, "left")
+    done = (present if scopes is None else scopes).select(scope).distinct().withColumn("__scope", F.lit(True))
+    kept = old.join(here, list(keys), "left").join(done, scope, "left")
     kept = kept.withColumn("active", F.when(F.col("__scope"), F.col("__here").isNotNull()).otherwise(F.col("active"))).select(*old.columns)
     fresh = present.join(old.select(*keys), list(keys), "left_anti").withColumn("active", F.lit(True))
     return kept.unionByName(fresh, allowMissingColumns=True)

@@ -245,7 +245,7 @@ SELECT n_nationkey, n_name, CASE WHEN s.k IS NULL THEN FALSE ELSE TRUE END AS ac
 def active_flags(t):
     old = t("nation").select("n_nationkey", "n_name", F.lit(True).alias("active"), F.lit(1).alias("scope"))
     present = t("supplier").where("s_acctbal > 9000").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("n_nationkey", "n_name", F.lit(1).alias("scope")).distinct()
-    return state.sync_active(old, present, ["n_nationkey"], "scope").select("n_nationkey", "n_name", "active")
+    return state.sync_active(old, present, ["n_nationkey"], "scope", old.select("scope")).select("n_nationkey", "n_name", "active")
 
 
 # Votes and resolution

@@ -40,6 +40,8 @@ def test_replacements(spark):
     present = spark.createDataFrame([("a", "soup"), ("a", "cake")], "shortcode string, dish string")
     got = rows(state.sync_active(active, present, ["shortcode", "dish"], "shortcode"))
     assert got == [("a", "cake", True), ("a", "soup", True), ("a", "tart", False), ("b", "stew", True)]
+    none_left = state.sync_active(active, present.limit(0), ["shortcode", "dish"], "shortcode", present.select("shortcode"))
+    assert rows(none_left) == [("a", "soup", False), ("a", "tart", False), ("b", "stew", True)]
 
 
 def test_patches_tell_unset_from_null(spark):
