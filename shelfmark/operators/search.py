@@ -1,19 +1,21 @@
 """Full-text search: an index of tokens, and queries with AND, OR, NOT, phrases, prefixes, columns, NEAR and first-token.
 
-A query is parsed to a small tree on the driver and becomes one boolean expression over a document's token arrays, so a
-search is a scan with a filter and no shuffle. For many searches over a large corpus, token_table keeps the index as
-rows (id, field, pos, token), and and_ids intersects postings by an aggregate.
+A query is parsed to a small tree on the driver and becomes one boolean expression over a document's folded texts, so a
+search is a scan with a filter and no shuffle. Tokens are the maximal runs of letters and digits, so words, phrases,
+prefixes and first tokens are patterns with the runs' edges; only NEAR makes token arrays. For many searches over a
+large corpus, token_table keeps the index as rows (id, field, pos, token), and and_ids intersects postings.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.functions.text import let, search_tokens
+from shelfmark.functions.text import col, let, search_tokens, without_accents
 
 
 class QuerySyntaxError(ValueError):
@@ -144,10 +146,6 @@ def parse(query: str):
     return out
 
 
-def _bare(word: str) -> Column:
-    return F.element_at(search_tokens(F.lit(word)), 1) if not word.isascii() else F.lit(word)
-
-
 def _starts(tokens: Column, p: Phrase) -> Column:
     """Positions (from 0) where the phrase begins in tokens."""
     last = len(p.words) - 1
@@ -156,23 +154,39 @@ def _starts(tokens: Column, p: Phrase) -> Column:
         ok = F.lit(True)
         for k, word in enumerate(p.words):
             token = F.get(tokens, (i + k).cast("int"))
-            ok = ok & F.coalesce(token.startswith(_bare(word)) if p.prefix and k == last else token == _bare(word), F.lit(False))
+            ok = ok & F.coalesce(token.startswith(_plain(word)) if p.prefix and k == last else token == _plain(word), F.lit(False))
         return ok
 
     return F.filter(F.sequence(F.lit(0), F.greatest(F.size(tokens) - 1, F.lit(0))), here)
 
 
-def _in(tokens: Column, p: Phrase) -> Column:
+EDGE = r"[\p{L}\p{N}]"
+GAP = r"[^\p{L}\p{N}]+"
+
+
+def folded(c: Column | str) -> Column:
+    """The text that search patterns run on: lower case, no accents."""
+    return without_accents(F.lower(F.coalesce(col(c), F.lit(""))))
+
+
+def _plain(word: str) -> str:
+    """A query word as folded text has it."""
+    return "".join(x for x in unicodedata.normalize("NFKD", word.lower()) if not unicodedata.combining(x)) if _latin(word) else word.lower()
+
+
+def _latin(word: str) -> bool:
+    return all(ord(x) < 0x1F00 for x in word)
+
+
+def _in(text: Column, p: Phrase) -> Column:
     if not p.words:
         return F.lit(False)
-    if len(p.words) == 1 and not p.first:
-        return F.exists(tokens, lambda t: t.startswith(_bare(p.words[0]))) if p.prefix else F.array_contains(tokens, _bare(p.words[0]))
-    text = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit("" if p.prefix else " "))
-    needle = F.concat(F.lit(" "), F.concat_ws(" ", *[_bare(w) for w in p.words]), F.lit("" if p.prefix else " "))
-    return text.startswith(needle) if p.first else text.contains(needle)
+    words = GAP.join(_plain(w) for w in p.words)
+    before = f"^(?:{GAP})?" if p.first else f"(?<!{EDGE})"
+    return text.rlike(before + words + ("" if p.prefix else f"(?!{EDGE})"))
 
 
-def _near(tokens: Column, n: Near) -> Column:
+def _near(text: Column, n: Near) -> Column:
     """Whether an occurrence of the first phrase has one of each other phrase within distance tokens, on either side."""
 
     def body(s: Column) -> Column:
@@ -184,7 +198,8 @@ def _near(tokens: Column, n: Near) -> Column:
 
         return F.exists(s["h0"], around)
 
-    return let(F.struct(*[_starts(tokens, p).alias(f"h{k}") for k, p in enumerate(n.phrases)]), body)
+    tokens = F.filter(F.split(text, GAP), lambda t: t != "")
+    return let(tokens, lambda t: let(F.struct(*[_starts(t, p).alias(f"h{k}") for k, p in enumerate(n.phrases)]), body))
 
 
 def _within(i: Column, heads: Column, size_i: int, size_j: int, distance: int) -> Column:
@@ -192,7 +207,7 @@ def _within(i: Column, heads: Column, size_i: int, size_j: int, distance: int) -
 
 
 def matches(query: str, fields: dict[str, Column]) -> Column:
-    """Whether a document, given by its fields' token arrays, matches the query."""
+    """Whether a document, given by its fields' folded texts, matches the query."""
     tree, names = parse(query), list(fields)
 
     def build(node, s: Column) -> Column:
@@ -210,17 +225,12 @@ def matches(query: str, fields: dict[str, Column]) -> Column:
     return let(F.struct(*[c.alias(f) for f, c in fields.items()]), lambda s: build(tree, s))
 
 
-def indexed(df: DataFrame, *fields: str) -> DataFrame:
-    """df with a token array __<field> for each field."""
-    return df.withColumns({f"__{f}": search_tokens(f) for f in fields})
-
-
 def search(df: DataFrame, query: str, fields: list[str], key: str, newest: str | None = None, limit: int | None = None) -> DataFrame:
     """Rows that match, by ascending key; an empty query gives the newest rows instead."""
     if not query.strip():
         out = df.orderBy(F.col(newest).desc_nulls_last(), key) if newest else df.orderBy(key)
     else:
-        out = indexed(df, *fields).where(matches(query, {f: F.col(f"__{f}") for f in fields})).select(*df.columns).orderBy(key)
+        out = df.where(matches(query, {f: folded(f) for f in fields})).orderBy(key)
     return out if limit is None else out.limit(limit)
 
 
