@@ -119,7 +119,7 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
     return [F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("k1"), F.xxhash64(F.col(text_col)).alias("k2")]
 
 
-def slices(batch: pa.RecordBatch, column: int = 1, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int = 1, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose texts have about max_bytes together (one longer text stands alone), to bound memory."""
     if not batch.num_rows:
         return
