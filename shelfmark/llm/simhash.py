@@ -132,9 +132,14 @@ def keep_one_of_each(docs: DataFrame, **params) -> DataFrame:
 
     All columns of docs are kept. Of fully identical rows one is kept.
     """
+    return keep_first(docs, simhash_groups(docs, **params))
+
+
+def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The first row of docs in each part of groups (doc_id, part, k1, k2); of fully identical rows one."""
     keys = row_key("doc_id", "__text")
     marked = docs.withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumns({"__k1": keys[0], "__k2": keys[1]}).drop("__text")
-    groups = cut(simhash_groups(docs, **params), "groups")
+    groups = cut(groups, "groups")
     first = groups.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("k1"), F.col("k2"))).alias("s")).select(F.col("s.k1").alias("__k1"), F.col("s.k2").alias("__k2"))
     kept = marked.join(first, ["__k1", "__k2"], "left_semi")
     # Only fully identical rows share a key; where there are none, rows needn't be compared again.
