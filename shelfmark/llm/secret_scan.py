@@ -1,14 +1,16 @@
 """Secret scans: base patterns, and a randomness test battery with length-aware false-discovery control.
 
-Base kinds (assign, access, hex) are patterns. The battery adds spans of kind ``random``: runs of 20 or more key
+Base kinds (assign, access, hex) are patterns. The battery adds spans of kind ``random``: runs of 12 or more key
 characters outside the base spans. The encoding is inferred from the characters (hex, base32, base36, base62, base64) and
-gives the alphabet. Three tests compare a run with what ordinary text of its length would show:
+gives the alphabet. Four tests compare a run with what ordinary text of its length would show:
 
 * chi-squared uniformity over the alphabet: text's letters coincide far more often than a uniform draw's;
 * runs: how often the character class (lower, upper, digit) changes, separators left out;
-* serial correlation: whether vowels and other characters alternate as in words.
+* serial correlation: whether vowels and other characters alternate as in words;
+* word pairs: how likely a chain of letter pairs of English words, class changes, digits and separators makes the run,
+  against a uniform draw. Under the chain the likelihood ratio's inverse is a p-value by Markov's inequality.
 
-Fisher's rule joins their p-values; a weight in proportion to the run's length (mean 1 over all runs) makes a long
+Digits alone and runs of one repeated character are no keys. Fisher's rule joins their p-values; a weight in proportion to the run's length (mean 1 over all runs) makes a long
 run count for more; Benjamini and Hochberg's step-up rule over all runs of all documents sets the cut. The rule
 needs only the number of runs in each of a fixed number of p-value bins.
 
@@ -17,6 +19,8 @@ Everything is DataFrame expressions.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,13 +31,45 @@ from .spans import add_spans, apart_from, joined, keep, masked, ranked
 ASSIGN = r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*+[:=]\x20*+[\"']?([A-Za-z0-9+/_.=-]++)"
 ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"[0-9a-f]{24,}+"
-RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"
+RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}+"
 KINDS = ["assign", "access", "hex"]
 
 #: What ordinary text shows: chance that two of its characters are equal, class changes per step, and correlation of vowels.
 #: Class changes are rarer where there is one case only than in names of mixed case.
 COINCIDENCE, CLASS_CHANGE, MIXED_CHANGE, VOWEL_CORRELATION = 0.068, 0.12, 0.32, -0.30
 BIN, BINS = 0.05, 1200
+#: Fixed values: -2 ln of the chance of each letter (column) after each letter (row) in the words of Python's language reference, smoothed.
+PAIRS = """
+97688a9a6ca46498c45489ba8b
+5a893aba64c4a969c7784bbb5c
+4b7a4ab56c75a94ac7836bbbac
+78962aba3cc7a96ac9585bbb8c
+7a5577998cc764978445a8968c
+5baa57ba3cb7a93ac5964bbb9c
+6a9a3a865cc6958ac6674bbbbc
+4baa1aba5cc9a95ac897abbbac
+7868668a9ca77348c844a8baba
+8b9a0aba9ccaa98ac9987bbbbc
+7b9a1a9a5cc9a896c8587b8bbc
+4b9737ba5cc5a95ac9665aab6c
+47aa2aba6cca7954c9776bbbac
+5a5459497cc8985ac95489bb9c
+867675aa8ca76387c475697bbc
+4ba83ab97cb5a956c4859bbb7c
+9baa8aba9ccaa99ac9980bbbbc
+4a873a7a4cb97659c6567bab7c
+7b7a3ab74cb8a966b9436bbb8c
+5b9a4ab34cc9a95ac6667bab7c
+6778498a6cc56496c544abbbbc
+2baa2aba4cca997ac998abbbbc
+5baa5ab32cc8a75ac778ababbc
+5b3a4ab95ccaa983c985abb9ac
+9a8a7aba6cc99572c954aa6bbc
+4baa18ba5ccaa98ac988abbb7c
+""".split()
+KEY_CHARACTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
+#: The alphabets among which one is inferred: what choosing the best of them may gain.
+ALPHABETS = 5
 
 
 def _upper_tail(z: Column) -> Column:
@@ -53,11 +89,40 @@ def alphabet(s: Column) -> Column:
     )
 
 
+def _kind(c: str) -> str:
+    return "l" if c.islower() else "u" if c.isupper() else "d" if c.isdigit() else "s"
+
+
+#: Chance that a character's kind (lower, upper, digit, separator) follows another's, within ordinary text.
+FOLLOWS = {"l": {"l": 0.88, "u": 0.03, "d": 0.03, "s": 0.06}, "u": {"l": 0.4, "u": 0.5, "d": 0.04, "s": 0.06}, "d": {"l": 0.05, "u": 0.05, "d": 0.8, "s": 0.1}, "s": {"l": 0.55, "u": 0.2, "d": 0.15, "s": 0.1}}
+MEMBERS = {"l": 26, "u": 26, "d": 10, "s": 4}
+
+
+def _step(a: str, b: str) -> float:
+    """Log of the chance of b after a in ordinary text; a tenth goes to repeating a."""
+    words = _kind(a) in "lu" and (_kind(a), _kind(b)) != ("l", "u") and _kind(b) in "lu"
+    within = math.exp(-int(PAIRS[ord(a.lower()) - 97][ord(b.lower()) - 97], 36) / 2) if words else 1 / MEMBERS[_kind(b)]
+    return math.log(0.9 * FOLLOWS[_kind(a)][_kind(b)] * within + 0.1 * (a == b))
+
+
+STEPS = " ".join(f"{_step(a, b):.3f}" for a in KEY_CHARACTERS for b in KEY_CHARACTERS)
+
+
+def pair_p_value(s: Column) -> Column:
+    """At most the chance that ordinary text is as unlike words as s; s is of KEY_CHARACTERS."""
+    table = F.split(F.lit(STEPS), " ").cast("array<double>")
+    at = F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.instr(F.lit(KEY_CHARACTERS), c) - 1)
+    begin = F.struct(F.lit(-1).alias("last"), F.lit(0.0).cast("double").alias("sum"))
+    chain = F.aggregate(at, begin, lambda x, i: F.struct(i.alias("last"), (x["sum"] + F.when(x["last"] >= 0, F.get(table, x["last"] * len(KEY_CHARACTERS) + i)).otherwise(0.0)).alias("sum")), lambda x: x["sum"])
+    ratio = chain + (F.length(s) - 1) * F.log(alphabet(s)) + math.log(ALPHABETS)
+    return F.exp(F.least(F.greatest(ratio, F.lit(-300.0)), F.lit(0.0)))
+
+
 def p_value(s: Column) -> Column:
-    """Fisher's joint p-value that ordinary text looks as random as s; 1 for runs of one character class."""
+    """Fisher's joint p-value that ordinary text looks as random as s; 1 for digits alone."""
     n = F.length(s).cast("double")
     a = alphabet(s)
-    letters = F.array(*map(F.lit, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"))
+    letters = F.array(*map(F.lit, KEY_CHARACTERS))
     squares = F.aggregate(letters, F.lit(0.0), lambda acc, c: acc + F.pow(n - F.length(F.replace(s, c, F.lit(""))), F.lit(2.0)))
     chi = a / n * squares - n
     expected = a * (1 + (n - 1) * COINCIDENCE) - n
@@ -72,9 +137,10 @@ def p_value(s: Column) -> Column:
     turns = _count(s, "[aeiouyAEIOUY]+|[^aeiouyAEIOUY]+") - 1
     r = 1 - turns / ((n - 1) * 2 * share * (1 - share))
     p3 = _upper_tail((F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)) - VOWEL_CORRELATION) * F.sqrt(n))
-    half = -(F.log(p1) + F.log(p2) + F.log(p3))
-    joint = F.exp(-half) * (1 + half + half * half / 2)
-    return F.when(changes < 1, 1.0).otherwise(F.least(joint, F.lit(1.0)))
+    p2 = F.when(changes < 1, 1.0).otherwise(p2)
+    half = -(F.log(p1) + F.log(p2) + F.log(p3) + F.log(pair_p_value(s)))
+    joint = F.exp(-half) * (1 + half + half * half / 2 + half * half * half / 6)
+    return F.when(s.rlike("^[-0-9+/_]+$"), 1.0).otherwise(F.least(joint, F.lit(1.0)))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -89,7 +155,7 @@ def scan(docs: DataFrame) -> DataFrame:
     return df.withColumns(bare | {"__runs": F.transform("__runs", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), p_value(x["hit"]).alias("p")))}).drop("__text")
 
 
-def discovery_cut(scanned: DataFrame, level: float = 1e-5) -> tuple[float, float]:
+def discovery_cut(scanned: DataFrame, level: float = 0.01) -> tuple[float, float]:
     """(cut, mean length): a run is a discovery if p * mean length / its length is at most cut.
 
     The step-up rule on bins of -log10: the largest bin edge t with m * t <= level * (runs at or below t).
@@ -109,7 +175,7 @@ def discovery_cut(scanned: DataFrame, level: float = 1e-5) -> tuple[float, float
     return best, float(mean)
 
 
-def scan_secrets(docs: DataFrame, level: float = 1e-5, keep_text: bool = True) -> DataFrame:
+def scan_secrets(docs: DataFrame, level: float = 0.01, keep_text: bool = True) -> DataFrame:
     """docs, all columns (without text unless keep_text), with __assign, __access, __hex, __random (start, end) and __spans, all of them in order.
 
     Reads the texts once; the scanned table is written to the shared folder before the false-discovery cut is set
@@ -122,7 +188,7 @@ def scan_secrets(docs: DataFrame, level: float = 1e-5, keep_text: bool = True) -
     return scanned.withColumn("__random", found).drop("__runs").withColumn("__spans", ranked([*((k, f"__{k}") for k in KINDS), ("random", "__random")]))
 
 
-def find_secrets(docs: DataFrame, level: float = 1e-5) -> DataFrame:
+def find_secrets(docs: DataFrame, level: float = 0.01) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans; one row for each row of docs."""
     found = scan_secrets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", text_or_empty().alias("text")), level, keep_text=False)
     base = ranked([(k, f"__{k}") for k in KINDS])
@@ -130,7 +196,7 @@ def find_secrets(docs: DataFrame, level: float = 1e-5) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("__spans")).alias("spans"))
 
 
-def redact_secrets(docs: DataFrame, level: float = 1e-5, mask: str = "[SECRET]") -> DataFrame:
+def redact_secrets(docs: DataFrame, level: float = 0.01, mask: str = "[SECRET]") -> DataFrame:
     """docs, all columns, with every span of text replaced by mask, and n_chars (where there is one) to match."""
     columns = docs.columns
     found = scan_secrets(docs, level)

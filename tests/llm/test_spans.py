@@ -77,6 +77,32 @@ def test_random_strings_are_found_and_words_are_not(spark):
     assert all(got[100 + i].n_random == 0 for i in range(len(words)))
 
 
+ENCODINGS = {"base62": string.ascii_letters + string.digits, "base32": string.ascii_uppercase + "234567", "base36": string.ascii_lowercase + string.digits, "base64": string.ascii_letters + string.digits + "+/", "HEX": "0123456789ABCDEF"}
+
+
+def test_recall_by_length_and_encoding_at_low_prevalence(spark):
+    """Keys are under 1% of the runs, the rest are the long names in the standard library's sources."""
+    import inspect
+    import subprocess
+    import tarfile
+    import typing
+
+    rng = np.random.default_rng(8)
+    source = "".join(inspect.getsource(m) for m in (inspect, subprocess, tarfile, typing))
+    names = sorted(set(re.findall(r"(?<![A-Za-z0-9+/_-])[A-Za-z_][A-Za-z_]{11,}(?![A-Za-z0-9+/_-])", source)))
+    plain = [f"{w} and {w}" for w in names] * 60
+    planted = [(name, n, "".join(rng.choice(list(chars), n))) for name, chars in ENCODINGS.items() for n in (16, 20, 24, 32) for _ in range(20)]
+    assert len(names) > 300 and len(planted) < 0.01 * 2 * len(plain)
+    df = spark.createDataFrame([(i, f"see {k} there") for i, (_, _, k) in enumerate(planted)] + [(10_000 + i, t) for i, t in enumerate(plain)], "doc_id long, text string")
+    got = {r.doc_id: r for r in secret_scan.find_secrets(df).where("n_random > 0").collect()}
+    for name in ENCODINGS:
+        for n in (16, 20, 24, 32):
+            ids = [i for i, (a, b, _) in enumerate(planted) if (a, b) == (name, n)]
+            least = 0.6 if n == 16 else 0.85
+            assert sum(i in got for i in ids) >= least * len(ids), (name, n)
+    assert sum(i >= 10_000 for i in got) <= 0.05 * len(got)
+
+
 def test_redaction(spark, messy):
     df = spark.createDataFrame([(1, "é token=abcdef1 x AKIA" + "A" * 16, 40, "keep"), (2, None, None, "keep"), (3, "plain", 5, "keep")], "doc_id long, text string, n_chars int, spans string")
     out = secret_scan.redact_secrets(df)
