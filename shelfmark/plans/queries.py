@@ -465,15 +465,24 @@ def inverted_index(t):
 
 @query("SELECT doc_id, item_id FROM documents d, benchmark b WHERE contains(lower(d.text), lower(trim(b.text))) AND trim(b.text) <> ''")
 def attested_in_sources(t):
-    """Items whose text stands literally in a document: joined on the item's first words, then compared whole.
+    """Items whose text stands literally in a document: joined on the item's first characters, then compared whole.
 
-    An item's first 12 characters, lower-cased, are a word-start prefix; each document gives the prefixes of its word starts.
+    Each document gives the 12 characters from each of its characters on, whatever they are; of those only items'
+    prefixes go on. Items under 12 characters are their own prefixes, of each length there is.
     """
     items = t("benchmark").select("item_id", F.lower(F.trim("text")).alias("needle")).where("needle <> ''").withColumn("p", F.substring("needle", 1, 12))
     docs = t("documents").select("doc_id", F.lower("text").alias("hay"))
-    heads = F.broadcast(items.select("p").distinct()) if items.limit(100_001).count() <= 100_000 else items.select("p").distinct()
-    starts = F.array_distinct(F.regexp_extract_all(F.concat(F.lit(" "), "hay"), F.lit(r"(?<![\p{L}\p{N}])(?=(.{12}))"), F.lit(1)))
-    met = docs.select("doc_id", F.explode(starts).alias("p")).join(heads, "p").join(items, "p").select("doc_id", "item_id", "needle")
+    sizes = sorted(r.n for r in items.select(F.length("p").alias("n")).distinct().collect())
+    heads = items.select("p").distinct()
+    heads = F.broadcast(heads) if items.limit(100_001).count() <= 100_000 else heads
+    met = None
+    for n in sizes:
+        starts = F.array_distinct(F.regexp_extract_all("hay", F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+        one = docs.select("doc_id", F.explode(starts).alias("p")).join(heads, "p")
+        met = one if met is None else met.union(one)
+    if met is None:
+        return docs.join(items, F.lit(False)).select("doc_id", "item_id")
+    met = met.join(items, "p").select("doc_id", "item_id", "needle").distinct()
     return met.join(docs, "doc_id").where(T.attested(F.col("hay"), F.col("needle"))).select("doc_id", "item_id")
 
 
