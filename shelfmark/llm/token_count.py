@@ -7,8 +7,8 @@ run time a proven pre-token counts as one, and only the rest is merged.
 The byte-level pattern joins a single space to what follows it, so a text whose spaces each stand before a non-space is cut
 at its spaces: the pieces' pre-tokens are the text's. Proven pieces are counted; the others, joined by spaces again, are
 merged together. Merging is by byte-pair ranks, once it is proven that a rank is the place in the tokenizer's list of
-merges; else, and for texts with special tokens' strings or with characters on which Unicode tables may differ, it is
-the library's. A tokenizer that isn't byte-level BPE is the library's altogether. Counts are the library's in every
+merges; else, and for texts with special tokens' strings with characters on which Unicode tables may differ or with a very long run of white space, it
+is the library's. A tokenizer that isn't byte-level BPE is the library's altogether. Counts are the library's in every
 case, and nothing is remembered between texts.
 """
 
@@ -29,6 +29,8 @@ from .common import id_text, map_arrow, slices
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters on which Unicode tables of different age or library may disagree: such texts go to the library whole.
 ODD = "[\x1c-\x1f\x85\u180e\U00010000-\U0010ffff]"
+#: A run of white space from which on a text is the library's: tiktoken's regex overflows its stack at about a million.
+LONG_GAP = 100_000
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 
@@ -94,6 +96,7 @@ class Counting:
             import regex
 
             self.odd = re.compile(ODD).search
+            self.long_gap = re.compile(r"\s{%d}" % LONG_GAP).search
             proven = proven_whole(self.tokenizer, spec)
             self.proven = len(proven)
             self.alone = proven
@@ -124,7 +127,7 @@ class Counting:
         out = [0] * len(texts)
         every = "".join(texts)  # screened together first: few batches have anything to look for
         special, odd, gaps = [s for s in self.special if s in every], self.odd(every), [g for g in self.gaps if g in every]
-        slow = [i for i, t in enumerate(texts) if any(s in t for s in special) or (odd and self.odd(t))] if special or odd else []
+        slow = [i for i, t in enumerate(texts) if any(s in t for s in special) or (odd and self.odd(t)) or (len(t) >= LONG_GAP and self.long_gap(t))]
         for i, n in zip(slow, self.whole([texts[i] for i in slow]) if slow else [], strict=True):
             out[i] = n
         skip, known = set(slow), self.after_space

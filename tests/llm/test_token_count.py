@@ -46,3 +46,9 @@ def test_cut_at_spaces_equals_the_library(texts):
     made = ["".join(rng.choice([" ", " ", "\n", "\t", "\u00a0", "a", "B", "é", "1", "'s", ".", "!!", "葱"]) for _ in range(rng.randrange(40))) for _ in range(3000)]
     c = counting(resolve("byte_bpe_50k.json"))
     assert c.counts(made) == library("byte_bpe_50k.json", made)
+
+
+def test_very_long_white_space_equals_the_library(spark):
+    texts = ["\n" * 1_000_000 + "x", " " * 1_200_000, "a" + "\n" * 99_999 + "b c", "plain text"]
+    got = {r.doc_id: r.n_tokens for r in token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "byte_bpe_50k.json").collect()}
+    assert [got[i] for i in range(len(texts))] == library("byte_bpe_50k.json", texts)
