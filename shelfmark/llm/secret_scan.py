@@ -139,7 +139,8 @@ def p_value(s: Column) -> Column:
     p3 = _upper_tail((F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)) - VOWEL_CORRELATION) * F.sqrt(n))
     p2 = F.when(changes < 1, 1.0).otherwise(p2)
     half = -(F.log(p1) + F.log(p2) + F.log(p3) + F.log(pair_p_value(s)))
-    joint = F.exp(-half) * (1 + half + half * half / 2 + half * half * half / 6)
+    # Through an array half is computed once, not at each of its places in the sum.
+    joint = F.transform(F.array(half), lambda h: F.exp(-h) * (1 + h + h * h / 2 + h * h * h / 6))[0]
     return F.when(s.rlike("^[-0-9+/_]+$"), 1.0).otherwise(F.least(joint, F.lit(1.0)))
 
 
