@@ -20,14 +20,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, text_or_empty
-from .spans import add_spans, apart_from, joined, keep, ranked
+from .spans import apart, bare, chunks, find, joined, let, part, ranked
 
 #: The base patterns, possessive and anchored at the start of a run: the same matches, in linear time.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
-CARD = r"[0-9](?:[\x20-]?+[0-9])++"
+#: Only runs of 14 to 19 digits match, and those whole; a run of another length matches nowhere inside.
+CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?+[0-9]){13,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BASE = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
+#: A character without which a kind has no match.
+MARKS = {"email": "@", "ip": ".", "phone": "+"}
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 IP_OK = rf"^{_BYTE}(?:\.{_BYTE}){{3}}$"
 
@@ -66,13 +69,13 @@ def _digits(hit: Column) -> Column:
     return F.regexp_replace(hit, "[^0-9]", "")
 
 
-def add_base(df: DataFrame) -> DataFrame:
-    """df with __email, __ip, __card and __phone of __text; matches that fail their check are dropped."""
-    for kind, pattern in BASE.items():
-        df = add_spans(df, f"__{kind}", pattern, "__text")
-    df = keep(df, "__ip", lambda x: x["hit"].rlike(IP_OK))
-    df = keep(df, "__card", lambda x: F.when(F.length(_digits(x["hit"])).between(14, 19), luhn(_digits(x["hit"]))).otherwise(False))
-    return keep(df, "__phone", lambda x: F.length(_digits(x["hit"])).between(10, 15))
+def base_spans(text: Column) -> dict[str, Column]:
+    """The base spans by kind; matches that fail their check are dropped."""
+    found = {k: find(text, p, text.contains(MARKS[k]) if k in MARKS else None) for k, p in BASE.items()}
+    found["ip"] = F.filter(found["ip"], lambda x: x["hit"].rlike(IP_OK))
+    found["card"] = F.filter(found["card"], lambda x: luhn(_digits(x["hit"])))
+    found["phone"] = F.filter(found["phone"], lambda x: F.length(_digits(x["hit"])).between(10, 15))
+    return found
 
 
 def _vote(yes: Column, no: Column) -> Column:
@@ -83,10 +86,10 @@ def _among(value: Column, words: list[str]) -> Column:
     return value.isin(*words)
 
 
-def judged(kind: str, x: Column, text: Column) -> Column:
-    """start, end, kind, the three votes (0 no, 1 nothing, 2 yes) and the features of a candidate."""
+def judged(kind: str, x: Column, pieces: Column) -> Column:
+    """start, end, kind, the three votes (0 no, 1 nothing, 2 yes) and the features of a candidate; pieces: its text's chunks."""
     hit = x["hit"]
-    digits, before = _digits(hit), F.substring(text, F.greatest(x["start"] - BEFORE, F.lit(0)).cast("int") + 1, F.least(x["start"], F.lit(BEFORE)).cast("int"))
+    digits, before = _digits(hit), part(pieces, F.greatest(x["start"] - BEFORE, F.lit(0)), x["start"])
     if kind == "mail_words":
         strict, loose = hit.rlike(r"^[A-Za-z]"), hit.rlike(r"^[0-9]+\x20?[\[(]")
         listed, unlisted = _among(F.lower(F.regexp_extract(hit, r"([A-Za-z0-9-]+)$", 1)), DOMAIN_ENDS), F.lit(False)
@@ -112,19 +115,22 @@ def judged(kind: str, x: Column, text: Column) -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, the base spans, and __found: the judged candidates outside base spans and more specific candidates."""
-    df = add_base(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("__text")))
-    taken = [f"__{k}" for k in BASE]
+    """doc_id, the base spans (start, end) by kind, and found: the judged candidates outside base spans and more specific candidates."""
+    text = F.col("text")
+    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    df = df.select("doc_id", "text", *[bare(c).alias(k) for k, c in base_spans(text).items()])
+    taken = list(BASE)
     for kind, pattern in CANDIDATES.items():
-        df = apart_from(add_spans(df, f"__c_{kind}", pattern, "__text"), f"__c_{kind}", taken)
-        taken.append(f"__c_{kind}")
-    found = F.concat(*[F.transform(f"__c_{kind}", _judge(kind)) for kind in CANDIDATES])
-    bare = [F.transform(f"__{k}", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias(f"__{k}") for k in BASE]
-    return df.select("doc_id", *bare, found.alias("__found"))
+        df = df.withColumn(f"c_{kind}", find(text, pattern))
+        df = df.withColumn(f"c_{kind}", apart(F.col(f"c_{kind}"), text, F.concat(*[F.col(k) if k in BASE else bare(F.col(k)) for k in taken])))
+        taken.append(f"c_{kind}")
+    some = F.greatest(*[F.size(f"c_{kind}") for kind in CANDIDATES]) > 0
+    found = let(chunks(text), lambda pieces: F.concat(*[F.transform(f"c_{kind}", _judge(kind, pieces)) for kind in CANDIDATES]))
+    return df.select("doc_id", *BASE, F.when(some, found).alias("found"))
 
 
-def _judge(kind: str):
-    return lambda x: judged(kind, x, F.col("__text"))
+def _judge(kind: str, pieces: Column):
+    return lambda x: judged(kind, x, pieces)
 
 
 @dataclass
@@ -161,7 +167,7 @@ def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int
 
 def fit_spans(scanned: DataFrame) -> SpanModel:
     """The span classifier, from the counts of all candidates' vote and feature patterns."""
-    rows = scanned.where(F.size("__found") > 0).select(F.explode("__found").alias("c")).groupBy(F.col("c.votes").alias("votes"), F.col("c.x").alias("x")).count().collect()
+    rows = scanned.where(F.size("found") > 0).select(F.explode("found").alias("c")).groupBy(F.col("c.votes").alias("votes"), F.col("c.x").alias("x")).count().collect()
     rows = sorted(rows, key=lambda r: (list(r["votes"]), list(r["x"])))
     if not rows:
         return SpanModel(np.zeros(len(FEATURES)), -1.0, np.zeros((len(LABELERS), 2, 3)))
@@ -185,12 +191,12 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     """
     scanned = cut(scan(docs), "personal")
     model = fit_spans(scanned)
-    more = F.filter("__found", lambda c: model.accepts(c["x"]))
-    kinds = [*((k, f"__{k}") for k in BASE), *((k, f"__m_{k}") for k in CANDIDATES)]
-    df = scanned.withColumn("__more", more)
-    df = df.withColumns({f"__m_{k}": F.filter("__more", _of(k)) for k in CANDIDATES})
-    counts = [F.size(f"__{k}").cast("long").alias(f"n_{k}") for k in BASE]
-    return df.select("doc_id", *counts, F.size("__more").cast("long").alias("n_more"), F.sha2(joined(ranked(kinds[: len(BASE)])), 256).alias("base_sha256"), joined(ranked(kinds)).alias("spans"))
+    more = F.filter(F.coalesce("found", F.array().cast(scanned.schema["found"].dataType)), lambda c: model.accepts(c["x"]))
+    df = scanned.select("doc_id", *BASE, more.alias("more"))
+    base = [(k, F.col(k)) for k in BASE]
+    every = base + [(k, F.filter("more", _of(k))) for k in CANDIDATES]
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in BASE]
+    return df.select("doc_id", *counts, F.size("more").cast("long").alias("n_more"), F.sha2(joined(ranked(base)), 256).alias("base_sha256"), joined(ranked(every)).alias("spans"))
 
 
 def _of(kind: str):

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, text_or_empty
-from .spans import add_spans, apart_from, joined, keep, masked, ranked
+from .spans import apart, bare, find, joined, let, masked, ranked
 
 #: The base patterns. (?i) without (?u) folds ASCII letters only.
 ASSIGN = r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*+[:=]\x20*+[\"']?([A-Za-z0-9+/_.=-]++)"
@@ -111,19 +111,17 @@ STEPS = " ".join(f"{_step(a, b):.3f}" for a in KEY_CHARACTERS for b in KEY_CHARA
 def pair_p_value(s: Column) -> Column:
     """At most the chance that ordinary text is as unlike words as s; s is of KEY_CHARACTERS."""
     table = F.split(F.lit(STEPS), " ").cast("array<double>")
-    at = F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.instr(F.lit(KEY_CHARACTERS), c) - 1)
-    begin = F.struct(F.lit(-1).alias("last"), F.lit(0.0).cast("double").alias("sum"))
-    chain = F.aggregate(at, begin, lambda x, i: F.struct(i.alias("last"), (x["sum"] + F.when(x["last"] >= 0, F.get(table, x["last"] * len(KEY_CHARACTERS) + i)).otherwise(0.0)).alias("sum")), lambda x: x["sum"])
-    ratio = chain + (F.length(s) - 1) * F.log(alphabet(s)) + math.log(ALPHABETS)
+    at = F.transform(F.split(s, ""), lambda c: F.instr(F.lit(KEY_CHARACTERS), c) - 1)
+    pairs = let(at, lambda a: F.zip_with(F.slice(a, F.lit(1), F.length(s) - 1), F.slice(a, F.lit(2), F.length(s) - 1), lambda x, y: F.get(table, x * len(KEY_CHARACTERS) + y)))
+    ratio = F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x) + (F.length(s) - 1) * F.log(alphabet(s)) + math.log(ALPHABETS)
     return F.exp(F.least(F.greatest(ratio, F.lit(-300.0)), F.lit(0.0)))
 
 
 def p_value(s: Column) -> Column:
-    """Fisher's joint p-value that ordinary text looks as random as s; 1 for digits alone."""
+    """Fisher's joint p-value that ordinary text looks as random as s; 1 for digits alone and for one repeated character."""
     n = F.length(s).cast("double")
     a = alphabet(s)
-    letters = F.array(*map(F.lit, KEY_CHARACTERS))
-    squares = F.aggregate(letters, F.lit(0.0), lambda acc, c: acc + F.pow(n - F.length(F.replace(s, c, F.lit(""))), F.lit(2.0)))
+    squares = F.aggregate(F.array_distinct(F.split(s, "")), F.lit(0.0), lambda acc, c: acc + F.pow(n - F.length(F.replace(s, c, F.lit(""))), F.lit(2.0)))
     chi = a / n * squares - n
     expected = a * (1 + (n - 1) * COINCIDENCE) - n
     spread = F.sqrt(2 * (a - 1) + 4 * n * F.greatest(a * COINCIDENCE - 1, F.lit(0.05)))
@@ -139,21 +137,20 @@ def p_value(s: Column) -> Column:
     p3 = _upper_tail((F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)) - VOWEL_CORRELATION) * F.sqrt(n))
     p2 = F.when(changes < 1, 1.0).otherwise(p2)
     half = -(F.log(p1) + F.log(p2) + F.log(p3) + F.log(pair_p_value(s)))
-    # Through an array half is computed once, not at each of its places in the sum.
-    joint = F.transform(F.array(half), lambda h: F.exp(-h) * (1 + h + h * h / 2 + h * h * h / 6))[0]
-    return F.when(s.rlike("^[-0-9+/_]+$"), 1.0).otherwise(F.least(joint, F.lit(1.0)))
+    joint = let(half, lambda h: F.exp(-h) * (1 + h + h * h / 2 + h * h * h / 6))
+    one = F.replace(s, F.substring(s, 1, 1), F.lit("")) == ""
+    return F.when(one | s.rlike("^[-0-9+/_]+$"), 1.0).otherwise(F.least(joint, F.lit(1.0)))
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """docs, all columns, with __assign, __access, __hex and __runs (start, end, p); null texts count as empty."""
-    df = docs.withColumn("__text", text_or_empty())
-    for kind, pattern in zip(KINDS, (ASSIGN, ACCESS, HEX), strict=True):
-        df = add_spans(df, f"__{kind}", pattern, "__text")
-    df = keep(df, "__assign", lambda x: F.length(F.regexp_extract(x["hit"], ASSIGN, 2)) >= 6)
-    df = add_spans(df, "__runs", RUN, "__text")
-    df = apart_from(df, "__runs", [f"__{k}" for k in KINDS])
-    bare = {f"__{k}": F.transform(f"__{k}", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))) for k in KINDS}
-    return df.withColumns(bare | {"__runs": F.transform("__runs", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), p_value(x["hit"]).alias("p")))}).drop("__text")
+    """row (docs' columns in one struct, so that none can clash), assign, access, hex (start, end) and runs (start, end, p); null texts count as empty."""
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    df = docs.select(own.alias("row"), text_or_empty().alias("text"))
+    assign = F.filter(find(F.col("text"), ASSIGN), lambda x: F.length(F.regexp_extract(x["hit"], ASSIGN, 2)) >= 6)
+    df = df.select("row", "text", bare(assign).alias("assign"), bare(find(F.col("text"), ACCESS, F.col("text").contains("AKIA"))).alias("access"), bare(find(F.col("text"), HEX)).alias("hex"))
+    runs = apart(find(F.col("text"), RUN), F.col("text"), F.concat(*KINDS))
+    judged = F.transform(runs, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), p_value(x["hit"]).alias("p")))
+    return df.select("row", *KINDS, judged.alias("runs"))
 
 
 def discovery_cut(scanned: DataFrame, level: float = 0.01) -> tuple[float, float]:
@@ -161,7 +158,7 @@ def discovery_cut(scanned: DataFrame, level: float = 0.01) -> tuple[float, float
 
     The step-up rule on bins of -log10: the largest bin edge t with m * t <= level * (runs at or below t).
     """
-    runs = scanned.where(F.size("__runs") > 0).select(F.explode("__runs").alias("x")).select(F.col("x.p").alias("p"), (F.col("x.end") - F.col("x.start")).alias("n"))
+    runs = scanned.where(F.size("runs") > 0).select(F.explode("runs").alias("x")).select(F.col("x.p").alias("p"), (F.col("x.end") - F.col("x.start")).alias("n"))
     m, mean = runs.agg(F.count("*"), F.avg("n")).first()
     if not m:
         return 0.0, 1.0
@@ -176,32 +173,38 @@ def discovery_cut(scanned: DataFrame, level: float = 0.01) -> tuple[float, float
     return best, float(mean)
 
 
-def scan_secrets(docs: DataFrame, level: float = 0.01, keep_text: bool = True) -> DataFrame:
-    """docs, all columns (without text unless keep_text), with __assign, __access, __hex, __random (start, end) and __spans, all of them in order.
+def scan_secrets(docs: DataFrame, level: float = 0.01, columns: list[str] | None = None) -> DataFrame:
+    """row (docs' columns, or those named), assign, access, hex, random (start, end); null and empty texts have no spans.
 
     Reads the texts once; the scanned table is written to the shared folder before the false-discovery cut is set
-    over all its runs. Null and empty texts have no spans.
+    over all its runs.
     """
     scanned = scan(docs)
-    scanned = cut(scanned if keep_text else scanned.drop("text"), "secrets")
+    if columns is not None:
+        scanned = scanned.withColumn("row", F.struct(*[F.col(f"row.`{c}`") for c in columns]))
+    scanned = cut(scanned, "secrets")
     limit, mean = discovery_cut(scanned, level)
-    found = F.transform(F.filter("__runs", lambda x: x["p"] * mean / (x["end"] - x["start"]) <= limit), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
-    return scanned.withColumn("__random", found).drop("__runs").withColumn("__spans", ranked([*((k, f"__{k}") for k in KINDS), ("random", "__random")]))
+    return scanned.select("row", *KINDS, bare(F.filter("runs", lambda x: x["p"] * mean / (x["end"] - x["start"]) <= limit)).alias("random"))
 
 
 def find_secrets(docs: DataFrame, level: float = 0.01) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans; one row for each row of docs."""
-    found = scan_secrets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", text_or_empty().alias("text")), level, keep_text=False)
-    base = ranked([(k, f"__{k}") for k in KINDS])
-    counts = [F.size(f"__{k}").cast("long").alias(f"n_{k}") for k in [*KINDS, "random"]]
-    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("__spans")).alias("spans"))
+    found = scan_secrets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), level, ["doc_id"])
+    kinds = [(k, F.col(k)) for k in [*KINDS, "random"]]
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k, _ in kinds]
+    return found.select("row.doc_id", *counts, F.sha2(joined(ranked(kinds[: len(KINDS)])), 256).alias("base_sha256"), joined(ranked(kinds)).alias("spans"))
 
 
 def redact_secrets(docs: DataFrame, level: float = 0.01, mask: str = "[SECRET]") -> DataFrame:
-    """docs, all columns, with every span of text replaced by mask, and n_chars (where there is one) to match."""
-    columns = docs.columns
+    """docs, all columns, with every span of text replaced by mask (overlapping spans by one), and n_chars (where there is one) to match.
+
+    A null text stays null. Columns may have any names.
+    """
     found = scan_secrets(docs, level)
-    out = found.withColumn("text", F.when(F.col("text").isNotNull(), masked(F.col("text"), F.col("__spans"), mask)))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*columns)
+    every = F.array_sort(F.concat(*[*KINDS, "random"]))
+    text = F.when(F.col("row.text").isNotNull(), masked(F.col("row.text"), F.col("every"), lambda _: F.lit(mask)))
+    done = found.select("row", every.alias("every")).select("row", (F.size("every") > 0).alias("some"), text.alias("text"))
+    new = {"text": F.col("text").cast(docs.schema["text"].dataType)}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("some"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return done.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

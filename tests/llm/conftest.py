@@ -1,6 +1,11 @@
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, size string, k1 string, k2 string, score string, `window` string, `rows` string, x string, labels string, spans string, bin string"
+#: Further columns, named like those that operators make on the way.
+CLASHES = (
+    "fp size k1 k2 k1_ k2_ text_ score window rows x labels spans bin row runs assign access hex random every some found more c_name email node keys key part lead groups symbol context place state "
+    "grain skey liking weight q target __text __k1 __k2 __runs __assign __access __hex __random __spans __found __n __p __b"
+).split()
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES)
 
 
 def messy_rows() -> list[tuple[int | None, str | None, str | None]]:
@@ -28,7 +33,7 @@ def messy_rows() -> list[tuple[int | None, str | None, str | None]]:
 
 @pytest.fixture(scope="session")
 def messy(spark):
-    rows = [(i, t, "en", s, len(t) if t is not None else None, 1, *["c"] * 10) for i, t, s in messy_rows()]
+    rows = [(i, t, "en", s, len(t) if t is not None else None, *["c"] * len(CLASHES)) for i, t, s in messy_rows()]
     return spark.createDataFrame(rows, SCHEMA)
 
 

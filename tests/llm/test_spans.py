@@ -7,7 +7,9 @@ import string
 import numpy as np
 import pytest
 
-from shelfmark.llm import pii, secret_scan
+from pyspark.sql import functions as F
+
+from shelfmark.llm import pii, secret_scan, spans
 
 KEYWORDS = "password passwd secret token"
 either = lambda w: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in w)
@@ -42,16 +44,16 @@ def base(kinds, text):
 @pytest.mark.parametrize(("find", "kinds"), [(secret_scan.find_secrets, SECRETS), (pii.find_personal_data, PERSONAL)])
 def test_base_spans(spark, messy, texts, nothing, find, kinds):
     odd = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(ODD)], "doc_id long, text string")
-    got = find(messy.select("doc_id", "text", "spans", "k1").unionByName(odd, allowMissingColumns=True)).collect()
+    got = find(messy.unionByName(odd, allowMissingColumns=True)).collect()
     want = sorted(hashlib.sha256(base(kinds, t or "").encode()).hexdigest() for t in [t for _, t, _ in texts] + ODD)
     assert sorted(r.base_sha256 for r in got) == want
     by_id = {r.doc_id: r for r in got}
     for i, t in enumerate(ODD):
-        r, spans = by_id[1000 + i], base(kinds, t).split(",")
-        assert r.base_sha256 == hashlib.sha256(",".join(spans).encode()).hexdigest()
+        r, want_spans = by_id[1000 + i], base(kinds, t).split(",")
+        assert r.base_sha256 == hashlib.sha256(",".join(want_spans).encode()).hexdigest()
         for kind, _, _ in kinds:
-            assert r[f"n_{kind}"] == sum(s.startswith(kind + ":") for s in spans)
-        assert set(filter(None, spans)) <= set(r.spans.split(","))
+            assert r[f"n_{kind}"] == sum(s.startswith(kind + ":") for s in want_spans)
+        assert set(filter(None, want_spans)) <= set(r.spans.split(","))
     assert find(nothing).count() == 0
 
 
@@ -108,7 +110,46 @@ def test_redaction(spark, messy):
     out = secret_scan.redact_secrets(df)
     assert out.columns == df.columns and out.schema == df.schema
     assert [tuple(r) for r in out.orderBy("doc_id").collect()] == [(1, "é [SECRET] x [SECRET]", 21, "keep"), (2, None, None, "keep"), (3, "plain", 5, "keep")]
-    assert secret_scan.redact_secrets(messy).count() == messy.count()
+    out = secret_scan.redact_secrets(messy)
+    assert out.schema == messy.schema and out.exceptAll(messy).count() == 0  # no secrets there: nothing changes
+    none = secret_scan.redact_secrets(messy.limit(0))
+    assert none.schema == messy.schema and none.count() == 0
+
+
+def test_a_text_of_very_many_secrets_is_redacted_in_linear_time(spark):
+    import time
+
+    n = 100_000
+    df = spark.createDataFrame([(1, "token=abcdef12 é " * n)], "doc_id long, text string")
+    began = time.perf_counter()
+    assert secret_scan.redact_secrets(df).first().text == "[SECRET] é " * n
+    assert time.perf_counter() - began < 60
+
+
+def test_spans_are_united_masked_and_compared(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(60):
+        n, k = int(rng.choice([0, 5, 300, 5000, 9000])), int(rng.choice([0, 1, 3, 700]))
+        draw = lambda size: sorted((int(a), int(min(a + b, n))) for a, b in zip(rng.integers(0, n, size), rng.integers(1, 40, size), strict=True)) if n else []  # noqa: E731, B023
+        rows.append((i, "".join(rng.choice(list("ab é😀\n"), n)), draw(k), draw(5)))
+    span = "array<struct<start:bigint,end:bigint>>"
+    df = spark.createDataFrame(rows, f"i int, text string, s {span}, c {span}")
+    text, s, c = F.col("text"), F.col("s"), F.col("c")
+    got = {r.i: r for r in df.select("i", spans.masked(text, s, lambda _: F.lit("#")).alias("m"), spans.blanked(text, s).alias("b"), spans.united(s).alias("u"), spans.apart(c, text, s).alias("apart")).collect()}
+    for i, t, own, other in rows:
+        united, left, hidden, at = [], "", list(t), 0
+        for a, b in own:
+            if united and a < united[-1][1]:
+                united[-1][1] = max(united[-1][1], b)
+            else:
+                united.append([a, b])
+        for a, b in united:
+            left, at = left + t[at:a] + "#", b
+            hidden[a:b] = "\uffff" * (b - a)
+        assert got[i].m == left + t[at:] and got[i].b == "".join(hidden)
+        assert [list(x) for x in got[i].u] == united
+        assert [tuple(x) for x in got[i].apart] == [(a, b) for a, b in other if all(y <= a or b <= x for x, y in own)]
 
 
 def test_weak_supervision(spark):
