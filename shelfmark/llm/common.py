@@ -101,6 +101,16 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def apart_keys(df: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
+    """keys and aggs of df grouped by keys, in an order of partitions of its own.
+
+    Grouped by the keys' complements (keys are longs), so that a join on the keys shuffles both of its sides anew. Spark can then
+    split a hot key's rows on the other side, which it can't while this side's aggregate stands in the join's own stage.
+    """
+    turned = df.groupBy(*[F.bitwise_not(F.col(k)).alias(k) for k in keys]).agg(*aggs)
+    return turned.withColumns({k: F.bitwise_not(F.col(k)) for k in keys})
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -109,14 +119,22 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, lengthened until no column of df is called so, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def id_text(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text and the named further columns, and nothing else; null texts become empty."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), *more)
 
 
-def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
+def row_key(id_col: str = "doc_id", text: Column | str = "text") -> list[Column]:
     """k1, k2: what identifies a row (see the module's text)."""
-    return [F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("k1"), F.xxhash64(F.col(text_col)).alias("k2")]
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("k1"), F.xxhash64(text).alias("k2")]
 
 
 def slices(batch: pa.RecordBatch, column: int = 1, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
@@ -158,4 +176,4 @@ def filter_rows(docs: DataFrame, keep) -> DataFrame:
                 kept = part.filter(pa.array(np.asarray(keep(part.column(last)), bool)))
                 yield kept.select(list(range(last)))
 
-    return map_arrow(docs.select("*", text_or_empty().alias("__text")), run, docs.schema)
+    return map_arrow(docs.select("*", text_or_empty().alias(unused(docs, "text"))), run, docs.schema)

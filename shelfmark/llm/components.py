@@ -1,7 +1,8 @@
 """Connected components by alternating star contractions; no node's neighbours are ever gathered in one place.
 
 Each round replaces the edges by stars around ever smaller node numbers. Minima over neighbours are aggregates
-(combined before the shuffle) and the rewiring is a join on the node, which Spark can split where a node is hot.
+(combined before the shuffle). The rewiring is a join on the node; the minima come from a stage of their own
+(apart_keys), so that both of the join's sides are plain shuffles, which Spark splits where a node is hot.
 Rounds end when an order-free digest of the edges no longer changes. Each round is a table in the shared folder.
 """
 
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import apart_keys, cut, drop
 
 MAX_ROUNDS = 60
 
@@ -23,7 +24,7 @@ def _digest(edges: DataFrame) -> tuple[int, ...]:
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Point the larger (large) or smaller neighbours of each node, and the node, at the least node of its star."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = apart_keys(both, ["u"], F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     joined = both.join(least, "u")
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -42,7 +43,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if not before[0]:
             break
-        edges = cut(_star(_star(edges, True), False), "edges")
+        last, edges = edges, cut(_star(_star(edges, True), False), "edges")
+        drop(last)
         after = _digest(edges)
         if after == before:
             break

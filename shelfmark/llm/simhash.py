@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, flat, id_text, map_arrow, row_key, slices
+from .common import apart_keys, cut, flat, id_text, map_arrow, row_key, slices, text_or_empty, unused
 from .components import connected_components
 from .textnum import normalised, word_bounds
 
@@ -89,7 +89,7 @@ def fingerprint_links(nodes: DataFrame, max_bits: int = 2, blocks: int = 5, crow
     """
     keys = block_keys(F.col("fp"), blocks, max_bits)
     keyed = nodes.select("node", "fp", F.explode(F.array(*[F.struct(F.lit(i).cast("byte").alias("c"), key.alias("key")) for i, _, key in keys])).alias("b")).select("node", "fp", "b.c", "b.key")
-    groups = keyed.groupBy("c", "key").agg(F.count("*").alias("n")).where("n > 1")
+    groups = apart_keys(keyed, ["c", "key"], F.count("*").alias("n")).where("n > 1")
     keyed = cut(keyed.join(groups, ["c", "key"]), "blocks")
     few, many = keyed.where(F.col("n") <= crowd) if max_bits <= 2 else keyed, keyed.where(F.col("n") > crowd)
     a, b = few.select("c", "key", F.col("fp").alias("f"), F.col("node").alias("u")), few.select("c", "key", F.col("fp").alias("g"), F.col("node").alias("v"))
@@ -101,7 +101,9 @@ def fingerprint_links(nodes: DataFrame, max_bits: int = 2, blocks: int = 5, crow
     crowded = many.select("node", "fp").distinct()
     flips = F.lit([0, *(_signed(1 << b) for b in range(BITS))]) if max_bits == 2 else F.lit([0])
     met = crowded.select("node", "fp", F.explode(flips).alias("flip")).select("node", F.col("fp").bitwiseXOR(F.col("flip")).alias("at"))
-    centre = met.groupBy("at").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1")
+    if not many.limit(1).count():
+        return pairs
+    centre = apart_keys(met, ["at"], F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1")
     stars = met.join(centre, "at").where("node <> v").select(F.col("node").alias("u"), "v")
     return pairs.union(stars)
 
@@ -137,12 +139,12 @@ def keep_one_of_each(docs: DataFrame, **params) -> DataFrame:
 
 def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """The first row of docs in each part of groups (doc_id, part, k1, k2); of fully identical rows one."""
-    keys = row_key("doc_id", "__text")
-    marked = docs.withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumns({"__k1": keys[0], "__k2": keys[1]}).drop("__text")
     groups = cut(groups, "groups")
-    first = groups.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("k1"), F.col("k2"))).alias("s")).select(F.col("s.k1").alias("__k1"), F.col("s.k2").alias("__k2"))
-    kept = marked.join(first, ["__k1", "__k2"], "left_semi")
+    k1, k2 = unused(docs, "k1"), unused(docs, "k2")
+    first = groups.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("k1"), F.col("k2"))).alias("s")).select(F.col("s.k1").alias(k1), F.col("s.k2").alias(k2))
+    own = row_key("doc_id", text_or_empty())
+    kept = docs.select("*", own[0].alias(k1), own[1].alias(k2)).join(first, [k1, k2], "left_semi")
     # Only fully identical rows share a key; where there are none, rows needn't be compared again.
     if groups.groupBy("k1", "k2").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["__k1", "__k2"])
-    return kept.drop("__k1", "__k2")
+        kept = kept.dropDuplicates([k1, k2])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
