@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, id_text, map_arrow, slices
+from .common import flat, id_text, map_arrow, row_key, slices
 from .textnum import covered, hash_ranges, per_doc_sum, repeated_in_doc, window_hash, windows_inside, word_bounds
 
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
@@ -159,20 +159,20 @@ def fit_trees(x: np.ndarray, y: np.ndarray, signs: np.ndarray, n_trees: int = 40
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, keep_good: float = 0.998) -> Trees:
-    """Trees from the labelled rows with the max_labelled least hashes of their doc_id (a bounded sample).
+    """Trees from the max_labelled labelled rows with the least (hash of the doc_id, label, hash of the text): a bounded sample that reruns repeat.
 
     The cutoff is the highest log-odds, at most 0, that keeps keep_good of the good rows of a quarter set aside.
     Without labels, or with one class only, every document is kept.
     """
     chosen = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"), F.xxhash64(F.col("doc_id").cast("long")).alias("order"))
     chosen = F.broadcast(chosen.orderBy("order", "doc_id", "label").limit(max_labelled))
-    rows = map_arrow(id_text(docs).join(chosen, "doc_id").select("doc_id", "text", "label", "order"), _labelled_features, "doc_id long, label int, `order` long, x array<double>")
-    found = sorted((r["order"], r["doc_id"], r["label"], r["x"]) for r in rows.limit(2 * max_labelled).toArrow().to_pylist())
-    y = np.array([r[2] for r in found], float)
+    rows = map_arrow(id_text(docs).join(chosen, "doc_id").select("label", "text", "order", row_key()[1]), _labelled_features, "label int, `order` long, k2 long, x array<double>")
+    found = rows.orderBy("order", "label", "k2").limit(max_labelled).toArrow()
+    y = found.column("label").to_numpy().astype(float)
     none = Trees(np.zeros(0, int), *(np.zeros(0, int),), np.zeros(0), np.zeros(0, int), np.zeros(0, int), np.zeros(0), 0, 0.0, -np.inf)
     if len(y) < 40 or y.min() == y.max():
         return none
-    x = np.array([r[3] for r in found])
+    x = np.array(found.column("x").to_pylist())
     aside = np.arange(len(y)) % 4 == 3
     signs = np.array([MONOTONE[f] for f in FEATURES])
     trial = fit_trees(x[~aside], y[~aside], signs)
@@ -187,7 +187,7 @@ def _labelled_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     for batch in batches:
         for part in slices(batch):
             _, x = document_stats(part.column(1))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "label", "order", "x"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(list(x), pa.list_(pa.float64()))], names=["label", "order", "k2", "x"])
 
 
 def judge_quality(docs: DataFrame, trees: Trees) -> DataFrame:

@@ -127,10 +127,9 @@ def _log_odds_of_buckets(bucket: np.ndarray, doc: np.ndarray, y: np.ndarray, siz
     return np.clip(np.log((pos + 0.2) / (y.sum() + 0.4)) - np.log((neg + 0.2 * (1 + (1 - y).sum() / max(y.sum(), 1))) / ((1 - y).sum() + 0.4)), -3, 3)
 
 
-def fit(texts: pa.ChunkedArray, y: np.ndarray, epochs: int = 6, batch: int = 48, rate: float = 0.03, seed: int = 5) -> Model:
+def fit(all_words: Words, y: np.ndarray, epochs: int = 6, batch: int = 48, rate: float = 0.03, seed: int = 5) -> Model:
     """Train on texts in the order given; every fourth is set aside for the thresholds."""
     rng = np.random.default_rng(seed)
-    all_words = _read_all(texts)
     aside = np.arange(len(y)) % 4 == 3
     train = np.flatnonzero(~aside)
     t = _take(all_words, train)
@@ -213,11 +212,25 @@ def fit(texts: pa.ChunkedArray, y: np.ndarray, epochs: int = 6, batch: int = 48,
     return model
 
 
-def _read_all(texts: pa.ChunkedArray, step: int = 200) -> Words:
-    """read_words over many texts, a few at a time, so that the work arrays stay small."""
-    parts = [read_words(pa.array(texts.slice(i, step).to_pylist(), pa.large_string())) for i in range(0, len(texts), step)]
-    n = np.concatenate([np.diff(p.first) for p in parts])
-    return Words(np.concatenate([p.word for p in parts]), np.concatenate([p.prefix for p in parts]), np.concatenate([[0], np.cumsum(n)]), np.concatenate([p.lang for p in parts]))
+def _labelled_words(max_words: int):
+    """Rows of text, label, order, k2 as bucket numbers; texts of more than max_words words are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 0):
+                t = read_words(part.column(0))
+                lists = [pa.ListArray.from_arrays(pa.array(t.first.astype(np.int32)), pa.array(x)) for x in (t.word, t.prefix)]
+                out = pa.RecordBatch.from_arrays([*lists, pa.array(t.lang.astype(np.int32)), part.column(1), part.column(2), part.column(3)], names=["word", "prefix", "lang", "label", "order", "k2"])
+                yield out.filter(pa.array(np.diff(t.first) <= max_words))
+
+    return run
+
+
+def _joined(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of lists, end to end, and where each list begins."""
+    n = np.array([len(x) for part in column.chunks for x in part], np.int64)
+    values = [part.flatten().to_numpy() for part in column.chunks]
+    return np.concatenate(values) if values else np.zeros(0, np.int32), np.concatenate([[0], np.cumsum(n)])
 
 
 def best_cut(z: np.ndarray, y: np.ndarray) -> float:
@@ -247,20 +260,26 @@ def held_out_fold(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(0)) % 3 == 1
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000) -> Model | None:
-    """Train from the labelled rows outside the held-out fold with the max_labelled least hashes of their doc_id.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, max_words: int = 4000) -> Model | None:
+    """Train from a bounded sample of the labelled rows outside the held-out fold.
 
-    None if there are under 40 such rows or only one label.
+    The sample: texts of at most max_words words; of those the max_labelled rows with the least (hash of the doc_id, label,
+    hash of the text), so reruns and repeated doc_ids or labels give the same model. Executors turn the words into
+    bucket numbers; the driver gets at most 8 * max_labelled * max_words bytes of them. None if there are under 40 such rows or only one label.
     """
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out_fold(F.col("doc_id")))
     chosen = chosen.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label"), F.xxhash64(F.col("doc_id").cast("long")).alias("order"))
     chosen = F.broadcast(chosen.orderBy("order", "doc_id", "label").limit(max_labelled))
-    rows = id_text(docs).join(chosen, "doc_id").select("text", "label", "order").limit(2 * max_labelled).toArrow()
-    rows = rows.sort_by([("order", "ascending"), ("label", "ascending"), ("text", "ascending")])
+    rows = id_text(docs).join(chosen, "doc_id").select("text", "label", "order", row_key()[1])
+    rows = map_arrow(rows, _labelled_words(max_words), "word array<int>, prefix array<int>, lang int, label int, `order` long, k2 long")
+    rows = rows.orderBy("order", "label", "k2").limit(max_labelled).toArrow()
     y = rows.column("label").to_numpy().astype(float)
     if len(y) < 40 or y.min() == y.max():
         return None
-    return fit(rows.column("text"), y)
+    (word, first), (prefix, _), lang = _joined(rows.column("word")), _joined(rows.column("prefix")), rows.column("lang").to_numpy().astype(np.int64)
+    del rows
+    pa.default_memory_pool().release_unused()
+    return fit(Words(word, prefix, first, lang), y)
 
 
 def score_toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
