@@ -1,16 +1,22 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 Targets: the words of all documents are shared among the sources by weight; a source stops at ``max_copies`` times
-its own words and the excess goes to the others by weight (water filling, in closed form over the sorted sources).
-
-A document's expected copies are f = target / source size: floor(f) certain whole copies and, for the rest r, a place in
-a fixed-size sample. Documents are ranked by Q = (u / (1 - u)) / (p / (1 - p)), u their own random number and p their
-inclusion probability, and the least are taken until the source's target is met in words. Inclusion differs
-between sources; a preference column makes it differ within one as well.
-
-The rank is never built by sorting a source in one place: ranks are cut into bins, the words of each (source, bin) are
-summed before the shuffle, and only the bin where the target falls, and the few documents after it that may fill the
-gap, are ordered row by row. That is about 1 / bins of a source's documents.
+its own words and the excess goes to the others by weight. The common level of all sources below their stop
+is found by sums over the sources: each turn the sources that the level lifts to their stop leave, until none does.
+
+A document's expected copies are f = target / source size: floor(f) certain whole copies and, for the rest, a place in
+a fixed-size sample with unequal probabilities. A document's inclusion probability p is the source's rest share times the
+document's preference over the source's mean one (by words). The preference is floor(sqrt(size)) + 1, so longer documents, which
+hold more connected text, are likelier to get the further copy; a column can stand in for it. Documents are ranked by
+Q = (u / (1 - u)) / (p / (1 - p)), u their own random number, and the least are taken until the words due are met.
+
+The sample is fixed in words, not in rows: the documents in order of Q as far as all of them fit, then, in the gap that is
+left, the documents in order of Q that are no larger than it, as far as they fit; then the one document that comes nearest
+to what is still open, if taking it is nearer than taking none.
+
+No source is ever sorted in one place. Ranks are numbers of 60 bits; the words of each 1024th of a source's range are summed
+before the shuffle, the 1024th in which the words due run out is divided again, and so on until it holds at most
+``edge`` documents. Only those are ordered row by row, however large the source.
 """
 
 from __future__ import annotations
@@ -18,11 +24,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NON_WS_JAVA, bounded_broadcast, cut, text_or_empty
+from .common import NON_WS_JAVA, bounded_broadcast, cut, drop, text_or_empty
 
 WEIGHTS = (5, 2, 1)
-BINS, FILL, GRAIN = 1024, 64, 1 << 60
+BITS, STEP, EDGE = 60, 10, 4096
+GRAIN = 1 << BITS
 MAX_SOURCES = 50_000
+#: Where probabilities end, so that their odds are finite.
+LEAST, MOST = 1e-9, 1 - 1e-9
 
 
 def word_count(text: Column) -> Column:
@@ -33,128 +42,139 @@ def _source_key(source: str = "source") -> Column:
     return F.coalesce(F.concat(F.lit("v"), F.col(source).cast("string")), F.lit("~"))  # "~" stands after every "v..."
 
 
+def numbered(df: DataFrame, by: str) -> DataFrame:
+    """df with nth, from 0, in the order of by (unique). Ranges are dealt out once and written, so that offsets and rows are of the same ranges."""
+    placed = cut(df.repartitionByRange(F.col(by)).withColumn("range", F.spark_partition_id()), "ranges")
+    sizes = placed.groupBy("range").agg(F.count("*").alias("n"), F.min(by).alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    nth = F.row_number().over(Window.partitionBy("range").orderBy(by)) - 1
+    return placed.join(F.broadcast(sizes.select("range", before.alias("before"))), "range").withColumn("nth", F.col("before") + nth).drop("range", "before")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int = 3) -> DataFrame:
-    """skey, source_size, target for each source of sizes (skey, size); sources in code point order, null last, have the weights in turn."""
-    per = sizes.groupBy("skey").agg(F.sum("size").alias("source_size"))
-    nth = F.row_number().over(Window.orderBy("skey")) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (nth % len(weights) + 1).cast("int"))
-    per = per.withColumn("w", weight).withColumn("cap", F.col("source_size") * max_copies).withColumn("ratio", F.col("cap") / F.col("w"))
-    order = Window.orderBy("ratio", "skey")
-    all_rows = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    per = per.select(
-        "*",
-        F.sum("source_size").over(all_rows).alias("total"),
-        F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("full"),
-        F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing)).alias("left"),
-    ).withColumn("share", (F.col("total") - F.col("full")) / F.col("left"))
-    level = F.max(F.when(F.col("share") < F.col("ratio"), F.col("share"))).over(all_rows)
-    per = per.withColumn("level", level)
-    target = F.when(F.col("level").isNull() | (F.col("ratio") <= F.col("level")), F.col("cap").cast("double")).otherwise(F.col("level") * F.col("w"))
-    return per.select("skey", "source_size", target.alias("target"))
-
-
-def _rank(u: Column, p: Column) -> Column:
+    """skey, source_size, liked, target for each source of sizes (skey, size, liking); sources in code point order, null last, have the weights in turn."""
+    per = sizes.groupBy("skey").agg(F.sum("size").alias("source_size"), F.sum(F.col("liking") * F.col("size")).alias("liked"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("nth") % len(weights) + 1).cast("int"))
+    per = numbered(per, "skey").withColumn("w", weight).withColumn("cap", F.col("source_size") * max_copies).withColumn("ratio", F.col("cap") / F.col("w"))
+    per = cut(per, "sources")
+    level, full = 0.0, None
+    while True:
+        total, stopped, left = per.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("ratio") <= level, F.col("cap"))), F.lit(0)), F.sum(F.when(F.col("ratio") > level, F.col("w")))).first()
+        if left is None or stopped == full:
+            break
+        full, level = stopped, (float(total) - float(stopped)) / left
+    target = F.when(F.col("ratio") <= level, F.col("cap").cast("double")).otherwise(F.lit(level) * F.col("w"))
+    return per.select("skey", "source_size", "liked", target.alias("target"))
+
+
+def pareto_rank(u: Column, p: Column) -> Column:
+    """Random odds divided by inclusion odds: the least are taken first."""
     return (u / (1 - u)) / (p / (1 - p))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int = 3, seed: str = "mix", prefer: str | None = None, bins: int = BINS) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies, source; one row for each row of docs.
+KEY = ("grain", "doc_id", "size")
 
-    taken is copies * size. Null and empty texts have size 0 and take 0 words; a source without words has target 0.
-    Null sources are one source, the last. Random numbers come from the seed, doc_id and text, so reruns agree, and of
-    identical rows any may be the one taken. prefer: a column of positive preferences; null or none: 1.
-    No document exceeds max_copies copies: a fraction is left only where floor(f) < max_copies.
+
+def prefix_end(units: DataFrame, rooms: DataFrame, edge: int = EDGE) -> DataFrame:
+    """skey, end (the key of the last unit taken; null if none), met (words taken) for each source of rooms (skey, room).
+
+    units: skey, key (struct of grain, ...), grain, words. Taken are units in order of key as far as their words together stay within room.
+    """
+    state = rooms.select("skey", "room", F.lit(0).cast("long").alias("lo"), F.lit(GRAIN).cast("long").alias("hi"), F.lit(0).cast("long").alias("below"))
+    for shift in range(BITS - STEP, -1, -STEP):
+        inside = units.join(bounded_broadcast(state, MAX_SOURCES), "skey").where((F.col("grain") >= F.col("lo")) & (F.col("grain") < F.col("hi")))
+        parts = inside.groupBy("skey", "room", "lo", "hi", "below", F.shiftright("grain", shift).alias("bin")).agg(F.sum("words").alias("words"), F.count("*").alias("n"))
+        upto = F.col("below") + F.sum("words").over(Window.partitionBy("skey").orderBy("bin"))
+        over = parts.withColumn("upto", upto).where(F.col("upto") > F.col("room")).groupBy("skey", "room").agg(F.min(F.struct("bin", (F.col("upto") - F.col("words")).alias("below"), "n")).alias("at"))
+        new = over.select("skey", "room", F.shiftleft("at.bin", shift).alias("lo"), F.shiftleft(F.col("at.bin") + 1, shift).alias("hi"), F.col("at.below").alias("below"), F.col("at.n").alias("n"))
+        new = cut(new, "edges")
+        state = new.drop("n")
+        if not new.where(F.col("n") > edge).limit(1).count():
+            break
+    # A source that isn't in state has room for all of its units.
+    inside = units.join(bounded_broadcast(state, MAX_SOURCES), "skey").where((F.col("grain") >= F.col("lo")) & (F.col("grain") < F.col("hi")))
+    upto = F.col("below") + F.sum("words").over(Window.partitionBy("skey").orderBy("key"))
+    last = inside.withColumn("upto", upto).where(F.col("upto") <= F.col("room")).groupBy("skey").agg(F.max("upto").alias("met"), F.max("key").alias("end"))
+    ends = state.join(last, "skey", "left").select("skey", F.lit(True).alias("cut_off"), "lo", F.coalesce("met", "below").alias("met"), "end")
+    every = units.groupBy("skey").agg(F.sum("words").alias("every"))
+    return rooms.join(every, "skey", "left").join(ends, "skey", "left").select("skey", "room", "cut_off", "lo", "end", F.when(F.col("cut_off"), F.col("met")).otherwise(F.coalesce("every", F.lit(0))).cast("long").alias("met"))
+
+
+def _taken() -> Column:
+    """Whether a unit is in its source's prefix, from prefix_end's columns."""
+    return F.col("cut_off").isNull() | (F.col("grain") < F.col("lo")) | F.coalesce(F.col("key") <= F.col("end"), F.lit(False))
+
+
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int = 3, seed: str = "mix", prefer: str | None = None, edge: int = EDGE) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies, source, inclusion; one row for each row of docs.
+
+    taken is copies * size; inclusion is p. Null and empty texts have size 0 and take 0 words; a source without words has
+    target 0. Null sources are one source, the last. Random numbers come from the seed, doc_id and text, so reruns agree;
+    identical rows are taken together or not at all. prefer: a column of positive whole preferences (null: 1) in the place
+    of floor(sqrt(size)) + 1. No document exceeds max_copies copies: a fraction is left only where floor(f) < max_copies.
     """
     text = text_or_empty()
     grain = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text))), 1, 15), 16, 10).cast("long")
-    liking = F.coalesce(F.col(prefer).cast("double"), F.lit(1.0)) if prefer else F.lit(1.0)
-    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _source_key().alias("skey"), word_count(text).alias("size"), grain.alias("grain"), liking.alias("liking")), "sizes")
-    targets = source_targets(rows, weights, max_copies)
-    mean = rows.groupBy("skey").agg((F.sum(F.col("liking") * F.col("size")) / F.greatest(F.sum("size"), F.lit(1))).alias("mean_liking"))
-    plan = targets.join(mean, "skey")
+    given = F.coalesce(F.col(f"`{prefer}`").cast("long"), F.lit(1)) if prefer else F.lit(None).cast("long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _source_key().alias("skey"), word_count(text).alias("size"), grain.alias("draw"), given.alias("given"))
+    rows = cut(rows.withColumn("liking", F.coalesce("given", F.floor(F.sqrt("size")).cast("long") + 1)).drop("given"), "sizes")
+    plan = source_targets(rows, weights, max_copies)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    plan = cut(plan.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")), "targets")
-    plan = bounded_broadcast(plan, MAX_SOURCES)
-    share = F.least(F.greatest(F.col("rest") / F.greatest("source_size", F.lit(1)) * F.col("liking") / F.col("mean_liking"), F.lit(1e-9)), F.lit(1 - 1e-9))
-    # Q, brought back to [0, 1) by Q' / (1 + Q') with Q' = Q * odds(rest share): the order is Q's, and with equal preferences it is u itself.
-    u = (F.col("grain") + 0.5) / float(GRAIN)
-    if prefer:
-        base = F.least(F.greatest(F.col("rest") / F.greatest("source_size", F.lit(1)), F.lit(1e-9)), F.lit(1 - 1e-9))
-        q = _rank(u, share) * (base / (1 - base))
-        rows = rows.join(plan, "skey").withColumn("grain", (q / (1 + q) * float(GRAIN - 1)).cast("long"))
-    else:
-        rows = rows.join(plan, "skey")
-    rows = rows.select("doc_id", "source", "skey", "size", "grain", "source_size", "target", "whole", "rest", F.floor(F.col("grain") / F.lit(GRAIN // bins)).alias("bin"))
-    table = rows.groupBy("skey", "bin").agg(F.sum("size").alias("words"), F.count("*").alias("n"), F.first("rest").alias("rest"))
-    before = Window.partitionBy("skey").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    table = table.select("*", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("below"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_below"))
-    at = table.where(F.col("below") + F.col("words") > F.col("rest")).groupBy("skey").agg(F.min(F.struct("bin", "below", "n_below")).alias("a")).select("skey", F.col("a.bin").alias("lo"), F.col("a.below").alias("below"), F.col("a.n_below").alias("n_lo"))
-    end = table.select("skey", "bin", (F.col("n_below") + F.col("n")).alias("n_to")).join(at, "skey").where(F.col("n_to") >= F.col("n_lo") + FILL).groupBy("skey").agg(F.min("bin").alias("hi"))
-    region = bounded_broadcast(cut(at.join(end, "skey", "left").select("skey", "lo", F.greatest(F.coalesce("hi", F.lit(bins)), "lo").alias("hi"), "below"), "regions"), MAX_SOURCES)
-    rows = rows.join(region, "skey", "left")
-    inside = F.col("lo").isNotNull() & F.col("bin").between(F.col("lo"), F.col("hi"))
-    outside = rows.where(~inside).select("doc_id", "source", "size", "source_size", "target", "whole", (F.col("lo").isNull() | (F.col("bin") < F.col("lo"))).cast("long").alias("more"))
-    by_rank = Window.partitionBy("skey").orderBy("grain", F.col("doc_id").asc_nulls_last(), "size")
-    edge = rows.where(inside).withColumn("room", F.col("rest") - F.col("below")).withColumn("to", F.sum("size").over(by_rank.rowsBetween(Window.unboundedPreceding, 0)))
-    edge = edge.withColumn("fits", F.col("to") <= F.col("room"))
-    edge = edge.withColumn("gap", F.col("room") - F.coalesce(F.max(F.when(F.col("fits"), F.col("to"))).over(Window.partitionBy("skey")), F.lit(0))).withColumn("nth", F.row_number().over(Window.partitionBy("skey", "fits").orderBy("grain", F.col("doc_id").asc_nulls_last(), "size")))
-    first = edge.where(F.col("fits") | (F.col("nth") > FILL)).select("doc_id", "source", "size", "source_size", "target", "whole", F.col("fits").cast("long").alias("more"))
-    filling = edge.where(~F.col("fits") & (F.col("nth") <= FILL)).groupBy("skey", "source", "source_size", "target", "whole", "gap").agg(F.sort_array(F.collect_list(F.struct("nth", "doc_id", "size"))).alias("next"))
-    taken = F.aggregate(
-        "next",
-        F.struct(F.col("gap").alias("gap"), F.array().cast("array<struct<nth:int,doc_id:bigint,size:bigint,more:bigint>>").alias("out")),
-        lambda acc, x: F.struct(
-            F.when(x["size"] <= acc["gap"], acc["gap"] - x["size"]).otherwise(acc["gap"]).alias("gap"),
-            F.concat(acc["out"], F.array(F.struct(x["nth"].alias("nth"), x["doc_id"].alias("doc_id"), x["size"].alias("size"), (x["size"] <= acc["gap"]).cast("long").alias("more")))).alias("out"),
-        ),
-    )
-    # What is still open after that goes to the document that comes nearest to it, if that is nearer than none.
-    filling = filling.select("source", "source_size", "target", "whole", taken.alias("t")).select("source", "source_size", "target", "whole", F.col("t.gap").alias("gap"), F.col("t.out").alias("out"))
-    better = F.filter("out", lambda x: (x["more"] == 0) & (F.abs(x["size"] - F.col("gap")) < F.col("gap")))
-    filling = filling.withColumn("last", F.array_min(F.transform(better, lambda x: F.struct(F.abs(x["size"] - F.col("gap")).alias("off"), x["nth"].alias("nth"))))["nth"])
-    filled = filling.select("source", "source_size", "target", "whole", "last", F.explode("out").alias("x")).select("x.doc_id", "source", "x.size", "source_size", "target", "whole", F.when(F.col("x.nth") == F.col("last"), 1).otherwise(F.col("x.more")).cast("long").alias("more"))
-    out = outside.unionByName(first).unionByName(filled)
-    copies = F.least(F.col("whole") + F.col("more"), F.lit(max_copies)).cast("long")
-    return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "source")
+    plan = plan.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+    plan = cut(plan.withColumn("share", F.col("rest") / F.greatest("source_size", F.lit(1))).withColumn("mean", F.greatest("liked", F.lit(1)) / F.greatest("source_size", F.lit(1))), "targets")
+    # Q of the source's share alone has the odds of u; Q' / (1 + Q') brings the rank into [0, 1) around it.
+    p = F.least(F.greatest(F.col("share") * (F.col("liking") / F.col("mean")), F.lit(LEAST)), F.lit(MOST))
+    even = F.least(F.greatest("share", F.lit(LEAST)), F.lit(MOST))
+    u = (F.col("draw") + 0.5) / float(GRAIN)
+    ranked = rows.join(bounded_broadcast(plan, MAX_SOURCES), "skey").withColumn("p", p)
+    ranked = ranked.withColumn("q", pareto_rank(u, F.col("p")) * (even / (1 - even)))
+    ranked = ranked.select("doc_id", "source", "skey", "size", "source_size", "target", "whole", "p", F.least(F.floor(F.col("q") / (1 + F.col("q")) * float(GRAIN)), F.lit(GRAIN - 1)).alias("grain"))
+    ranked = cut(ranked.withColumn("key", F.struct("grain", F.col("doc_id").isNull().alias("none"), "doc_id", "size")), "ranks")
+    drop(rows)
+    units = ranked.groupBy("skey", "key").agg(F.first("grain").alias("grain"), F.first("size").alias("size"), F.sum("size").alias("words"))
+    first = cut(prefix_end(units, plan.select("skey", F.floor("rest").cast("long").alias("room")), edge), "first")
+    small = bounded_broadcast(first, MAX_SOURCES)
+    left = units.join(small, "skey").where(~_taken()).withColumn("gap", F.col("room") - F.col("met")).select("skey", "key", "grain", "words", "gap")
+    gaps = first.where("cut_off").select("skey", (F.col("room") - F.col("met")).alias("room"))
+    second = cut(prefix_end(left.where(F.col("words") <= F.col("gap")).drop("gap"), gaps, edge), "second")
+    open_ = left.drop("gap").join(bounded_broadcast(second, MAX_SOURCES), "skey").withColumn("open", F.col("room") - F.col("met"))
+    open_ = open_.where((F.col("words") > F.col("room")) | ~_taken())
+    nearest = open_.where(F.abs(F.col("words") - F.col("open")) < F.col("open")).groupBy("skey").agg(F.min(F.struct(F.abs(F.col("words") - F.col("open")).alias("off"), "key")).alias("n")).select("skey", F.col("n.key").alias("nearest"))
+    ends = first.select("skey", "cut_off", "lo", "end", (F.col("room") - F.col("met")).alias("gap"))
+    more = second.select("skey", F.col("cut_off").alias("cut_off2"), F.col("lo").alias("lo2"), F.col("end").alias("end2")).join(nearest, "skey", "left")
+    ends = bounded_broadcast(cut(ends.join(more, "skey", "left"), "ends"), MAX_SOURCES)
+    rows = ranked.join(ends, "skey")
+    # Identical rows are one unit: their words count together.
+    twice = units.where("words > size").select("skey", "key", "words")
+    rows = rows.join(twice, ["skey", "key"], "left").withColumn("words", F.coalesce("words", "size"))
+    in_second = F.coalesce((F.col("words") <= F.col("gap")) & (F.col("cut_off2").isNull() | (F.col("grain") < F.col("lo2")) | F.coalesce(F.col("key") <= F.col("end2"), F.lit(False))), F.lit(False))
+    further = _taken() | in_second | F.coalesce(F.col("key") == F.col("nearest"), F.lit(False))
+    copies = F.least(F.col("whole") + further.cast("long"), F.lit(max_copies)).cast("long")
+    return rows.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "source", F.col("p").alias("inclusion"))
 
 
 ORACLE = """
 WITH base AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN '~' ELSE 'v' || source END AS skey,
          len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS grain
+         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS draw
   FROM documents
-), per AS (SELECT skey, sum(size)::BIGINT AS source_size, CASE (row_number() OVER (ORDER BY skey) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM base GROUP BY skey),
+), liked AS (SELECT *, floor(sqrt(size::DOUBLE))::BIGINT + 1 AS liking FROM base),
+per AS (SELECT skey, sum(size)::BIGINT AS source_size, sum(liking * size)::BIGINT AS liked, CASE (row_number() OVER (ORDER BY skey) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM liked GROUP BY skey),
 cap AS (SELECT *, (source_size * 3)::BIGINT AS cap, (source_size * 3)::DOUBLE / w AS ratio, (sum(source_size) OVER ())::DOUBLE AS total FROM per),
 share AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY ratio, skey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE) / sum(w) OVER (ORDER BY ratio, skey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share FROM cap),
 level AS (SELECT max(CASE WHEN share < ratio THEN share END) AS level FROM share),
-goal AS (SELECT skey, source_size, CASE WHEN level IS NULL OR ratio <= level THEN cap::DOUBLE ELSE level * w END AS target FROM share, level),
+goal AS (SELECT skey, source_size, liked, CASE WHEN level IS NULL OR ratio <= level THEN cap::DOUBLE ELSE level * w END AS target FROM share, level),
 plan AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM goal),
-rest AS (SELECT *, target - whole * source_size AS rest FROM plan),
-doc AS (SELECT b.*, r.source_size, r.target, r.whole, r.rest, grain // (1152921504606846976 // 1024) AS bin FROM base b JOIN rest r USING (skey)),
-bins AS (SELECT skey, bin, sum(size)::BIGINT AS words, count(*) AS n, any_value(rest) AS rest FROM doc GROUP BY 1, 2),
-cum AS (SELECT *, coalesce(sum(words) OVER q, 0)::BIGINT AS below, coalesce(sum(n) OVER q, 0)::BIGINT AS n_below FROM bins WINDOW q AS (PARTITION BY skey ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-edge AS (SELECT skey, min(bin) AS lo, arg_min(below, bin) AS below, arg_min(n_below, bin) AS n_lo FROM cum WHERE below + words > rest GROUP BY 1),
-region AS (SELECT e.skey, lo, e.below, greatest(lo, coalesce((SELECT min(bin) FROM cum c WHERE c.skey = e.skey AND c.n_below + c.n >= e.n_lo + 64), 1024)) AS hi FROM edge e),
-placed AS (SELECT d.*, g.lo, g.hi, d.rest - g.below AS room, g.lo IS NOT NULL AND d.bin BETWEEN g.lo AND g.hi AS inside FROM doc d LEFT JOIN region g USING (skey)),
-ranked AS (SELECT *, (sum(size) OVER (PARTITION BY skey ORDER BY grain, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT AS upto FROM placed WHERE inside),
-fit AS (SELECT *, upto <= room AS fits FROM ranked),
-num AS (SELECT *, room - coalesce(max(CASE WHEN fits THEN upto END) OVER (PARTITION BY skey), 0) AS gap, row_number() OVER (PARTITION BY skey, fits ORDER BY grain, doc_id, size) AS nth FROM fit),
-lists AS (SELECT skey, any_value(gap) AS gap, list({'doc_id': doc_id, 'size': size} ORDER BY nth) AS items FROM num WHERE NOT fits AND nth <= 64 GROUP BY 1),
-walk AS (
-  WITH RECURSIVE step(skey, i, gap, doc_id, size, more) AS (
-    SELECT skey, 0, gap, NULL::BIGINT, NULL::BIGINT, 0 FROM lists
-    UNION ALL
-    SELECT s.skey, s.i + 1, CASE WHEN l.items[s.i + 1].size <= s.gap THEN s.gap - l.items[s.i + 1].size ELSE s.gap END, l.items[s.i + 1].doc_id, l.items[s.i + 1].size, CASE WHEN l.items[s.i + 1].size <= s.gap THEN 1 ELSE 0 END
-    FROM step s JOIN lists l USING (skey) WHERE s.i < len(l.items)
-  ) SELECT * FROM step
-), ended AS (SELECT skey, arg_max(gap, i) AS gap FROM walk GROUP BY 1),
-last AS (SELECT w.skey, arg_min(w.i, (abs(w.size - e.gap), w.i)) AS i FROM walk w JOIN ended e USING (skey) WHERE w.i > 0 AND w.more = 0 AND abs(w.size - e.gap) < e.gap GROUP BY 1),
-more AS (
-  SELECT doc_id, skey, CASE WHEN lo IS NULL OR bin < lo THEN 1 ELSE 0 END AS more FROM placed WHERE NOT inside
-  UNION ALL SELECT doc_id, skey, CASE WHEN fits THEN 1 ELSE 0 END FROM num WHERE fits OR nth > 64
-  UNION ALL SELECT w.doc_id, w.skey, CASE WHEN l.i = w.i THEN 1 ELSE w.more END FROM walk w LEFT JOIN last l USING (skey) WHERE w.i > 0
-)
-SELECT d.doc_id, d.size, d.source_size, d.target, (least(d.whole + m.more, 3) * d.size)::BIGINT AS taken
-FROM doc d JOIN more m ON m.doc_id = d.doc_id AND m.skey = d.skey
+rest AS (SELECT *, target - whole * source_size AS rest, (target - whole * source_size) / greatest(source_size, 1) AS share, greatest(liked, 1)::DOUBLE / greatest(source_size, 1) AS mean FROM plan),
+odds AS (SELECT l.*, r.source_size, r.target, r.whole, floor(r.rest)::BIGINT AS room, (draw + 0.5::DOUBLE) / 1152921504606846976::DOUBLE AS u,
+  least(greatest(r.share * (l.liking / r.mean), 1e-9::DOUBLE), (1 - 1e-9::DOUBLE)) AS p, least(greatest(r.share, 1e-9::DOUBLE), (1 - 1e-9::DOUBLE)) AS even FROM liked l JOIN rest r USING (skey)),
+pareto AS (SELECT *, ((u / (1 - u)) / (p / (1 - p))) * (even / (1 - even)) AS q FROM odds),
+unit AS (SELECT skey, least(floor(q / (1 + q) * 1152921504606846976::DOUBLE)::BIGINT, 1152921504606846975) AS grain, doc_id, size, any_value(source_size) AS source_size, any_value(target) AS target, any_value(whole) AS whole, any_value(room) AS room, sum(size)::BIGINT AS words, count(*) AS n FROM pareto GROUP BY 1, 2, 3, 4),
+one AS (SELECT *, sum(words) OVER (PARTITION BY skey ORDER BY grain, doc_id NULLS LAST, size) <= room AS fits FROM unit),
+gaps AS (SELECT *, room - coalesce(sum(CASE WHEN fits THEN words END) OVER (PARTITION BY skey), 0) AS gap FROM one),
+two AS (SELECT *, NOT fits AND words <= gap AND sum(CASE WHEN NOT fits AND words <= gap THEN words ELSE 0 END) OVER (PARTITION BY skey ORDER BY grain, doc_id NULLS LAST, size) <= gap AS fits2 FROM gaps),
+still AS (SELECT *, gap - coalesce(sum(CASE WHEN fits2 THEN words END) OVER (PARTITION BY skey), 0) AS open FROM two),
+last AS (SELECT *, NOT fits AND NOT fits2 AND abs(words - open) < open AND row_number() OVER (PARTITION BY skey ORDER BY CASE WHEN NOT fits AND NOT fits2 AND abs(words - open) < open THEN 0 ELSE 1 END, abs(words - open), grain, doc_id NULLS LAST, size) = 1 AS nearest FROM still)
+SELECT doc_id, size, source_size, target, (least(whole + (fits OR fits2 OR nearest)::INT, 3) * size)::BIGINT AS taken FROM (SELECT *, unnest(range(n)) FROM last)
 """

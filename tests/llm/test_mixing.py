@@ -50,13 +50,51 @@ def test_taken_comes_near_target(spark):
 
 
 def test_preferences_change_inclusion(spark):
-    rows = [(i, "w " * 10, "a" if i < 2000 else "b", 4.0 if i % 2 else 1.0) for i in range(3000)]
-    out = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string, liking double"), weights=(1, 2), prefer="liking").toPandas()
+    rows = [(i, "w " * 10, "a" if i < 2000 else "b", 4 if i % 2 else 1) for i in range(3000)]
+    out = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string, `li.king` long"), weights=(1, 2), prefer="li.king").toPandas()
     part = out[out.source == "a"]
     liked, other = part[part.doc_id % 2 == 1].copies.mean(), part[part.doc_id % 2 == 0].copies.mean()
     assert liked > other + 0.2 and abs(part.taken.sum() - part.target.iloc[0]) <= 10
 
 
+def test_inclusion_frequencies_match_the_probabilities(spark):
+    """Over seeds, documents of each size are taken as often as their inclusion says, and longer ones more often."""
+    rows = [(i, "w " * (4, 36, 144)[i % 3], "a" if i < 1500 else "b") for i in range(2400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").cache()
+    met = []
+    for seed in range(5):
+        out = mixing.mix_sources(df, weights=(1, 3), seed=f"s{seed}").where("source = 'a'").toPandas()
+        met.append(out.assign(more=out.copies - out.copies.min()).groupby("size").agg(said=("inclusion", "first"), seen=("more", "mean")))
+        assert abs(out.taken.sum() - out.target.iloc[0]) <= 4
+    said = met[0].said
+    seen = sum(m.seen for m in met) / len(met)
+    assert said.is_monotonic_increasing and said.iloc[-1] > 2 * said.iloc[0]
+    assert ((seen - said).abs() < 0.06).all(), (seen, said)
+
+
+def test_a_long_document_at_the_edge_leaves_no_gap(spark):
+    rows = [(i, "w " * (30_000 if i == 5 else 20), "a" if i < 4000 else "b") for i in range(9000)]
+    for seed in ("x", "y", "z"):
+        out = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1, 2), seed=seed, edge=50).toPandas()
+        g = out.groupby("source").agg(t=("target", "first"), k=("taken", "sum"))
+        assert ((g.k - g.t).abs() <= 20).all()
+
+
+def test_narrow_edges_give_the_same_mix(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    get = lambda e: sorted(map(tuple, mixing.mix_sources(df, edge=e).select("doc_id", "taken").collect()))
+    assert get(1) == get(4096)
+
+
+def test_very_many_sources_are_not_sorted_in_one_task(spark):
+    rows = [(i, "w " * (1 + i % 50), f"s{i % 400:03d}") for i in range(2000)]
+    out = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    sizes = {f"s{k:03d}": sum(1 + i % 50 for i in range(k, 2000, 400)) for k in range(400)}
+    want = targets(sizes, (5, 2, 1))
+    for r in out.select("source", "target").distinct().collect():
+        assert abs(r.target - want[r.source]) < 1e-6 * want[r.source]
+
+
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_sql(spark, sf):
     d = f"/root/testdata/{sf}"
