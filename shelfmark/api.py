@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from shelfmark.operators import search as S
 from shelfmark.operators import views
 from shelfmark.operators.votes import labelled_counts
-from shelfmark.vocabulary import STATUSES, VERDICTS
+from shelfmark.vocabulary import STATUSES, STOP_WORDS, VERDICTS
 
 Tables = dict[str, DataFrame]
 
@@ -62,6 +63,60 @@ def catalogue_summary(t: Tables) -> DataFrame:
     return sizes.union(types).union(kinds)
 
 
+MOST_CHARACTERS = 800
+
+
+def checked_question(question: str) -> str:
+    bare = question.strip()
+    if not bare:
+        raise ValueError("ask a question")
+    if len(bare) > MOST_CHARACTERS:
+        raise ValueError(f"a question has at most {MOST_CHARACTERS} characters")
+    return bare
+
+
+def question_words(question: str) -> list[str]:
+    """The words a question is searched by, as functions.text.question_terms has them."""
+    words = [w for w in re.findall(r"[\w-]+", checked_question(question).casefold()) if len(w) >= 3 and w not in STOP_WORDS]
+    return words[:6]
+
+
+def grounding(t: Tables, question: str) -> dict[str, DataFrame]:
+    """What an answer may draw on: 8 entities with any of the question's terms, 6 recipes by its first."""
+    terms = question_words(question)
+    recipes = views.ranked_recipes(t["recipe"], t["recipe_attempt"], text=terms[0] if terms else "", limit=6)
+    return {
+        "entities": S.search_any(t["entity"], terms, ["canonical_name", "summary", "highlights", "tags"], "id", 8),
+        "recipes": recipes.select("dish_name", "cuisine", "cuisine_family", "summary", "shortcode", "url"),
+    }
+
+
+def conversation(messages: DataFrame, session: int, n: int = 12) -> DataFrame:
+    """The last n messages of a session, oldest first."""
+    return views.last_messages(messages.where(F.col("session_id") == session), "session_id", "id", n).orderBy("id")
+
+
+def asked(sessions: DataFrame, messages: DataFrame, question: str, stamp: str, session: int | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """(sessions, messages, session) with a question put down; without a session a new one is titled after it, an unknown one is refused."""
+    bare = checked_question(question)
+    spark = sessions.sparkSession
+    if session is None:
+        session = sessions.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] + 1
+        compact = " ".join(bare.split())
+        new = spark.range(1).select(F.lit(session).alias("id"), F.lit(compact[:72] + ("…" if len(compact) > 72 else "")).alias("title"), F.lit(stamp).alias("created_at"), F.lit(stamp).alias("updated_at"))
+        sessions = sessions.unionByName(new)
+    elif not sessions.where(F.col("id") == session).limit(1).count():
+        raise ValueError(f"no such conversation: {session}")
+    number = messages.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] + 1
+    row = spark.range(1).select(F.lit(number).alias("id"), F.lit(session).alias("session_id"), F.lit("user").alias("role"), F.lit(bare).alias("content"), F.lit(stamp).alias("created_at"))
+    return sessions, messages.unionByName(row), session
+
+
+def without_session(sessions: DataFrame, messages: DataFrame, session: int) -> tuple[DataFrame, DataFrame]:
+    """A deleted session takes its messages along."""
+    return sessions.where(F.col("id") != session), messages.where(F.col("session_id") != session)
+
+
 def checked_attempt(verdict: str, rating: int | None = None, cooked_at: str | None = None) -> dict:
     if verdict not in VERDICTS:
         raise ValueError(f"unknown verdict: {verdict}")

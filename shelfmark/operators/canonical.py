@@ -59,28 +59,64 @@ def decide(rows: DataFrame) -> DataFrame:
     return df.select(*rows.columns, out.alias("decision"))
 
 
+def spread(names: DataFrame) -> DataFrame:
+    """type, name, token: each name under the token of its key that the fewest names of its type have, which a text that holds the name has, too."""
+    rows = names.where(name_key("name") != "").select("type", F.trim("name").alias("name")).distinct()
+    tokens = rows.select("type", "name", F.explode(F.array_distinct(F.split(name_key("name"), " "))).alias("token"))
+    common = tokens.groupBy("type", "token").agg(F.count("*").alias("n"))
+    return tokens.join(common, ["type", "token"]).groupBy("type", "name").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
+
+
+def found_names(texts: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """key, name: the names of names (type, name) that stand as whole words in the texts (key, type, body) of their type.
+
+    Joined on one token a name, so a text meets the names whose rarest token it has and no others.
+    """
+    keyed = texts.select(key, "type", name_key("body").alias("body")).where("body <> ''")
+    words = keyed.select(key, "type", F.explode(F.array_distinct(F.split("body", " "))).alias("token"))
+    met = words.join(spread(names), ["type", "token"]).select(key, "type", "name").distinct()
+    there = F.concat(F.lit(" "), "body", F.lit(" ")).contains(F.concat(F.lit(" "), name_key("name"), F.lit(" ")))
+    return met.join(keyed, [key, "type"]).where(there).select(key, "name").distinct()
+
+
+def with_known(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """rows (id, name, type, evidence) with known: the other names of their type that stand in their evidence. decide() asks for no others."""
+    texts = rows.select("id", "type", F.explode("evidence").alias("e")).select("id", "type", F.col("e.quote").alias("body"))
+    known = found_names(texts, names, "id").groupBy("id").agg(F.sort_array(F.collect_set("name")).alias("__known"))
+    out = rows.drop("known").join(known, "id", "left")
+    return out.withColumn("known", F.array_except(F.coalesce("__known", F.array().cast("array<string>")), F.array("name"))).drop("__known")
+
+
+def local_names(candidates: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFrame:
+    """type, name: other candidates' names, entries' names, and the names of entries with an alias, each once."""
+    names = candidates.select("type", "name").union(entities.select("type", "canonical_name"))
+    return names.union(aliases.join(entities.select(F.col("id").alias("entity_id"), "type", "canonical_name"), "entity_id").select("type", "canonical_name")).where("name is not null").distinct()
+
+
 def with_inputs(candidates: DataFrame, reels: DataFrame, screen_text: DataFrame, transcripts: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFrame:
     """candidates with known spellings and with the evidence that the account's name and the sources themselves give.
 
-    known is one list a type, gathered once and joined on the type: other candidates' names, entries' names, and the
-    names of entries with an alias.
+    known are the local names of the type that stand in the evidence or a source; no type's names are ever gathered in one row.
     """
-    names = candidates.select("type", "name").union(entities.select("type", "canonical_name"))
-    names = names.union(aliases.join(entities.select(F.col("id").alias("entity_id"), "type", "canonical_name"), "entity_id").select("type", "canonical_name")).where("name is not null")
-    known = names.groupBy("type").agg(F.collect_set("name").alias("__names"))
     own = latest_per_key(screen_text, ["shortcode"], "created_at", "seq").select("shortcode", F.col("text").alias("__ocr"))
     asr = latest_per_key(transcripts, ["shortcode"], "created_at", "seq").select("shortcode", F.col("text").alias("__asr"))
-    df = candidates.join(known, "type", "left").join(reels.select("shortcode", F.col("username").alias("__user"), F.col("caption").alias("__cap")), "shortcode", "left").join(own, "shortcode", "left").join(asr, "shortcode", "left")
+    df = candidates.join(reels.select("shortcode", F.col("username").alias("__user"), F.col("caption").alias("__cap")), "shortcode", "left").join(own, "shortcode", "left").join(asr, "shortcode", "left")
     user = F.regexp_replace(F.trim(F.coalesce("__user", F.lit(""))), "^@+", "")
     cite = lambda source, quote: F.struct(F.lit(source).alias("source"), quote.alias("quote"))
-    known = F.coalesce("__names", F.array().cast("array<string>"))
-    extra = [F.when((user != "") & (name_key(user) == name_key("name")), cite("account", user))]
-    for source, c in (("caption", "__cap"), ("ocr", "__ocr"), ("transcript", "__asr")):
-        body = F.trim(F.coalesce(c, F.lit("")))
-        new = ~F.exists("evidence", _is(source, body))
-        extra.append(F.when((body != "") & new & F.exists(F.array_union(known, F.array("name")), _inside(body)), cite(source, body)))
     mine = F.transform("evidence", lambda x: F.struct(x["source"].alias("source"), x["quote"].alias("quote")))
-    return df.select(*[c for c in candidates.columns if c != "evidence"], F.concat(mine, F.filter(F.array(*extra), lambda x: x.isNotNull())).alias("evidence"), F.array_except(known, F.array("name")).alias("known"))
+    account = F.when((user != "") & (name_key(user) == name_key("name")), cite("account", user))
+    bodies = {"caption": "__cap", "ocr": "__ocr", "transcript": "__asr"}
+    df = df.select(*candidates.columns, *bodies.values(), mine.alias("__mine"), account.alias("__account"))
+    every = F.concat(F.transform("__mine", lambda x: x["quote"]), F.array("__account.quote", *bodies.values()))
+    texts = df.select("id", "type", F.explode(F.filter(every, lambda t: t.isNotNull())).alias("body"))
+    known = found_names(texts, local_names(candidates, entities, aliases), "id").groupBy("id").agg(F.sort_array(F.collect_set("name")).alias("__known"))
+    df = df.join(known, "id", "left").withColumn("__known", F.coalesce("__known", F.array().cast("array<string>")))
+    extra = [F.col("__account")]
+    for source, c in bodies.items():
+        body = F.trim(F.coalesce(c, F.lit("")))
+        new = ~F.exists("__mine", _is(source, body))
+        extra.append(F.when((body != "") & new & F.exists(F.array_union("__known", F.array("name")), _inside(body)), cite(source, body)))
+    return df.select(*[c for c in candidates.columns if c != "evidence"], F.concat("__mine", F.filter(F.array(*extra), lambda x: x.isNotNull())).alias("evidence"), F.array_except("__known", F.array("name")).alias("known"))
 
 
 def _is(source: str, quote: Column):

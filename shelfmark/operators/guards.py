@@ -6,10 +6,11 @@ Order matters: split names, drop repeats, drop file listings, drop prices, then
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text as T
+from shelfmark.operators import canonical, evidence
 from shelfmark.operators.state import first_per_key
 
 FILE_LIKE = r"(?i)(/$|\.(md|sh|py|js|ts|tsx|json|ya?ml|txt|toml|cfg|ini|sql|html|css|env)$)"
@@ -31,10 +32,16 @@ def without_repeats(rows: DataFrame) -> DataFrame:
 
 
 def without_listings(rows: DataFrame, least: int = FILE_LISTING) -> DataFrame:
-    """Drop file-like names where a reel has least or more: a picture of a directory, not entities."""
+    """Drop file-like names where a reel has least or more: a picture of a directory, not entities. An aggregate and an anti join: a hot reel's rows never meet in one task."""
     flag = F.trim("name").rlike(FILE_LIKE)
-    n = F.sum(flag.cast("int")).over(Window.partitionBy("shortcode"))
-    return rows.withColumn("__n", n).where(~flag | (F.col("__n") < least)).drop("__n")
+    listed = rows.where(flag).groupBy("shortcode").count().where(F.col("count") >= least).select("shortcode", F.lit(True).alias("__file"))
+    return rows.withColumn("__file", flag).join(listed, ["shortcode", "__file"], "left_anti").select(*rows.columns)
+
+
+def small_groups(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """Rows of the groups of at most most rows; sizes are an aggregate and an anti join."""
+    large = rows.groupBy(*keys).count().where(F.col("count") > most).select(*keys)
+    return rows.join(large, keys, "left_anti")
 
 
 def without_prices(rows: DataFrame) -> DataFrame:
@@ -65,8 +72,11 @@ def combine(mentions: DataFrame, details: DataFrame, recipe: DataFrame | None =
     """mentions (shortcode, ord, name, type, source, ...) with the details of the same name key; the last detail of a key wins.
 
     Mentions without details keep their own fields and have null ones. In reels listed in recipe (shortcode), mentions of
-    type recipe, method or exercise and those seen by OCR alone go.
+    type recipe, method or exercise and those seen by OCR alone (source, or all of an evidence column) go; mentions that aren't direct
+    (where there is such a column) go everywhere.
     """
+    if "direct" in mentions.columns:
+        mentions = mentions.where(F.coalesce("direct", F.lit(True)))
     keyed = details.withColumn("__k", T.name_key("name"))
     last = keyed.groupBy("shortcode", "__k").agg(F.max_by(F.struct(*[c for c in details.columns if c not in ("shortcode", "name", "ord", "type")]), "ord").alias("__d"))
     out = mentions.withColumn("__k", T.name_key("name")).join(last, ["shortcode", "__k"], "left").select(*mentions.columns, "__d.*")
@@ -74,10 +84,41 @@ def combine(mentions: DataFrame, details: DataFrame, recipe: DataFrame | None =
         return out
     listed = recipe.select("shortcode", F.lit(True).alias("__r")).distinct()
     out = out.join(listed, "shortcode", "left")
-    gone = F.coalesce("__r", F.lit(False)) & (F.col("type").isin("recipe", "method", "exercise") | (F.col("source") == "ocr"))
+    seen_only = F.forall(F.coalesce("evidence", F.array().cast(out.schema["evidence"].dataType)), lambda x: x["source"] == "ocr") if "evidence" in out.columns else F.col("source") == "ocr"
+    gone = F.coalesce("__r", F.lit(False)) & (F.col("type").isin("recipe", "method", "exercise") | seen_only)
     return out.where(~gone).drop("__r")
 
 
+def staged_mode(content_kind: Column, mode: Column) -> Column:
+    """Anything with a content kind is repertoire."""
+    return F.when(F.trim(F.coalesce(content_kind, F.lit(""))) != "", "repertoire").otherwise(mode)
+
+
+def staged_topic(topic: Column, content_kind: Column, recipes: Column) -> Column:
+    """The trimmed topic; a recipe's that only says so gives way to its first dish."""
+    bare = F.trim(topic)
+    generic = (content_kind == "recipe") & F.lower(bare).isin("repertoire", "recette", "recipe") & (F.size(recipes) > 0)
+    return F.when(F.coalesce(generic, F.lit(False)), F.get(recipes, 0)["dish_name"]).otherwise(bare)
+
+
+def materialise(old: DataFrame, responses: DataFrame, sources: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(candidates, name decisions) after new responses: the guards, then evidence, then the canonical name, replacing model rows only.
+
+    old: candidates (shortcode, source, name, ...); responses: rows as guarded() takes them, with evidence, one reel's rows
+    together; sources as evidence.assess() takes them; known: (type, name) of names attested elsewhere. Rows of other origins stay, and so do
+    reels without responses. Applying stored responses again gives the same rows: replay and extraction are one path.
+    """
+    kept = guarded(responses).withColumn("id", F.xxhash64("shortcode", "ord", "name"))
+    judged = evidence.assess(kept, sources).withColumnsRenamed({"status": "evidence_status", "note": "evidence_note"}).withColumn("source", F.lit("llm"))
+    judged = judged.withColumn("evidence", F.col("kept")).drop("kept", "context")
+    replaced = responses.select("shortcode").distinct()
+    rest = old.where(F.col("source") != "llm").unionByName(old.where(F.col("source") == "llm").join(replaced, "shortcode", "left_anti"))
+    quotes = judged.select("id", "shortcode", "name", "type", F.transform("evidence", lambda x: F.struct(x["source"].alias("source"), x["quote"].alias("quote"))).alias("evidence"))
+    named = quotes.withColumn("known", F.array().cast("array<string>")) if known is None else canonical.with_known(quotes, known)
+    decisions = canonical.decide(named).select("id", "shortcode", "name", "decision.*")
+    return rest.unionByName(judged, allowMissingColumns=True), decisions
+
+
 STORED = "struct<fiche:{f},discovery:struct<mentions:array<{m}>>,enrichment:struct<entities:array<{e}>>,content_index:struct<recipes:array<struct<dish_name:string,cuisine:string,summary:string>>>>"
 FICHE = "struct<is_actionable:boolean,topic:string,why_saved:string,confidence:double,mode:string,tags:array<string>,key_points:array<string>,content_kind:string>"
 ENTITY = "struct<name:string,name_latin:string,type:string,facets:array<string>,scale:string,city:string,country:string,locality:string,tags:array<string>,confidence:double>"

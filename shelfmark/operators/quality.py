@@ -30,23 +30,80 @@ def false_positives(expected: DataFrame, actual: DataFrame, complete: DataFrame)
     return rows.join(hit, ["case", "id"], "left_anti")
 
 
-def scorecard(cases: DataFrame, expected: DataFrame, actual: DataFrame, extraction: DataFrame, by: str | None = None) -> DataFrame:
-    """Counts and ratios over cases (case, category, scope, mode, content_kind, actionable; null: not expected).
+def projected(actual: DataFrame, decisions: DataFrame) -> DataFrame:
+    """actual with the name that the decision on it (id, status, canonical_name) resolves, its own where it abstains."""
+    said = decisions.select("id", F.when(F.col("status") == "resolved", F.col("canonical_name")).alias("__name"))
+    return actual.join(said, "id", "left").withColumn("name", F.coalesce("__name", "name")).drop("__name")
 
-    actual: model rows only; human ones are to be left out by the caller. extraction: case, ok, mode, content_kind, actionable.
+
+def named_found(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """case, wanted, met of expected (case, ord, name, aliases) whose name or an alias has the key of an actual (case, name)."""
+    keys = expected.select("case", "ord", F.explode(F.array_union(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("a")).select("case", "ord", name_key("a").alias("k")).distinct()
+    hit = keys.join(actual.select("case", name_key("name").alias("k")).distinct(), ["case", "k"], "left_semi").select("case", "ord").distinct().withColumn("hit", F.lit(1))
+    return expected.join(hit, ["case", "ord"], "left").groupBy("case").agg(F.count("*").alias("wanted"), F.count("hit").alias("met"))
+
+
+def terms_found(terms: DataFrame, points: DataFrame) -> DataFrame:
+    """case, wanted, met of terms (case, term) whose key stands in the key of the case's key points (case, points array), joined by spaces."""
+    said = points.select("case", name_key(F.array_join("points", " ")).alias("said"))
+    rows = terms.join(said, "case", "left")
+    return rows.groupBy("case").agg(F.count("*").alias("wanted"), F.count_if(F.coalesce("said", F.lit("")).contains(name_key("term"))).alias("met"))
+
+
+def case_results(cases: DataFrame, expected: DataFrame, actual: DataFrame, extraction: DataFrame, decisions: DataFrame | None = None, recipes: tuple[DataFrame, DataFrame] | None = None, terms: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """One row a case: its status, what was expected of it and what of that was met, and what is missing.
+
+    recipes: (expected (case, ord, name, aliases), actual (case, name)); terms: (expected (case, term), (case, points)).
     """
-    found = match_expected(expected, actual).groupBy("case").agg(F.count("*").alias("entities_expected"), F.count_if("found").alias("entities_found"), F.count_if(F.col("found") & ~F.col("type_ok")).alias("type_errors"))
+    met = match_expected(expected, actual)
+    found = met.groupBy("case").agg(
+        F.count("*").alias("entities_expected"), F.count_if("found").alias("entities_found"), F.count_if(F.col("found") & ~F.col("type_ok")).alias("type_errors"),
+        F.transform(F.sort_array(F.collect_list(F.when(~F.col("found"), F.struct("ord", "name")))), lambda x: x["name"]).alias("missing"),
+    )
     complete = cases.where(F.col("scope") == "complete")
-    wrong = false_positives(expected, actual, complete).groupBy("case").agg(F.count("*").alias("false_positives"))
+    count = lambda df, name: df.groupBy("case").agg(F.count("*").alias(name))
+    shown = actual if decisions is None else projected(actual, decisions)
+    df = cases.join(found, "case", "left").join(count(false_positives(expected, actual, complete), "false_positives"), "case", "left")
+    canon = match_expected(expected, shown).groupBy("case").agg(F.count_if("found").alias("canonicalized_found"))
+    df = df.join(canon, "case", "left").join(count(false_positives(expected, shown, complete), "canonicalized_false_positives"), "case", "left")
+    if decisions is None:
+        df = df.withColumns({"resolved": F.lit(0), "abstained": F.lit(0)})
+    else:
+        said = actual.select("case", "id").join(decisions.select("id", "status"), "id").groupBy("case").agg(F.count_if(F.col("status") == "resolved").alias("resolved"), F.count_if(F.col("status") == "abstained").alias("abstained"))
+        df = df.join(said, "case", "left")
+    for name, part in (("recipes", recipes and named_found(*recipes)), ("terms", terms and terms_found(*terms))):
+        df = df.join(part.select("case", F.col("wanted").alias(f"{name}_expected"), F.col("met").alias(f"{name}_found")), "case", "left") if part else df.withColumns({f"{name}_expected": F.lit(0), f"{name}_found": F.lit(0)})
     e = extraction.select("case", "ok", *[F.col(c).alias(f"__{c}") for c in ("mode", "content_kind", "actionable")])
-    df = cases.join(found, "case", "left").join(wrong, "case", "left").join(e, "case", "left")
+    df = df.join(e, "case", "left")
     ok = F.coalesce(F.col("ok"), F.lit(False))
-    sums = [F.count("*").alias("cases"), *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("entities_expected", "entities_found", "type_errors", "false_positives")]]
+    status = F.when(F.col("ok").isNull(), "absent").when(~ok, "failed").otherwise("ok")
+    right = {}
     for c in ("mode", "content_kind", "actionable"):
         said = F.coalesce(F.col("__content_kind"), F.lit("")) if c == "content_kind" else F.col(f"__{c}")
-        sums += [F.count(c).alias(f"{c}_expected"), F.count_if(F.col(c).isNotNull() & ok & F.coalesce(said == F.col(c), F.lit(False))).alias(f"{c}_correct")]
+        right[f"{c}_correct"] = F.when(F.col(c).isNotNull(), ok & F.coalesce(said == F.col(c), F.lit(False)))
+    df = df.withColumns({"status": status, **right}).withColumn("fp_cases", (F.col("scope") == "complete").cast("int"))
+    return df.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in COUNTS} | {"missing": F.coalesce("missing", F.array().cast("array<string>"))}).drop("__mode", "__content_kind", "__actionable")
+
+
+COUNTS = (
+    "entities_expected", "entities_found", "type_errors", "false_positives", "fp_cases", "canonicalized_found", "canonicalized_false_positives", "resolved", "abstained",
+    "recipes_expected", "recipes_found", "terms_expected", "terms_found",
+)
+
+
+def scorecard(cases: DataFrame, expected: DataFrame, actual: DataFrame, extraction: DataFrame, by: str | None = None, **more) -> DataFrame:
+    """Counts and ratios over cases (case, category, scope, mode, content_kind, actionable; null: not expected), in all or by a column.
+
+    actual: model rows only; human ones are to be left out by the caller. extraction: case, ok, mode, content_kind, actionable. more: see case_results.
+    """
+    df = case_results(cases, expected, actual, extraction, **more)
+    sums = [F.count("*").alias("cases"), *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in COUNTS]]
+    for c in ("mode", "content_kind", "actionable"):
+        sums += [F.count(c).alias(f"{c}_expected"), F.count_if(f"{c}_correct").alias(f"{c}_correct")]
     df = df.groupBy(by).agg(*sums) if by else df.agg(*sums)
-    ratios = {"recall": ratio(F.col("entities_found"), F.col("entities_expected"))} | {f"{c}_accuracy": ratio(F.col(f"{c}_correct"), F.col(f"{c}_expected")) for c in ("mode", "content_kind", "actionable")}
+    ratios = {"recall": ratio(F.col("entities_found"), F.col("entities_expected")), "canonicalized_recall": ratio(F.col("canonicalized_found"), F.col("entities_expected"))}
+    ratios |= {"recipe_recall": ratio(F.col("recipes_found"), F.col("recipes_expected")), "term_recall": ratio(F.col("terms_found"), F.col("terms_expected"))}
+    ratios |= {f"{c}_accuracy": ratio(F.col(f"{c}_correct"), F.col(f"{c}_expected")) for c in ("mode", "content_kind", "actionable")}
     return df.withColumns(ratios)
 
 
@@ -63,9 +120,17 @@ def length_stats(df: DataFrame, field: str) -> DataFrame:
 
 
 def frame_stats(df: DataFrame, field: str, cap: int) -> DataFrame:
-    """total, at_cap and saved: how many frames there are, how many rows reach the cap, what the cap saves."""
+    """total, at_cap, saved, median and max: how many frames there are, how many rows reach the cap, what the cap saves."""
     v = F.col(field)
-    return df.agg(F.count(v).alias("n"), F.coalesce(F.sum(v), F.lit(0)).cast("long").alias("total"), F.count_if(v >= cap).alias("at_cap"), F.coalesce(F.sum(v) - F.sum(F.least(v, F.lit(cap))), F.lit(0)).cast("long").alias("saved"))
+    middle = value_at(df, field, {"lo": F.floor((F.col("n") - 1) / 2), "hi": F.floor(F.col("n") / 2), "max": F.col("n") - 1})
+    middle = middle.select(((F.col("lo") + F.col("hi")) / 2).alias("median"), "max")
+    sums = df.agg(F.count(v).alias("n"), F.coalesce(F.sum(v), F.lit(0)).cast("long").alias("total"), F.count_if(v >= cap).alias("at_cap"), F.coalesce(F.sum(v) - F.sum(F.least(v, F.lit(cap))), F.lit(0)).cast("long").alias("saved"))
+    return sums.crossJoin(F.broadcast(middle))
+
+
+def worst(df: DataFrame, field: str, key: str, n: int = 5) -> DataFrame:
+    """The n rows with the least values, ties by key."""
+    return df.where(F.col(field).isNotNull()).orderBy(field, key).limit(n).select(field, key)
 
 
 def mean_of(segments: Column, field: str) -> Column:

@@ -6,11 +6,12 @@ on its name and fields and records what it rejects. Ids are kept by (name, type)
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import handle_key, maps_url, tag_key
 from shelfmark.operators import votes
+from shelfmark.operators.ordered import numbered
 from shelfmark.operators.state import first_per_key
 from shelfmark.vocabulary import PLACE_TYPES, TAG_RANK
 
@@ -63,12 +64,11 @@ def grouped(rows: DataFrame, fields: tuple[str, ...] = ("city", "country", "loca
 def with_ids(entries: DataFrame, previous: DataFrame | None = None) -> DataFrame:
     """entries with id: the previous entry's of the same name and type, else numbers after the largest, by name and type."""
     if previous is None:
-        return entries.withColumn("id", F.row_number().over(Window.orderBy("canonical_name", "type")).cast("long"))
+        return numbered(entries, ["canonical_name", "type"], "id")
     kept = entries.join(previous.select("canonical_name", "type", "id"), ["canonical_name", "type"])
     fresh = entries.join(previous.select("canonical_name", "type"), ["canonical_name", "type"], "left_anti")
-    top = previous.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
-    fresh = fresh.withColumn("id", (top + F.row_number().over(Window.orderBy("canonical_name", "type"))).cast("long"))
-    return kept.unionByName(fresh)
+    top = previous.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    return kept.unionByName(numbered(fresh, ["canonical_name", "type"], "id", top + 1))
 
 
 def links(rows: DataFrame, entries: DataFrame, order: str = "id") -> DataFrame:

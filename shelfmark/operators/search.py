@@ -3,7 +3,8 @@
 A query is parsed to a small tree on the driver and becomes one boolean expression over a document's folded texts, so a
 search is a scan with a filter and no shuffle. Tokens are the maximal runs of letters and digits, so words, phrases,
 prefixes and first tokens are patterns with the runs' edges; only NEAR makes token arrays. For many searches over a
-large corpus, token_table keeps the index as rows (id, field, pos, token), and and_ids intersects postings.
+large corpus, write_index keeps the tokens as rows (id, field, pos, token) in folders by token, and search_index answers the same
+queries from the few postings that a query names. refresh_index replaces the postings of changed documents.
 """
 
 from __future__ import annotations
@@ -251,6 +252,77 @@ def token_table(df: DataFrame, key: str, *fields: str) -> DataFrame:
     return out
 
 
+def token_counts(df: DataFrame, field: str) -> DataFrame:
+    """token, docs, n: in how many rows and how often each token of a field stands. Counted before the shuffle, whatever the number of rows."""
+    marked = let(F.array_sort(search_tokens(field)), lambda t: F.transform(t, lambda x, i: F.struct(x.alias("token"), F.when(x == F.get(t, i - 1), 0).otherwise(1).alias("first"))))
+    return df.select(F.explode(marked).alias("x")).groupBy("x.token").agg(F.sum("x.first").cast("long").alias("docs"), F.count("*").alias("n"))
+
+
+def refresh_index(index: DataFrame, changed: DataFrame, key: str, *fields: str) -> DataFrame:
+    """index with the postings of changed documents replaced; a document whose fields are all empty only loses its own."""
+    return index.join(changed.select(key).distinct(), key, "left_anti").unionByName(token_table(changed, key, *fields))
+
+
+BUCKETS = 256
+
+
+def _bucket(token: Column) -> Column:
+    """The folder of a token: by its first letters, so that a prefix of two letters or more reads one folder, too."""
+    return F.pmod(F.xxhash64(F.substring(token, 1, 2)), F.lit(BUCKETS)).cast("int")
+
+
+def write_index(index: DataFrame, path: str) -> None:
+    """Write postings into folders by token, sorted inside, so that a search reads the folders and row groups of its own words."""
+    out = index.withColumn("bucket", _bucket(F.col("token")))
+    out.repartition("bucket", F.pmod(F.xxhash64("token"), F.lit(16))).sortWithinPartitions("bucket", "token").write.partitionBy("bucket").mode("overwrite").parquet(path)
+
+
+def _postings(index: DataFrame, key: str, p: Phrase) -> DataFrame:
+    """key, field, pos of each occurrence of a phrase."""
+    if not p.words:
+        return index.select(key, "field", "pos").limit(0)
+    out = None
+    for k, word in enumerate(p.words):
+        w = _plain(word)
+        is_prefix = p.prefix and k == len(p.words) - 1
+        rows = index.where(F.col("token").startswith(w) if is_prefix else F.col("token") == w)
+        if "bucket" in index.columns and (not is_prefix or len(w) >= 2):
+            rows = rows.where(F.col("bucket") == _bucket(F.lit(w)))
+        rows = rows.select(key, "field", (F.col("pos") - k).alias("pos"))
+        out = rows if out is None else out.join(rows, [key, "field", "pos"], "left_semi")
+    if p.column is not None:
+        out = out.where(F.col("field") == p.column)
+    return out.where("pos = 0") if p.first else out
+
+
+def search_index(index: DataFrame, query: str, key: str, fields: list[str]) -> DataFrame:
+    """key of the documents that match a query, from the postings of its words alone; the same answers as search()."""
+    tree = parse(query)
+
+    def near(n: Near) -> DataFrame:
+        first = _postings(index, key, n.phrases[0]).withColumnRenamed("pos", "i").distinct()
+        size_i = len(n.phrases[0].words)
+        for p in n.phrases[1:]:
+            other = _postings(index, key, p).withColumnRenamed("pos", "j")
+            gap = F.when(F.col("j") >= F.col("i"), F.col("j") - (F.col("i") + size_i)).otherwise(F.col("i") - (F.col("j") + len(p.words)))
+            first = first.join(other, [key, "field"]).where(gap <= n.distance).select(key, "field", "i").distinct()
+        return first.select(key).distinct()
+
+    def keys(node) -> DataFrame:
+        if isinstance(node, Phrase):
+            if node.column is not None and node.column not in fields:
+                raise QuerySyntaxError(f"no such column: {node.column}")
+            return _postings(index, key, node).select(key).distinct()
+        if isinstance(node, Near):
+            return near(node)
+        left, right = keys(node.left), keys(node.right)
+        if node.kind == "or":
+            return left.union(right).distinct()
+        return left.join(right, key, "left_semi" if node.kind == "and" else "left_anti")
+
+    return keys(tree)
+
+
 def and_ids(index: DataFrame, key: str, tokens: list[str]) -> DataFrame:
     """Keys whose rows in the index have all tokens."""
     want = sorted(set(tokens))

@@ -35,10 +35,12 @@ def upsert_seen(old: DataFrame, batch: DataFrame, key: str = "shortcode", stamp:
     """old (key, fields, first_seen_at, last_seen_at, unsaved_at) with a batch (key, fields, stamp, seq) applied.
 
     first_seen_at never moves, last_seen_at does, a row that is seen again isn't deleted any more; blank keys are
-    skipped; within a batch the last row wins. Fields that only old has are kept.
+    skipped; within a batch the last row wins, and a new key was first seen at its first row. Fields that only old has are kept.
     """
-    new = latest_per_key(batch.where(F.trim(F.coalesce(F.col(key), F.lit(""))) != ""), [key], stamp, seq)
-    fields = [c for c in old.columns if c in new.columns and c != key]
+    named = batch.where(F.trim(F.coalesce(F.col(key), F.lit(""))) != "")
+    rest = [c for c in batch.columns if c != key]
+    new = named.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(stamp, seq)).alias("__l"), F.min(stamp).alias("__first")).select(key, "__l.*", "__first")
+    fields = [c for c in old.columns if c in rest]
     o, n = old.alias("o"), new.alias("n")
     joined = o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
     here = F.col(f"n.{key}").isNotNull()
@@ -48,7 +50,7 @@ def upsert_seen(old: DataFrame, batch: DataFrame, key: str = "shortcode", stamp:
             out[c] = F.when(here, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))
         elif c not in (key, "first_seen_at", "last_seen_at", "unsaved_at"):
             out[c] = F.col(f"o.{c}")
-    out["first_seen_at"] = F.coalesce("o.first_seen_at", f"n.{stamp}")
+    out["first_seen_at"] = F.coalesce("o.first_seen_at", "n.__first")
     out["last_seen_at"] = F.coalesce(f"n.{stamp}", "o.last_seen_at")
     out["unsaved_at"] = F.when(~here, F.col("o.unsaved_at"))
     return joined.select(*[out[c].alias(c) for c in old.columns])
@@ -119,6 +121,35 @@ def merge_patches(current: DataFrame, patches: DataFrame, key: str, fields: Sequ
     return replace_rows(base, newest, [key]), history
 
 
+def reviewed(patches: DataFrame, today: Column) -> DataFrame:
+    """patches in which a status that is set, without a review date that is, gets today's."""
+    dated = F.col("status")["set"] & ~F.col("reviewed_at")["set"]
+    return patches.withColumn("reviewed_at", F.when(dated, F.struct(F.lit(True).alias("set"), today.cast("string").alias("value"))).otherwise(F.col("reviewed_at")))
+
+
+def mark_running(log: DataFrame, items: DataFrame, stage: str, stamp: Column, key: str = "shortcode") -> DataFrame:
+    """log (key, stage, status, at) with a running mark for each item, to be written before the work: a mark alone makes nothing authoritative."""
+    return log.unionByName(items.select(key, F.lit(stage).alias("stage"), F.lit("running").alias("status"), stamp.alias("at")), allowMissingColumns=True)
+
+
+def interrupted(log: DataFrame, results: DataFrame, stage: str, key: str = "shortcode") -> DataFrame:
+    """Keys whose last mark of the stage is running and that have no result: what a crash left, and a new run takes up from the start."""
+    last = latest_per_key(log.where(F.col("stage") == stage), [key], "at", "status")
+    return last.where(F.col("status") == "running").join(results.select(key), key, "left_anti").select(key)
+
+
+def latest_success(results: DataFrame, attempts: DataFrame, key: str = "shortcode") -> DataFrame:
+    """results (key, model, prompt_sha, context_sha) with the duration_ms of the last successful attempt of the same key, model and prompt, and of the same context where the result has one."""
+    r, a = results.alias("r"), attempts.where(F.col("ok") == 1).alias("a")
+    same = [F.col(f"r.{c}") == F.col(f"a.{c}") for c in (key, "model", "prompt_sha")]
+    fits = F.col("r.context_sha").isNull() | (F.col("r.context_sha") == F.col("a.context_sha"))
+    best = r.join(a, [*same, fits]).groupBy(f"r.{key}", "r.model", "r.prompt_sha", "r.context_sha").agg(F.max_by("a.duration_ms", "a.id").alias("duration_ms"))
+    keys = [key, "model", "prompt_sha", "context_sha"]
+    best = best.select(*[F.col(c).alias(f"__{c}") for c in keys], "duration_ms")
+    on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys]
+    return results.join(best, on, "left").drop(*[f"__{c}" for c in keys])
+
+
 def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
     """Rows of child whose key the parent lacks: what a foreign key would refuse."""
     return child.join(parent.select(F.col(parent_key).alias(child_key)).distinct(), child_key, "left_anti")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.text import let, name_key, preview, tag_key
 from shelfmark.operators.state import latest_per_key, top_per_key
-from shelfmark.vocabulary import REVIEW_ORDER, THEMES
+from shelfmark.vocabulary import REVIEW_ORDER, SPORT_TAGS, THEMES
 
 VERDICT_RANK = {"favorite": 0, "liked": 1, "want_to_try": 2, "disappointing": 4}
 
@@ -28,16 +28,36 @@ def with_latest(rows: DataFrame, log: DataFrame, key: str, log_key: str, fields:
     return rows.join(last, F.col(key) == F.col("__k"), "left").drop("__k")
 
 
+def filtered(df: DataFrame, equal: dict[str, object] | None = None, text: str = "", fields: Sequence[str] = (), most: dict[str, object] | None = None) -> DataFrame:
+    """df by optional parameters: a null or blank one asks for nothing. equal: a column, or several joined by |, any of which equals the value whatever the case."""
+    for names, value in (equal or {}).items():
+        if value not in (None, ""):
+            hit = F.lit(False)
+            for c in names.split("|"):
+                hit = hit | (F.lower(c) == str(value).lower())
+            df = df.where(hit)
+    for c, value in (most or {}).items():
+        if value is not None:
+            df = df.where(F.col(c) <= value)
+    if text.strip() and fields:
+        hit = F.lit(False)
+        for c in fields:
+            hit = hit | F.coalesce(c, F.lit("")).ilike(f"%{text.strip()}%")
+        df = df.where(hit)
+    return df
+
+
+def options(df: DataFrame, *columns: str) -> DataFrame:
+    """option: the different non-blank values of columns, for a filter's menu."""
+    return df.select(F.explode(F.array(*columns)).alias("option")).where(F.trim("option") != "").distinct()
+
+
 def ranked_recipes(recipes: DataFrame, attempts: DataFrame, cuisine: str | None = None, verdict: str | None = None, course: str | None = None, text: str = "", limit: int = 20) -> DataFrame:
     """Active recipes with their latest attempt, favourites first, then by recency; 'untried' asks for those without one."""
     df = with_latest(recipes.where(F.col("active")), attempts, "id", "recipe_id", ["verdict", "rating", "note", "changes_made", "cooked_at"], "created_at", "attempt_id")
-    if cuisine:
-        df = df.where((F.lower("cuisine") == cuisine.lower()) | (F.lower("cuisine_family") == cuisine.lower()))
+    df = filtered(df, {"cuisine|cuisine_family": cuisine}, text, ("dish_name", "summary", "title"))
     if course:
         df = df.where(F.col("course") == course)
-    if text.strip():
-        pattern = f"%{text.strip()}%"
-        df = df.where(F.col("dish_name").ilike(pattern) | F.coalesce("summary", F.lit("")).ilike(pattern) | F.col("title").ilike(pattern))
     if verdict:
         df = df.where(F.col("verdict").isNull() if verdict == "untried" else F.col("verdict") == verdict)
     return df.orderBy(rank_of(F.col("verdict"), VERDICT_RANK), F.col("updated_at").desc(), "id").limit(limit)
@@ -107,6 +127,16 @@ def theme_counts(reels: DataFrame) -> DataFrame:
     return reels.groupBy(theme(F.col("content_kind"), F.col("types"), F.col("tags")).alias("theme")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "theme")
 
 
+def is_sport(tags: Column) -> Column:
+    return F.coalesce(F.arrays_overlap(F.transform(tags, lambda t: F.lower(F.trim(t))), F.array(*map(F.lit, SPORT_TAGS))), F.lit(False))
+
+
+def themed(reels: DataFrame) -> DataFrame:
+    """reels (content_kind, types, tags) with their theme and whether they are sport: exercises with a sport tag."""
+    own = theme(F.col("content_kind"), F.col("types"), F.col("tags"))
+    return reels.withColumns({"theme": own, "sport": F.coalesce(F.col("content_kind") == "exercise", F.lit(False)) & is_sport(F.col("tags"))})
+
+
 def dossier(parts: Sequence[tuple[str, Column]]) -> Column:
     """Labelled parts, blank ones left out, with blank lines between."""
     return F.concat_ws("\n\n", *[F.when(F.trim(value) != "", F.concat(F.lit(f"{label}:\n"), value)) for label, value in parts])

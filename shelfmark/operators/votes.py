@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import name_key
+from shelfmark.operators.ordered import ROW, running
 
 
 def majority(df: DataFrame, keys: Sequence[str], field: str, order: str) -> DataFrame:
@@ -83,8 +84,10 @@ def group_counts(df: DataFrame, *keys: str, limit: int | None = None) -> DataFra
 def value_at(df: DataFrame, field: str, at: dict[str, Column]) -> DataFrame:
     """One row: for each name the value at a zero-based index (a Column of n) of the sorted field.
 
-    Values are counted first and the index is found on the counts, so only different values are sorted together.
+    Values are counted first; the counts are summed up by ranges of the values, so nothing is sorted in one task.
     """
     counts = df.where(F.col(field).isNotNull()).groupBy(F.col(field).alias("v")).agg(F.count("*").alias("c"))
-    both = counts.select("v", F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("c").over(Window.partitionBy()).alias("n"))
-    return both.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), *[F.min(F.when(F.col("upto") > index, F.col("v"))).alias(name) for name, index in at.items()])
+    upto = running(counts, ["v"], {"upto": F.col("c")}).select(f"{ROW}.v", "upto")
+    total = upto.agg(F.coalesce(F.max("upto"), F.lit(0)).alias("n"))
+    found = upto.crossJoin(F.broadcast(total)).agg(*[F.min(F.when(F.col("upto") > index, F.col("v"))).alias(name) for name, index in at.items()])
+    return total.crossJoin(F.broadcast(found))

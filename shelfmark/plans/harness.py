@@ -36,12 +36,19 @@ def run(sources: Tables, cases: DataFrame, extract: Callable[[Tables], Tables],
     extraction = made["extraction"].withColumnRenamed("shortcode", "case")
     catalogue = resolve.resolve(made["candidate"], force=True)
     complete = head.where(F.col("scope") == "complete")
-    return {"scorecard": quality.scorecard(head, expected, actual, extraction, by), "false_positives": quality.false_positives(expected, actual, complete), "matches": quality.match_expected(expected, actual), **catalogue}
+    more = {k: made[k] for k in ("decisions",) if k in made}
+    if "recipe" in made:
+        wanted = cases.select(F.col("shortcode").alias("case"), F.posexplode("expected_recipes").alias("ord", "r")).select("case", "ord", "r.name", "r.aliases")
+        more["recipes"] = (wanted, made["recipe"].select(F.col("shortcode").alias("case"), F.col("dish_name").alias("name")))
+    if "key_points" in made["extraction"].columns:
+        terms = cases.select(F.col("shortcode").alias("case"), F.explode("expected_terms").alias("term"))
+        more["terms"] = (terms, extraction.select("case", F.col("key_points").alias("points")))
+    return {"scorecard": quality.scorecard(head, expected, actual, extraction, by, **more), "cases": quality.case_results(head, expected, actual, extraction, **more), "false_positives": quality.false_positives(expected, actual, complete), "matches": quality.match_expected(expected, actual), **catalogue}
 
 
 def report(card: DataFrame) -> str:
-    """The scorecard as JSON: a few rows, one a category."""
-    return json.dumps([r.asDict() for r in card.limit(1000).collect()], ensure_ascii=False, sort_keys=True, indent=2)
+    """The scorecard as JSON, every category of it, row by row."""
+    return json.dumps([r.asDict() for r in card.toLocalIterator()], ensure_ascii=False, sort_keys=True, indent=2)
 
 
 def inside(base: str, path: str) -> bool:

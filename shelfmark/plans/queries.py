@@ -7,17 +7,15 @@ conversations messages, orders attempts, part candidates, supplier and lineitem
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text as T
-from shelfmark.operators import canonical, evidence, quality, queues, resolve, search, state, views, votes
+from shelfmark.operators import attest, canonical, evidence, guards, quality, queues, resolve, search, state, views, votes
+from shelfmark.plans.registry import ORACLE_SQL, QUERIES, query
 from shelfmark.sources import media
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 KEY = r"trim(regexp_replace(strip_accents(replace(lower({}), 'ß', 'ss')), '[^\p{{L}}\p{{N}}_]+', ' ', 'g'))"
 TOKENS = r"list_filter(string_split_regex(strip_accents(lower(coalesce({}, ''))), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
@@ -32,21 +30,6 @@ def tokens(c: str) -> str:
     return TOKENS.format(c)
 
 
-def query(sql: str | None = None):
-    def add(f):
-        name = f.__name__
-
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
-
-        QUERIES[name] = run
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return add
-
-
 # Latest attempts, listings, pages
 
 
@@ -62,13 +45,30 @@ def latest_attempt_ranked(t):
     return rows.select("c_custkey", "c_name", F.col("o_orderpriority").alias("verdict"), rank.alias("verdict_rank"))
 
 
-@query(r"""
-SELECT c_custkey, c_name, CASE c_mktsegment WHEN 'BUILDING' THEN 0 WHEN 'MACHINERY' THEN 1 ELSE 5 END::INT AS segment_rank FROM customer
-ORDER BY segment_rank, c_acctbal DESC, c_custkey LIMIT 20
-""")
+RECIPES_SQL = """
+WITH a AS (SELECT o_custkey AS recipe_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'favorite' WHEN '2-HIGH' THEN 'liked' WHEN '3-MEDIUM' THEN 'want_to_try' WHEN '4-NOT SPECIFIED' THEN 'disappointing' ELSE 'meh' END AS verdict
+    FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1),
+r AS (SELECT p_partkey AS id, p_name AS dish_name, verdict, p_retailprice AS updated_at, CASE verdict WHEN 'favorite' THEN 0 WHEN 'liked' THEN 1 WHEN 'want_to_try' THEN 2 WHEN 'disappointing' THEN 4 ELSE 5 END AS r
+    FROM part LEFT JOIN a ON recipe_id = p_partkey WHERE p_size < 40)
+"""
+
+
+def _recipes(t):
+    verdict = F.create_map(*[F.lit(x) for x in ("1-URGENT", "favorite", "2-HIGH", "liked", "3-MEDIUM", "want_to_try", "4-NOT SPECIFIED", "disappointing")])[F.col("o_orderpriority")]
+    empty = F.lit(None).cast("string")
+    attempts = t("orders").select(F.col("o_custkey").alias("recipe_id"), F.coalesce(verdict, F.lit("meh")).alias("verdict"), F.col("o_orderdate").alias("created_at"), F.col("o_orderkey").alias("attempt_id"), *[empty.alias(c) for c in ("rating", "note", "changes_made", "cooked_at")])
+    recipes = t("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("dish_name"), F.col("p_type").alias("cuisine"), F.col("p_brand").alias("cuisine_family"), F.lit("main").alias("course"), empty.alias("summary"), F.lit("").alias("title"), (F.col("p_size") < 40).alias("active"), F.col("p_retailprice").alias("updated_at"))
+    return recipes, attempts
+
+
+@query(RECIPES_SQL + "SELECT id, dish_name, verdict FROM r ORDER BY r, updated_at DESC, id LIMIT 20")
 def ranked_listing(t):
-    df = t("customer").withColumn("segment_rank", views.rank_of(F.col("c_mktsegment"), {"BUILDING": 0, "MACHINERY": 1}))
-    return df.orderBy("segment_rank", F.col("c_acctbal").desc(), "c_custkey").limit(20).select("c_custkey", "c_name", "segment_rank")
+    return views.ranked_recipes(*_recipes(t)).select("id", "dish_name", "verdict")
+
+
+@query(RECIPES_SQL + "SELECT id, dish_name FROM r WHERE verdict IS NULL AND dish_name ILIKE '%ring%' ORDER BY r, updated_at DESC, id LIMIT 50")
+def untried_recipes(t):
+    return views.ranked_recipes(*_recipes(t), verdict="untried", text="ring", limit=50).select("id", "dish_name")
 
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 50")
@@ -76,14 +76,10 @@ def pagination(t):
     return views.page(t("orders"), [F.col("o_totalprice").desc(), F.col("o_orderkey")], 3).select("o_orderkey", "o_custkey", "o_totalprice")
 
 
-@query("""
-SELECT p_partkey, p_name, p_brand FROM part
-WHERE (lower(p_name) LIKE '%re%' OR lower(p_type) LIKE '%re%') AND (lower(p_brand) = 'brand#11' OR lower(p_type) = 'standard') AND p_size <= 25
-""")
+@query("SELECT p_partkey, p_name, p_brand FROM part WHERE (p_name ILIKE '%re%' OR p_type ILIKE '%re%') AND (lower(p_brand) = 'brand#11' OR lower(p_type) = 'brand#11') AND p_size <= 25")
 def optional_filters(t):
-    df = t("part").where(F.col("p_name").ilike("%re%") | F.col("p_type").ilike("%re%"))
-    df = df.where((F.lower("p_brand") == "brand#11") | (F.lower("p_type") == "standard"))
-    return df.where(F.col("p_size") <= 25).select("p_partkey", "p_name", "p_brand")
+    out = views.filtered(t("part"), {"p_brand|p_type": "Brand#11", "p_name": None}, "re", ("p_name", "p_type"), {"p_size": 25, "p_retailprice": None})
+    return out.select("p_partkey", "p_name", "p_brand")
 
 
 @query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 12")
@@ -91,25 +87,35 @@ def last_messages(t):
     return views.last_messages(t("conversations"), "conv_id", "turn").select("conv_id", "turn", "role")
 
 
-@query("""
-SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)::INT AS n FROM events QUALIFY n <= 12
-""")
+@query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 12")
 def top_n_per_group(t):
-    n = F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("event_id").desc()))
-    return t("events").select("user_id", "event_id", n.alias("n")).where("n <= 12")
+    return state.top_per_key(t("events"), ["user_id"], 12, F.col("ts").desc(), F.col("event_id").desc()).select("user_id", "event_id")
 
 
 # Queues
 
 
 @query("""
-WITH d AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (WHERE event_type = 'error') AS attempts, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY 1, 2)
-SELECT user_id, day, attempts, status FROM d WHERE status = 'error' AND attempts < 3
+WITH i AS (SELECT user_id, max(ts) AS taken_at, CASE WHEN user_id % 5 = 0 THEN 'gone' END AS unsaved_at FROM events GROUP BY 1),
+s AS (SELECT user_id, count(*) AS attempts, arg_max(value, (ts, event_id)) AS v FROM events WHERE event_type = 'error' GROUP BY 1)
+SELECT i.user_id, strftime(taken_at, '%Y-%m-%d %H:%M:%S') AS taken_at FROM i LEFT JOIN s ON s.user_id = i.user_id WHERE unsaved_at IS NULL AND (s.user_id IS NULL OR (v >= 5 AND attempts < 3))
 """)
 def retry_queue(t):
+    events = t("events")
+    items = events.groupBy(F.col("user_id").cast("string").alias("shortcode")).agg(F.max("ts").alias("taken_at")).withColumn("unsaved_at", F.when(F.col("shortcode").cast("long") % 5 == 0, "gone"))
+    failed = events.where("event_type = 'error'").select(F.col("user_id").cast("string").alias("shortcode"), F.lit("failed").alias("status"), "value", "ts", "event_id")
+    folded = failed.groupBy("shortcode").agg(F.count("*").alias("attempts"), F.when(F.max_by("value", F.struct("ts", "event_id")) >= 5, "failed").otherwise("done").alias("status")).withColumn("stage", F.lit("asr"))
+    out = queues.retry_queue(items, folded, "asr")
+    return out.select(F.col("shortcode").cast("long").alias("user_id"), F.date_format("taken_at", STAMP).alias("taken_at"))
+
+
+@query("""
+WITH d AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (WHERE event_type = 'error') AS attempts, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY 1, 2)
+SELECT user_id, day, attempts, CASE status WHEN 'error' THEN 'failed' ELSE status END AS status FROM d
+""")
+def folded_attempts(t):
     log = t("events").select("user_id", F.date_format("ts", DAY).alias("day"), "ts", "event_id", F.when(F.col("event_type") == "error", "failed").otherwise(F.col("event_type")).alias("status"), F.col("props").alias("error"))
-    folded = state.fold_attempts(log, ["user_id", "day"], "ts", "event_id")
-    return folded.where((F.col("status") == "failed") & (F.col("attempts") < 3)).select("user_id", "day", "attempts", F.lit("error").alias("status"))
+    return state.fold_attempts(log, ["user_id", "day"], "ts", "event_id").select("user_id", "day", "attempts", "status")
 
 
 @query("SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
@@ -177,15 +183,15 @@ def stage_status_counts(t):
     return votes.group_counts(t("lineitem"), "l_returnflag", "l_linestatus")
 
 
-@query("SELECT DISTINCT s_nationkey, p_brand FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey WHERE p_size = 1")
+@query("SELECT DISTINCT s_nationkey, p_brand FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey")
 def distinct_over_join(t):
-    df = t("lineitem").select("l_suppkey", "l_partkey").join(t("part").where("p_size = 1").select("p_partkey", "p_brand"), F.col("p_partkey") == F.col("l_partkey"))
+    df = t("lineitem").select("l_suppkey", "l_partkey").join(t("part").select("p_partkey", "p_brand"), F.col("p_partkey") == F.col("l_partkey"))
     return df.join(t("supplier"), F.col("s_suppkey") == F.col("l_suppkey")).select("s_nationkey", "p_brand").distinct()
 
 
-@query("SELECT DISTINCT v AS option FROM (SELECT p_brand AS v FROM part WHERE p_size > 40 UNION ALL SELECT p_type FROM part WHERE p_size > 40) WHERE v <> ''")
+@query("SELECT DISTINCT v AS option FROM (SELECT p_brand AS v FROM part UNION ALL SELECT p_type FROM part) WHERE v <> ''")
 def filter_options(t):
-    return t("part").where("p_size > 40").select(F.explode(F.array("p_brand", "p_type")).alias("option")).where("option <> ''").distinct()
+    return views.options(t("part"), "p_brand", "p_type")
 
 
 # State
@@ -205,19 +211,20 @@ FROM events GROUP BY 1
 def upsert_first_last_seen(t):
     rows = t("events").select(F.col("user_id").cast("string").alias("shortcode"), F.col("event_type").alias("kind"), F.col("ts").alias("seen_at"), F.col("event_id").alias("seq"))
     cut = F.lit("2024-01-16").cast("timestamp_ntz")
-    old = rows.where(F.col("seen_at") < cut)
-    old = old.groupBy("shortcode").agg(F.max_by("kind", F.struct("seen_at", "seq")).alias("kind"), F.min("seen_at").alias("first_seen_at"), F.max("seen_at").alias("last_seen_at")).withColumn("unsaved_at", F.lit(None).cast("timestamp_ntz"))
-    new = rows.where(F.col("seen_at") >= cut)
-    out = state.upsert_seen(old, new)
-    first = new.groupBy("shortcode").agg(F.min("seen_at").alias("__f"))
-    out = out.join(first, "shortcode", "left").withColumn("first_seen_at", F.least("first_seen_at", F.coalesce("__f", "first_seen_at")))
+    none = rows.limit(0).select("shortcode", "kind", F.col("seen_at").alias("first_seen_at"), F.col("seen_at").alias("last_seen_at"), F.col("seen_at").alias("unsaved_at"))
+    out = state.upsert_seen(state.upsert_seen(none, rows.where(F.col("seen_at") < cut)), rows.where(F.col("seen_at") >= cut))
     return out.select(F.col("shortcode").cast("long").alias("user_id"), F.date_format("first_seen_at", STAMP).alias("first_seen_at"), F.date_format("last_seen_at", STAMP).alias("last_seen_at"), "kind")
 
 
-@query("SELECT l_suppkey, l_partkey, min(l_orderkey) AS first_order FROM lineitem GROUP BY 1, 2")
+@query("""
+SELECT l_suppkey, l_partkey, l_orderkey, l_linenumber FROM lineitem
+QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_shipdate >= TIMESTAMP '1997-01-01', l_orderkey, l_linenumber, l_quantity) = 1
+""")
 def first_wins_bridge(t):
-    # The key and the order are all that is kept, so the least is the first: an aggregate that combines early.
-    return t("lineitem").groupBy("l_suppkey", "l_partkey").agg(F.min("l_orderkey").alias("first_order"))
+    rows, keys, order = t("lineitem").select("l_suppkey", "l_partkey", "l_orderkey", "l_linenumber", "l_quantity", "l_shipdate"), ["l_suppkey", "l_partkey"], ("l_orderkey", "l_linenumber", "l_quantity")
+    early = F.col("l_shipdate") < F.lit("1997-01-01").cast("timestamp_ntz")
+    old = state.first_per_key(rows.where(early), keys, *order)
+    return state.insert_missing(old, rows.where(~early), keys, *order).select("l_suppkey", "l_partkey", "l_orderkey", "l_linenumber")
 
 
 @query("""
@@ -300,21 +307,27 @@ def tag_kind_promotion(t):
     return votes.promoted(rows, "label", "kind", {"free": 0, "collection": 1, "controlled": 2})
 
 
-@query(f"SELECT arg_min(doc_id, doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY {key('text')}")
+@query(f"SELECT p_type, p_brand, {key('p_name')} AS name_key, min(p_partkey) AS p_partkey FROM part GROUP BY 1, 2, 3")
 def dedupe_first_occurrence(t):
+    rows = t("part").select(F.col("p_type").alias("shortcode"), F.col("p_brand").alias("type"), F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.concat(F.lit("«"), F.col("p_name"), F.lit("»"))).alias("name"), F.col("p_partkey").alias("ord"))
+    return guards.without_repeats(rows).select(F.col("shortcode").alias("p_type"), F.col("type").alias("p_brand"), T.name_key("name").alias("name_key"), F.col("ord").alias("p_partkey"))
+
+
+@query(f"SELECT arg_min(doc_id, doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY {key('text')}")
+def texts_by_key(t):
     # Grouped by a digest of the key: texts needn't be shuffled.
     keyed = t("documents").select("doc_id", F.sha2(T.name_key("text"), 256).alias("k"))
     return keyed.groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies")
 
 
 @query("""
-WITH w AS (SELECT s.s_nationkey, l_suppkey AS v, min(l_orderkey) AS o FROM lineitem JOIN supplier s ON s_suppkey = l_suppkey WHERE l_quantity = 50 GROUP BY 1, 2)
-SELECT s_nationkey, string_agg(v::VARCHAR, '|' ORDER BY o, v) AS merged FROM w GROUP BY 1
+WITH w AS (SELECT s_nationkey, l_suppkey::VARCHAR AS v, min((l_orderkey * 10 + l_linenumber, l_partkey)) AS o FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2)
+SELECT s_nationkey, string_agg(v, '|' ORDER BY o, v) AS merged FROM w GROUP BY 1
 """)
 def ordered_union(t):
-    rows = t("lineitem").where("l_quantity = 50").join(t("supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
-    first = rows.groupBy("s_nationkey", "l_suppkey").agg(F.min("l_orderkey").alias("o"))
-    return first.groupBy("s_nationkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o", "l_suppkey"))), lambda x: x["l_suppkey"].cast("string")), "|").alias("merged"))
+    rows = t("lineitem").join(t("supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
+    rows = rows.select("s_nationkey", F.array(F.col("l_suppkey").cast("string"), F.lit(" ")).alias("merged"), F.struct(F.col("l_orderkey") * 10 + F.col("l_linenumber"), "l_partkey").alias("o"))
+    return votes.ordered_union(rows, ["s_nationkey"], "merged", "o").select("s_nationkey", F.array_join("merged", "|").alias("merged"))
 
 
 @query("""
@@ -327,10 +340,18 @@ def consecutive_dedupe(t):
 
 @query("SELECT l_suppkey, l_partkey, l_orderkey, l_linenumber, l_quantity FROM (SELECT *, count(*) OVER (PARTITION BY l_suppkey, l_partkey) AS c FROM lineitem) WHERE c < 4")
 def group_size_guard(t):
-    # Sizes are aggregated and joined, not windowed, so a hot group's rows never meet in one task.
     rows = t("lineitem").select("l_suppkey", "l_partkey", "l_orderkey", "l_linenumber", "l_quantity")
-    large = rows.groupBy("l_suppkey", "l_partkey").count().where("count >= 4").select("l_suppkey", "l_partkey")
-    return rows.join(large, ["l_suppkey", "l_partkey"], "left_anti")
+    return guards.small_groups(rows, ["l_suppkey", "l_partkey"], 3)
+
+
+@query("""
+WITH n AS (SELECT p_partkey, p_partkey // 7 AS g, p_size % 2 = 0 AS f FROM part)
+SELECT p_partkey FROM (SELECT *, count(*) FILTER (WHERE f) OVER (PARTITION BY g) AS c FROM n) WHERE NOT f OR c < 4
+""")
+def file_listings(t):
+    end = F.when(F.col("p_size") % 4 == 0, ".py").when(F.col("p_size") % 2 == 0, "/").otherwise("")
+    rows = t("part").select(F.floor(F.col("p_partkey") / 7).alias("shortcode"), F.concat("p_name", end).alias("name"), "p_partkey")
+    return guards.without_listings(rows).select("p_partkey")
 
 
 # Text
@@ -361,14 +382,19 @@ def media_kind_case(t):
     return t("orders").select("o_orderkey", kind.alias("kind"), T.ratio_of_percent((F.col("o_orderkey") % 150).cast("double")).alias("confidence"))
 
 
-@query("SELECT doc_id, CASE WHEN length(trim(source)) < 5 THEN NULL ELSE trim(source) END AS locality FROM (SELECT doc_id, CASE WHEN length(source) < 5 THEN '' ELSE source END AS source FROM documents)")
+@query(r"""
+WITH v AS (SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN '  ' WHEN 1 THEN ' ' || p_name || ' ' WHEN 2 THEN 'n/a' WHEN 3 THEN 'unknown ' WHEN 4 THEN NULL WHEN 5 THEN ' INCONNU' ELSE p_name END AS v FROM part)
+SELECT p_partkey, CASE WHEN p_partkey % 7 IN (1, 6) THEN trim(v) END AS kept FROM v
+""")
 def blank_to_null(t):
-    return t("documents").select("doc_id", T.blank_to_null(F.when(F.length("source") < 5, "").otherwise(F.col("source"))).alias("locality"))
+    k = F.col("p_partkey") % 7
+    said = F.when(k == 0, "  ").when(k == 1, F.concat(F.lit(" "), "p_name", F.lit(" "))).when(k == 2, "n/a").when(k == 3, "unknown ").when(k == 4, F.lit(None).cast("string")).when(k == 5, " INCONNU").otherwise(F.col("p_name"))
+    return t("part").select("p_partkey", T.blank_to_null(said).alias("kept"))
 
 
-@query(r"SELECT doc_id, array_to_string(list_filter(list_transform(string_split_regex(substr(text, 1, 200), '\s*[|/;]\s*|\s+·\s+'), lambda p: trim(p)), lambda p: length(p) > 1), '§') AS pieces FROM documents WHERE text LIKE '%|%'")
+@query(r"SELECT doc_id, sha256(CASE WHEN len(p) > 0 THEN array_to_string(p, '§') ELSE trim(text) END) AS pieces, greatest(len(p), 1)::INT AS n FROM (SELECT doc_id, text, list_filter(list_transform(string_split_regex(text, '\s*[|/;]\s*|\s+·\s+'), lambda p: trim(p)), lambda p: length(p) > 1) AS p FROM documents)")
 def split_names(t):
-    return t("documents").where(F.col("text").contains("|")).select("doc_id", F.array_join(T.split_names(F.substring("text", 1, 200)), "§").alias("pieces"))
+    return t("documents").select("doc_id", T.let(T.split_names(F.col("text")), lambda p: F.struct(F.sha2(F.array_join(p, "§"), 256).alias("pieces"), F.size(p).alias("n"))).alias("s")).select("doc_id", "s.*")
 
 
 @query("SELECT s_suppkey, 'https://www.google.com/maps/search/?api=1&query=' || replace(url_encode(trim(s_name) || ' ' || n_name || ' ' || r_name), '%20', '+') AS url FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey")
@@ -395,18 +421,26 @@ def json_unnest(t):
 
 
 @query("""
-SELECT conv_id, sha256(string_agg(role || ':' || chr(10) || text, chr(10) || chr(10) ORDER BY turn)) AS dossier_sha FROM conversations WHERE trim(text) <> '' GROUP BY 1
+WITH m AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'CAPTION:' || chr(10) || text END AS a, CASE WHEN turn % 2 = 0 AND trim(text) <> '' THEN 'SCREEN TEXT:' || chr(10) || text END AS b, 'ROLE:' || chr(10) || role AS c FROM conversations),
+p AS (SELECT conv_id, turn, concat_ws(chr(10) || chr(10), a, b, c) AS part FROM m)
+SELECT conv_id, sha256(string_agg(part, chr(10) || '--- frame ---' || chr(10) ORDER BY turn)) AS dossier_sha FROM p GROUP BY 1
 """)
 def dossier_text(t):
-    part = views.dossier([("", F.col("text"))])
-    rows = t("conversations").where(F.trim("text") != "").select("conv_id", "turn", F.concat(F.col("role"), part).alias("part"))
-    return rows.groupBy("conv_id").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "part"))), lambda x: x["part"]), "\n\n"), 256).alias("dossier_sha"))
+    c = F.col
+    part = views.dossier([("CAPTION", F.when(c("turn") % 3 == 0, c("text"))), ("TRANSCRIPT", F.lit("  ")), ("SCREEN TEXT", F.when(c("turn") % 2 == 0, c("text"))), ("ROLE", c("role"))])
+    rows = t("conversations").select("conv_id", "turn", part.alias("part"))
+    return rows.groupBy("conv_id").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "part"))), lambda x: x["part"]), "\n--- frame ---\n"), 256).alias("dossier_sha"))
 
 
-@query()
+@query("""
+WITH w AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'never {closed ' ELSE '' END AS k, role FROM conversations)
+SELECT conv_id, turn, CASE turn % 4 WHEN 2 THEN '{bad}' WHEN 3 THEN '{"a":"}{ ' || role || '","at":{"turn":' || turn || '}}' END AS object FROM w
+""")
 def first_json_object(t):
-    wrapped = t("conversations").select("conv_id", "turn", F.concat(F.lit("Answer: {bad} "), F.to_json(F.struct("role", F.struct("turn").alias("at"))), F.lit(" {"), "text").alias("body"))
-    return media.first_json_object(wrapped, "body").select("conv_id", "turn", "object")
+    k, c = F.col("turn") % 4, F.col
+    nested = F.concat(F.lit('said {"a":"}{ '), c("role"), F.lit('","at":{"turn":'), c("turn").cast("string"), F.lit("}} and {more}"), c("text"))
+    body = F.when(k == 0, "none").when(k == 1, F.concat(F.lit("never {closed "), F.replace(F.replace(c("text"), F.lit("}"), F.lit("")), F.lit("{"), F.lit("")))).when(k == 2, F.concat(F.lit("Answer: {bad} "), "text")).otherwise(nested)
+    return media.first_json_object(t("conversations").select("conv_id", "turn", body.alias("body")), "body").select("conv_id", "turn", "object")
 
 
 # Search
@@ -451,13 +485,9 @@ def grounded_context(t):
     return search.search_any(t("documents"), ["license", "licensed"], ["text"], "doc_id", 8).select("doc_id")
 
 
-@query(f"""
-SELECT token, count(DISTINCT doc_id)::BIGINT AS docs, count(*) AS n FROM (SELECT doc_id, unnest({tokens('text')}) AS token FROM documents) GROUP BY 1 HAVING count(*) >= 50
-""")
+@query(f"SELECT token, count(DISTINCT doc_id)::BIGINT AS docs, count(*) AS n FROM (SELECT doc_id, unnest({tokens('text')}) AS token FROM documents) GROUP BY 1")
 def inverted_index(t):
-    index = search.token_table(t("documents"), "doc_id", "text")
-    per = index.groupBy("token", "doc_id").agg(F.count("*").alias("c"))
-    return per.groupBy("token").agg(F.count("*").alias("docs"), F.sum("c").alias("n")).where("n >= 50")
+    return search.token_counts(t("documents"), "text")
 
 
 # Evidence and names
@@ -465,25 +495,7 @@ def inverted_index(t):
 
 @query("SELECT doc_id, item_id FROM documents d, benchmark b WHERE contains(lower(d.text), lower(trim(b.text))) AND trim(b.text) <> ''")
 def attested_in_sources(t):
-    """Items whose text stands literally in a document: joined on the item's first characters, then compared whole.
-
-    Each document gives the 12 characters from each of its characters on, whatever they are; of those only items'
-    prefixes go on. Items under 12 characters are their own prefixes, of each length there is.
-    """
-    items = t("benchmark").select("item_id", F.lower(F.trim("text")).alias("needle")).where("needle <> ''").withColumn("p", F.substring("needle", 1, 12))
-    docs = t("documents").select("doc_id", F.lower("text").alias("hay"))
-    sizes = sorted(r.n for r in items.select(F.length("p").alias("n")).distinct().collect())
-    heads = items.select("p").distinct()
-    heads = F.broadcast(heads) if items.limit(100_001).count() <= 100_000 else heads
-    met = None
-    for n in sizes:
-        starts = F.array_distinct(F.regexp_extract_all("hay", F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)))
-        one = docs.select("doc_id", F.explode(starts).alias("p")).join(heads, "p")
-        met = one if met is None else met.union(one)
-    if met is None:
-        return docs.join(items, F.lit(False)).select("doc_id", "item_id")
-    met = met.join(items, "p").select("doc_id", "item_id", "needle").distinct()
-    return met.join(docs, "doc_id").where(T.attested(F.col("hay"), F.col("needle"))).select("doc_id", "item_id")
+    return attest.attested_pairs(t("documents"), "doc_id", "text", t("benchmark"), "item_id", "text")
 
 
 @query(f"SELECT doc_id, contains(' ' || {key('text')} || ' ', ' of the ') AS found FROM documents")
@@ -500,31 +512,35 @@ def fragment_attestation(t):
 
 
 @query(r"""
-WITH c AS (SELECT doc_id, lang, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS body, CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN lower(trim(regexp_replace(substr(text, 1, 40), '\s+', ' ', 'g'))) WHEN 2 THEN 'no such words here' ELSE lower(trim(regexp_replace(substr(text, 1, 20), '\s+', ' ', 'g'))) END AS quote,
-  lower(trim(regexp_replace(substr(text, 1, 8), '\s+', ' ', 'g'))) AS name, CASE WHEN doc_id % 5 = 4 THEN 'phonetic' ELSE 'literal' END AS match FROM documents)
-SELECT doc_id, CASE WHEN quote IS NULL THEN 'missing' WHEN name <> '' THEN 'literal' WHEN contains(body, quote) AND quote <> '' THEN CASE match WHEN 'literal' THEN 'literal' ELSE 'invalid' END ELSE 'invalid' END AS status FROM c
+SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'missing' WHEN 1 THEN CASE WHEN contains(lower(text), 'zzqx') THEN 'literal' ELSE 'invalid' END WHEN 2 THEN 'phonetic' WHEN 4 THEN 'variant' WHEN 6 THEN CASE WHEN contains(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), 'golden fox') THEN 'literal' ELSE 'invalid' END ELSE 'literal' END AS status,
+  CASE doc_id % 7 WHEN 2 THEN 1 WHEN 3 THEN 1 WHEN 5 THEN 1 ELSE 0 END AS kept FROM documents
 """)
 def evidence_status(t):
-    d = t("documents")
-    quote = F.when(F.col("doc_id") % 5 == 1, F.substring("text", 1, 40)).when(F.col("doc_id") % 5 == 2, F.lit("no such words here")).otherwise(F.substring("text", 1, 20))
-    cite = F.struct(F.lit("caption").alias("source"), quote.alias("quote"), F.when(F.col("doc_id") % 5 == 4, "phonetic").otherwise("literal").alias("match"), F.lit("").alias("location"))
-    cites = F.when(F.col("doc_id") % 5 == 0, F.array().cast("array<struct<source:string,quote:string,match:string,location:string>>")).otherwise(F.array(cite))
-    rows = d.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("shortcode"), F.substring("text", 1, 8).alias("name"), cites.alias("evidence"))
-    sources = d.select(F.col("doc_id").alias("shortcode"), F.col("text").alias("caption"), F.lit("").alias("transcript"), F.lit("").alias("ocr"), F.create_map().cast("map<string,string>").alias("frames"))
-    return evidence.assess(rows, sources).select(F.col("id").alias("doc_id"), "status")
+    k, text = F.col("doc_id") % 7, F.col("text")
+    pick = lambda *values: F.element_at(F.array(*map(F.lit, values)), (k + 1).cast("int"))
+    cite = F.struct(pick("", "caption", "transcript", "caption", "caption", "ocr", "caption").alias("source"), pick("", "nowhere to be found", "we saw zzq", "a  golden FOX", "nothing of it", "MUKU sign", "zzq").alias("quote"), pick("", "literal", "phonetic", "literal", "literal", "literal", "literal").alias("match"), pick("", "", "", "", "", "f9", "").alias("location"))
+    none = F.array().cast("array<struct<source:string,quote:string,match:string,location:string>>")
+    rows = t("documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("shortcode"), pick("any", "zzqx", "zzqy", "Golden Fox", "Pertes de Valserine", "Muku", "Golden Fox").alias("name"), F.when(k == 0, none).otherwise(F.array(cite)).alias("evidence"))
+    caption = F.when(k == 3, F.concat(text, F.lit(" a Golden\nFox "))).when(k == 4, F.concat(text, F.lit(" les Pertes de la Valserine"))).otherwise(text)
+    frames = F.when(k == 5, F.create_map(F.lit("f1"), F.lit("MUKU sign"), F.lit("f2"), F.lit("menu"))).otherwise(F.create_map().cast("map<string,string>"))
+    sources = t("documents").select(F.col("doc_id").alias("shortcode"), caption.alias("caption"), F.when(k == 2, "then we saw zzq there").otherwise("").alias("transcript"), F.when(k == 5, "MUKU sign\nmenu").otherwise("").alias("ocr"), frames.alias("frames"))
+    return evidence.assess(rows, sources).select(F.col("id").alias("doc_id"), "status", F.size("kept").alias("kept"))
 
 
-@query(f"""
-WITH c AS (SELECT p_partkey, p_name, p_type, p_partkey % 4 AS k FROM part)
-SELECT p_partkey, CASE WHEN {key("p_name")} = '' THEN 'abstained' WHEN k IN (0, 1) THEN 'resolved' ELSE 'abstained' END AS status,
-  CASE WHEN {key("p_name")} = '' THEN 'no_attested_canonical_name' WHEN k IN (0, 1) THEN 'literal_priority_evidence' WHEN k = 2 THEN 'asr_only' ELSE 'no_attested_canonical_name' END AS method,
-  CASE WHEN {key("p_name")} <> '' AND k IN (0, 1) THEN p_name END AS canonical_name, CASE WHEN {key("p_name")} = '' OR k = 3 THEN 0.0 WHEN k = 0 THEN 0.99 WHEN k = 1 THEN 0.95 ELSE 0.6 END::DOUBLE AS confidence FROM c
+@query("""
+WITH c AS (SELECT p_partkey, p_name, p_partkey % 10 AS k FROM part)
+SELECT p_partkey, CASE WHEN k IN (0, 1, 4, 6, 8) THEN 'resolved' ELSE 'abstained' END AS status,
+  CASE k WHEN 0 THEN 'literal_priority_evidence' WHEN 1 THEN 'literal_priority_evidence' WHEN 2 THEN 'asr_only' WHEN 3 THEN 'no_attested_canonical_name' WHEN 4 THEN 'known_name_in_priority_evidence' WHEN 5 THEN 'ambiguous_local_names' WHEN 6 THEN 'authority:maps' WHEN 7 THEN 'low_confidence_authority:maps' WHEN 8 THEN 'repeated_brand' ELSE 'no_attested_canonical_name' END AS method,
+  CASE WHEN k IN (0, 1) THEN p_name WHEN k = 4 THEN 'Known House' WHEN k = 6 THEN 'The ' || p_name WHEN k = 8 THEN 'HAY HAY' END AS canonical_name,
+  CASE k WHEN 0 THEN 0.99 WHEN 1 THEN 0.95 WHEN 2 THEN 0.6 WHEN 4 THEN 0.99 WHEN 6 THEN 0.97 WHEN 7 THEN 0.5 WHEN 8 THEN 0.96 ELSE 0.0 END::DOUBLE AS confidence FROM c
 """)
 def name_decision(t):
-    k = F.col("p_partkey") % 4
-    source = F.when(k == 0, "caption").when(k == 1, "ocr").otherwise("transcript")
-    quote = F.when(k == 3, F.lit("something else")).otherwise(F.concat(F.lit("We saw "), F.upper("p_name"), F.lit("!")))
-    rows = t("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("type"), F.array(F.struct(source.alias("source"), quote.alias("quote"))).alias("evidence"), F.array().cast("array<string>").alias("known"))
+    k, name = F.col("p_partkey") % 10, F.col("p_name")
+    source = F.when(k == 1, "ocr").when(k == 2, "transcript").otherwise("caption")
+    quote = F.when(k.isin(3, 6, 7, 9), "something else").when(k == 4, "at the KNOWN house.").when(k == 5, "Known House and Other-House").when(k == 8, "hay hay home shopping").otherwise(F.concat(F.lit("We saw "), F.upper(name), F.lit("!")))
+    known = F.when(k.isin(4, 5), F.array(F.lit("Known House"), F.lit("Other House"), F.lit("Third"))).otherwise(F.array().cast("array<string>"))
+    sure = F.when(k.isin(6, 7, 9), F.struct(F.lit("maps").alias("name"), F.concat(F.lit("The "), name).alias("canonical_name"), F.when(k == 7, 0.5).otherwise(0.97).alias("confidence")))
+    rows = t("part").select(F.col("p_partkey").alias("id"), F.when(k == 8, "HAY HAY home shopping").otherwise(name).alias("name"), F.when(k == 8, "shop").when(k == 9, "media").otherwise("place").alias("type"), F.array(F.struct(source.alias("source"), quote.alias("quote"))).alias("evidence"), known.alias("known"), sure.alias("authority"))
     return canonical.decide(rows).select(F.col("id").alias("p_partkey"), "decision.status", "decision.method", "decision.canonical_name", "decision.confidence")
 
 
@@ -560,29 +576,52 @@ def facets_by_type(t):
 
 
 @query("""
-SELECT s_suppkey AS id, s_name, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) FILTER (WHERE trim(o_orderpriority) <> '') AS brand, count(o_orderkey) AS members
-FROM supplier LEFT JOIN (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem WHERE l_quantity = 50) l ON l_suppkey = s_suppkey LEFT JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2
+WITH p AS (SELECT o_custkey AS entity_id, max(o_orderdate) AS updated_at FROM orders WHERE o_orderstatus = 'P' GROUP BY 1),
+v AS (SELECT s_suppkey AS id, s_name, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) FILTER (WHERE o_orderpriority <> '1-URGENT') AS brand, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) FILTER (WHERE o_orderstatus <> 'F') AS intention, count(o_orderkey) AS members
+    FROM supplier LEFT JOIN (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem) l ON l_suppkey = s_suppkey LEFT JOIN orders ON o_orderkey = l_orderkey WHERE s_suppkey % 3 <> 0 GROUP BY 1, 2)
+SELECT id, s_name, brand, intention, members FROM v LEFT JOIN p ON entity_id = id ORDER BY coalesce(updated_at, TIMESTAMP '1997-01-01') DESC, s_name LIMIT 40
 """)
 def product_view(t):
-    member = t("lineitem").where("l_quantity = 50").select(F.col("l_suppkey").alias("entity_id"), "l_orderkey").distinct()
-    member = member.join(t("orders"), F.col("o_orderkey") == F.col("l_orderkey")).select("entity_id", F.col("o_orderdate").alias("taken_at"), F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("brand"), F.lit(None).cast("string").alias("intention"))
-    entities = t("supplier").select(F.col("s_suppkey").alias("id"), "s_name", F.col("s_name").alias("canonical_name"), F.lit("product").alias("type"), F.lit("").alias("updated_at"))
-    personal = entities.limit(0).select(F.col("id").alias("entity_id"), F.lit("").alias("updated_at"))
+    member = t("lineitem").select(F.col("l_suppkey").alias("entity_id"), "l_orderkey").distinct().join(t("orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    blank = lambda c, v: F.when(F.col(c) == v, " ").otherwise(F.col(c))
+    member = member.select("entity_id", F.col("o_orderdate").alias("taken_at"), F.col("o_orderkey").alias("id"), blank("o_orderpriority", "1-URGENT").alias("brand"), blank("o_orderstatus", "F").alias("intention"))
+    entities = t("supplier").select(F.col("s_suppkey").alias("id"), "s_name", F.col("s_name").alias("canonical_name"), F.when(F.col("s_suppkey") % 3 == 0, "brand").otherwise("product").alias("type"), F.lit("1997-01-01").cast("timestamp_ntz").alias("updated_at"))
+    personal = t("orders").where("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("entity_id")).agg(F.max("o_orderdate").alias("updated_at"))
     sizes = member.groupBy(F.col("entity_id").alias("id")).agg(F.count("*").alias("members"))
-    out = views.products(entities, member, personal).join(sizes, "id", "left")
-    return out.select("id", "s_name", "brand", F.coalesce("members", F.lit(0)).alias("members"))
+    listed = views.products(entities, member, personal, limit=40)
+    return listed.join(sizes, "id", "left").select("id", "s_name", "brand", "intention", F.coalesce("members", F.lit(0)).alias("members"))
 
 
-@query(f"""
-WITH e AS (SELECT n_nationkey AS "case", n_name AS name FROM nation), a AS (SELECT s_nationkey AS "case", min(s_suppkey) AS id FROM supplier GROUP BY 1)
-SELECT "case", CASE WHEN a.id IS NOT NULL AND a.id % 2 = 0 THEN TRUE ELSE FALSE END AS found FROM e LEFT JOIN a USING ("case")
+SCORE_SQL = """
+WITH p AS (SELECT l.doc_id AS d, lang, quality AS q, (length(text) > 200)::INT AS said, l.doc_id % 2 = 0 AS own, l.doc_id % 4 = 1 AS canon, l.doc_id % 5 <> 0 AS second FROM labels l JOIN documents d ON d.doc_id = l.doc_id),
+c AS (SELECT *, own::INT + second::INT AS found, (own OR canon)::INT + second::INT AS canon_found, (own AND d % 3 = 0)::INT AS type_error, CASE WHEN q = 1 THEN (NOT own)::INT + (d % 7 = 0)::INT ELSE 0 END AS fp, CASE WHEN q = 1 THEN (NOT own AND NOT canon)::INT + (d % 7 = 0)::INT ELSE 0 END AS canon_fp FROM p)
+"""
+
+
+def _score_inputs(t):
+    """Cases, what is expected of them and what was found, such that every rule of the scorecard has its share of both outcomes."""
+    c = F.col
+    base = t("labels").join(t("documents"), "doc_id").select(c("doc_id").alias("case"), "lang", "source", "quality", "text")
+    cases = base.select("case", "lang", F.when(c("quality") == 1, "complete").otherwise("minimum").alias("scope"), c("quality").cast("string").alias("mode"), F.when(c("case") % 2 == 0, "recipe").alias("content_kind"), F.when(c("case") % 3 == 0, F.lit(True)).alias("actionable"))
+    said = base.where("case % 11 <> 0").select("case", (c("case") % 13 != 0).alias("ok"), (F.length("text") > 200).cast("int").cast("string").alias("mode"), F.when(c("case") % 4 == 0, "recipe").alias("content_kind"), (c("case") % 9 == 0).alias("actionable"))
+    number, none = c("case").cast("string"), F.array().cast("array<string>")
+    first = base.select("case", F.lit(0).alias("ord"), c("source").alias("name"), none.alias("aliases"), F.array(F.lit("place")).alias("types"))
+    second = base.select("case", F.lit(1).alias("ord"), F.concat(F.lit("item "), number).alias("name"), F.array(F.concat(F.lit("Doc "), number)).alias("aliases"), none.alias("types"))
+    row = lambda j, name, kind, where: base.where(where).select((c("case") * 10 + j).alias("id"), "case", name.alias("name"), F.lit(None).cast("string").alias("name_latin"), kind.alias("type"))
+    actual = row(0, F.when(c("case") % 2 == 0, F.upper("source")).otherwise("other thing"), F.when(c("case") % 3 == 0, "shop").otherwise("place"), "true")
+    actual = actual.union(row(1, F.concat(F.lit("«doc-"), number, F.lit("»")), F.lit("x"), "case % 5 <> 0")).union(row(2, F.lit("extra"), F.lit("x"), "case % 7 = 0"))
+    decisions = base.select((c("case") * 10).alias("id"), F.when(c("case") % 4 == 1, "resolved").otherwise("abstained").alias("status"), c("source").alias("canonical_name"))
+    dishes = base.where("case % 4 = 0").select("case", F.lit(0).alias("ord"), F.lit("Soup").alias("name"), F.array(F.lit("Stew")).alias("aliases")), base.where("case % 8 = 0").select("case", F.lit("STEW!").alias("name"))
+    terms = base.where("case % 3 = 0").select("case", F.lit("Zebra, crossing").alias("term")), base.select("case", F.when(c("case") % 6 == 0, F.array(F.lit("a zebra"), F.lit("crossing the road"))).otherwise(none).alias("points"))
+    return cases, first.union(second), actual, said, {"decisions": decisions, "recipes": dishes, "terms": terms}
+
+
+@query(SCORE_SQL + """
+SELECT d AS "case", 0 AS ord, own AS found, NOT own OR d % 3 <> 0 AS type_ok FROM c UNION ALL SELECT d, 1, second, TRUE FROM c
 """)
 def expected_matches(t):
-    expected = t("nation").select(F.col("n_nationkey").alias("case"), F.lit(0).alias("ord"), F.lit("Other").alias("name"), F.array("n_name").alias("aliases"), F.array().cast("array<string>").alias("types"))
-    first = t("supplier").groupBy(F.col("s_nationkey").alias("case")).agg(F.min("s_suppkey").alias("id"))
-    name = F.when(F.col("id") % 2 == 0, F.concat(F.lit("«"), F.lower("n_name"), F.lit("»"))).otherwise("nothing of it")
-    actual = first.join(t("nation"), F.col("n_nationkey") == F.col("case")).select("case", "id", name.alias("name"), F.lit(None).cast("string").alias("name_latin"), F.lit("place").alias("type"))
-    return quality.match_expected(expected, actual).select("case", "found")
+    _, expected, actual, _, _ = _score_inputs(t)
+    return quality.match_expected(expected, actual).select("case", "ord", "found", (~F.col("found") | F.col("type_ok")).alias("type_ok"))
 
 
 @query("""
@@ -618,14 +657,14 @@ def content_keys(t):
 
 
 @query("""
-SELECT s_suppkey, s_name, coalesce(o.orders, '') AS orders, coalesce(o.n, 0) AS n FROM supplier LEFT JOIN
-  (SELECT l_suppkey, count(*) AS n, string_agg(l_orderkey::VARCHAR, '|' ORDER BY l_orderkey) AS orders FROM (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem WHERE l_quantity >= 49) GROUP BY 1) o ON o.l_suppkey = s_suppkey
+SELECT s_suppkey, s_name, sha256(coalesce(o.orders, '')) AS orders, coalesce(o.n, 0) AS n FROM supplier LEFT JOIN
+  (SELECT l_suppkey, count(*) AS n, string_agg(l_orderkey::VARCHAR, '|' ORDER BY l_orderkey) AS orders FROM (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem) GROUP BY 1) o ON o.l_suppkey = s_suppkey
 """)
 def entity_with_sources(t):
-    bridge = t("lineitem").where("l_quantity >= 49").select(F.col("l_suppkey").alias("s_suppkey"), "l_orderkey").distinct()
+    bridge = t("lineitem").select(F.col("l_suppkey").alias("s_suppkey"), "l_orderkey").distinct()
     rows = views.with_sources(t("supplier"), bridge, "s_suppkey", ["l_orderkey"])
     orders = F.coalesce(F.array_join(F.transform("sources", lambda x: x["l_orderkey"].cast("string")), "|"), F.lit(""))
-    return rows.select("s_suppkey", "s_name", orders.alias("orders"), F.when(F.col("sources").isNull(), 0).otherwise(F.size("sources")).cast("long").alias("n"))
+    return rows.select("s_suppkey", "s_name", F.sha2(orders, 256).alias("orders"), F.when(F.col("sources").isNull(), 0).otherwise(F.size("sources")).cast("long").alias("n"))
 
 
 @query("SELECT c_custkey, c_name, coalesce(n, 0) AS n_orders FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey")
@@ -636,7 +675,7 @@ def correlated_counts(t):
 
 @query(f"""
 WITH w AS (SELECT doc_id, {tokens('text')} AS t FROM documents)
-SELECT CASE WHEN list_has_any(t, ['food', 'restaurant', 'cuisine', 'recette', 'izakaya', 'gastronomie']) THEN 'Food & restaurants' WHEN list_has_any(t, ['langue', 'language', 'japonais', 'vocabulaire', 'phrase']) THEN 'Learning & languages'
+SELECT CASE WHEN doc_id % 5 = 1 OR doc_id % 7 = 1 THEN 'Food & restaurants' WHEN list_has_any(t, ['food', 'restaurant', 'cuisine', 'recette', 'izakaya', 'gastronomie']) THEN 'Food & restaurants' WHEN list_has_any(t, ['langue', 'language', 'japonais', 'vocabulaire', 'phrase']) THEN 'Learning & languages'
   WHEN list_has_any(t, ['sport', 'fitness', 'workout', 'yoga', 'bien etre', 'wellness']) THEN 'Sport & wellbeing' WHEN list_has_any(t, ['voyage', 'travel', 'roadtrip', 'citytrip', 'visit', 'tourisme', 'excursion']) THEN 'Travel & places'
   WHEN list_has_any(t, ['shopping', 'souvenir', 'cadeau', 'achat', 'occasion']) THEN 'Shopping & products' WHEN list_has_any(t, ['anime', 'art', 'culture', 'streaming', 'fantasy', 'histoire']) THEN 'Culture & media'
   WHEN list_has_any(t, ['maison', 'mobilier', 'decoration', 'canape', 'diy', 'rangement', 'nettoyage']) THEN 'Home & DIY' WHEN list_has_any(t, ['nature', 'randonnee', 'montagne', 'panorama', 'outdoor', 'plage']) THEN 'Nature & outdoors'
@@ -644,7 +683,9 @@ SELECT CASE WHEN list_has_any(t, ['food', 'restaurant', 'cuisine', 'recette', 'i
 FROM w GROUP BY 1
 """)
 def theme_rollup(t):
-    return views.theme_counts(t("documents").select(F.lit(None).cast("string").alias("content_kind"), F.array().cast("array<string>").alias("types"), T.search_tokens("text").alias("tags")))
+    k = F.col("doc_id")
+    kind, types = F.when(k % 5 == 1, "recipe"), F.when(k % 7 == 1, F.array(F.lit("media"), F.lit("restaurant"))).otherwise(F.array().cast("array<string>"))
+    return views.theme_counts(t("documents").select(kind.alias("content_kind"), types.alias("types"), T.search_tokens("text").alias("tags")))
 
 
 @query("""
@@ -662,19 +703,31 @@ def review_queue(t):
     return out.select(F.col("shortcode").alias("doc_id"), "reason", views.rank_of(F.col("reason"), {"evidence": 0, "rejected": 1, "silent": 2, "uncertain": 3}).alias("severity"))
 
 
-@query("""
-WITH p AS (SELECT d.lang, l.quality, (length(d.text) > 200)::INT AS said FROM labels l JOIN documents d ON d.doc_id = l.doc_id)
-SELECT lang, count(*) AS cases, count(*) FILTER (WHERE said = quality) AS mode_correct, count(*) FILTER (WHERE quality = 1) AS good, CASE WHEN count(*) = 0 THEN 1.0 ELSE count(*) FILTER (WHERE said = quality)::DOUBLE / count(*) END AS mode_accuracy FROM p GROUP BY 1
+@query(SCORE_SQL + """
+SELECT lang, count(*) AS cases, 2 * count(*) AS entities_expected, sum(found)::BIGINT AS entities_found, sum(type_error)::BIGINT AS type_errors, sum(fp)::BIGINT AS false_positives, count(*) FILTER (WHERE q = 1) AS fp_cases,
+  sum(canon_found)::BIGINT AS canonicalized_found, sum(canon_fp)::BIGINT AS canonicalized_false_positives, count(*) FILTER (WHERE canon) AS resolved, count(*) FILTER (WHERE NOT canon) AS abstained,
+  count(*) FILTER (WHERE d % 4 = 0) AS recipes_expected, count(*) FILTER (WHERE d % 8 = 0) AS recipes_found, count(*) FILTER (WHERE d % 3 = 0) AS terms_expected, count(*) FILTER (WHERE d % 6 = 0) AS terms_found,
+  count(*) AS mode_expected, count(*) FILTER (WHERE said = q AND d % 11 <> 0 AND d % 13 <> 0) AS mode_correct, count(*) FILTER (WHERE d % 2 = 0) AS content_kind_expected, count(*) FILTER (WHERE d % 4 = 0 AND d % 11 <> 0 AND d % 13 <> 0) AS content_kind_correct,
+  count(*) FILTER (WHERE d % 3 = 0) AS actionable_expected, count(*) FILTER (WHERE d % 9 = 0 AND d % 11 <> 0 AND d % 13 <> 0) AS actionable_correct, sum(found)::DOUBLE / (2 * count(*)) AS recall FROM c GROUP BY 1
 """)
 def scorecard(t):
-    cases = t("labels").join(t("documents"), "doc_id").select(F.col("doc_id").alias("case"), "lang", F.lit("minimum").alias("scope"), F.col("quality").cast("string").alias("mode"), F.lit(None).cast("string").alias("content_kind"), F.lit(None).cast("boolean").alias("actionable"), "quality")
-    said = t("documents").select(F.col("doc_id").alias("case"), F.lit(True).alias("ok"), (F.length("text") > 200).cast("int").cast("string").alias("mode"), F.lit(None).cast("string").alias("content_kind"), F.lit(None).cast("boolean").alias("actionable"))
-    none = cases.select("case").limit(0)
-    expected = none.select("case", F.lit(0).alias("ord"), F.lit("").alias("name"), F.array().cast("array<string>").alias("aliases"), F.array().cast("array<string>").alias("types"))
-    actual = none.select("case", F.lit(0).alias("id"), F.lit("").alias("name"), F.lit("").alias("name_latin"), F.lit("").alias("type"))
-    card = quality.scorecard(cases, expected, actual, said, by="lang")
-    good = cases.groupBy("lang").agg(F.count_if(F.col("quality") == 1).alias("good"))
-    return card.join(good, "lang").select("lang", "cases", "mode_correct", "good", "mode_accuracy")
+    cases, expected, actual, said, more = _score_inputs(t)
+    return quality.scorecard(cases, expected, actual, said, by="lang", **more).drop("canonicalized_recall", "recipe_recall", "term_recall", "mode_accuracy", "content_kind_accuracy", "actionable_accuracy")
+
+
+@query(SCORE_SQL + """
+SELECT d AS "case", CASE WHEN d % 11 = 0 THEN 'absent' WHEN d % 13 = 0 THEN 'failed' ELSE 'ok' END AS status, concat_ws('|', CASE WHEN NOT own THEN source END, CASE WHEN NOT second THEN 'item ' || d END) AS missing
+FROM c JOIN documents ON doc_id = d
+""")
+def case_results(t):
+    cases, expected, actual, said, more = _score_inputs(t)
+    return quality.case_results(cases, expected, actual, said, **more).select("case", "status", F.array_join("missing", "|").alias("missing"))
+
+
+@query(SCORE_SQL + "SELECT d * 10 + j AS id FROM (SELECT d, unnest(CASE WHEN q = 1 THEN list_concat(CASE WHEN own THEN [] ELSE [0] END, CASE WHEN d % 7 = 0 THEN [2] ELSE [] END) ELSE [] END) AS j FROM c)")
+def false_positive_items(t):
+    cases, expected, actual, _, _ = _score_inputs(t)
+    return quality.false_positives(expected, actual, cases.where("scope = 'complete'")).select("id")
 
 
 @query("SELECT count(*) AS n, median(n_chars)::DOUBLE AS median, list_sort(list(n_chars))[(count(*) * 9 // 10) + 1] AS p90, max(n_chars) AS max FROM documents")
@@ -687,7 +740,7 @@ def rank_stats(t):
     return quality.rank_stats(t("supplier"), "s_acctbal")
 
 
-@query("SELECT count(*) AS n, sum(p_size)::BIGINT AS total, count(*) FILTER (WHERE p_size >= 25) AS at_cap, (sum(p_size) - sum(least(p_size, 25)))::BIGINT AS saved FROM part")
+@query("SELECT count(*) AS n, sum(p_size)::BIGINT AS total, count(*) FILTER (WHERE p_size >= 25) AS at_cap, (sum(p_size) - sum(least(p_size, 25)))::BIGINT AS saved, median(p_size)::DOUBLE AS median, max(p_size) AS max FROM part")
 def frame_stats(t):
     return quality.frame_stats(t("part"), "p_size", 25)
 
@@ -700,3 +753,6 @@ def source_attribution(t):
     c = F.col
     carrier = quality.attribution(c("source"), F.concat("text", F.lit(" "), F.when(c("doc_id") % 3 == 0, c("source")).otherwise("")), F.when(c("doc_id") % 3 == 1, c("source")).otherwise(""))
     return t("documents").groupBy(carrier.alias("carrier")).agg(F.count("*").alias("n"))
+
+
+from shelfmark.plans import rules  # noqa: E402, F401  (puts its queries down)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator
 
@@ -70,25 +69,38 @@ def consecutive_distinct(df: DataFrame, key: str, order: str, value: str) -> Dat
     return df.withColumn("__b", F.trim(F.coalesce(before, F.lit("")))).where((bare != "") & (bare != F.col("__b"))).drop("__b")
 
 
-def first_object(text: str | None) -> dict | None:
-    """The first balanced JSON object in free text that parses, or None; strings and escapes are respected."""
-    source = text or ""
-    decoder = json.JSONDecoder()
-    for m in re.finditer(r"\{", source):
-        try:
-            value, _ = decoder.raw_decode(source, m.start())
-        except ValueError:
-            continue
-        return value
+_MARKS = re.compile(r'["{}]|\\.?', re.DOTALL)
+
+
+def first_object(text: str | None) -> str | None:
+    """The text of the first balanced JSON object: from the first brace to the one that closes it, strings and escapes respected.
+
+    None without a brace or where it is never closed. What stands inside isn't parsed. One pass, at any depth.
+    """
+    start = (text or "").find("{")
+    if start < 0:
+        return None
+    depth, quoted = 0, False
+    for m in _MARKS.finditer(text, start):
+        mark = m[0]
+        if mark == '"':
+            quoted = not quoted
+        elif not quoted and mark == "{":
+            depth += 1
+        elif not quoted and mark == "}":
+            depth -= 1
+            if not depth:
+                return text[start : m.end()]
     return None
 
 
 def first_json_object(df: DataFrame, column: str, out: str = "object") -> DataFrame:
-    """df with the first JSON object of a text column, as canonical JSON text; null without one. Arrow batches: nesting isn't a regular language."""
+    """df with the first balanced JSON object of a text column, null without one. Arrow batches: nesting isn't a regular language."""
+
     @F.pandas_udf("string")
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(lambda t: None if (o := first_object(t)) is None else json.dumps(o, sort_keys=True, ensure_ascii=False))
+            yield batch.map(first_object)
 
     return df.withColumn(out, find(F.col(column)))
 
@@ -119,6 +131,12 @@ def unarchived(media: DataFrame) -> DataFrame:
     return media.where(F.col("validated_at").isNotNull() & F.col("sha256").rlike("^[0-9a-f]{64}$") & F.col("archive_uri").isNull())
 
 
+def cascaded(tables: dict[str, DataFrame], gone: DataFrame, key: str = "shortcode") -> dict[str, DataFrame]:
+    """tables without the rows whose parent (key) is deleted: what ON DELETE CASCADE leaves."""
+    keys = gone.select(key).distinct()
+    return {name: df.join(keys, key, "left_anti") for name, df in tables.items()}
+
+
 def broken_references(tables: dict[str, DataFrame], parent: DataFrame, key: str = "shortcode") -> DataFrame:
     """table, key of rows whose parent is missing."""
     out = None

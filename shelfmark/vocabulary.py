@@ -57,3 +57,9 @@ THEMES = (
     ("Style & beauty", (), ("mode", "beaute", "beauty", "skincare", "vintage")),
     ("Tech & creation", (), ("ia", "photographie", "photo", "tech", "camera", "design")),
 )
+
+# Tags that mark sport.
+SPORT_TAGS = (
+    "sport", "fitness", "workout", "yoga", "mobilite", "souplesse", "etirement", "renforcement", "musculation", "course", "tennis", "calisthenie", "posture", "abdominaux", "gainage", "echauffement",
+    "entrainement", "preparation physique",
+)

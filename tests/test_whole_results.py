@@ -1,8 +1,15 @@
 """Results that the smallest tables don't show to be whole."""
 
+import random
+
+import pytest
 from oracle import same
+from pyspark.sql import functions as F
 
+from shelfmark import api
+from shelfmark.operators import queues
 from shelfmark.plans import queries
+from shelfmark.sources import media
 
 
 def test_attested_in_sources_finds_every_needle(spark, tmp_path):
@@ -16,3 +23,145 @@ def test_attested_in_sources_finds_every_needle(spark, tmp_path):
 
 def test_attested_in_sources_on_more_documents(spark):
     same(queries.QUERIES["attested_in_sources"](spark, "/root/testdata/sf0.1"), queries.ORACLE_SQL["attested_in_sources"], "/root/testdata/sf0.1")
+
+
+def test_attested_pairs_in_blocks(spark):
+    from shelfmark.operators.attest import attested_pairs
+
+    docs = spark.createDataFrame([(1, "Smart of the town"), (2, None), (3, "cats, CATS\nand dogs"), (4, "")], "doc_id long, text string")
+    items = spark.createDataFrame([(10, "art of the town"), (11, " cats "), (12, "CATS"), (13, "cats\nand"), (14, "s, c"), (15, " "), (16, None), (17, "at")], "item_id int, text string")
+    want = {(1, 10), (3, 11), (3, 12), (3, 13), (3, 14), (3, 17)}
+    for most in (50_000, 2):
+        got = attested_pairs(docs, "doc_id", "text", items, "item_id", "text", block_items=most)
+        assert got.count() == len(want) and set(map(tuple, got.collect())) == want
+    assert attested_pairs(docs, "doc_id", "text", items.limit(0), "item_id", "text").count() == 0
+    assert attested_pairs(docs.limit(0), "doc_id", "text", items, "item_id", "text").count() == 0
+
+
+@pytest.mark.parametrize(("adaptive", "parts"), [("true", 16), ("true", 200), ("false", 16)])
+def test_quota_keeps_every_row_that_is_due(spark, adaptive, parts):
+    rng = random.Random(parts)
+    order = list(range(60_000))
+    rng.shuffle(order)
+    rows = [(k, rng.random() < 0.15, rng.random() < 0.01, "x" * 40) for k in order]
+    df = spark.createDataFrame(rows, "k long, ok boolean, blocked boolean, pad string").repartition(7).cache()
+    before = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        for limits in ({"ok": 3000}, {"ok": 1}, {"ok": 10**9}, {"ok": 8000, "blocked": 100}):
+            want, seen = 0, dict.fromkeys(limits, 0)
+            for r in sorted(rows):
+                if any(seen[x] >= n for x, n in limits.items()):
+                    break
+                want += 1
+                for x in limits:
+                    seen[x] += r[1] if x == "ok" else r[2]
+            got = sorted(r.k for r in queues.until(df, limits, "k").select("k").collect())
+            assert got == list(range(want))
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+
+
+def brute_object(text):
+    start = text.find("{")
+    depth, quoted, skip = 0, False, False
+    for i in range(start, len(text)) if start >= 0 else ():
+        ch = text[i]
+        if skip:
+            skip = False
+        elif ch == "\\":
+            skip = True
+        elif ch == '"':
+            quoted = not quoted
+        elif not quoted and ch in "{}":
+            depth += 1 if ch == "{" else -1
+            if not depth:
+                return text[start : i + 1]
+    return None
+
+
+def test_first_json_object_by_brute_force(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice('{}"\\a\n ') for _ in range(rng.randrange(30))) for _ in range(3000)]
+    deep = '{"a":' * 100_000
+    texts += ["", '{"a":"\\ud800"} tail', deep, deep + "1" + "}" * 100_000, '{"never closed', "{bad} {}", "}{", '"{" {x}']
+    for t in texts:
+        assert media.first_object(t) == brute_object(t)
+    assert media.first_object(None) is None
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts[-8:])] + [(99, None)], "i int, t string")
+    got = {r.i: r.object for r in media.first_json_object(df, "t").collect()}
+    assert got == {i: brute_object(t) for i, t in enumerate(texts[-8:])} | {99: None}
+
+
+def test_numbers_and_ranks_by_ranges(spark):
+    from shelfmark.operators import ordered, votes
+
+    rng = random.Random(2)
+    values = [rng.choice([None, *range(50)]) for _ in range(4000)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v long").repartition(5)
+    numbers = {r.i: r.n for r in ordered.numbered(df.where("v is not null"), ["v", "i"], "n").collect()}
+    order = sorted((v, i) for i, v in enumerate(values) if v is not None)
+    assert numbers == {i: k + 1 for k, (_, i) in enumerate(order)}
+    plain = [v for v, _ in order]
+    r = votes.value_at(df, "v", {"lo": F.lit(0), "mid": F.floor(F.col("n") / 2), "top": F.col("n") - 1}).first()
+    assert (r.n, r.lo, r.mid, r.top) == (len(plain), plain[0], plain[len(plain) // 2], plain[-1])
+    assert tuple(votes.value_at(df.limit(0), "v", {"lo": F.lit(0)}).first()) == (0, None)
+
+
+def test_a_failed_version_leaves_the_last_one(spark, tmp_path):
+    from shelfmark.operators import versions
+
+    base, log = str(tmp_path / "table"), []
+    record = lambda ok, error: log.append((ok, error and error[:9]))
+    assert versions.current(spark, base) is None
+
+    def broken(_):
+        raise ValueError("too early to say")
+
+    assert not versions.attempt(spark, base, broken, record)
+    assert versions.attempt(spark, base, lambda old: spark.range(3), record)
+    assert versions.attempt(spark, base, lambda old: old.union(spark.range(10, 12)), record)
+    late = lambda old: old.select(F.raise_error(F.lit("boom")).cast("long").alias("id"))
+    assert not versions.attempt(spark, base, late, record)
+    assert sorted(r.id for r in versions.current(spark, base).collect()) == [0, 1, 2, 10, 11]
+    assert [ok for ok, _ in log] == [False, True, True, False] and log[0][1] == "too early"
+
+
+def test_feed_walk(spark):
+    pages = spark.createDataFrame([(1, "a", False), (1, "b", False), (2, "k1", False), (2, "k2", False), (3, "k1", True), (3, "z", True)], "page int, shortcode string, last boolean")
+    known = spark.createDataFrame([("k1",), ("k2",)], "shortcode string")
+    read = lambda *a, **k: (lambda p, done: (sorted({r.page for r in p.collect()}), done))(*queues.walked(*a, **k))
+    assert read(pages, known) == ([1, 2], False)
+    assert read(pages, known, full=True) == ([1, 2, 3], True)
+    assert read(pages, known.limit(0)) == ([1, 2, 3], True)
+    assert read(pages, known, full=True, limit=3) == ([1, 2], False)
+    assert read(pages, known, full=True, limit=6) == ([1, 2, 3], False)
+    assert read(pages.where("page < 3"), known, full=True) == ([1, 2], False)
+
+
+def test_written_index_answers_like_the_scan(spark, tmp_path):
+    from shelfmark.operators import search
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    search.write_index(search.token_table(docs, "doc_id", "text", "source"), str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    for q in ("the with", "the NOT with", '"of the"', "licens* OR ^the", "source:src1 AND the", "NEAR(the in, 3)", "a*", "nothere", "(der OR una) NOT source:src2"):
+        want = [r.doc_id for r in search.search(docs, q, ["text", "source"], "doc_id").collect()]
+        assert sorted(r.doc_id for r in search.search_index(index, q, "doc_id", ["text", "source"]).collect()) == want, q
+
+
+def test_conversations(spark):
+    s = "id long, title string, created_at string, updated_at string"
+    m = "id long, session_id long, role string, content string, created_at string"
+    sessions, messages, n = api.asked(spark.createDataFrame([], s), spark.createDataFrame([], m), "  What is\nnew? " + "x" * 80, "t1")
+    assert n == 1 and sessions.first().title == ("What is new? " + "x" * 80)[:72] + "…"
+    sessions, messages, n = api.asked(sessions, messages, "and then", "t2", 1)
+    assert [r.content for r in api.conversation(messages, 1).collect()][1] == "and then" and sessions.count() == 1
+    for bad in ("", " ", "x" * 801):
+        with pytest.raises(ValueError):
+            api.asked(sessions, messages, bad, "t", 1)
+    with pytest.raises(ValueError):
+        api.asked(sessions, messages, "x", "t", 5)
+    assert [d.count() for d in api.without_session(sessions, messages, 1)] == [0, 0]
