@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}
 _written: list[str] = []
+_lasting: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,8 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back. The shuffle files that made it go at once, as nothing reads them any more."""
+def cut(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back. A lasting table outlives the scratch() it is made in. The shuffle files that made it go at once, as nothing reads them any more."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/shelfmark/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, None)
@@ -47,7 +48,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-    _written.append(path)
+    (_lasting if lasting else _written).append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
@@ -61,16 +62,19 @@ def _delete(spark: SparkSession, path: str) -> bool:
 def drop(df: DataFrame) -> None:
     """Delete a table of cut() that nothing will read again, as what was made of it is itself cut."""
     path = getattr(df, "scratch_path", None)
-    if path in _written:
-        _written.remove(path)
-        _delete(df.sparkSession, path)
+    for paths in (_written, _lasting):
+        if path in paths:
+            paths.remove(path)
+            _delete(df.sparkSession, path)
 
 
 def drop_scratch(spark: SparkSession, keep: int = 0) -> int:
-    """Delete the tables of this process but for the first keep; call it after the results that use them are written."""
+    """Delete the tables of this process but for the first keep (then lasting ones stay, too); call it after the results that use them are written."""
     n = 0
     while len(_written) > keep:
         n += _delete(spark, _written.pop())
+    while _lasting and not keep:
+        n += _delete(spark, _lasting.pop())
     return n
 
 
@@ -81,4 +85,5 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        drop_scratch(spark, before)
+        while len(_written) > before:
+            _delete(spark, _written.pop())
