@@ -13,8 +13,6 @@ Conventions of every operator in this package:
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -23,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.scratch import cut, drop, drop_scratch, scratch, shared_dir
+
+__all__ = ["cut", "drop", "drop_scratch", "scratch", "shared_dir"]
+
 ROOT = str(Path(__file__).resolve().parents[2])
 WS_JAVA = r"[\x20\x09-\x0D]"
 NON_WS_JAVA = r"[^\x20\x09-\x0D]"
 
-_own_dirs: dict[str, str] = {}
-_written: list[str] = []
-
 
 def ready(spark: SparkSession) -> None:
     """Let Python workers import this package where it isn't installed on them."""
@@ -39,63 +38,6 @@ def ready(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, path) if x)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: the session's spark.checkpoint.dir, or on local masters one of our own."""
-    given = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="shelfmark-")
-    return _own_dirs[app]
-
-
-#: Spark's own switch: with it a query's shuffle files go when the query ends.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: computed once, lineage ends here, survives lost executors.
-
-    The shuffle files that made it go at once, as nothing reads them any more.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-    _written.append(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch_path = path
-    return out
-
-
-def _delete(spark: SparkSession, path: str) -> bool:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True))
-
-
-def drop(df: DataFrame) -> None:
-    """Delete an intermediate table of cut() that nothing will read again, as what was made of it is itself cut."""
-    path = getattr(df, "scratch_path", None)
-    if path in _written:
-        _written.remove(path)
-        _delete(df.sparkSession, path)
-
-
-def drop_scratch(spark: SparkSession) -> int:
-    """Delete the intermediate tables of this process; call it after the results that use them are written."""
-    n = 0
-    while _written:
-        n += _delete(spark, _written.pop())
-    return n
-
-
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast only if a count shows at most max_rows; beyond that the caller's join shuffles instead."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
