@@ -8,7 +8,8 @@ Jaccard similarity that matches containment t is so small that bands of one mini
 each minimum is such a band. Items that meet a document in any band are verified, shingle by shingle, on the bytes.
 
 The items are a stated query set: they go to the executors in blocks of at most ``block_items`` items and
-``block_bytes`` bytes, one pass over the documents for each block.
+``block_bytes`` bytes, one pass over the documents for each block. One block is one map-only pass. With more, each block's pairs
+are written before the next block is built and its broadcast is given up, so the driver and the executors hold one block at a time.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_rows, flat, id_text, map_arrow, slices, text_or_empty
+from .common import cut, filter_rows, flat, id_text, map_arrow, row_key, slices, text_or_empty, unused
 from .textnum import U, normalised, window_hash, windows_inside, word_bounds, hash_ranges
 
 SCHEMA = "doc_id long, item_id long, n_shingles long, n_found long, containment double"
@@ -135,36 +136,56 @@ def find_contaminated(docs: DataFrame, items: DataFrame, width: int = 5, share:
     Items of fewer than width words count as one shingle, their whole sequence; items and documents without words
     match nothing. Rows of docs or items that repeat give repeated pairs. No pairs: an empty result.
     """
-    out = None
-    for load in item_blocks(items, width, share, block_items, block_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(load())
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            own = sent.value
-            for batch in batches:
-                for part in slices(batch):
-                    ids = part.column(0).to_pylist()
-                    rows = [(ids[d], own.ids[n], size, found, found / size) for d, n, size, found in matches(part.column(1), own, share)]
-                    cols = list(zip(*rows, strict=True)) or [()] * 5
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(),) * 4 + (pa.float64(),), strict=True)], names=["doc_id", "item_id", "n_shingles", "n_found", "containment"])
-
-        part = map_arrow(id_text(docs), run, SCHEMA)
+    blocks, out = item_blocks(items, width, share, block_items, block_bytes), None
+    for load in blocks:
+        part, sent = _block_pairs(id_text(docs).withColumn("k2", F.lit(0).cast("long")), load, share)
+        part = part.drop("k2")
+        if len(blocks) > 1:
+            part = cut(part, "contaminated")
+            sent.unpersist()
         out = part if out is None else out.union(part)
     return out
 
 
+def _block_pairs(keyed: DataFrame, load: Callable[[], Items], share: float):
+    """(the pairs of keyed (doc_id, text, k2) and a block's items, the block's broadcast)."""
+    sent = keyed.sparkSession.sparkContext.broadcast(load())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        for batch in batches:
+            for part in slices(batch):
+                ids, k2 = part.column(0).to_pylist(), part.column(2).to_pylist()
+                rows = [(ids[d], own.ids[n], size, found, found / size, k2[d]) for d, n, size, found in matches(part.column(1), own, share)]
+                cols = list(zip(*rows, strict=True)) or [()] * 6
+                kinds = (*(pa.int64(),) * 4, pa.float64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "n_shingles", "n_found", "containment", "k2"])
+
+    return map_arrow(keyed, run, SCHEMA + ", k2 long"), sent
+
+
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = 5, share: float = 0.8, block_items: int = 20_000, block_bytes: int = 32 << 20) -> DataFrame:
-    """docs, all columns, without the rows that hold an item; one map-only pass for each block of items."""
-    for load in item_blocks(items, width, share, block_items, block_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(load())
+    """docs, all columns, without the rows that hold an item: one map-only pass, or with several blocks of items one pass each and one anti join."""
+    blocks = item_blocks(items, width, share, block_items, block_bytes)
+    if len(blocks) == 1:
+        sent = docs.sparkSession.sparkContext.broadcast(blocks[0]())
 
-        def clean(texts: pa.Array, sent=sent) -> np.ndarray:
+        def clean(texts: pa.Array) -> np.ndarray:
             keep = np.ones(len(texts), bool)
             keep[[d for d, *_ in matches(texts, sent.value, share)]] = False
             return keep
 
-        docs = filter_rows(docs, clean)
-    return docs
+        return filter_rows(docs, clean)
+    gone = None
+    for load in blocks:
+        part, sent = _block_pairs(id_text(docs).select("doc_id", "text", row_key()[1]), load, share)
+        part = cut(part.select(F.coalesce("doc_id", F.lit(-1)).alias("k1"), "k2").distinct(), "contaminated")
+        sent.unpersist()
+        gone = part if gone is None else gone.union(part)
+    k1, k2 = unused(docs, "k1"), unused(docs, "k2")
+    own = row_key("doc_id", text_or_empty())
+    kept = docs.select("*", own[0].alias(k1), own[1].alias(k2)).join(gone.select(F.col("k1").alias(k1), F.col("k2").alias(k2)), [k1, k2], "left_anti")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = """
