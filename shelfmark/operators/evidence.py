@@ -28,19 +28,19 @@ def _norm(c: Column) -> Column:
 
 
 def _judge(x: Column, name: Column, frames: Column, text: dict[str, Column]) -> Column:
-    """issue (null if the citation is good) and location of a citation."""
+    """issue (null if the citation is good) and location of a citation; text: the normalised sources."""
     source, place = x["source"], F.coalesce(x["location"], F.lit(""))
     has_frames = F.size(frames) > 0
     at_frame = (source == "ocr") & (place != "")
     known = F.array_contains(F.map_keys(frames), place)
-    body = F.when(at_frame & known, frames[place]).when(source == "caption", text["caption"]).when(source == "transcript", text["transcript"]).when(source == "ocr", text["ocr"])
+    body = F.when(at_frame & known, _norm(frames[place])).when(source == "caption", text["caption"]).when(source == "transcript", text["transcript"]).when(source == "ocr", text["ocr"])
     quote = _norm(x["quote"])
     issue = (
         F.when((x["match"] == "phonetic") & (source != "transcript"), ISSUES["phonetic"])
         .when(at_frame & ~known & has_frames, ISSUES["frame"])
         .when((source != "ocr") & (place != ""), ISSUES["location"])
         .when((source == "ocr") & (place == "") & has_frames, ISSUES["no_frame"])
-        .when((quote == "") | ~F.coalesce(_norm(body).contains(quote), F.lit(False)), ISSUES["quote"])
+        .when((quote == "") | ~F.coalesce(body.contains(quote), F.lit(False)), ISSUES["quote"])
         .when((x["match"] == "literal") & ~quote.contains(name), ISSUES["name"])
     )
     return F.struct(source.alias("source"), x["quote"].alias("quote"), x["match"].alias("match"), F.when(at_frame & ~known, "").otherwise(place).alias("location"), issue.alias("issue"))
@@ -51,17 +51,18 @@ def assess(candidates: DataFrame, sources: DataFrame) -> DataFrame:
     side = sources.select("shortcode", *[F.coalesce(p, F.lit("")).alias(f"__{p}") for p in PARTITIONS], F.coalesce("frames", F.create_map().cast("map<string,string>")).alias("__frames"))
     df = candidates.join(side, "shortcode", "left").withColumn("__name", _norm(F.col("name")))
     df = df.withColumns({f"__{p}": F.coalesce(f"__{p}", F.lit("")) for p in PARTITIONS} | {"__frames": F.coalesce("__frames", F.create_map().cast("map<string,string>"))})
-    text = {p: F.col(f"__{p}") for p in PARTITIONS}
+    df = df.withColumns({f"__n_{p}": _norm(F.col(f"__{p}")) for p in PARTITIONS})  # once a row
+    text, plain = {p: F.col(f"__n_{p}") for p in PARTITIONS}, {p: F.col(f"__{p}") for p in PARTITIONS}
     df = df.withColumn("__judged", F.transform("evidence", lambda x: _judge(x, F.col("__name"), F.col("__frames"), text)))
     df = df.withColumn("__good", F.filter("__judged", lambda x: x["issue"].isNull()))
-    where = F.when(_norm(text["caption"]).contains(F.col("__name")), "caption").when(_norm(text["transcript"]).contains(F.col("__name")), "transcript").when(_norm(text["ocr"]).contains(F.col("__name")), "ocr")
+    where = F.when(text["caption"].contains(F.col("__name")), "caption").when(text["transcript"].contains(F.col("__name")), "transcript").when(text["ocr"].contains(F.col("__name")), "ocr")
     frame = F.when(where == "ocr", F.coalesce(F.try_element_at(F.sort_array(F.map_keys(F.map_filter("__frames", lambda _, t: _norm(t).contains(F.col("__name"))))), F.lit(1)), F.lit(""))).otherwise("")
     cite = lambda source, quote, match, location: F.struct(source.alias("source"), quote.alias("quote"), match.alias("match"), location.alias("location"))
     df = df.withColumn("__repair", F.when((F.col("__name") != "") & where.isNotNull(), cite(where, F.col("name"), F.lit("literal"), frame)))
     good = F.transform("__good", lambda x: cite(x["source"], x["quote"], x["match"], x["location"]))
     none, literal = F.size("__good") == 0, F.exists("__good", lambda x: x["match"] == "literal")
     repaired = F.col("__repair").isNotNull()
-    near = F.coalesce(*[F.when(near_literal(text[p], F.col("name")), F.lit(p)) for p in PARTITIONS])
+    near = F.coalesce(*[F.when(near_literal(plain[p], F.col("name")), F.lit(p)) for p in PARTITIONS])
     empty = F.coalesce(F.size("evidence"), F.lit(0)) <= 0
     first_issue = F.try_element_at(F.filter(F.transform("__judged", lambda x: x["issue"]), lambda i: i.isNotNull()), F.lit(1))
     dropped = F.size("__judged") - F.size("__good")
