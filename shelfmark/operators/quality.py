@@ -123,9 +123,9 @@ def frame_stats(df: DataFrame, field: str, cap: int) -> DataFrame:
     """total, at_cap, saved, median and max: how many frames there are, how many rows reach the cap, what the cap saves."""
     v = F.col(field)
     middle = value_at(df, field, {"lo": F.floor((F.col("n") - 1) / 2), "hi": F.floor(F.col("n") / 2), "max": F.col("n") - 1})
-    middle = middle.select(((F.col("lo") + F.col("hi")) / 2).alias("median"), "max")
+    median, most = middle.select((F.col("lo") + F.col("hi")) / 2, "max").first()
     sums = df.agg(F.count(v).alias("n"), F.coalesce(F.sum(v), F.lit(0)).cast("long").alias("total"), F.count_if(v >= cap).alias("at_cap"), F.coalesce(F.sum(v) - F.sum(F.least(v, F.lit(cap))), F.lit(0)).cast("long").alias("saved"))
-    return sums.crossJoin(F.broadcast(middle))
+    return sums.select("*", F.lit(median).cast("double").alias("median"), F.lit(most).cast(df.schema[field].dataType).alias("max"))
 
 
 def worst(df: DataFrame, field: str, key: str, n: int = 5) -> DataFrame:

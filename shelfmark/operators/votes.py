@@ -88,6 +88,5 @@ def value_at(df: DataFrame, field: str, at: dict[str, Column]) -> DataFrame:
     """
     counts = df.where(F.col(field).isNotNull()).groupBy(F.col(field).alias("v")).agg(F.count("*").alias("c"))
     upto = running(counts, ["v"], {"upto": F.col("c")}).select(f"{ROW}.v", "upto")
-    total = upto.agg(F.coalesce(F.max("upto"), F.lit(0)).alias("n"))
-    found = upto.crossJoin(F.broadcast(total)).agg(*[F.min(F.when(F.col("upto") > index, F.col("v"))).alias(name) for name, index in at.items()])
-    return total.crossJoin(F.broadcast(found))
+    n = upto.agg(F.coalesce(F.max("upto"), F.lit(0))).first()[0]
+    return upto.withColumn("n", F.lit(n).cast("long")).agg(F.lit(n).cast("long").alias("n"), *[F.min(F.when(F.col("upto") > index, F.col("v"))).alias(name) for name, index in at.items()])
