@@ -119,24 +119,23 @@ def _take(t: Words, docs: np.ndarray) -> Words:
     return Words(t.word[at], t.prefix[at], np.concatenate([[0], np.cumsum(n)]), t.lang[docs])
 
 
-def _log_odds_of_buckets(bucket: np.ndarray, doc: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
-    """Smoothed log-odds of label 1 for the texts that hold each bucket: where the embeddings start."""
-    seen = np.unique(bucket.astype(np.int64) * len(y) + doc)
-    bucket, label = seen // len(y), y[seen % len(y)]
-    pos, neg = (np.bincount(bucket, (label == v).astype(float), minlength=size) for v in (1, 0))
-    return np.clip(np.log((pos + 0.2) / (y.sum() + 0.4)) - np.log((neg + 0.2 * (1 + (1 - y).sum() / max(y.sum(), 1))) / ((1 - y).sum() + 0.4)), -3, 3)
+def _log_odds_of_buckets(bucket: np.ndarray, first: np.ndarray, docs: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
+    """Smoothed log-odds of label 1 for the texts (of docs) that hold each bucket: where the embeddings start. Text by text, so that no array is longer than a text."""
+    pos, neg = np.zeros(size), np.zeros(size)
+    for d in docs:
+        (pos if y[d] else neg)[np.unique(bucket[first[d] : first[d + 1]])] += 1
+    n_pos, n_neg = y[docs].sum(), (1 - y[docs]).sum()
+    return np.clip(np.log((pos + 0.2) / (n_pos + 0.4)) - np.log((neg + 0.2 * (1 + n_neg / max(n_pos, 1))) / (n_neg + 0.4)), -3, 3)
 
 
 def fit(all_words: Words, y: np.ndarray, epochs: int = 6, batch: int = 48, rate: float = 0.03, seed: int = 5) -> Model:
     """Train on texts in the order given; every fourth is set aside for the thresholds."""
     rng = np.random.default_rng(seed)
     aside = np.arange(len(y)) % 4 == 3
-    train = np.flatnonzero(~aside)
-    t = _take(all_words, train)
-    ty = y[train]
-    doc = np.repeat(np.arange(len(train)), np.diff(t.first))
+    train, t, ty = np.flatnonzero(~aside), all_words, y
+    train_y = y[train]
     e1, e2 = rng.normal(0, 0.05, (1 << WORD_BITS, DIM)).astype(np.float32), rng.normal(0, 0.05, (1 << PREFIX_BITS, DIM)).astype(np.float32)
-    e1[:, 0], e2[:, 0] = 0.5 * _log_odds_of_buckets(t.word, doc, ty, len(e1)), 0.5 * _log_odds_of_buckets(t.prefix, doc, ty, len(e2))
+    e1[:, 0], e2[:, 0] = 0.5 * _log_odds_of_buckets(t.word, t.first, train, y, len(e1)), 0.5 * _log_odds_of_buckets(t.prefix, t.first, train, y, len(e2))
     w = rng.normal(0, 0.3, (len(SLOTS), DIM, FILTERS)).astype(np.float32)
     w[:, 0, :] = np.abs(w[:, 0, :]) + 0.3
     b = np.full((len(WIDTHS), FILTERS), -0.5, np.float32)
@@ -144,7 +143,7 @@ def fit(all_words: Words, y: np.ndarray, epochs: int = 6, batch: int = 48, rate:
     offset = -2.0
     state = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in (("w", w), ("b", b), ("head", head))}
     g1, g2 = np.full(len(e1), 1e-3, np.float32), np.full(len(e2), 1e-3, np.float32)
-    step, weight = 0, float(np.clip((1 - ty).sum() / max(ty.sum(), 1), 1, 4))
+    step, weight = 0, float(np.clip((1 - train_y).sum() / max(train_y.sum(), 1), 1, 4))
     off_m = off_v = 0.0
 
     def adam(name: str, value: np.ndarray, grad: np.ndarray) -> None:
@@ -156,7 +155,7 @@ def fit(all_words: Words, y: np.ndarray, epochs: int = 6, batch: int = 48, rate:
     for _ in range(epochs):
         order = rng.permutation(len(train))
         for lo in range(0, len(order), batch):
-            docs = order[lo : lo + batch]
+            docs = train[order[lo : lo + batch]]
             docs = docs[np.diff(t.first)[docs] > 0]
             if not len(docs):
                 continue
@@ -207,8 +206,9 @@ def fit(all_words: Words, y: np.ndarray, epochs: int = 6, batch: int = 48, rate:
                     table[own] -= rate * total / np.sqrt(seen[own])[:, None]
     flat_w = w.transpose(1, 0, 2).reshape(DIM, -1)
     model = Model((e1 @ flat_w).astype(np.float32), (e2 @ flat_w).astype(np.float32), b, head, float(offset), np.zeros(len(LANGS) + 1))
-    held = _take(all_words, np.flatnonzero(aside))
-    model.thresholds = calibrate(model.log_odds(held), y[aside], held.lang)
+    held = np.flatnonzero(aside)
+    z = [model.log_odds(_take(all_words, held[i : i + 100])) for i in range(0, len(held), 100)]
+    model.thresholds = calibrate(np.concatenate(z) if z else np.zeros(0), y[held], all_words.lang[held])
     return model
 
 
