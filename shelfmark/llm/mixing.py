@@ -21,10 +21,14 @@ before the shuffle, the 1024th in which the words due run out is divided again,
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NON_WS_JAVA, bounded_broadcast, cut, drop, text_or_empty
+from shelfmark.operators.ordered import numbered
+
+from .common import NON_WS_JAVA, cut, drop, text_or_empty
 
 WEIGHTS = (5, 2, 1)
 BITS, STEP, EDGE = 60, 10, 4096
@@ -42,20 +46,11 @@ def _source_key(source: str = "source") -> Column:
     return F.coalesce(F.concat(F.lit("v"), F.col(source).cast("string")), F.lit("~"))  # "~" stands after every "v..."
 
 
-def numbered(df: DataFrame, by: str) -> DataFrame:
-    """df with nth, from 0, in the order of by (unique). Ranges are dealt out once and written, so that offsets and rows are of the same ranges."""
-    placed = cut(df.repartitionByRange(F.col(by)).withColumn("range", F.spark_partition_id()), "ranges")
-    sizes = placed.groupBy("range").agg(F.count("*").alias("n"), F.min(by).alias("first"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    nth = F.row_number().over(Window.partitionBy("range").orderBy(by)) - 1
-    return placed.join(F.broadcast(sizes.select("range", before.alias("before"))), "range").withColumn("nth", F.col("before") + nth).drop("range", "before")
-
-
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int = 3) -> DataFrame:
     """skey, source_size, liked, target for each source of sizes (skey, size, liking); sources in code point order, null last, have the weights in turn."""
     per = sizes.groupBy("skey").agg(F.sum("size").alias("source_size"), F.sum(F.col("liking") * F.col("size")).alias("liked"))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("nth") % len(weights) + 1).cast("int"))
-    per = numbered(per, "skey").withColumn("w", weight).withColumn("cap", F.col("source_size") * max_copies).withColumn("ratio", F.col("cap") / F.col("w"))
+    per = numbered(per, ["skey"], "nth", first=0).withColumn("w", weight).withColumn("cap", F.col("source_size") * max_copies).withColumn("ratio", F.col("cap") / F.col("w"))
     per = cut(per, "sources")
     level, full = 0.0, None
     while True:
@@ -75,14 +70,15 @@ def pareto_rank(u: Column, p: Column) -> Column:
 KEY = ("grain", "doc_id", "size")
 
 
-def prefix_end(units: DataFrame, rooms: DataFrame, edge: int = EDGE) -> DataFrame:
+def prefix_end(units: DataFrame, rooms: DataFrame, edge: int, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """skey, end (the key of the last unit taken; null if none), met (words taken) for each source of rooms (skey, room).
 
     units: skey, key (struct of grain, ...), grain, words. Taken are units in order of key as far as their words together stay within room.
+    small: the hint for tables of one row a source.
     """
     state = rooms.select("skey", "room", F.lit(0).cast("long").alias("lo"), F.lit(GRAIN).cast("long").alias("hi"), F.lit(0).cast("long").alias("below"))
     for shift in range(BITS - STEP, -1, -STEP):
-        inside = units.join(bounded_broadcast(state, MAX_SOURCES), "skey").where((F.col("grain") >= F.col("lo")) & (F.col("grain") < F.col("hi")))
+        inside = units.join(small(state), "skey").where((F.col("grain") >= F.col("lo")) & (F.col("grain") < F.col("hi")))
         parts = inside.groupBy("skey", "room", "lo", "hi", "below", F.shiftright("grain", shift).alias("bin")).agg(F.sum("words").alias("words"), F.count("*").alias("n"))
         upto = F.col("below") + F.sum("words").over(Window.partitionBy("skey").orderBy("bin"))
         over = parts.withColumn("upto", upto).where(F.col("upto") > F.col("room")).groupBy("skey", "room").agg(F.min(F.struct("bin", (F.col("upto") - F.col("words")).alias("below"), "n")).alias("at"))
@@ -92,7 +88,7 @@ def prefix_end(units: DataFrame, rooms: DataFrame, edge: int = EDGE) -> DataFram
         if not new.where(F.col("n") > edge).limit(1).count():
             break
     # A source that isn't in state has room for all of its units.
-    inside = units.join(bounded_broadcast(state, MAX_SOURCES), "skey").where((F.col("grain") >= F.col("lo")) & (F.col("grain") < F.col("hi")))
+    inside = units.join(small(state), "skey").where((F.col("grain") >= F.col("lo")) & (F.col("grain") < F.col("hi")))
     upto = F.col("below") + F.sum("words").over(Window.partitionBy("skey").orderBy("key"))
     last = inside.withColumn("upto", upto).where(F.col("upto") <= F.col("room")).groupBy("skey").agg(F.max("upto").alias("met"), F.max("key").alias("end"))
     ends = state.join(last, "skey", "left").select("skey", F.lit(True).alias("cut_off"), "lo", F.coalesce("met", "below").alias("met"), "end")
@@ -122,28 +118,28 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copie
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = plan.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     plan = cut(plan.withColumn("share", F.col("rest") / F.greatest("source_size", F.lit(1))).withColumn("mean", F.greatest("liked", F.lit(1)) / F.greatest("source_size", F.lit(1))), "targets")
+    few = plan.limit(MAX_SOURCES + 1).count() <= MAX_SOURCES
+    small = F.broadcast if few else lambda df: df  # counted once: all tables below have a row a source
     # Q of the source's share alone has the odds of u; Q' / (1 + Q') brings the rank into [0, 1) around it.
     p = F.least(F.greatest(F.col("share") * (F.col("liking") / F.col("mean")), F.lit(LEAST)), F.lit(MOST))
     even = F.least(F.greatest("share", F.lit(LEAST)), F.lit(MOST))
     u = (F.col("draw") + 0.5) / float(GRAIN)
-    ranked = rows.join(bounded_broadcast(plan, MAX_SOURCES), "skey").withColumn("p", p)
+    ranked = rows.join(small(plan), "skey").withColumn("p", p)
     ranked = ranked.withColumn("q", pareto_rank(u, F.col("p")) * (even / (1 - even)))
     ranked = ranked.select("doc_id", "source", "skey", "size", "source_size", "target", "whole", "p", F.least(F.floor(F.col("q") / (1 + F.col("q")) * float(GRAIN)), F.lit(GRAIN - 1)).alias("grain"))
     ranked = cut(ranked.withColumn("key", F.struct("grain", F.col("doc_id").isNull().alias("none"), "doc_id", "size")), "ranks")
     drop(rows)
     units = ranked.groupBy("skey", "key").agg(F.first("grain").alias("grain"), F.first("size").alias("size"), F.sum("size").alias("words"))
-    first = cut(prefix_end(units, plan.select("skey", F.floor("rest").cast("long").alias("room")), edge), "first")
-    small = bounded_broadcast(first, MAX_SOURCES)
-    left = units.join(small, "skey").where(~_taken()).withColumn("gap", F.col("room") - F.col("met")).select("skey", "key", "grain", "words", "gap")
+    first = cut(prefix_end(units, plan.select("skey", F.floor("rest").cast("long").alias("room")), edge, small), "first")
+    left = units.join(small(first), "skey").where(~_taken()).withColumn("gap", F.col("room") - F.col("met")).select("skey", "key", "grain", "words", "gap")
     gaps = first.where("cut_off").select("skey", (F.col("room") - F.col("met")).alias("room"))
-    second = cut(prefix_end(left.where(F.col("words") <= F.col("gap")).drop("gap"), gaps, edge), "second")
-    open_ = left.drop("gap").join(bounded_broadcast(second, MAX_SOURCES), "skey").withColumn("open", F.col("room") - F.col("met"))
+    second = cut(prefix_end(left.where(F.col("words") <= F.col("gap")).drop("gap"), gaps, edge, small), "second")
+    open_ = left.drop("gap").join(small(second), "skey").withColumn("open", F.col("room") - F.col("met"))
     open_ = open_.where((F.col("words") > F.col("room")) | ~_taken())
     nearest = open_.where(F.abs(F.col("words") - F.col("open")) < F.col("open")).groupBy("skey").agg(F.min(F.struct(F.abs(F.col("words") - F.col("open")).alias("off"), "key")).alias("n")).select("skey", F.col("n.key").alias("nearest"))
     ends = first.select("skey", "cut_off", "lo", "end", (F.col("room") - F.col("met")).alias("gap"))
     more = second.select("skey", F.col("cut_off").alias("cut_off2"), F.col("lo").alias("lo2"), F.col("end").alias("end2")).join(nearest, "skey", "left")
-    ends = bounded_broadcast(cut(ends.join(more, "skey", "left"), "ends"), MAX_SOURCES)
-    rows = ranked.join(ends, "skey")
+    rows = ranked.join(small(cut(ends.join(more, "skey", "left"), "ends")), "skey")
     # Identical rows are one unit: their words count together.
     twice = units.where("words > size").select("skey", "key", "words")
     rows = rows.join(twice, ["skey", "key"], "left").withColumn("words", F.coalesce("words", "size"))
