@@ -14,13 +14,13 @@ from .secret_scan import find_secrets
 from .simhash import simhash_groups
 from .token_count import token_counts
 from .toxicity import fit_toxicity, score_toxicity
-from .url_filter import fit_urls, judge_urls, labelled_urls
+from .url_filter import builtin_model, judge_urls
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_urls(table(spark, sf_dir, "pages"), fit_urls(labelled_urls(spark)))
+    return judge_urls(table(spark, sf_dir, "pages"), builtin_model(spark))
 
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,6 +120,16 @@ def fit_urls(labelled: DataFrame, max_labelled: int = 20_000, rounds: int = 150,
     return UrlModel(np.round(w, 6), round(float(bias) - margin, 6), float(np.log(prior / (1 - prior))))
 
 
+_fitted: list[UrlModel] = []
+
+
+def builtin_model(spark: SparkSession) -> UrlModel:
+    """The model of the built-in labelled table, fitted once a process: the table and so the model are always the same."""
+    if not _fitted:
+        _fitted.append(fit_urls(labelled_urls(spark)))
+    return _fitted[0]
+
+
 def _descend(y: np.ndarray, row: np.ndarray, col: np.ndarray, value: np.ndarray, weight: np.ndarray, rounds: int, l2: float) -> tuple[np.ndarray, float]:
     w, bias, m, v = np.zeros(BUCKETS), 0.0, np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
     weight = weight / weight.sum()

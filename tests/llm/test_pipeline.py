@@ -40,3 +40,16 @@ def test_messy_documents_pass(spark, messy, texts):
         assert docs.columns == messy.columns
     assert 0 < P.STAGES[-1][1](spark, docs, SF).count() <= len(texts)
     assert P.STAGES[1][1](spark, messy.limit(0), SF).count() == 0
+
+
+def test_empty_and_wordless_tables_run_through(spark, tmp_path):
+    schema = table(spark, SF, "documents").schema
+    for name, rows in (("none", []), ("blank", [(1, None, "en", "a", 0), (2, "", "en", None, 0), (2, " \n", "en", "a", 2)])):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / name / "documents.parquet"))
+        for other in ("labels", "benchmark"):
+            table(spark, SF, other).write.parquet(str(tmp_path / name / f"{other}.parquet"))
+        out = P.run(spark, str(tmp_path / name)).collect()
+        assert len(out) == min(len(rows), 1) and all(r.size == r.taken == 0 for r in out)
+    nothing = spark.createDataFrame([], schema)
+    for _, stage in P.STAGES:
+        assert stage(spark, nothing, SF).count() == 0

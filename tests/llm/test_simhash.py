@@ -99,3 +99,47 @@ def test_block_keys_meet_for_any_two_bits(spark):
     for (_, _, ka), (_, _, kb) in zip(simhash.block_keys(F.col("a"), 5, 2), simhash.block_keys(F.col("b"), 5, 2), strict=True):
         meet = meet | (ka == kb)
     assert df.where(~meet).count() == 0
+
+
+def test_a_hub_is_split_among_tasks(spark):
+    """The rewiring's join sees a skewed node as such: its minima come from a stage of their own."""
+    from shelfmark.llm import components
+
+    settings = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        hub = spark.range(1, 300_000, numPartitions=6).selectExpr("id as u", "0L as v").union(spark.range(400_000, 403_000).selectExpr("id + 1 as u", "id as v"))
+        star = components._star(hub, True)
+        out = star.collect()
+        assert "skew=true" in star._jdf.queryExecution().executedPlan().toString()
+        assert sum(r.v == 0 for r in out) == 299_999
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_components_of_paths_stars_and_rings(spark):
+    import random
+
+    from shelfmark.llm.components import connected_components
+
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(500, k) for k in range(501, 540)] + [(700 + i, 700 + (i + 1) % 30) for i in range(30)] + [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(150)] + [(5, 5)]
+    edges = [(a, b) if rng.random() < 0.5 else (b, a) for a, b in edges for _ in range(2)]
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    named = {x for a, b in edges for x in (a, b) if a != b}
+    assert got == {x: find(x) for x in named}
+    assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0

@@ -1,6 +1,8 @@
 """Secret scans and personal data: base spans against Python's re, the methods' own spans, masks."""
 
 import hashlib
+import inspect
+import math
 import re
 import string
 
@@ -168,3 +170,48 @@ def test_em_recovers_reliabilities():
     p, rel = pii.expectation_maximisation(patterns, counts.astype(float), 300)
     right = [rel[k, 1, 2] / (rel[k, 1, 2] + rel[k, 1, 0]) for k in range(3)]
     assert np.allclose(right, acc, atol=0.06) and ((p[inverse.ravel()] > 0.5) == y).mean() > 0.85
+
+
+def upper_tail(z):
+    z = min(max(z, -30.0), 30.0)
+    return 1 / (1 + math.exp(min(1.5976 * z + 0.07056 * z**3, 300.0)))
+
+
+def joint_p(s):
+    """The battery's joint p-value anew."""
+    if len(set(s)) == 1 or re.fullmatch(r"[-0-9+/_]+", s):
+        return 1.0
+    n = len(s)
+    a = next(size for rx, size in ((r"[0-9a-f]+|[0-9A-F]+", 16), (r"[A-Z2-7]+", 32), (r"[0-9a-z]+|[0-9A-Z]+", 36), (r"[0-9A-Za-z]+", 62), (r".+", 64)) if re.fullmatch(rx, s))
+    chi = a / n * sum(s.count(c) ** 2 for c in set(s)) - n
+    p1 = upper_tail((a * (1 + (n - 1) * 0.068) - n - chi) / math.sqrt(2 * (a - 1) + 4 * n * max(a * 0.068 - 1, 0.05)))
+    core = re.sub("[-_/+]", "", s)
+    steps, changes = max(len(core) - 1, 1), len(re.findall("[a-z]+|[A-Z]+|[0-9]+", core)) - 1
+    rate = 0.32 if re.search("[a-z]", s) and re.search("[A-Z]", s) else 0.12
+    p2 = 1.0 if changes < 1 else upper_tail((changes - 0.5 - steps * rate) / math.sqrt(steps * rate * (1 - rate)))
+    vowel = [c in "aeiouyAEIOUY" for c in s]
+    share = min(0.98, max(0.02, sum(vowel) / n))
+    turns = sum(x != y for x, y in zip(vowel, vowel[1:], strict=False))
+    p3 = upper_tail((max(-1.0, min(1.0, 1 - turns / ((n - 1) * 2 * share * (1 - share)))) + 0.30) * math.sqrt(n))
+    chain = sum(float(f"{secret_scan._step(x, y):.3f}") for x, y in zip(s, s[1:], strict=False)) + (n - 1) * math.log(a) + math.log(5)
+    h = -(math.log(p1) + math.log(p2) + math.log(p3) + max(min(chain, 0.0), -300.0))
+    return min(1.0, math.exp(-h) * (1 + h + h * h / 2 + h**3 / 6))
+
+
+def test_p_values_and_cut_by_brute_force(spark):
+    rng = np.random.default_rng(11)
+    names = [w for w in re.findall(r"[A-Za-z0-9+/_-]{12,}", inspect.getsource(inspect)) if not re.fullmatch(r"[0-9a-f]{24,}", w)]
+    keys = ["".join(rng.choice(list(chars), n)) for chars in ENCODINGS.values() for n in (12, 17, 23, 40) for _ in range(4)]
+    runs = sorted({*names, *keys, "a" * 15, "-" * 20, "0123456789-0123", "AbAbAbAbAbAb"})
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(runs)], "i int, s string").withColumn("p", secret_scan.p_value(F.col("s")))
+    for r in df.collect():
+        assert r.p == pytest.approx(joint_p(r.s), rel=1e-6, abs=1e-90), r.s
+    # The step-up rule: of all bins' edges the largest t with m * t <= level * (runs at or below t).
+    docs = spark.createDataFrame([(i, f"see {r} there") for i, r in enumerate(runs)], "doc_id long, text string")
+    limit, mean = secret_scan.discovery_cut(secret_scan.scan(docs), 0.01)
+    found = [(joint_p(w), len(w)) for t in (f"see {r} there" for r in runs) for w in [t[4:-6]] if base(SECRETS, t) == ""]
+    assert mean == pytest.approx(sum(n for _, n in found) / len(found))
+    weighed = [min(p * mean / n, 1.0) for p, n in found]
+    edges = [10 ** (-0.05 * b) for b in range(1201)]
+    fits = [t for t in edges if t * len(found) <= 0.01 * sum(w <= t * (1 + 1e-9) for w in weighed)]
+    assert limit == pytest.approx(max(fits))

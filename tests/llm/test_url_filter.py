@@ -1,8 +1,9 @@
 import re
 
 import pytest
+import xxhash
 
-from shelfmark.llm.url_filter import RULES, fit_urls, judge_urls, labelled_urls
+from shelfmark.llm.url_filter import BUCKETS, RULES, fit_urls, judge_urls, labelled_urls
 
 URLS = [
     None, "", "no scheme", "http://", "HTTPS://WWW.Example.NET/en/x?y#z", "https://example.net/enx", "http://a.example.com/de/", "ftp://b.org/fr/q?#", "http://net", "http://net/", "https://x.net?/en/", "http://a.example.net/en/://b.org/fr/",
@@ -50,6 +51,34 @@ def test_method_generalises(spark, model):
     assert [got[i] for i in range(len(bad + good))] == ["block"] * len(bad) + ["allow"] * len(good)
 
 
+def test_log_odds_and_verdicts_by_brute_force(spark, model):
+    """n-grams, hashing, weights and the cut anew in plain Python, on odd urls and on all of a test table's."""
+
+    def log_odds(host, path):
+        found = []
+        if host or path:
+            for mark, value in (("h", f"^{host}$"), ("p", f"^{path}$")):
+                for n in (3, 4):
+                    found += [mark + value[i : i + n] for i in range(max(len(value) - n + 1, 1))]
+        if not found:
+            return model.empty
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
+        total = sum(model.weights[signed(xxhash.xxh64_intdigest(g.encode(), 42)) % BUCKETS] for g in found)
+        return total / len(found) ** 0.5 + model.bias
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("url")
+    urls = URLS + [r.url for r in pages.collect()]
+    got = judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), model).collect()
+    blocked = 0
+    for r in got:
+        host, path = parts(urls[r.page_id])
+        want, rule = log_odds(host, path), rule_for(host, path)
+        assert abs(r.log_odds - want) < 1e-6
+        assert r.verdict == (rule.action if rule else "block" if want > 0 else "allow") or abs(want) < 1e-6
+        blocked += rule is None and want > 0
+    assert blocked
+
+
 def test_degenerate_training(spark):
     empty = spark.createDataFrame([], "url string, label int")
     one = spark.createDataFrame([("http://a.b/", 1)], "url string, label int")
