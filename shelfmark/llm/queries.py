@@ -1,4 +1,4 @@
-"""The queries op1 to op10 over the test tables, with production parameters, and their SQL where SQL can say it."""
+"""The queries op1 to op13 over the test tables, with production parameters, and their SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, substring_dedup
+from . import decontam, kmeans, mixing, substring_dedup
 from .common import table
 from .pii import find_personal_data
 from .quality_rules import fit_quality, judge_quality
 from .secret_scan import find_secrets
+from .sharding import shard_documents
 from .simhash import simhash_groups
 from .token_count import token_counts
 from .toxicity import fit_toxicity, score_toxicity
 from .url_filter import builtin_model, judge_urls
+from .whitening import whitened_components
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -61,6 +63,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=5, share=0.8)
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened_components(table(spark, sf_dir, "embeddings"), components=32)
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans.clusters(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64)
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"), shards=16)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_secret_scans": op2_secret_scans,
@@ -72,10 +86,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
     "op10_decontamination": op10_decontamination,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_sharding": op13_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_mixing": mixing.ORACLE,
     "op6_substring_dedup": substring_dedup.ORACLE,
     "op10_decontamination": decontam.ORACLE,
+    "op12_centroid_clusters": kmeans.ORACLE,
 }
