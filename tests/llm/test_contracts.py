@@ -17,7 +17,11 @@ COLUMNS = {
     8: dict(doc_id="bigint", fingerprint="string", component_id="bigint"),
     9: dict(doc_id="bigint", held_out="boolean", score="double", predicted="int"),
     10: dict(doc_id="bigint", item_id="bigint", n_shingles="bigint", n_found="bigint", containment="double"),
+    11: dict(vec_id="bigint", component="int", n="bigint", deviation="bigint", whitened="double", explained="double", identity_error="double"),
+    12: dict(vec_id="bigint", cluster="int", distance="bigint", cluster_inertia="bigint", inertia="bigint", centroid_sha256="string"),
+    13: dict(doc_id="bigint", size="bigint", text_crc32="bigint", law="string", shard="int", slot="bigint", grown_shard="int"),
 }
+TABLES = {1: "pages", 12: "embeddings"}
 NATIVE = (1, 2, 3, 5)
 
 
@@ -27,8 +31,10 @@ def test_columns(spark, n):
     df = entry.queries()[name](spark, SF)
     got = dict(df.dtypes)
     assert {k: got.get(k) for k in COLUMNS[n]} == COLUMNS[n]
-    if n != 10:
-        assert df.count() == spark.read.parquet(f"{SF}/{'pages' if n == 1 else 'documents'}.parquet").count()
+    if n == 11:
+        assert df.count() == 32 * spark.read.parquet(f"{SF}/embeddings.parquet").count()
+    elif n != 10:
+        assert df.count() == spark.read.parquet(f"{SF}/{TABLES.get(n, 'documents')}.parquet").count()
     if n in NATIVE:
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not any(w in plan for w in ("Python", "Pandas", "Arrow", "CartesianProduct", "BroadcastNestedLoopJoin"))
