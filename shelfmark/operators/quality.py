@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import loose_key, name_key, without_accents
-from shelfmark.operators.votes import ratio, value_at
+from shelfmark.operators.orderstats import order_statistics
+from shelfmark.operators.votes import ratio
 
 
 def match_expected(expected: DataFrame, actual: DataFrame) -> DataFrame:
@@ -112,20 +115,22 @@ def passed(card: DataFrame) -> bool:
     return card.where("recall < 1 or mode_accuracy < 1 or content_kind_accuracy < 1 or actionable_accuracy < 1 or type_errors > 0 or false_positives > 0").limit(1).count() == 0
 
 
-def length_stats(df: DataFrame, field: str) -> DataFrame:
-    """n, median, p90 (the value at int(0.9 n) of the sorted values) and max."""
-    lower, upper = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
-    s = value_at(df, field, {"lo": lower, "hi": upper, "p90": F.floor(F.col("n") * 9 / 10), "max": F.col("n") - 1})
-    return s.select("n", ((F.col("lo") + F.col("hi")) / 2).alias("median"), "p90", "max")
+def _middle() -> dict[str, Column]:
+    return {"lo": F.floor((F.col("n") - 1) / 2), "hi": F.floor(F.col("n") / 2)}
+
+
+def length_stats(df: DataFrame, *fields: str, by: Sequence[str] = ()) -> DataFrame:
+    """n, median, p90 (the value at int(0.9 n) of the sorted values) and max; with by for each group, with more than one field (then named) for each."""
+    s = order_statistics(df, fields, _middle() | {"p90": F.floor(F.col("n") * 9 / 10), "max": F.col("n") - 1}, by)
+    return s.select(*by, *(["field"] if len(fields) > 1 else []), "n", ((F.col("lo") + F.col("hi")) / 2).alias("median"), "p90", "max")
 
 
 def frame_stats(df: DataFrame, field: str, cap: int) -> DataFrame:
     """total, at_cap, saved, median and max: how many frames there are, how many rows reach the cap, what the cap saves."""
     v = F.col(field)
-    middle = value_at(df, field, {"lo": F.floor((F.col("n") - 1) / 2), "hi": F.floor(F.col("n") / 2), "max": F.col("n") - 1})
-    median, most = middle.select((F.col("lo") + F.col("hi")) / 2, "max").first()
-    sums = df.agg(F.count(v).alias("n"), F.coalesce(F.sum(v), F.lit(0)).cast("long").alias("total"), F.count_if(v >= cap).alias("at_cap"), F.coalesce(F.sum(v) - F.sum(F.least(v, F.lit(cap))), F.lit(0)).cast("long").alias("saved"))
-    return sums.select("*", F.lit(median).cast("double").alias("median"), F.lit(most).cast(df.schema[field].dataType).alias("max"))
+    median = order_statistics(df, [field], _middle()).select((F.col("lo") + F.col("hi")) / 2).first()[0]
+    sums = df.agg(F.count(v).alias("n"), F.coalesce(F.sum(v), F.lit(0)).cast("long").alias("total"), F.count_if(v >= cap).alias("at_cap"), F.coalesce(F.sum(v) - F.sum(F.least(v, F.lit(cap))), F.lit(0)).cast("long").alias("saved"), F.max(v).alias("max"))
+    return sums.select("n", "total", "at_cap", "saved", F.lit(median).cast("double").alias("median"), "max")
 
 
 def worst(df: DataFrame, field: str, key: str, n: int = 5) -> DataFrame:
@@ -139,9 +144,10 @@ def mean_of(segments: Column, field: str) -> Column:
     return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / F.size(values))
 
 
-def rank_stats(df: DataFrame, field: str) -> DataFrame:
-    """n, least, p10 (index n // 10), median (index n // 2) and most, without interpolation."""
-    return value_at(df, field, {"least": F.lit(0), "p10": F.floor(F.col("n") / 10), "median": F.floor(F.col("n") / 2), "most": F.col("n") - 1})
+def rank_stats(df: DataFrame, *fields: str, by: Sequence[str] = ()) -> DataFrame:
+    """n, least, p10 (index n // 10), median (index n // 2) and most, without interpolation; by and several fields as in length_stats."""
+    s = order_statistics(df, fields, {"least": F.lit(0), "p10": F.floor(F.col("n") / 10), "median": F.floor(F.col("n") / 2), "most": F.col("n") - 1}, by)
+    return s.drop("field") if len(fields) == 1 else s
 
 
 def attribution(name: Column, free_text: Column, ocr: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.operators.ordered import ROW, running
+from shelfmark.operators.ordered import ROW, reached, running
 
 
 def retry_queue(items: DataFrame, state: DataFrame, stage: str, most: int = 3, limit: int | None = None) -> DataFrame:
@@ -45,16 +45,12 @@ def stale_queue(items: DataFrame, inputs: Sequence[DataFrame], done: DataFrame,
 def until(items: DataFrame, limits: dict[str, int], *order: str) -> DataFrame:
     """Items in order until one of the limits (boolean column: how many) is reached, the item that reaches it included.
 
-    order: columns that together are unique. Ranges of the order that begin past a limit aren't read; no task sees more than one range.
+    order: columns that together are unique. The end is found first (see `reached`); the items are then a filter, which reaches the scan.
     """
-    flags = {f"n{i}": F.col(f"`{c}`").cast("int") for i, c in enumerate(limits)}
-    open_ = F.lit(True)
-    for i, most in enumerate(limits.values()):
-        open_ = open_ & (F.col(f"n{i}_before") < most)
-    out = running(items, order, flags, open_)
-    for i, most in enumerate(limits.values()):
-        out = out.where(F.col(f"n{i}") - F.col(f"n{i}_own") < most)
-    return out.select(f"{ROW}.*")
+    if any(most <= 0 for most in limits.values()):
+        return items.limit(0)
+    end = reached(items, order, limits) if limits else None
+    return items if end is None else items.where(end)
 
 
 def quota(items: DataFrame, success: str, most: int, *order: str) -> DataFrame:

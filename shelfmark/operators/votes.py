@@ -80,13 +80,3 @@ def group_counts(df: DataFrame, *keys: str, limit: int | None = None) -> DataFra
     out = df.groupBy(*keys).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), *keys)
     return out if limit is None else out.limit(limit)
 
-
-def value_at(df: DataFrame, field: str, at: dict[str, Column]) -> DataFrame:
-    """One row: for each name the value at a zero-based index (a Column of n) of the sorted field.
-
-    Values are counted first; the counts are summed up by ranges of the values, so nothing is sorted in one task.
-    """
-    counts = df.where(F.col(field).isNotNull()).groupBy(F.col(field).alias("v")).agg(F.count("*").alias("c"))
-    upto = running(counts, ["v"], {"upto": F.col("c")}).select(f"{ROW}.v", "upto")
-    n = upto.agg(F.coalesce(F.max("upto"), F.lit(0))).first()[0]
-    return upto.withColumn("n", F.lit(n).cast("long")).agg(F.lit(n).cast("long").alias("n"), *[F.min(F.when(F.col("upto") > index, F.col("v"))).alias(name) for name, index in at.items()])

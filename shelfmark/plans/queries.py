@@ -745,6 +745,25 @@ def frame_stats(t):
     return quality.frame_stats(t("part"), "p_size", 25)
 
 
+@query("""
+WITH v AS (SELECT l_returnflag AS flag, 'l_quantity' AS field, l_quantity AS v FROM lineitem UNION ALL SELECT l_returnflag, 'l_extendedprice', l_extendedprice FROM lineitem),
+r AS (SELECT *, row_number() OVER (PARTITION BY flag, field ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY flag, field) AS n FROM v)
+SELECT flag, field, n, max(CASE WHEN i = 0 THEN v END) AS least, max(CASE WHEN i = n // 10 THEN v END) AS p10, max(CASE WHEN i = n // 2 THEN v END) AS median, max(CASE WHEN i = n - 1 THEN v END) AS most FROM r GROUP BY 1, 2, 3
+""")
+def grouped_rank_stats(t):
+    return quality.rank_stats(t("lineitem").withColumnRenamed("l_returnflag", "flag"), "l_quantity", "l_extendedprice", by=["flag"])
+
+
+@query("""
+WITH s AS (SELECT *, coalesce(sum((l_returnflag = 'R')::INT) OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey FROM s WHERE before < 200
+""")
+def first_by_progress(t):
+    rows = t("lineitem").withColumn("ok", F.col("l_returnflag") == "R")
+    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    return queues.quota(rows, "ok", 200, *order).select("l_orderkey", "l_linenumber", "l_partkey")
+
+
 @query(r"""
 WITH n AS (SELECT doc_id, trim(strip_accents(regexp_replace(lower(source), '[^\p{L}\p{N}_]+', ' ', 'g'))) AS name, strip_accents(regexp_replace(lower(text || ' ' || CASE WHEN doc_id % 3 = 0 THEN source ELSE '' END), '[^\p{L}\p{N}_]+', ' ', 'g')) AS free, strip_accents(regexp_replace(lower(CASE WHEN doc_id % 3 = 1 THEN source ELSE '' END), '[^\p{L}\p{N}_]+', ' ', 'g')) AS ocr FROM documents)
 SELECT CASE WHEN name <> '' AND contains(free, name) THEN 'caption_asr' WHEN name <> '' AND contains(ocr, name) THEN 'ocr_only' ELSE 'reworded' END AS carrier, count(*) AS n FROM n GROUP BY 1

@@ -96,7 +96,7 @@ def test_first_json_object_by_brute_force(spark):
 
 
 def test_numbers_and_ranks_by_ranges(spark):
-    from shelfmark.operators import ordered, votes
+    from shelfmark.operators import ordered
 
     rng = random.Random(2)
     values = [rng.choice([None, *range(50)]) for _ in range(4000)]
@@ -104,10 +104,60 @@ def test_numbers_and_ranks_by_ranges(spark):
     numbers = {r.i: r.n for r in ordered.numbered(df.where("v is not null"), ["v", "i"], "n").collect()}
     order = sorted((v, i) for i, v in enumerate(values) if v is not None)
     assert numbers == {i: k + 1 for k, (_, i) in enumerate(order)}
-    plain = [v for v, _ in order]
-    r = votes.value_at(df, "v", {"lo": F.lit(0), "mid": F.floor(F.col("n") / 2), "top": F.col("n") - 1}).first()
-    assert (r.n, r.lo, r.mid, r.top) == (len(plain), plain[0], plain[len(plain) // 2], plain[-1])
-    assert tuple(votes.value_at(df.limit(0), "v", {"lo": F.lit(0)}).first()) == (0, None)
+
+
+@pytest.mark.parametrize(("bins", "local"), [(512, 20_000), (2, 0)])
+def test_order_statistics_by_refinement(spark, monkeypatch, bins, local):
+    """Against sorted lists: several fields and groups, few and many bins, bounds sent along and joined; null groups, no values."""
+    from shelfmark.operators import orderstats
+
+    monkeypatch.setattr(orderstats, "LOCAL", local)
+    rng = random.Random(2)
+    rows = [(rng.choice([None, "a", "b"]), rng.choice([None, *range(50)]), 10 ** rng.randrange(17) + rng.randrange(3), None) for _ in range(800)]
+    df = spark.createDataFrame(rows, "g string, `v.w` int, x long, none long").repartition(3).cache()
+    at = {"lo": F.lit(0), "mid": F.floor(F.col("n") / 2), "top": F.col("n") - 1, "past": F.col("n")}
+    want = {}
+    for f, i in (("v.w", 1), ("x", 2)):
+        for g in (None, "a", "b"):
+            v = sorted(r[i] for r in rows if r[0] == g and r[i] is not None)
+            want[g, f] = (len(v), v[0], v[len(v) // 2], v[-1], None)
+    out = orderstats.order_statistics(df, ["v.w", "x", "none"], at, ["g"], bins).collect()
+    assert {(r.g, r.field): (r.n, r.lo, r.mid, r.top, r.past) for r in out} == want
+    if bins > 2:
+        assert tuple(orderstats.order_statistics(df, ["none"], {"lo": F.lit(0)}).first()) == ("none", 0, None)
+        reals = [float("inf"), float("-inf"), 1e308, -1e308, 0.0, 5e-324, 1.0, 1.0, float("nan")]
+        real = spark.createDataFrame([(x,) for x in reals], "r double")
+        got = orderstats.order_statistics(real, ["r"], {f"i{i}": F.lit(i) for i in range(9)}).first()
+        assert str(list(got[2:])) == str(sorted(reals[:-1]) + [reals[-1]])
+        big = [2**62 + i * i for i in range(300)] + [-(2**62)]
+        longs = spark.createDataFrame([(x,) for x in big], "l long")
+        assert orderstats.order_statistics(longs, ["l"], {"m": F.lit(150), "z": F.lit(300)}).first()[2:] == (2**62 + 149**2, 2**62 + 299**2)
+
+
+def test_a_quota_writes_nothing_and_narrows(spark, monkeypatch):
+    """The end is found in ranges however few rows make one; string, stamp and null keys; the plan is a filter."""
+    import datetime
+
+    from shelfmark.operators import ordered
+
+    monkeypatch.setattr(ordered, "LEAF", 20)
+    monkeypatch.setattr(ordered, "cut", None)
+    rows = [(None if i == 3 else f"k{i * 7919 % 5000:05d}", datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=i * 31 % 977), i % 5 == 0) for i in range(5000)]
+    df = spark.createDataFrame(rows, "k string, at timestamp, ok boolean").repartition(6).cache()
+    for order in (["k"], ["at", "k"]):
+        place = lambda r: [(x is not None, x) for x in (r[0],)] if order == ["k"] else [(True, r[1]), (r[0] is not None, r[0] or "")]  # noqa: E731, B023
+        want, met = [], 0
+        for r in sorted(rows, key=place):
+            if met == 321:
+                break
+            want.append(r[0])
+            met += r[2]
+        out = queues.quota(df, "ok", 321, *order)
+        assert sorted(map(str, (r.k for r in out.collect()))) == sorted(map(str, want))
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString().split("InMemoryTableScan")[0]
+    same = spark.createDataFrame([(1, True)] * 6000, "k long, ok boolean")
+    assert queues.quota(same, "ok", 3, "k").count() == 6000  # one key: no row is before another
+    assert queues.quota(same, "ok", 0, "k").count() == 0 and queues.quota(same.limit(0), "ok", 3, "k").count() == 0
 
 
 def test_a_failed_version_leaves_the_last_one(spark, tmp_path):
