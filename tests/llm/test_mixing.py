@@ -72,6 +72,32 @@ def test_inclusion_frequencies_match_the_probabilities(spark):
     assert ((seen - said).abs() < 0.06).all(), (seen, said)
 
 
+def test_long_texts_are_certain_and_the_rest_is_scaled(spark):
+    """A tenth of the texts is long and would have probabilities over 1: they are taken first, the others get what is left."""
+    rows = [(i, "w " * (400 if i % 10 == 0 else 4 + i % 2), "a" if i < 6000 else "b") for i in range(6000 + 5700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").cache()
+    met = []
+    for seed in range(6):
+        out = mixing.mix_sources(df, weights=(19, 20), seed=f"s{seed}").where("source = 'a'").toPandas()
+        rest = out.target.iloc[0] - out.copies.min() * out.source_size.iloc[0]
+        assert abs((out.inclusion * out["size"]).sum() - rest) < 1e-6 * rest
+        assert abs(out.taken.sum() - out.target.iloc[0]) <= 2.5
+        met.append(out.assign(more=out.copies - out.copies.min()).groupby("size").agg(said=("inclusion", "first"), seen=("more", "mean")))
+    seen = sum(m.seen for m in met) / len(met)
+    assert met[0].said[400] == 1 and all(m.seen[400] == 1 for m in met) and 0.1 < met[0].said[4] < 0.9
+    assert ((seen - met[0].said).abs() < 0.03).all(), (seen, met[0].said)
+
+
+def test_no_document_that_fits_is_left(spark):
+    rows = [(i, "w " * (1 + i * i % 97), f"s{i % 5}") for i in range(2000)]
+    for seed in ("x", "y"):
+        out = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), seed=seed).toPandas()
+        for _, g in out.groupby("source"):
+            gap = g.target.iloc[0] - g.taken.sum()
+            left = g[(g.copies == g.copies.min()) & (g.copies < g.copies.max())]["size"]
+            assert left.empty or gap < left.min()
+
+
 def test_a_long_document_at_the_edge_leaves_no_gap(spark):
     rows = [(i, "w " * (30_000 if i == 5 else 20), "a" if i < 4000 else "b") for i in range(9000)]
     for seed in ("x", "y", "z"):
