@@ -114,18 +114,19 @@ def _taken() -> Column:
 def gap_lengths(lengths: DataFrame) -> DataFrame:
     """skey, size, take: how many documents of which length fill each source's gap. lengths: skey, gap, size, n (untaken documents of that length, under 2 * gap)."""
     per = lengths.groupBy("skey", "gap").agg(F.sort_array(F.collect_list(F.struct("size", "n")), asc=False).alias("sizes"))
-    start = F.struct(F.col("gap").alias("left"), F.array().cast("array<struct<size:bigint,take:bigint,over:bigint>>").alias("takes"))
+    start = F.struct(F.col("gap").alias("left"), F.array().cast("array<struct<size:bigint,take:bigint>>").alias("takes"))
 
     def fill(acc: Column, x: Column) -> Column:
-        take = F.least(x["n"], F.floor(acc["left"] / x["size"]))
-        return F.struct((acc["left"] - take * x["size"]).alias("left"), F.concat(acc["takes"], F.array(F.struct(x["size"].alias("size"), take.cast("long").alias("take"), (x["n"] - take).cast("long").alias("over")))).alias("takes"))
-
-    filled = per.select("skey", F.aggregate("sizes", start, fill).alias("f")).select("skey", F.col("f.left").alias("left"), F.col("f.takes").alias("takes"))
-    off = lambda t: F.abs(t["size"] - F.col("left"))
-    near = F.array_min(F.transform(F.filter("takes", lambda t: (t["over"] > 0) & (off(t) < F.col("left"))), lambda t: F.struct(off(t).alias("off"), t["size"].alias("size"))))["size"]
-    rows = filled.select("skey", near.alias("near"), F.explode("takes").alias("t"))
-    take = F.col("t.take") + F.when(F.col("t.size") == F.col("near"), 1).otherwise(0)
-    return rows.select("skey", F.col("t.size").alias("size"), take.alias("take")).where("take > 0")
+        take = F.least(x["n"], F.floor(acc["left"] / x["size"])).cast("long")
+        more = F.struct((acc["left"] - take * x["size"]).alias("left"), F.concat(acc["takes"], F.array(F.struct(x["size"].alias("size"), take.alias("take")))).alias("takes"))
+        return F.when(x["size"] <= acc["left"], more).otherwise(acc)  # lengths that don't fit leave no trace, so the list stays short
+
+    filled = per.select("skey", "sizes", F.aggregate("sizes", start, fill).alias("f")).select("skey", "sizes", F.col("f.left").alias("left"), F.col("f.takes").alias("takes"))
+    off = lambda x: F.abs(x["size"] - F.col("left"))
+    over = F.filter("sizes", lambda x: (off(x) < F.col("left")) & ~F.exists("takes", lambda t: (t["size"] == x["size"]) & (t["take"] >= x["n"])))
+    near = F.array_min(F.transform(over, lambda x: F.struct(off(x).alias("off"), x["size"].alias("size"))))["size"]
+    rows = filled.select("skey", F.explode(F.concat("takes", F.array(F.struct(near.alias("size"), F.lit(1).cast("long").alias("take"))))).alias("t"))
+    return rows.where("t.size is not null").groupBy("skey", "t.size").agg(F.sum("t.take").alias("take"))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int = 3, seed: str = "mix", prefer: str | None = None, edge: int = EDGE) -> DataFrame:
