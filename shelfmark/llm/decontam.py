@@ -165,7 +165,10 @@ def _block_pairs(keyed: DataFrame, load: Callable[[], Items], share: float):
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = 5, share: float = 0.8, block_items: int = 20_000, block_bytes: int = 32 << 20) -> DataFrame:
-    """docs, all columns, without the rows that hold an item: one map-only pass, or with several blocks of items one pass each and one anti join."""
+    """docs, all columns, without the rows that hold an item: one map-only pass, or with several blocks of items one pass each and one anti join.
+
+    Null and empty texts hold no item and stay, items without words are held by nothing, repeated rows go or stay together.
+    """
     blocks = item_blocks(items, width, share, block_items, block_bytes)
     if len(blocks) == 1:
         sent = docs.sparkSession.sparkContext.broadcast(blocks[0]())

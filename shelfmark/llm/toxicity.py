@@ -263,8 +263,8 @@ def held_out_fold(doc_id: Column) -> Column:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, max_words: int = 4000) -> Model | None:
     """Train from a bounded sample of the labelled rows outside the held-out fold.
 
-    The sample: texts of at most max_words words; of those the max_labelled rows with the least (hash of the doc_id, label,
-    hash of the text), so reruns and repeated doc_ids or labels give the same model. Executors turn the words into
+    The sample: the max_labelled labels with the least (hash of the doc_id, doc_id, label), and of their texts those of at most
+    max_words words, so reruns and repeated doc_ids or labels give the same model. Executors turn the words into
     bucket numbers; the driver gets at most 8 * max_labelled * max_words bytes of them. None if there are under 40 such rows or only one label.
     """
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out_fold(F.col("doc_id")))
@@ -305,7 +305,10 @@ def score_toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
-    """docs, all columns, without the rows whose score is threshold or more; without a model all stay. No shuffle."""
+    """docs, all columns, without the rows whose score is threshold or more; without a model all stay. No shuffle.
+
+    Null texts are scored as empty ones, repeated rows each alike; an empty table gives no rows.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def clean(texts: pa.Array) -> np.ndarray:
