@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from shelfmark import api
 from shelfmark.functions import text as T
-from shelfmark.operators import canonical, evidence, guards, manifest, quality, queues, resolve, search, state, views, votes
+from shelfmark.operators import canonical, evidence, guards, manifest, quality, queues, resolve, search, state, views, votes, written_index
 from shelfmark.plans.registry import query
+from shelfmark.scratch import place
 from shelfmark.sources import media
 
 KEY = r"trim(regexp_replace(strip_accents(replace(lower({}), 'ß', 'ss')), '[^\p{{L}}\p{{N}}_]+', ' ', 'g'))"
@@ -489,6 +490,48 @@ def refreshed_index(t):
     return index.groupBy("doc_id").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), " "), 256).alias("sha"))
 
 
+WRITTEN = {"and": '(the AND "of the") NOT with', "prefix": "licens* OR ^the OR source:src1*", "near": "NEAR(the in, 2)", "phrase": '"in the" source:src7', "not": "der NOT una"}
+WRITTEN_SQL = f"""
+, w AS (SELECT doc_id, source, {TOKENS.format("text")} AS w, ' ' || array_to_string({TOKENS.format("text")}, ' ') || ' ' AS s FROM docs)
+SELECT 'and' AS q, doc_id FROM w WHERE list_contains(w, 'the') AND contains(s, ' of the ') AND NOT list_contains(w, 'with')
+UNION ALL SELECT 'prefix', doc_id FROM w WHERE len(list_filter(w, lambda x: starts_with(x, 'licens'))) > 0 OR w[1] = 'the' OR starts_with(source, 'src1')
+UNION ALL SELECT 'near', doc_id FROM w WHERE regexp_matches(s, ' the ([^ ]+ ){{0,2}}in ') OR regexp_matches(s, ' in ([^ ]+ ){{0,2}}the ')
+UNION ALL SELECT 'phrase', doc_id FROM w WHERE contains(s, ' in the ') AND source = 'src7'
+UNION ALL SELECT 'not', doc_id FROM w WHERE list_contains(w, 'der') AND NOT list_contains(w, 'una')
+"""
+
+
+def _answers(index):
+    out = None
+    for name, text in WRITTEN.items():
+        part = written_index.search(index, text).select(lit(name).alias("q"), c("id").alias("doc_id"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+@query("WITH docs AS (SELECT doc_id, text, source FROM documents)" + WRITTEN_SQL)
+def written_search(t):
+    docs = t("documents")
+    return _answers(written_index.create_index(docs, place(docs.sparkSession, "index"), "doc_id", "text", "source"))
+
+
+@query("""
+WITH docs AS (SELECT doc_id, CASE WHEN doc_id % 50 = 3 THEN NULL WHEN doc_id % 50 = 4 THEN 'The licensed one in the house of the ' || text ELSE text END AS text, CASE WHEN doc_id % 50 <> 3 THEN source END AS source FROM documents)
+""" + WRITTEN_SQL)
+def written_search_refreshed(t):
+    """Documents change and go in two refreshes (the first brings others that the second puts right), then the index is compacted."""
+    docs = t("documents")
+    index = written_index.create_index(docs, place(docs.sparkSession, "index"), "doc_id", "text", "source")
+    k = c("doc_id") % 50
+    written_index.refresh(index, docs.where(k.isin(3, 4, 5)).withColumns({"text": lit("der in the refreshed text"), "source": lit("src7")}), "doc_id")
+    text = F.when(k == 4, F.concat(lit("The licensed one in the house of the "), "text")).when(k != 3, c("text"))
+    written_index.refresh(index, docs.where(k.isin(3, 4, 5)).withColumns({"text": text, "source": F.when(k != 3, c("source"))}), "doc_id")
+    before = _answers(index)
+    after = _answers(written_index.compacted(index, place(docs.sparkSession, "index")))
+    return before.unionAll(after).groupBy("q", "doc_id").agg(F.count("*").alias("n")).where("n = 2").drop("n")
+
+
+
 def _repertoire(t):
     return {"repertoire_entry": t("documents").select(c("doc_id").alias("shortcode"), c("lang").alias("content_kind"), c("source").alias("title"), c("text").alias("summary"), c("n_chars").alias("updated_at"))}
 

@@ -54,6 +54,13 @@ def cut(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     return out
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for what isn't one table; it goes as the tables of cut() do."""
+    path = f"{shared_dir(spark)}/shelfmark/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def _delete(spark: SparkSession, path: str) -> bool:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True))
