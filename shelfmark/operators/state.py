@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfmark.scratch import cut
+
 
 def _nth(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """The first n rows of each key; Spark prunes to n a partition before the shuffle (WindowGroupLimit)."""
@@ -127,14 +129,24 @@ def reviewed(patches: DataFrame, today: Column) -> DataFrame:
     return patches.withColumn("reviewed_at", F.when(dated, F.struct(F.lit(True).alias("set"), today.cast("string").alias("value"))).otherwise(F.col("reviewed_at")))
 
 
-def mark_running(log: DataFrame, items: DataFrame, stage: str, stamp: Column, key: str = "shortcode") -> DataFrame:
-    """log (key, stage, status, at) with a running mark for each item, to be written before the work: a mark alone makes nothing authoritative."""
-    return log.unionByName(items.select(key, F.lit(stage).alias("stage"), F.lit("running").alias("status"), stamp.alias("at")), allowMissingColumns=True)
+def mark_running(log: DataFrame, items: DataFrame, stage: str, stamp: Column, key: str = "shortcode", seq: Column | None = None) -> DataFrame:
+    """log (key, stage, status, at, and seq if given) with a running mark for each item, to be written before the work: a mark alone makes nothing authoritative.
+
+    seq: a number that grows along the marks of a key; stamps alone have ties.
+    """
+    marks = [F.lit(stage).alias("stage"), F.lit("running").alias("status"), stamp.alias("at"), *([seq.alias("seq")] if seq is not None else [])]
+    return log.unionByName(items.select(key, *marks), allowMissingColumns=True)
 
 
 def interrupted(log: DataFrame, results: DataFrame, stage: str, key: str = "shortcode") -> DataFrame:
-    """Keys whose last mark of the stage is running and that have no result: what a crash left, and a new run takes up from the start."""
-    last = latest_per_key(log.where(F.col("stage") == stage), [key], "at", "status")
+    """Keys whose last mark of the stage is running and that have no result: what a crash left, and a new run takes up from the start.
+
+    The last mark is the one with the greatest (at, seq). Where these tie, or log has no seq, a running mark is the start of what
+    else was marked then, so it isn't the last.
+    """
+    seq = F.col("seq") if "seq" in log.columns else F.lit(None).cast("long")
+    mine = log.where(F.col("stage") == stage).select(key, "status", "at", seq.alias("seq"), (F.col("status") != "running").alias("ended"))
+    last = latest_per_key(mine, [key], "at", "seq", "ended", "status")
     return last.where(F.col("status") == "running").join(results.select(key), key, "left_anti").select(key)
 
 
@@ -153,3 +165,32 @@ def latest_success(results: DataFrame, attempts: DataFrame, key: str = "shortcod
 def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
     """Rows of child whose key the parent lacks: what a foreign key would refuse."""
     return child.join(parent.select(F.col(parent_key).alias(child_key)).distinct(), child_key, "left_anti")
+
+
+def cascaded_through(tables: dict[str, tuple[DataFrame, str]], references: Sequence[tuple[str, str, str, str]], gone: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """tables (name -> (rows, id column)) without the rows of gone (name -> ids, one column) and all that refers to them, over any number of levels.
+
+    references: (child, its column, parent, the column meant there), each with a key of its own; they may form cycles. Each level is one semi join a
+    reference with the rows found on the level before, and ends where nothing new is found. A null refers to nothing,
+    and a row whose id is null can't be meant.
+    """
+    dead = {name: ids.select(F.col(f"`{ids.columns[0]}`").alias("__gone")).where("__gone is not null").distinct() for name, ids in gone.items()}
+    level = dead = {name: cut(ids, "gone") for name, ids in dead.items()}
+    while level:
+        found: dict[str, DataFrame] = {}
+        for child, column, parent, meant in references:
+            if parent in level:
+                rows, own = tables[parent]
+                keys = rows.join(level[parent], F.col(f"`{own}`") == F.col("__gone"), "left_semi").select(F.col(f"`{meant}`").alias("__k")).distinct()
+                kids, own = tables[child]
+                hit = kids.join(keys, F.col(f"`{column}`") == F.col("__k"), "left_semi").select(F.col(f"`{own}`").alias("__gone"))
+                found[child] = found[child].union(hit) if child in found else hit
+        level = {}
+        for name, ids in found.items():
+            ids = ids.where("__gone is not null")
+            new = ids.distinct().join(dead[name], "__gone", "left_anti") if name in dead else ids.distinct()
+            new = cut(new, "gone")
+            if new.limit(1).count():
+                level[name] = new
+                dead = dead | {name: dead[name].union(new) if name in dead else new}
+    return {name: rows.join(dead[name], F.col(f"`{own}`") == F.col("__gone"), "left_anti") if name in dead else rows for name, (rows, own) in tables.items()}

@@ -59,7 +59,15 @@ def _set(spark: SparkSession, path: str, text: str) -> bool:
     return True
 
 
-def _text(spark: SparkSession, path: str) -> str:
+def put(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file, in the place of one that is there."""
+    fs, at = _fs(spark, path)
+    out = fs.create(at, True)
+    out.writeBytes(text)
+    out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
     fs, at = _fs(spark, path)
     stream = fs.open(at)
     try:
@@ -72,7 +80,7 @@ def _latest(spark: SparkSession, base: str) -> tuple[int, str | None, list[int]]
     """(number, folder) of the last version that stands, (0, None) before the first; and the later numbers whose writer hasn't said its folder (yet)."""
     blank = []
     for n in sorted(numbers(spark, f"{base}/current"), reverse=True):
-        if folder := _text(spark, f"{base}/current/{n}"):
+        if folder := read_text(spark, f"{base}/current/{n}"):
             return n, f"{base}/{folder}", blank
         blank.append(n)
     return 0, None, blank

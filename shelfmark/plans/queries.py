@@ -96,17 +96,16 @@ def top_n_per_group(t):
 
 
 @query("""
-WITH i AS (SELECT user_id, max(ts) AS taken_at, CASE WHEN user_id % 5 = 0 THEN 'gone' END AS unsaved_at FROM events GROUP BY 1),
-s AS (SELECT user_id, count(*) AS attempts, arg_max(value, (ts, event_id)) AS v FROM events WHERE event_type = 'error' GROUP BY 1)
-SELECT i.user_id, strftime(taken_at, '%Y-%m-%d %H:%M:%S') AS taken_at FROM i LEFT JOIN s ON s.user_id = i.user_id WHERE unsaved_at IS NULL AND (s.user_id IS NULL OR (v >= 5 AND attempts < 3))
+WITH i AS (SELECT o_orderkey AS k, o_orderdate, o_orderkey % 5 = 0 AS gone, o_orderkey % 8 AS h, o_custkey % 5 AS attempts FROM orders)
+SELECT k, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS taken_at FROM i WHERE NOT gone AND (h < 2 OR h IN (2, 3) OR (h IN (4, 5) AND attempts < 3))
 """)
 def retry_queue(t):
-    events = t("events")
-    items = events.groupBy(F.col("user_id").cast("string").alias("shortcode")).agg(F.max("ts").alias("taken_at")).withColumn("unsaved_at", F.when(F.col("shortcode").cast("long") % 5 == 0, "gone"))
-    failed = events.where("event_type = 'error'").select(F.col("user_id").cast("string").alias("shortcode"), F.lit("failed").alias("status"), "value", "ts", "event_id")
-    folded = failed.groupBy("shortcode").agg(F.count("*").alias("attempts"), F.when(F.max_by("value", F.struct("ts", "event_id")) >= 5, "failed").otherwise("done").alias("status")).withColumn("stage", F.lit("asr"))
-    out = queues.retry_queue(items, folded, "asr")
-    return out.select(F.col("shortcode").cast("long").alias("user_id"), F.date_format("taken_at", STAMP).alias("taken_at"))
+    """Orders as items: a fifth not saved any more; in stage asr an eighth each done, running, and two eighths failed 0 to 4 times, without a state, or with one of another stage."""
+    k, h = F.col("o_orderkey"), F.col("o_orderkey") % 8
+    items = t("orders").select(k.alias("shortcode"), F.col("o_orderdate").alias("taken_at"), F.when(k % 5 == 0, "gone").alias("unsaved_at"))
+    status = F.when(h.isin(4, 5), "failed").when(h == 6, "done").when(h == 7, "running").otherwise("failed")
+    log = t("orders").where(h >= 2).select(k.alias("shortcode"), F.when(h.isin(2, 3), "ocr").otherwise("asr").alias("stage"), status.alias("status"), F.when(h.isin(2, 3), 9).otherwise(F.col("o_custkey") % 5).alias("attempts"))
+    return queues.retry_queue(items, log, "asr").select(F.col("shortcode").alias("k"), F.date_format("taken_at", STAMP).alias("taken_at"))
 
 
 @query("""
@@ -420,6 +419,21 @@ def json_unnest(t):
     return t("events").groupBy(k.alias("k")).agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("total"))
 
 
+@query("""
+WITH p AS (SELECT event_id, CASE event_id % 7 WHEN 0 THEN '["' || event_type || '","x y"]' WHEN 1 THEN '[1,"' || event_id || '",null,{"k":2},[3],true]' WHEN 2 THEN '{"tags":["a"]}' WHEN 3 THEN '["cut off' WHEN 4 THEN '[]' WHEN 5 THEN NULL ELSE '"' || event_type || '"' END AS tags FROM events),
+a AS (SELECT event_id, tags, json_array_length(tags)::INT AS n FROM p WHERE tags IS NOT NULL AND json_valid(tags) AND json_type(tags) = 'ARRAY'),
+e AS (SELECT event_id, tags, unnest(range(n))::INT AS pos FROM a)
+SELECT event_id, pos, CASE json_type(tags, '$[' || pos || ']') WHEN 'VARCHAR' THEN 'string' WHEN 'UBIGINT' THEN 'bigint' WHEN 'NULL' THEN 'void' ELSE lower(json_type(tags, '$[' || pos || ']')) END AS kind, json_extract(tags, '$[' || pos || ']')::VARCHAR AS value FROM e
+""")
+def json_elements(t):
+    k, kind = F.col("event_id") % 7, F.col("event_type")
+    quoted = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    mixed = quoted('[1,"', F.col("event_id").cast("string"), '",null,{"k":2},[3],true]')
+    tags = F.when(k == 0, quoted('["', kind, '","x y"]')).when(k == 1, mixed).when(k == 2, '{"tags":["a"]}').when(k == 3, '["cut off').when(k == 4, "[]").when(k == 6, quoted('"', kind, '"'))
+    return media.json_elements(t("events").withColumn("tags", tags), "tags", "event_id")
+
+
+
 @query("""
 WITH m AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'CAPTION:' || chr(10) || text END AS a, CASE WHEN turn % 2 = 0 AND trim(text) <> '' THEN 'SCREEN TEXT:' || chr(10) || text END AS b, 'ROLE:' || chr(10) || role AS c FROM conversations),
 p AS (SELECT conv_id, turn, concat_ws(chr(10) || chr(10), a, b, c) AS part FROM m)

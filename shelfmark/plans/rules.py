@@ -13,6 +13,7 @@ from shelfmark.operators import canonical, evidence, guards, manifest, quality,
 from shelfmark.plans.registry import query
 from shelfmark.scratch import place
 from shelfmark.sources import media
+from shelfmark.streaming import ingest
 
 KEY = r"trim(regexp_replace(strip_accents(replace(lower({}), 'ß', 'ss')), '[^\p{{L}}\p{{N}}_]+', ' ', 'g'))"
 TOKENS = r"list_filter(string_split_regex(strip_accents(lower(coalesce({}, ''))), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
@@ -161,6 +162,40 @@ def cascaded_deletes(t):
     return votes.labelled_counts(media.cascaded(tables, tables["supplier"].where("k % 4 = 1"), "k")).withColumnRenamed("label", "name")
 
 
+@query("""
+WITH n AS (SELECT n_nationkey FROM nation WHERE n_regionkey <> 2), cu AS (SELECT c_custkey FROM customer WHERE c_nationkey IN (FROM n) AND c_custkey % 11 <> 3), su AS (SELECT s_suppkey FROM supplier WHERE s_nationkey IN (FROM n)),
+o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (FROM cu)), l AS (SELECT 1 FROM lineitem WHERE l_orderkey IN (FROM o) AND l_suppkey IN (FROM su))
+SELECT 'region' AS name, (SELECT count(*) FROM region) - 1 AS n UNION ALL SELECT 'nation', (SELECT count(*) FROM n) UNION ALL SELECT 'customer', (SELECT count(*) FROM cu) UNION ALL SELECT 'supplier', (SELECT count(*) FROM su)
+UNION ALL SELECT 'orders', (SELECT count(*) FROM o) UNION ALL SELECT 'lineitem', (SELECT count(*) FROM l)
+""")
+def cascaded_levels(t):
+    """A region goes, and some customers; nations, customers and suppliers, orders and lines follow, each level by another key."""
+    line = t("lineitem").withColumn("id", F.xxhash64(*t("lineitem").columns))
+    tables = {"region": (t("region"), "r_regionkey"), "nation": (t("nation"), "n_nationkey"), "customer": (t("customer"), "c_custkey"), "supplier": (t("supplier"), "s_suppkey"), "orders": (t("orders"), "o_orderkey"), "lineitem": (line, "id")}
+    refers = [("nation", "n_regionkey", "region", "r_regionkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("supplier", "s_nationkey", "nation", "n_nationkey"), ("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey")]
+    gone = {"region": t("region").where("r_regionkey = 2").select("r_regionkey"), "customer": t("customer").where("c_custkey % 11 = 3").select("c_custkey")}
+    return votes.labelled_counts(state.cascaded_through(tables, refers, gone)).withColumnRenamed("label", "name")
+
+
+@query("""
+WITH b AS (SELECT user_id::VARCHAR AS shortcode, event_type AS kind, ts AS seen, event_id AS seq, CASE WHEN user_id % 10 < 4 THEN 1 ELSE 0 END + CASE WHEN event_id % 2 = 0 THEN 0 ELSE 1 END AS batch FROM events WHERE event_id % 2 = 0 OR user_id % 10 < 4),
+g AS (SELECT shortcode, arg_max(kind, (batch, seen, seq)) AS kind, arg_max(seen, (batch, seen, seq)) AS last_at, min(CASE WHEN batch = f THEN seen END) AS first_at FROM (SELECT *, min(batch) OVER (PARTITION BY shortcode) AS f FROM b) GROUP BY 1)
+SELECT shortcode, kind, strftime(first_at, '%Y-%m-%d %H:%M:%S') AS first_seen_at, strftime(last_at, '%Y-%m-%d %H:%M:%S') AS last_seen_at FROM g
+""")
+def bucketed_upserts(t):
+    """Three batches (the second again, as a replay) on the bucketed state."""
+    e = t("events")
+    spark, base = e.sparkSession, place(e.sparkSession, "state")
+    rows = e.select(c("user_id").cast("string").alias("shortcode"), c("event_type").alias("kind"), c("ts").cast("timestamp").alias("seen_at"), c("event_id").alias("seq"), (F.when(c("user_id") % 10 < 4, 1).otherwise(0) + F.when(c("event_id") % 2 == 0, 0).otherwise(1)).alias("batch"))
+    rows = rows.where((c("seq") % 2 == 0) | (c("shortcode").cast("long") % 10 < 4))
+    schema = spark.createDataFrame([], "shortcode string, kind string, first_seen_at timestamp, last_seen_at timestamp, unsaved_at string").schema
+    for number in (0, 1, 1, 2):
+        ingest.apply_batch(spark, rows.where(c("batch") == number).drop("batch"), number, base, schema)
+    stamp = lambda x: F.date_format(x, "yyyy-MM-dd HH:mm:ss").alias(x)
+    return ingest.state_table(spark, base, schema).select("shortcode", "kind", stamp("first_seen_at"), stamp("last_seen_at"))
+
+
+
 @query("""
 SELECT 'lineitem' AS "table", p.l_partkey AS p_partkey, count(*) AS n FROM lineitem p WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 2) GROUP BY 1, 2
 UNION ALL SELECT 'part', p_partkey, 1 FROM part WHERE p_size <= 2
@@ -192,14 +227,17 @@ def model_usage(t):
 
 
 @query("""
-WITH l AS (SELECT user_id AS k, arg_max(event_type, (ts, event_type)) AS status FROM events GROUP BY 1) SELECT k FROM l WHERE status = 'error' AND k % 3 <> 0
+WITH l AS (SELECT user_id AS k, date_trunc('day', ts) AS seen, event_id * 2 AS seq, CASE WHEN event_type = 'error' THEN 'running' ELSE event_type END AS status FROM events
+  UNION ALL SELECT user_id, date_trunc('day', ts), event_id * 2 + 1, 'failed' FROM events WHERE event_type = 'error' AND event_id % 3 = 0),
+m AS (SELECT k, arg_max(status, (seen, seq)) AS status FROM l GROUP BY 1) SELECT k FROM m WHERE status = 'running' AND k % 4 <> 0
 """)
 def interrupted_runs(t):
-    e = t("events")
-    log = e.where("event_type <> 'error'").select(c("user_id").alias("shortcode"), lit("extract").alias("stage"), c("event_type").alias("status"), c("ts").alias("at"))
-    log = state.mark_running(log, e.where("event_type = 'error'").withColumnRenamed("user_id", "shortcode"), "extract", c("ts"))
-    log = log.withColumn("status", F.when(c("status") == "running", "running").otherwise(c("status")))
-    results = e.where("user_id % 3 = 0").select(c("user_id").alias("shortcode")).distinct()
+    """All marks of a day have one stamp, and a third of the runs fail with the stamp they began with."""
+    e = t("events").select(c("user_id").alias("shortcode"), lit("extract").alias("stage"), c("event_type").alias("status"), F.date_trunc("day", "ts").alias("at"), (c("event_id") * 2).alias("seq"))
+    runs = e.where("status = 'error'")
+    log = state.mark_running(e.where("status <> 'error'"), runs, "extract", c("at"), seq=c("seq"))
+    log = log.union(runs.where("seq div 2 % 3 = 0").withColumns({"status": lit("failed"), "seq": c("seq") + 1}))
+    results = e.where("shortcode % 4 = 0").select("shortcode").distinct()
     return state.interrupted(log, results, "extract").select(c("shortcode").alias("k"))
 
 

@@ -144,3 +144,14 @@ def broken_references(tables: dict[str, DataFrame], parent: DataFrame, key: str
         part = orphans(df, parent, key, key).select(F.lit(name).alias("table"), key)
         out = part if out is None else out.union(part)
     return out
+
+
+def json_elements(df: DataFrame, column: str, *keep: str) -> DataFrame:
+    """keep, pos, kind, value of each element of the JSON arrays in column; kind is the element's own (string, bigint, object, ...), value its JSON text.
+
+    Texts that aren't JSON, and JSON that is no array, give no rows; nothing is cast, so arrays of mixed kinds are kept as they are.
+    """
+    rows = df.select(*keep, F.try_parse_json(F.col(column)).alias("__v")).where(F.schema_of_variant("__v").startswith("ARRAY"))
+    out = rows.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("__v").outer()))
+    kind = F.lower(F.regexp_extract(F.schema_of_variant("value"), r"^\w+", 0))
+    return out.select(*keep, "pos", kind.alias("kind"), F.to_json("value").alias("value"))

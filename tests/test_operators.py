@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,7 +230,7 @@ def test_stream_replays_to_the_same_state(spark, tmp_path):
 
     from pyspark.sql.types import StructType
 
-    from shelfmark.streaming.ingest import apply_batch, ingest
+    from shelfmark.streaming.ingest import apply_batch, ingest, state_table
 
     landed = StructType.fromDDL("shortcode string, caption string, seen_at string, seq long")
     schema = StructType.fromDDL(STATE)
@@ -237,10 +239,44 @@ def test_stream_replays_to_the_same_state(spark, tmp_path):
     (land / "1.json").write_text("\n".join(json.dumps(x) for x in ({"shortcode": "a", "caption": "1", "seen_at": "d1", "seq": 1}, {"shortcode": "b", "caption": "2", "seen_at": "d1", "seq": 2})))
     base = str(tmp_path / "state")
     ingest(spark, str(land), landed, base, schema, str(tmp_path / "ck")).awaitTermination(60)
-    first = rows(spark.read.parquet(f"{base}/v000000001"))
+    first = rows(state_table(spark, base, schema))
     assert first == [("a", "1", "d1", "d1", None), ("b", "2", "d1", "d1", None)]
+    names = lambda: {str(p.relative_to(base)) for p in Path(base).rglob("*.parquet")}
+    before = names()
     apply_batch(spark, spark.read.schema(landed).json(str(land)), 0, base, schema)
-    assert rows(spark.read.parquet(f"{base}/v000000001")) == first
+    assert rows(state_table(spark, base, schema)) == first and names() == before
+    # A batch that failed before its list stands is done again, whatever it left; the bucket it doesn't touch keeps its file.
+    more = spark.createDataFrame([("b", "3", "d2", 3), ("", "x", "d2", 4), (None, "x", "d2", 5)], landed)
+    apply_batch(spark, more, 1, base, schema)
+    (Path(base) / "current" / "2").write_text("")
+    (Path(base) / "current" / ".2.crc").unlink(missing_ok=True)
+    assert rows(state_table(spark, base, schema, number=1)) == first
+    apply_batch(spark, more, 1, base, schema)
+    assert rows(state_table(spark, base, schema)) == [("a", "1", "d1", "d1", None), ("b", "3", "d1", "d2", None)]
+    assert before <= names() and all(f.startswith("v000000002/") for f in names() - before)
+    assert len({f.split("/")[1] for f in names() - before}) == 1
+    apply_batch(spark, more.limit(0), 2, base, schema)
+    assert rows(state_table(spark, base, schema)) == [("a", "1", "d1", "d1", None), ("b", "3", "d1", "d2", None)]
+
+
+def test_cascades_over_cycles_and_nulls(spark):
+    person = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 3), (5, None), (6, 5), (None, 1)], "id long, boss long")
+    note = spark.createDataFrame([("a", 1, None), ("b", 6, "a"), ("c", 5, "b"), ("d", None, None), ("e", 5, "d")], "n string, of long, after string")
+    tables = {"person": (person, "id"), "note": (note, "n")}
+    refers = [("person", "boss", "person", "id"), ("note", "of", "person", "id"), ("note", "after", "note", "n")]
+    left = lambda gone: {k: sorted(str(r[0]) for r in v.collect()) for k, v in state.cascaded_through(tables, refers, gone).items()}
+    assert left({"person": person.where("id = 3").select("id")}) == {"person": ["5", "6", "None"], "note": ["d", "e"]}
+    assert left({"note": note.where("n = 'd'").select("n")}) == {"person": ["1", "2", "3", "4", "5", "6", "None"], "note": ["a", "b", "c"]}
+    assert left({"person": person.limit(0).select("id")}) == {"person": ["1", "2", "3", "4", "5", "6", "None"], "note": ["a", "b", "c", "d", "e"]}
+
+
+def test_interrupted_on_ties(spark):
+    log = spark.createDataFrame([("a", "s", "running", 1, 1), ("a", "s", "failed", 1, 2), ("b", "s", "failed", 1, 1), ("b", "s", "running", 1, 2), ("c", "s", "running", 1, 5), ("c", "t", "done", 2, 6)], "shortcode string, stage string, status string, at int, seq long")
+    none = spark.createDataFrame([], "shortcode string")
+    assert sorted(r.shortcode for r in state.interrupted(log, none, "s").collect()) == ["b", "c"]
+    assert sorted(r.shortcode for r in state.interrupted(log.drop("seq"), none, "s").collect()) == ["c"]
+    marked = state.mark_running(log.limit(0), spark.createDataFrame([("z",)], "shortcode string"), "s", F.lit(3), seq=F.lit(7).cast("long"))
+    assert tuple(marked.first()) == ("z", "s", "running", 3, 7)
 
 
 def test_manifest(spark):
