@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from shelfmark.scratch import cut
@@ -33,19 +33,23 @@ def top_per_key(df: DataFrame, keys: Sequence[str], n: int, *order: Column) -> D
     return _nth(df, keys, list(order), n)
 
 
-def upsert_seen(old: DataFrame, batch: DataFrame, key: str = "shortcode", stamp: str = "seen_at", seq: str = "seq") -> DataFrame:
+def upsert_seen(old: DataFrame, batch: DataFrame, key: str = "shortcode", stamp: str = "seen_at", seq: str = "seq", watch: Observation | None = None) -> DataFrame:
     """old (key, fields, first_seen_at, last_seen_at, unsaved_at) with a batch (key, fields, stamp, seq) applied.
 
     first_seen_at never moves, last_seen_at does, a row that is seen again isn't deleted any more; blank keys are
     skipped; within a batch the last row wins, and a new key was first seen at its first row. Fields that only old has are kept.
+    watch: gets the counts of upsert_counts, and kept (keys that the batch hasn't), from the job that writes the result, with no job of their own.
     """
     named = batch.where(F.trim(F.coalesce(F.col(key), F.lit(""))) != "")
     rest = [c for c in batch.columns if c != key]
-    new = named.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(stamp, seq)).alias("__l"), F.min(stamp).alias("__first")).select(key, "__l.*", "__first")
+    new = named.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(stamp, seq)).alias("__l"), F.min(stamp).alias("__first"), F.count("*").alias("__n")).select(key, "__l.*", "__first", "__n")
     fields = [c for c in old.columns if c in rest]
     o, n = old.alias("o"), new.alias("n")
     joined = o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
     here = F.col(f"n.{key}").isNotNull()
+    if watch is not None:
+        inserted = F.coalesce(F.count_if(here & F.col(f"o.{key}").isNull()), F.lit(0))
+        joined = joined.observe(watch, inserted.alias("inserted"), (F.coalesce(F.sum("__n"), F.lit(0)) - inserted).alias("updated"), F.count_if(~here).alias("kept"))
     out = {key: F.coalesce(f"n.{key}", f"o.{key}")}
     for c in old.columns:
         if c in fields:

@@ -5,13 +5,14 @@ Inputs are made from the test tables such that every branch of a rule has rows;
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from shelfmark import api
 from shelfmark.functions import text as T
 from shelfmark.operators import canonical, evidence, guards, manifest, quality, queues, resolve, search, state, views, votes, written_index
 from shelfmark.plans.registry import query
-from shelfmark.scratch import place
+from shelfmark.scratch import cut, place
 from shelfmark.sources import media
 from shelfmark.streaming import ingest
 
@@ -191,6 +192,7 @@ def bucketed_upserts(t):
     schema = spark.createDataFrame([], "shortcode string, kind string, first_seen_at timestamp, last_seen_at timestamp, unsaved_at string").schema
     for number in (0, 1, 1, 2):
         ingest.apply_batch(spark, rows.where(c("batch") == number).drop("batch"), number, base, schema)
+
     stamp = lambda x: F.date_format(x, "yyyy-MM-dd HH:mm:ss").alias(x)
     return ingest.state_table(spark, base, schema).select("shortcode", "kind", stamp("first_seen_at"), stamp("last_seen_at"))
 
@@ -630,3 +632,68 @@ def least_confident(t):
     sure = F.when(c("turn") % 4 != 0, -F.length("text").cast("double"))
     rows = t("conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", sure.alias("avg_logprob")))).alias("s"))
     return quality.worst(rows.select("conv_id", quality.mean_of(c("s"), "avg_logprob").alias("mean")), "mean", "conv_id")
+
+
+@query("""
+WITH a AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1), b AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderkey % 3 = 1 GROUP BY 1)
+SELECT 'first' AS batch, (SELECT count(*) FROM a) AS inserted, (SELECT sum(n) - count(*) FROM a)::BIGINT AS updated, 0 AS kept
+UNION ALL SELECT 'second', (SELECT count(*) FROM b WHERE k NOT IN (SELECT k FROM a)), (SELECT sum(n) FROM b)::BIGINT - (SELECT count(*) FROM b WHERE k NOT IN (SELECT k FROM a)), (SELECT count(*) FROM a WHERE k NOT IN (SELECT k FROM b))
+""")
+def observed_upserts(t):
+    """Counts of two upserts, from the jobs that write them."""
+    o = t("orders").select(c("o_custkey").cast("string").alias("shortcode"), c("o_orderstatus").alias("kind"), c("o_orderdate").alias("seen_at"), c("o_orderkey").alias("seq"))
+    spark = o.sparkSession
+    old = o.limit(0).select("shortcode", "kind", c("seen_at").alias("first_seen_at"), c("seen_at").alias("last_seen_at"), c("seen_at").alias("unsaved_at"))
+    counts = []
+    for name, part in (("first", 0), ("second", 1)):
+        watch = Observation()
+        old = cut(state.upsert_seen(old, o.where(c("seq") % 3 == part), watch=watch), "state")
+        counts.append((name, watch.get["inserted"], watch.get["updated"], watch.get["kept"]))
+    return spark.createDataFrame(counts, "batch string, inserted long, updated long, kept long")
+
+
+# The query functions
+
+
+def _interface(t):
+    """Documents as entries of type lang in city source; each has the reels of its own number and of half of it."""
+    d = t("documents")
+    entity = d.select(c("doc_id").alias("id"), c("lang").alias("type"), c("source").alias("city"), F.concat(lit("Entry "), c("source")).alias("canonical_name"), c("text").alias("summary"), lit("").alias("highlights"), lit(None).cast("string").alias("tags"))
+    number = F.explode(F.array_distinct(F.array(c("doc_id"), F.expr("doc_id div 2")))).alias("r")
+    bridge = d.select(c("doc_id").alias("entity_id"), number).select("entity_id", F.concat(lit("r"), "r").alias("shortcode"))
+    reel = d.select(F.concat(lit("r"), "doc_id").alias("shortcode"), F.concat(lit("https://example.org/"), "doc_id").alias("url"))
+    past = t("labels").select(c("doc_id").alias("entity_id"), c("quality").cast("string").alias("changed_at"), c("toxic").cast("string").alias("status"), lit("n").alias("note"))
+    return {"entity": entity, "entity_reel": bridge, "reel": reel, "entity_personal_history": past}
+
+
+@query(f"""
+WITH w AS (SELECT doc_id, lang, source, {TOKENS.format("'Entry ' || source || ' ' || text")} AS w FROM documents),
+d AS (SELECT doc_id FROM w WHERE lang = 'en' AND lower(source) = 'src3' AND list_contains(w, 'the') AND NOT list_contains(w, 'licensed') ORDER BY doc_id LIMIT 10),
+e AS (SELECT doc_id, unnest(list_distinct([doc_id, doc_id // 2])) AS r FROM d), f AS (SELECT e.doc_id, 'r' || r AS s FROM e WHERE r IN (SELECT doc_id FROM documents))
+SELECT d.doc_id AS id, coalesce(string_agg(s, ' ' ORDER BY s), '') AS reels FROM d LEFT JOIN f USING (doc_id) GROUP BY 1
+""")
+def search_entities(t):
+    out = api.search_entities(_interface(t), "the NOT licensed", "en", "SRC3")
+    return out.select("id", F.array_join(F.sort_array(F.transform("sources", lambda x: x["shortcode"])), " ").alias("reels"))
+
+
+@query("""
+WITH i AS (SELECT max(doc_id) // 2 AS id FROM labels WHERE doc_id % 2 = 0), e AS (SELECT id, unnest(list_distinct([id, id // 2])) AS r FROM i), f AS (SELECT id, 'r' || r AS s FROM e WHERE r IN (SELECT doc_id FROM documents))
+SELECT i.id, (SELECT source FROM documents WHERE doc_id = i.id) AS city, (SELECT coalesce(string_agg(s, ' ' ORDER BY s), '') FROM f) AS reels,
+  (SELECT string_agg(quality || ':' || toxic, ' ' ORDER BY quality DESC, toxic DESC) FROM labels WHERE doc_id = i.id) AS history FROM i
+""")
+def get_entity(t):
+    tables = _interface(t)
+    number = t("labels").where("doc_id % 2 = 0").agg(F.max("doc_id")).first()[0] // 2
+    said = F.array_join(F.transform("history", lambda h: F.concat(h["changed_at"], lit(":"), h["status"])), " ")
+    return api.get_entity(tables, number).select("id", "city", F.array_join(F.sort_array(F.transform("sources", lambda x: x["shortcode"])), " ").alias("reels"), F.nullif(said, lit("")).alias("history"))
+
+
+@query("WITH s AS (SELECT max(conv_id) AS id FROM conversations), m AS (SELECT turn, role, text FROM conversations WHERE conv_id = (SELECT id FROM s) ORDER BY turn DESC LIMIT 3) SELECT turn AS id, role, text AS content FROM m UNION ALL SELECT (SELECT max(turn) + 1 FROM conversations), 'user', 'and then?'")
+def asked_conversation(t):
+    """A question is put down in the last session, whose last four messages are then read."""
+    messages = t("conversations").select(c("turn").alias("id"), c("conv_id").alias("session_id"), "role", c("text").alias("content"), lit("t0").alias("created_at"))
+    sessions = messages.select(c("session_id").alias("id"), lit("").alias("title"), lit("t0").alias("created_at"), lit("t0").alias("updated_at")).distinct()
+    last = sessions.agg(F.max("id")).first()[0]
+    _, now, session = api.asked(sessions, messages, "  and then? ", "t1", last)
+    return api.conversation(now, session, 4).select("id", "role", "content")

@@ -10,7 +10,7 @@ replayed finds its list and does nothing, or gives the same rows again. The batc
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -43,20 +43,27 @@ def state_table(spark: SparkSession, base: str, schema: StructType, only: list[i
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
-def apply_batch(spark: SparkSession, batch: DataFrame, number: int, base: str, schema: StructType, key: str = "shortcode") -> None:
-    """Write version number + 1: the buckets of batch's keys with batch applied. Done already, it does nothing."""
+def apply_batch(spark: SparkSession, batch: DataFrame, number: int, base: str, schema: StructType, key: str = "shortcode") -> dict[str, int]:
+    """Write version number + 1: the buckets of batch's keys with batch applied. Done already, it does nothing.
+
+    Returns inserted, updated and kept (rows of the touched buckets that the batch leaves alone), counted by the write itself; nothing where nothing was written.
+    """
     n = number + 1
     if n in numbers(spark, f"{base}/current") and read_text(spark, f"{base}/current/{n}"):
-        return
+        return {}
+    counts: dict[str, int] = {}
     before = bucket_versions(spark, base, number) if number else {}
     named = batch.where(F.trim(F.coalesce(F.col(key), F.lit(""))) != "")
     touched = sorted(r[0] for r in named.select(bucket_of(F.col(key))).distinct().collect())  # BUCKETS rows at most
     if touched:
         old = state_table(spark, base, schema, touched, number) if number else spark.createDataFrame([], schema)
-        rows = upsert_seen(old, named, key).withColumn("bucket", bucket_of(F.col(key)))
+        watch = Observation()
+        rows = upsert_seen(old, named, key, watch=watch).withColumn("bucket", bucket_of(F.col(key)))
         rows.repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(_folder(base, n))
+        counts = watch.get
     after = before | dict.fromkeys(touched, n)
     put(spark, f"{base}/current/{n}", ",".join(f"{b}:{v}" for b, v in sorted(after.items())) or ",")
+    return counts
 
 
 def ingest(spark: SparkSession, landing: str, landed: StructType, base: str, schema: StructType, checkpoint: str) -> StreamingQuery:
