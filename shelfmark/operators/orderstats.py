@@ -1,6 +1,6 @@
 """Exact order statistics by refinement: no sort, no range shuffle, nothing written but the narrowed bounds.
 
-The values of a column are counted in a few hundred bins between their least and greatest one; the bin that holds the wanted index is the next
+The values of a column are counted in a few thousand bins between their least and greatest one; the bin that holds the wanted index is the next
 turn's range, from the least to the greatest value seen in it, and so on until these are the same. Each turn is one pass that combines
 before the shuffle. All columns, indexes and groups are narrowed in the same passes.
 """
@@ -15,17 +15,20 @@ from pyspark.sql.types import IntegralType
 
 from shelfmark.scratch import cut
 
-BINS = 512
+BINS = 2048
 #: Bounds of so many (group, column, index) at most go out with the pass; more are a table that is joined.
 LOCAL = 20_000
 
 
-def _settle(bounds: DataFrame) -> tuple[DataFrame, bool]:
-    """bounds, worked out once, and whether they are few enough to be sent to every task."""
+def _settle(bounds: DataFrame) -> tuple[DataFrame, bool, bool]:
+    """bounds, worked out once; whether they are few enough to be sent to every task; whether any is still open."""
     rows = bounds.limit(LOCAL + 1).collect()
     if len(rows) <= LOCAL:
-        return bounds.sparkSession.createDataFrame(rows, bounds.schema), True
-    return cut(bounds, "bounds"), False
+        # NaN is equal to itself here, as in Spark.
+        wide = any(r["lo"] != r["hi"] and not (r["lo"] != r["lo"] and r["hi"] != r["hi"]) for r in rows)
+        return bounds.sparkSession.createDataFrame(rows, bounds.schema), True, wide
+    kept = cut(bounds, "bounds")
+    return kept, False, kept.where("lo <> hi").limit(1).count() > 0
 
 
 def _bin(v: Column, lo: Column, hi: Column, whole: bool, bins: int) -> Column:
@@ -51,24 +54,24 @@ def order_statistics(df: DataFrame, fields: Sequence[str], at: dict[str, Column]
     groups = [f"g{i}" for i in range(len(by))]
     rows = rows.select(*groups, "p.field", "p.v").where(F.col("v").isNotNull())
     keys = [*groups, "field"]
-    ends, _ = _settle(rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")))
-    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), index.cast("long").alias("index")) for name, index in at.items()]))
-    state = ends.select("*", wanted.alias("w")).select(*keys, "n", "w.name", "w.index", "lo", "hi", F.lit(0).cast("long").alias("below"))
-    state, few = _settle(state.where((F.col("index") >= 0) & (F.col("index") < F.col("n"))))
+    wanted = F.explode_outer(F.filter(F.array(*[F.struct(F.lit(name).alias("name"), index.cast("long").alias("index")) for name, index in at.items()]), lambda w: (w["index"] >= 0) & (w["index"] < F.col("n"))))
+    ends = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    every, few, wide = _settle(ends.select("*", wanted.alias("w")).select(*keys, "n", "w.name", "w.index", "lo", "hi", F.lit(0).cast("long").alias("below")))
+    state = every.where("name is not null")
     done = state.where("lo = hi")
-    while (state := state.where("lo <> hi")).limit(1).count():
-        bounds = state.select(*[F.col(k).alias(f"{k}_") for k in keys], "name", "index", "lo", "hi", "below", "n")
+    while wide:
+        bounds = state.where("lo <> hi").select(*[F.col(k).alias(f"{k}_") for k in keys], "name", "index", "lo", "hi", "below", "n")
         same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]
         # Only values inside a range that is still open leave the scan's task.
         inside = rows.join(F.broadcast(bounds) if few else bounds, [*same, F.col("v").between(F.col("lo"), F.col("hi"))])
         parts = inside.groupBy(*keys, "name", "index", "below", "n", _bin(F.col("v"), F.col("lo"), F.col("hi"), whole, bins).alias("bin")).agg(F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
         upto = F.col("below") + F.sum("c").over(Window.partitionBy(*keys, "name").orderBy("bin"))
         new = parts.withColumn("upto", upto).where((F.col("upto") > F.col("index")) & (F.col("upto") - F.col("c") <= F.col("index")))
-        state, few = _settle(new.select(*keys, "n", "name", "index", "lo", "hi", (F.col("upto") - F.col("c")).alias("below")))
+        state, few, wide = _settle(new.select(*keys, "n", "name", "index", "lo", "hi", (F.col("upto") - F.col("c")).alias("below")))
         done = done.unionByName(state.where("lo = hi"))
     values = [F.max(F.when(F.col("name") == name, F.col("lo"))).alias(name) for name in at]
     found = done.groupBy(*[F.col(k).alias(f"{k}_") for k in keys]).agg(*values)
-    every = ends.select(*keys, "n")
+    every = every.select(*keys, "n").distinct()
     if not by:
         every = df.sparkSession.createDataFrame([(f,) for f in fields], "field string").join(every, "field", "left").select("field", F.coalesce("n", F.lit(0)).alias("n"))
     out = every.join(found, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys], "left")
