@@ -1,10 +1,10 @@
-"""Text rules as Column -> Column functions; everything here runs inside the JVM except full_key.
+"""Text rules as Column -> Column functions; everything here runs inside the JVM.
 
 There are several normal forms, on purpose, and they are not interchangeable:
 
-* name_key: lower case, ß as ss, no accents, everything but letters, digits and _ a single space;
-* tag_key: the same without the ß rule, but keeps - and _;
-* plain_key: lower case, ß as ss, no accents, nothing else;
+* name_key: folded over all of Unicode, everything but letters, digits and _ a single space;
+* tag_key: lower case and decomposed, but not case-folded (ß stays), keeps - and _;
+* plain_key: folded (compatibility decomposition, case folding, no combining marks), nothing else;
 * loose_key: lower case, punctuation to spaces, untrimmed, accents kept;
 * search_tokens: lower case, no accents, split at everything but letters and digits (also _).
 """
@@ -12,10 +12,8 @@ There are several normal forms, on purpose, and they are not interchangeable:
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from functools import cache
 
-import pandas as pd
-import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,12 +53,55 @@ def squeeze(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(col(c), SPACE, " "))
 
 
+#: The syllables of Hangul are letters by rule: their parts follow from the code point.
+HANGUL = 0xAC00
+LEADS, VOWELS, TAILS = ("".join(chr(first + i) for i in range(n)) for first, n in ((0x1100, 19), (0x1161, 21), (0x11A7, 28)))
+
+
+@cache
+def _folds(cased: bool) -> tuple[str, str, str, str]:
+    """(letters that fold to one or to nothing, what to; letters that fold to several, what to, split by spaces), by unicodedata.
+
+    Those that fold to nothing come last, as translate drops letters that have no partner.
+    """
+    one, none, many = [], [], []
+    for code in (*range(0x41, 0x5B), *range(0x80, HANGUL), *range(HANGUL + 11172, 0xD800), *range(0xE000, 0x20000), *range(0x2F800, 0x2FA20), *range(0xE0100, 0xE01F0)):
+        letter = chr(code)
+        plain = unicodedata.normalize("NFKD", letter)
+        plain = "".join(x for x in (plain.casefold() if cased else plain) if not unicodedata.combining(x))
+        if plain != letter:
+            (none if not plain else one if len(plain) == 1 else many).append((letter, plain))
+    spaces = "\x00"  # a letter may fold to a space and a mark
+    return "".join(a for a, _ in one + none), "".join(b for _, b in one), "".join(a for a, _ in many), " ".join(b.replace(" ", spaces) for _, b in many)
+
+
+def folded(c: Column | str, cased: bool = True) -> Column:
+    """Compatibility decomposition without combining marks, and, if cased, Unicode's case folding; on every letter as unicodedata has it.
+
+    One letter for one is a translation of the text; only texts that hold a letter that becomes several are gone through letter by letter.
+    """
+    one, to, many, parts = _folds(cased)
+    table = F.split(F.lit(parts), " ")  # folded to an array once, as it is constant
+    bare = F.translate(col(c), one, to)
+
+    def spread(x: Column) -> Column:
+        at = F.ascii(x) - HANGUL
+        jamo = F.concat(F.substr(F.lit(LEADS), F.floor(at / 588).cast("int") + 1, F.lit(1)), F.substr(F.lit(VOWELS), F.floor(at % 588 / 28).cast("int") + 1, F.lit(1)), F.when(at % 28 > 0, F.substr(F.lit(TAILS), at % 28 + 1, F.lit(1))).otherwise(""))
+        known = let(F.instr(F.lit(many), x), lambda i: F.when(i > 0, F.replace(F.get(table, i - 1), F.lit("\x00"), F.lit(" "))).otherwise(x))
+        return F.when(F.octet_length(x) == 1, x).when((at >= 0) & (at < 11172), jamo).otherwise(known)
+
+    whole = F.array_join(F.transform(F.split(bare, ""), spread), "")
+    some = bare.rlike("[\uac00-\ud7a3]") | (F.translate(bare, many, "") != bare)
+    ascii = F.octet_length(col(c)) == F.length(col(c))
+    return F.when(ascii, F.lower(col(c)) if cased else col(c)).otherwise(F.when(some, whole).otherwise(bare))
+
+
 def plain_key(c: Column | str) -> Column:
-    return without_accents(F.replace(F.lower(col(c)), F.lit("ß"), F.lit("ss")))
+    return folded(c)
 
 
 def name_key(c: Column | str) -> Column:
-    """The lookup key of names, for Latin scripts; other scripts keep their letters. full_key covers all of Unicode."""
+    """The lookup key of names, in every script. Marks that aren't combining ones (vowel signs of Indic scripts) part words, as they are no letters; so do letters that are newer than the JVM's Unicode."""
     return F.trim(F.regexp_replace(plain_key(c), r"[^\p{L}\p{N}_]+", " "))
 
 
@@ -70,7 +111,7 @@ def handle_key(c: Column | str) -> Column:
 
 
 def tag_key(c: Column | str) -> Column:
-    kept = F.regexp_replace(without_accents(F.lower(F.trim(F.coalesce(col(c), F.lit(""))))), r"[^\p{L}\p{N}_\s-]", " ")
+    kept = F.regexp_replace(folded(F.lower(F.trim(F.coalesce(col(c), F.lit("")))), cased=False), r"[^\p{L}\p{N}_\s-]", " ")
     return squeeze(kept)
 
 
@@ -86,24 +127,6 @@ def search_tokens(c: Column | str) -> Column:
     return F.filter(parts, lambda t: t != "")
 
 
-def full_key(c: Column | str) -> Column:
-    """name_key over all of Unicode (compatibility decomposition and case folding), in Arrow batches."""
-    @F.pandas_udf("string")
-    def fold(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        gap = regex.compile(r"[^\w]+")
-
-        def one(value: str | None) -> str | None:
-            if value is None:
-                return None
-            bare = "".join(x for x in unicodedata.normalize("NFKD", value).casefold() if not unicodedata.combining(x))
-            return gap.sub(" ", bare).strip()
-
-        for batch in batches:
-            yield batch.map(one)
-
-    return fold(col(c))
-
-
 def contains_words(text: Column, name: Column) -> Column:
     """Whether name's key stands in text's key as whole words; an empty name stands nowhere."""
     key = name_key(name)

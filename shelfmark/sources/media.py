@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shelfmark.functions.text import let
 from shelfmark.operators.state import orphans
 
 MEDIA = (
@@ -69,40 +66,29 @@ def consecutive_distinct(df: DataFrame, key: str, order: str, value: str) -> Dat
     return df.withColumn("__b", F.trim(F.coalesce(before, F.lit("")))).where((bare != "") & (bare != F.col("__b"))).drop("__b")
 
 
-_MARKS = re.compile(r'["{}]|\\.?', re.DOTALL)
-
-
-def first_object(text: str | None) -> str | None:
-    """The text of the first balanced JSON object: from the first brace to the one that closes it, strings and escapes respected.
+def first_object(text: Column) -> Column:
+    """The first balanced JSON object of a text: from the first brace to the one that closes it, strings and escapes respected.
 
-    None without a brace or where it is never closed. What stands inside isn't parsed. One pass, at any depth.
+    Null without a brace or where it is never closed. What stands inside isn't parsed. Escaped characters are blanked out first; then the text
+    is a row of pieces that end in a quote or brace, over which depth and quoting are counted, to any depth.
     """
-    start = (text or "").find("{")
-    if start < 0:
-        return None
-    depth, quoted = 0, False
-    for m in _MARKS.finditer(text, start):
-        mark = m[0]
-        if mark == '"':
-            quoted = not quoted
-        elif not quoted and mark == "{":
-            depth += 1
-        elif not quoted and mark == "}":
-            depth -= 1
-            if not depth:
-                return text[start : m.end()]
-    return None
+    tail = F.substr(text, F.instr(text, "{"))
+    pieces = F.regexp_extract_all(F.regexp_replace(tail, r"(?s)\\.", "  "), F.lit('[^"{}]*+["{}]'), F.lit(0))
 
+    def step(s: Column, piece: Column) -> Column:
+        mark, at = F.right(piece, F.lit(1)), s["at"] + F.length(piece)
+        depth = s["depth"] + F.when(s["quoted"], 0).when(mark == "{", 1).when(mark == "}", -1).otherwise(0)
+        now = F.struct(at.alias("at"), depth.alias("depth"), (s["quoted"] != (mark == '"')).alias("quoted"), F.when((depth == 0) & (s["depth"] == 1), at).otherwise(0).alias("end"))
+        return F.when(s["end"] > 0, s).otherwise(now)
 
-def first_json_object(df: DataFrame, column: str, out: str = "object") -> DataFrame:
-    """df with the first balanced JSON object of a text column, null without one. Arrow batches: nesting isn't a regular language."""
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(0).alias("end"))
+    end = F.aggregate(pieces, start, step, lambda s: s["end"])
+    return F.when(text.contains("{"), let(end, lambda n: F.when(n > 0, F.substr(tail, F.lit(1), n))))
 
-    @F.pandas_udf("string")
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(first_object)
 
-    return df.withColumn(out, find(F.col(column)))
+def first_json_object(df: DataFrame, column: str, out: str = "object") -> DataFrame:
+    """df with the first balanced JSON object of a text column, null without one."""
+    return df.withColumn(out, first_object(F.col(column)))
 
 
 def slice_tables(tables: dict[str, DataFrame], keys: DataFrame, key: str = "shortcode") -> dict[str, DataFrame]:

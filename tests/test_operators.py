@@ -208,8 +208,8 @@ def test_media(spark):
     assert (b.kind, b.caption, b.username) == ("carousel", "", "")
     ocr = spark.createDataFrame([("r", i, t) for i, t in enumerate(["a", "a", "", "a", "b", None])], "k string, frame int, text string")
     assert [r.text for r in media.consecutive_distinct(ocr, "k", "frame", "text").orderBy("frame").collect()] == ["a", "a", "b"]
-    assert media.first_object('then {"a": "}{", "b": [1, {"c": 2}]} and {"d": 1}') == '{"a": "}{", "b": [1, {"c": 2}]}'
-    assert media.first_object("none") is None and media.first_object(None) is None
+    said = spark.createDataFrame([('then {"a": "}{", "b": [1, {"c": 2}]} and {"d": 1}',), ("none",), (None,)], "t string")
+    assert [r.object for r in media.first_json_object(said, "t").collect()] == ['{"a": "}{", "b": [1, {"c": 2}]}', None, None]
 
 
 def test_media_outcomes(spark):

@@ -1,3 +1,6 @@
+import re
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,11 +19,34 @@ def test_name_key(spark, text, key):
     assert value(spark, T.name_key(F.lit(text))) == key
 
 
-def test_full_key_equals_name_key_on_latin_text(spark):
-    df = spark.createDataFrame([("Café de l'Étoile",), ("Straße",), (None,), ("ﬁne Ⅷ",)], "t string")
-    got = [tuple(r) for r in df.select(T.full_key("t"), T.name_key("t")).collect()]
-    assert got[:3] == [("cafe de l etoile",) * 2, ("strasse",) * 2, (None, None)]
-    assert got[3][0] == "fine viii"
+def by_unicodedata(text, tag=False):
+    text = unicodedata.normalize("NFKD", text.strip().lower()) if tag else unicodedata.normalize("NFKD", text).casefold()
+    bare = "".join(x for x in text if not unicodedata.combining(x))
+    return " ".join(re.sub(r"[^\w\s-]" if tag else r"[^\w]+", " ", bare).split())
+
+
+def test_keys_on_every_letter(spark):
+    """Every letter, number and mark of all planes that the JVM's Unicode has, between two others, against unicodedata."""
+    letters = [chr(i) for i in range(0x20, 0x30000) if unicodedata.category(chr(i))[0] in "LNM"]
+    df = spark.createDataFrame([(i, f"É{x}a {x}") for i, x in enumerate(letters)], "i int, t string")
+    got = df.select("i", T.name_key("t").alias("n"), T.plain_key("t").alias("p"), T.tag_key("t").alias("g")).toPandas().set_index("i")
+    for i, x in enumerate(letters):
+        text = f"É{x}a {x}"
+        bare = "".join(y for y in unicodedata.normalize("NFKD", text).casefold() if not unicodedata.combining(y))
+        assert got.p[i] == bare, hex(ord(x))
+    known = set(spark.createDataFrame([(x,) for x in letters], "x string").where(F.col("x").rlike(r"^\P{Cn}$")).toPandas().x)
+    assert len(known) > 0.9 * len(letters)
+    odd = [hex(ord(x)) for i, x in enumerate(letters) if x in known and got.n[i] != by_unicodedata(f"É{x}a {x}")]
+    tags = [hex(ord(x)) for i, x in enumerate(letters) if x in known and got.g[i] != by_unicodedata(f"É{x}a {x}", True)]
+    assert not odd, odd[:20]
+    assert not tags, tags[:20]
+
+
+def test_keys_of_texts(spark):
+    texts = ["Café de l'Étoile", "Straße", "ﬁne Ⅷ ①", "ＡＢＣ", "й Ǆ", "한국어 김치", "हिन्दी", "𝐀𝔟 ﷺ", "ΐ ᾳ̂ Σίσυφος", "", "½ x²"]
+    df = spark.createDataFrame([*enumerate(texts), (99, None)], "i int, t string")
+    got = {r.i: r.k for r in df.select("i", T.name_key("t").alias("k")).collect()}
+    assert got == {i: by_unicodedata(t) for i, t in enumerate(texts)} | {99: None}
 
 
 def test_names(spark):
