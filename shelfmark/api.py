@@ -5,11 +5,13 @@ from __future__ import annotations
 import datetime
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.functions.text import iso_date
 from shelfmark.operators import search as S
 from shelfmark.operators import views
+from shelfmark.operators.ordered import numbered
 from shelfmark.operators.votes import labelled_counts
 from shelfmark.vocabulary import STATUSES, STOP_WORDS, VERDICTS
 
@@ -127,6 +129,23 @@ def checked_attempt(verdict: str, rating: int | None = None, cooked_at: str | No
     return {"verdict": verdict, "rating": rating, "cooked_at": cooked_at}
 
 
+def attempt_fault(verdict: Column, rating: Column, cooked_at: Column) -> Column:
+    """What checked_attempt refuses, over columns: the first fault of a row, null where there is none."""
+    bad_date = cooked_at.isNotNull() & iso_date(cooked_at).isNull()
+    return F.when(verdict.isNull() | ~verdict.isin(*VERDICTS), "verdict").when(~rating.between(1, 5), "rating").when(bad_date, "cooked_at")
+
+
+def recorded_attempts(old: DataFrame, new: DataFrame, *order: str) -> tuple[DataFrame, DataFrame]:
+    """(attempts, refused): old with the rows of new (recipe_id, verdict, rating, cooked_at, note) that are right, and the others with their fault.
+
+    Attempts are only added. They are numbered on from the largest attempt_id, in order; order must be unique.
+    """
+    judged = new.withColumn("fault", attempt_fault(F.col("verdict"), F.col("rating"), F.col("cooked_at")))
+    last = old.agg(F.coalesce(F.max("attempt_id"), F.lit(0))).first()[0]
+    fresh = numbered(judged.where("fault is null").drop("fault"), list(order), "__n").withColumn("attempt_id", F.col("__n") + F.lit(last).cast("long")).drop("__n")
+    return old.unionByName(fresh.select(*old.columns)), judged.where("fault is not null")
+
+
 def checked_status(status: str | None, score: int | None = None) -> dict:
     if status is not None and status not in STATUSES:
         raise ValueError(f"unknown status: {status}")

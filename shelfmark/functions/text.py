@@ -62,14 +62,14 @@ LEADS, VOWELS, TAILS = ("".join(chr(first + i) for i in range(n)) for first, n i
 def _folds(cased: bool) -> tuple[str, str, str, str]:
     """(letters that fold to one or to nothing, what to; letters that fold to several, what to, split by spaces), by unicodedata.
 
-    Those that fold to nothing come last, as translate drops letters that have no partner.
+    If cased, of texts in lower case, which leaves the capitals out: the tables stand in every plan that folds, so they are to be small. Those that fold to nothing come last, as translate drops letters that have no partner.
     """
     one, none, many = [], [], []
-    for code in (*range(0x41, 0x5B), *range(0x80, HANGUL), *range(HANGUL + 11172, 0xD800), *range(0xE000, 0x20000), *range(0x2F800, 0x2FA20), *range(0xE0100, 0xE01F0)):
+    for code in (*range(0x80, HANGUL), *range(HANGUL + 11172, 0xD800), *range(0xE000, 0x20000), *range(0x2F800, 0x2FA20), *range(0xE0100, 0xE01F0)):
         letter = chr(code)
         plain = unicodedata.normalize("NFKD", letter)
         plain = "".join(x for x in (plain.casefold() if cased else plain) if not unicodedata.combining(x))
-        if plain != letter:
+        if plain != letter and not (cased and letter.lower() != letter and len(letter.lower()) == 1):
             (none if not plain else one if len(plain) == 1 else many).append((letter, plain))
     spaces = "\x00"  # a letter may fold to a space and a mark
     return "".join(a for a, _ in one + none), "".join(b for _, b in one), "".join(a for a, _ in many), " ".join(b.replace(" ", spaces) for _, b in many)
@@ -82,7 +82,6 @@ def folded(c: Column | str, cased: bool = True) -> Column:
     """
     one, to, many, parts = _folds(cased)
     table = F.split(F.lit(parts), " ")  # folded to an array once, as it is constant
-    bare = F.translate(col(c), one, to)
 
     def spread(x: Column) -> Column:
         at = F.ascii(x) - HANGUL
@@ -90,10 +89,12 @@ def folded(c: Column | str, cased: bool = True) -> Column:
         known = let(F.instr(F.lit(many), x), lambda i: F.when(i > 0, F.replace(F.get(table, i - 1), F.lit("\x00"), F.lit(" "))).otherwise(x))
         return F.when(F.octet_length(x) == 1, x).when((at >= 0) & (at < 11172), jamo).otherwise(known)
 
-    whole = F.array_join(F.transform(F.split(bare, ""), spread), "")
-    some = bare.rlike("[\uac00-\ud7a3]") | (F.translate(bare, many, "") != bare)
-    ascii = F.octet_length(col(c)) == F.length(col(c))
-    return F.when(ascii, F.lower(col(c)) if cased else col(c)).otherwise(F.when(some, whole).otherwise(bare))
+    def each(bare: Column) -> Column:
+        some = bare.rlike("[\uac00-\ud7a3]") | (F.translate(bare, many, "") != bare)
+        return F.when(some, F.array_join(F.transform(F.split(bare, ""), spread), "")).otherwise(bare)
+
+    low = F.lower(col(c)) if cased else col(c)
+    return F.when(F.octet_length(col(c)) == F.length(col(c)), low).otherwise(let(F.translate(low, one, to), each))
 
 
 def plain_key(c: Column | str) -> Column:

@@ -51,6 +51,11 @@ def report(card: DataFrame) -> str:
     return json.dumps([r.asDict() for r in card.toLocalIterator()], ensure_ascii=False, sort_keys=True, indent=2)
 
 
+def write_report(card: DataFrame, path: str) -> None:
+    """The scorecard as JSON lines in a folder."""
+    card.write.json(path)
+
+
 def inside(base: str, path: str) -> bool:
     """Whether a path, taken from base if it is relative, stays in base; nothing on disk is looked at."""
     root, full = os.path.normpath(base), os.path.normpath(os.path.join(base, path))

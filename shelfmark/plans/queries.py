@@ -788,4 +788,4 @@ def source_attribution(t):
     return t("documents").groupBy(carrier.alias("carrier")).agg(F.count("*").alias("n"))
 
 
-from shelfmark.plans import rules  # noqa: E402, F401  (puts its queries down)
+from shelfmark.plans import rules, walks  # noqa: E402, F401  (put their queries down)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.text import let
 from shelfmark.operators.state import orphans
+from shelfmark.vocabulary import CONTENT_KINDS
 
 MEDIA = (
     "struct<pk:string,id:string,code:string,taken_at:bigint,media_type:int,product_type:string,caption:struct<text:string>,user:struct<username:string>,saved_collection_ids:array<string>,"
@@ -97,18 +98,48 @@ def slice_tables(tables: dict[str, DataFrame], keys: DataFrame, key: str = "shor
     return {name: df.join(chosen, key, "left_semi") for name, df in tables.items()}
 
 
-def read_cases(spark: SparkSession, path: str) -> DataFrame:
-    """Scorecard cases of a JSON file, validated: unique non-blank shortcodes, known scopes, named entities."""
-    schema = (
-        "shortcode string, category string, expected_mode string, expected_content_kind string, expected_actionable boolean, entity_scope string, expected_names array<string>,"
-        "expected_entities array<struct<name:string,type:string,types:array<string>,aliases:array<string>>>, expected_recipes array<struct<name:string,aliases:array<string>>>, expected_terms array<string>"
-    )
-    df = spark.read.schema(schema).json(path, multiLine=True)
-    df = df.withColumns({"category": F.coalesce("category", F.lit("non catégorisé")), "entity_scope": F.coalesce("entity_scope", F.lit("minimum"))})
-    bad = df.where((F.trim(F.coalesce("shortcode", F.lit(""))) == "") | ~F.col("entity_scope").isin("minimum", "complete") | F.exists(F.coalesce("expected_entities", F.array().cast("array<struct<name:string,type:string,types:array<string>,aliases:array<string>>>")), lambda e: F.trim(F.coalesce(e["name"], F.lit(""))) == ""))
-    twice = df.groupBy("shortcode").count().where("count > 1")
-    if bad.limit(1).count() or twice.limit(1).count():
-        raise ValueError(f"invalid or repeated cases in {path}")
+CASE = {
+    "shortcode": "string", "category": "string", "expected_mode": "string", "expected_content_kind": "string", "expected_actionable": "boolean", "entity_scope": "string", "expected_names": "array<string>",
+    "expected_entities": "array<struct<name:string,type:string,types:array<string>,aliases:array<string>>>", "expected_recipes": "array<struct<name:string,aliases:array<string>>>", "expected_terms": "array<string>",
+}
+# Fixed values.
+MODES = ("repertoire", "recommandation")
+
+
+def case_faults(cases: DataFrame) -> DataFrame:
+    """shortcode, fault: what is wrong with scorecard cases, a row for each fault; a repeated shortcode is one fault however often it stands."""
+
+    def nameless(field: str) -> Column:
+        return F.coalesce(F.exists(field, lambda e: F.trim(F.coalesce(e["name"], F.lit(""))) == ""), F.lit(False))
+
+    wrong = {
+        "no shortcode": F.trim(F.coalesce("shortcode", F.lit(""))) == "",
+        "unknown scope": ~F.col("entity_scope").isin("minimum", "complete"),
+        "unknown mode": F.coalesce(~F.col("expected_mode").isin(*MODES), F.lit(False)),
+        "unknown content kind": F.coalesce(~F.col("expected_content_kind").isin("", *CONTENT_KINDS), F.lit(False)),
+        "entity without a name": nameless("expected_entities"),
+        "recipe without a name": nameless("expected_recipes"),
+    }
+    found = cases.select("shortcode", F.explode(F.array_compact(F.array(*[F.when(bad, name) for name, bad in wrong.items()]))).alias("fault"))
+    twice = cases.groupBy("shortcode").count().where("count > 1").select("shortcode", F.lit("repeated shortcode").alias("fault"))
+    return found.unionByName(twice)
+
+
+def case_rows(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Scorecard cases as they stand in JSON files, with defaults: an object with a list of cases, a bare list, or (lines) a case a line."""
+    fields = [f"{name} {kind}" for name, kind in CASE.items()]
+    listed = ",".join(f.replace(" ", ":", 1) for f in fields)
+    df = spark.read.schema(", ".join([*fields, f"cases array<struct<{listed}>>"])).json(path, multiLine=not lines)
+    df = df.select(F.explode(F.coalesce("cases", F.array(F.struct(*CASE)))).alias("c")).select("c.*")
+    return df.withColumns({"category": F.coalesce("category", F.lit("non catégorisé")), "entity_scope": F.coalesce("entity_scope", F.lit("minimum"))})
+
+
+def read_cases(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Scorecard cases of JSON files; refused as a whole where case_faults finds anything."""
+    df = case_rows(spark, path, lines)
+    faults = case_faults(df).limit(5).collect()
+    if faults:
+        raise ValueError(f"invalid cases in {path}: " + "; ".join(f"{r.shortcode}: {r.fault}" for r in faults))
     return df
 
 

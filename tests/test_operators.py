@@ -296,14 +296,14 @@ def test_harness(spark, tmp_path):
     from shelfmark.plans import harness
 
     path = tmp_path / "cases.json"
-    path.write_text(json.dumps([{"shortcode": "a", "category": "food", "entity_scope": "complete", "expected_mode": "m", "expected_entities": [{"name": "Muku", "type": "restaurant", "aliases": ["Muku Paris"]}]}, {"shortcode": "b", "expected_names": ["Gone"]}]))
+    path.write_text(json.dumps([{"shortcode": "a", "category": "food", "entity_scope": "complete", "expected_mode": "repertoire", "expected_entities": [{"name": "Muku", "type": "restaurant", "aliases": ["Muku Paris"]}]}, {"shortcode": "b", "expected_names": ["Gone"]}]))
     cases = media.read_cases(spark, str(path))
     sources = {"reel": spark.createDataFrame([("a", "x"), ("z", "y")], "shortcode string, caption string")}
 
     def extract(t):
         assert [r.shortcode for r in t["reel"].collect()] == ["a"]
         made = spark.createDataFrame([(1, "a", "muku paris", None, "restaurant", True, "llm"), (2, "a", "Other", None, "place", True, "llm"), (3, "a", "Gone", None, "place", True, "human")], "id int, shortcode string, name string, name_latin string, type string, verified boolean, source string")
-        return {"candidate": made, "extraction": spark.createDataFrame([("a", True, "m", "", None)], "shortcode string, ok boolean, mode string, content_kind string, actionable boolean")}
+        return {"candidate": made, "extraction": spark.createDataFrame([("a", True, "repertoire", "", None)], "shortcode string, ok boolean, mode string, content_kind string, actionable boolean")}
 
     out = harness.run(sources, cases, extract)
     card = out["scorecard"].first()
