@@ -10,7 +10,7 @@ gives the alphabet. Four tests compare a run with what ordinary text of its leng
 * word pairs: how likely a chain of letter pairs of English words, class changes, digits and separators makes the run,
   against a uniform draw. Under the chain the likelihood ratio's inverse is a p-value by Markov's inequality.
 
-Digits alone and runs of one repeated character are no keys. Fisher's rule joins their p-values; a weight in proportion to the run's length (mean 1 over all runs) makes a long
+Digits alone, dates and runs of one repeated character are no keys. Fisher's rule joins their p-values; a weight in proportion to the run's length (mean 1 over all runs) makes a long
 run count for more; Benjamini and Hochberg's step-up rule over all runs of all documents sets the cut. The rule
 needs only the number of runs in each of a fixed number of p-value bins.
 
@@ -118,7 +118,7 @@ def pair_p_value(s: Column) -> Column:
 
 
 def p_value(s: Column) -> Column:
-    """Fisher's joint p-value that ordinary text looks as random as s; 1 for digits alone and for one repeated character."""
+    """Fisher's joint p-value that ordinary text looks as random as s; 1 for one repeated character, and for digits alone or with the T and Z of dates and times."""
     n = F.length(s).cast("double")
     a = alphabet(s)
     squares = F.aggregate(F.array_distinct(F.split(s, "")), F.lit(0.0), lambda acc, c: acc + F.pow(n - F.length(F.replace(s, c, F.lit(""))), F.lit(2.0)))
@@ -139,7 +139,7 @@ def p_value(s: Column) -> Column:
     half = -(F.log(p1) + F.log(p2) + F.log(p3) + F.log(pair_p_value(s)))
     joint = let(half, lambda h: F.exp(-h) * (1 + h + h * h / 2 + h * h * h / 6))
     one = F.replace(s, F.substring(s, 1, 1), F.lit("")) == ""
-    return F.when(one | s.rlike("^[-0-9+/_]+$"), 1.0).otherwise(F.least(joint, F.lit(1.0)))
+    return F.when(one | s.rlike("^[-0-9+/_TZ]+$"), 1.0).otherwise(F.least(joint, F.lit(1.0)))
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -81,6 +81,16 @@ def test_random_strings_are_found_and_words_are_not(spark):
     assert all(got[100 + i].n_random == 0 for i in range(len(words)))
 
 
+def test_dates_are_not_found_among_keys(spark):
+    rng = np.random.default_rng(4)
+    keys = ["".join(rng.choice(list(string.ascii_letters + string.digits), 32)) for _ in range(20)]
+    plain = ["2024-05-17T12-30-55Z", "20240517T123055Z", "2024-05-17T12-30"]
+    df = spark.createDataFrame([(i, f"see {k} there") for i, k in enumerate(keys + plain)], "doc_id long, text string")
+    got = {r.doc_id: r.n_random for r in secret_scan.find_secrets(df).collect()}
+    assert sum(got[i] for i in range(20)) >= 19
+    assert [w for i, w in enumerate(plain) if got[20 + i]] == []
+
+
 ENCODINGS = {"base62": string.ascii_letters + string.digits, "base32": string.ascii_uppercase + "234567", "base36": string.ascii_lowercase + string.digits, "base64": string.ascii_letters + string.digits + "+/", "HEX": "0123456789ABCDEF"}
 
 
