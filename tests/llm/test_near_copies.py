@@ -118,3 +118,32 @@ def test_candidates_come_from_simhash_blocks(spark):
     of = {r.node: r.doc_id for r in made.collect()}
     pairs = near_copies.block_pairs(made, 0.8).distinct().collect()
     assert {frozenset((of[r.u], of[r.v])) for r in pairs} == {frozenset((i, 60 + i)) for i in range(60)}
+
+
+def test_a_family_below_the_similarity_makes_few_pairs(spark):
+    """150 copies of one text at about 0.6 to each other are mostly crowded: few pairs of crowded texts come out of joins, and their twins are still found."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(14)
+    word = lambda: f"w{rng.randrange(10**7)}"
+    base = [word() for _ in range(400)]
+    texts = []
+    for _ in range(150):
+        copy = list(base)
+        for i in rng.sample(range(80), 14):
+            copy[5 * i] = word()
+        texts.append(" ".join(copy))
+    twins = [" ".join([*t.split()[:-1], "end"]) for t in texts[:10]]
+    df = spark.createDataFrame(list(enumerate(texts + twins)), "doc_id long, text string")
+    got = {r.doc_id: r.part for r in near_copies.near_copy_groups(df).collect()}
+    want = components(texts + twins)
+    first = lambda of: [next(j for j in range(160) if of[j] == of[i]) for i in range(160)]
+    assert first(got) == first(want) and len(set(got.values())) == 150
+    n, (bits, blocks) = 160, near_copies.blocks_for(160, 0.8)
+    own = near_copies.with_blocks(df, 5, bits, blocks)
+    many = near_copies.crowds(own, n, bits, blocks, 48)
+    assert many.count() > 80
+    crowded = own.withColumns({"crowded": F.lit(True), "part": F.col("node")})
+    assert near_copies.block_pairs(crowded, 0.8).count() == 0
+    sets = near_copies.shingle_sets(df, own, 5, sketch=True)
+    assert 10 <= near_copies.crowded_pairs(crowded, sets, 0.8).count() <= 500
