@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.scratch import cut, drop, drop_scratch, scratch, shared_dir
+from shelfmark.scratch import cut, drop, drop_scratch, release, scratch, shared_dir
 
-__all__ = ["cut", "drop", "drop_scratch", "scratch", "shared_dir"]
+__all__ = ["cut", "drop", "drop_scratch", "release", "scratch", "shared_dir"]
 
 ROOT = str(Path(__file__).resolve().parents[2])
 WS_JAVA = r"[\x20\x09-\x0D]"

@@ -3,7 +3,8 @@
 Each round replaces the edges by stars around ever smaller node numbers. Minima over neighbours are aggregates
 (combined before the shuffle). The rewiring is a join on the node; the minima come from a stage of their own
 (apart_keys), so that both of the join's sides are plain shuffles, which Spark splits where a node is hot.
-Rounds end when the edges are stars around their least nodes. Each round is a table in the shared folder.
+Rounds end when the edges are stars around their least nodes. Each half of a round is a table in the shared folder: as one
+plan the second half held the first four times over, and the driver kept and planned that anew after each of its stages.
 """
 
 from __future__ import annotations
@@ -18,13 +19,19 @@ MAX_ROUNDS = 60
 
 def _settled(edges: DataFrame) -> bool:
     """Whether the edges (u > v) are stars around their least nodes: nothing points at two nodes, or is pointed at and points on."""
-    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("hit")).union(edges.select("v", F.lit(0), F.lit(1)))
+    end = lambda node, out: F.struct(F.col(node).alias("node"), F.lit(out).alias("out"), F.lit(1 - out).alias("hit"))
+    ends = edges.select(F.inline(F.array(end("u", 1), end("v", 0))))
     return not ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("hit").alias("hit")).where("out > 1 or out > 0 and hit > 0").limit(1).count()
 
 
+def both_ways(edges: DataFrame) -> DataFrame:
+    """Each of edges (u, v) as (u, v) and (v, u), in one scan."""
+    return edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Point the larger (large) or smaller neighbours of each node, and the node, at the least node of its star."""
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    both = both_ways(edges) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = apart_keys(both, ["u"], F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     joined = both.join(least, "u")
     if large:
@@ -43,8 +50,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if _settled(edges):
             break
-        last, edges = edges, cut(_star(_star(edges, True), False), "edges")
-        drop(last)
+        for large in (True, False):
+            last, edges = edges, cut(_star(edges, large), "edges")
+            drop(last)
     else:
         raise RuntimeError("components did not settle")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    star = [F.struct(F.col(x).alias("node"), F.col("v").alias("component")) for x in "uv"]
+    return edges.select(F.inline(F.array(*star))).distinct()

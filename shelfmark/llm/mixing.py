@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators.ordered import ROW, numbered, running
 
-from .common import NON_WS_JAVA, bounded_broadcast, cut, text_or_empty
+from .common import NON_WS_JAVA, bounded_broadcast, cut, release, text_or_empty
 
 WEIGHTS = (5, 2, 1)
 BITS, STEP, EDGE = 60, 10, 4096
@@ -147,6 +147,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copie
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = plan.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     plan = cut(plan.join(inclusion_levels(likes, plan.select("skey", "rest")), "skey"), "targets")
+    release(docs.sparkSession)
     few = plan.limit(MAX_SOURCES + 1).count() <= MAX_SOURCES
     small = F.broadcast if few else lambda df: df  # counted once: all tables below have a row a source
     sure = F.coalesce(F.col("liking") >= F.col("bar"), F.lit(False))
@@ -160,6 +161,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copie
     others = ranked.where("not sure").select("skey", "key", "grain", "size")
     rooms = plan.select("skey", F.greatest(F.floor(F.col("rest") - plan["sure"]), F.lit(0)).cast("long").alias("room"))
     ends = cut(prefix_end(others, rooms, edge, small), "ends")
+    release(docs.sparkSession)
     left = others.join(small(ends), "skey").where(~_taken())
     lengths = left.where((F.col("size") > 0) & (F.col("size") < 2 * F.col("gap"))).groupBy("skey", "gap", "size").agg(F.count("*").alias("n"))
     takes = cut(gap_lengths(lengths), "takes")

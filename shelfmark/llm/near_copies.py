@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import apart_keys, bounded_broadcast, cut, flat, id_text, map_arrow, row_key, slices
+from .common import apart_keys, bounded_broadcast, cut, flat, id_text, map_arrow, release, row_key, slices
 from .components import connected_components
 from .simhash import keep_first
 from .textnum import hash_ranges, mix, normalised, window_hash, windows_inside, word_bounds
@@ -159,7 +159,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int, sketch: bool =
 def similar(pairs: DataFrame, docs: DataFrame, own: DataFrame, width: int, share: float) -> DataFrame:
     """The pairs (u, v) whose sets have a Jaccard similarity of at least share; own: node, k1, k2."""
     pairs = cut(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
-    named = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    named = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     sets = cut(shingle_sets(docs, own.join(named, "node", "left_semi"), width), "sets")
     # Both sides of both joins are plain tables, so that Spark can split the pairs of a hub.
     side = lambda s: sets.select(F.col("node").alias(s), F.col("shingles").alias(f"{s}_set"))
@@ -227,6 +227,7 @@ def near_copy_groups(docs: DataFrame, width: int = 5, share: float = 0.8, crowd:
     marked = cut(with_blocks(docs, width, bits, blocks), "blocks")
     own = cut(marked.groupBy("node").agg(F.min(F.struct(F.col("k1"), F.col("k2"), F.col("keys"), F.col("guard"))).alias("s")).select("node", "s.*"), "nodes")
     many = cut(crowds(own, n, bits, blocks, crowd), "crowds")
+    release(docs.sparkSession)
     links, more = None, None
     if many.limit(1).count():
         # Families first: what their leaders join needn't meet pair by pair under any block.
@@ -234,6 +235,7 @@ def near_copy_groups(docs: DataFrame, width: int = 5, share: float = 0.8, crowd:
         links = cut(similar(leader_pairs(many), docs, own, width, share), "links")
         parts = connected_components(links)
         many = cut(many.join(parts, "node", "left").select("node", "k1", "k2", "keys", "guard", F.coalesce("component", "node").alias("part"), F.lit(True).alias("crowded")), "many")
+        release(docs.sparkSession)
         sets = cut(shingle_sets(docs, many, width, sketch=True), "sets")
         more = crowded_pairs(many, sets, share)
         placed = own.join(many.select("node", "crowded"), "node", "left").select("node", "keys", "guard", F.coalesce("crowded", F.lit(False)).alias("crowded"))
@@ -241,7 +243,9 @@ def near_copy_groups(docs: DataFrame, width: int = 5, share: float = 0.8, crowd:
         placed = own.select("node", "keys", "guard", F.lit(False).alias("crowded"))
     pairs = block_pairs(placed, share)
     found = similar(pairs if more is None else pairs.union(more), docs, own, width, share)
+    release(docs.sparkSession)
     parts = cut(connected_components(found if links is None else links.union(found)), "parts")
+    release(docs.sparkSession)
     of = own.select("node").join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("part"))
     return marked.join(of, "node").select("doc_id", "k1", "k2", "part")
 

@@ -54,6 +54,14 @@ def cut(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver collect its garbage: what it held of finished queries (broadcasts, plans) goes, and its heap shrinks again.
+
+    For operators of many queries, between their parts: a driver's heap grows while there is room, and only a full collection gives memory back.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def place(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, for what isn't one table; it goes as the tables of cut() do."""
     path = f"{shared_dir(spark)}/shelfmark/{name}-{uuid.uuid4().hex}"
